@@ -1,4 +1,7 @@
-"""The registered queries of the training-data operators, and their SQL."""
+"""The registered queries of the training-data operators, and their SQL.
+
+Each applies its operator, with production parameters, to its whole table.
+"""
 
 from __future__ import annotations
 
@@ -7,22 +10,63 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from arcspark.llm import chat, decontamination
 from arcspark.llm.common import table
+from arcspark.llm.jaccard import jaccard_components
+from arcspark.llm.language import identify
+from arcspark.llm.media import media_columns
 from arcspark.llm.packing import pack
 from arcspark.llm.token_counts import token_counts
+from arcspark.llm.toxicity import score_toxicity
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_token_counts": op5_token_counts,
-    "op9_best_fit_packing": op9_best_fit_packing,
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op3_benchmark_decontamination,
+        op4_language_id,
+        op5_token_counts,
+        op6_media_columns,
+        op8_toxicity,
+        op9_best_fit_packing,
+        op10_chat_formatting,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_benchmark_decontamination": decontamination.REPORT_SQL,
+    "op10_chat_formatting": chat.FORMAT_SQL,
+}
