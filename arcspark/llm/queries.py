@@ -14,8 +14,10 @@ from arcspark.llm import chat, decontamination
 from arcspark.llm.common import table
 from arcspark.llm.jaccard import jaccard_components
 from arcspark.llm.language import identify
+from arcspark.llm.lines import line_report
 from arcspark.llm.media import media_columns
 from arcspark.llm.packing import pack
+from arcspark.llm.suffix import suffix_dedup
 from arcspark.llm.token_counts import token_counts
 from arcspark.llm.toxicity import score_toxicity
 
@@ -24,6 +26,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +46,10 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,10 +66,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join,
+        op2_suffix_array_dedup,
         op3_benchmark_decontamination,
         op4_language_id,
         op5_token_counts,
         op6_media_columns,
+        op7_line_dedup,
         op8_toxicity,
         op9_best_fit_packing,
         op10_chat_formatting,
