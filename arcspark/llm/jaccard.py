@@ -295,3 +295,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     out = own.join(by_class, "cid", "left")
     alone = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(alone).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scope: str | None = None) -> DataFrame:
+    """``docs`` without those that link, over any number of links, with a lower doc_id. Rows without an id stay."""
+    found = jaccard_components(docs, width, percent, id_col, text_col, scope)
+    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(id_col)).distinct()
+    gone = materialize(gone, "jaccard-gone", scope)
+    return docs.join(sized(gone, gone.count()), id_col, "left_anti").select(*docs.columns)

@@ -18,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -264,3 +265,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, i
 
     rows = docs.select(F.col(id_col).alias("doc_id"), (id_remainder(id_col, folds) == held).alias("held_out"), text_of(text_col).alias("text"))
     return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1, scope: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(learnable(docs, labels, id_col, text_col, folds, held), scope))
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+
+    return docs.where(score(text_of(text_col)) < threshold)
