@@ -14,7 +14,7 @@ def header(key: Column | str | None, value: Column | str) -> Column:
 
 
 def _is(x: Column, key: str | None) -> Column:
-    return x["item_key"].isNull() if key is None else F.lower(x["item_key"]) == key.lower()
+    return x["item_key"].isNull() if key is None else F.coalesce(F.lower(x["item_key"]) == key.lower(), F.lit(False))
 
 
 def find(headers: Column, key: str | None) -> Column:

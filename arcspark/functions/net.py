@@ -21,7 +21,7 @@ def ipv4_int(text: Column) -> Column:
     for i in range(3):
         high = high + F.when(n > i + 1, F.shiftleft(value(i), 24 - 8 * i)).otherwise(0)
     fine = F.forall(parts, lambda p: p.rlike("^[0-9]{1,10}$")) & (n <= 4) & F.forall(F.slice(parts, 1, F.greatest(n - 1, F.lit(0))), lambda p: p.try_cast("bigint") <= 255)
-    room = F.shiftleft(F.lit(1).cast("bigint"), (5 - n) * 8)
+    room = F.pow(F.lit(2.0), (5 - n) * 8).cast("bigint")
     whole = high + last
     return F.when(fine & (last < room), F.when(whole >= 1 << 31, whole - (1 << 32)).otherwise(whole)).cast("int")
 

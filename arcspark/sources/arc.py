@@ -3,8 +3,9 @@
 Options: ``mode`` (PERMISSIVE, FAILFAST, DROPMALFORMED), ``records`` (raw or
 item), ``strictSuffix`` (leave out ``.warc.gz``), ``filesPerPartition``,
 ``mbPerPartition``, ``withContent``, ``urlPrefix``, ``legacyMetadata``.
-Filters on ``url``/``uri`` (equality, prefix) are taken by the scan where
-``spark.sql.python.filterPushdown.enabled`` is on.
+With ``pushdown`` (set by ``read_arc`` where
+``spark.sql.python.filterPushdown.enabled`` is on) the scan takes filters on
+``url``/``uri`` (equality, prefix).
 """
 
 from __future__ import annotations
@@ -92,15 +93,6 @@ class ArcReader(DataSourceReader):
     def _flag(self, name: str, default: str) -> bool:
         return str(self.options.get(name, self.options.get(name.lower(), default))).lower() == "true"
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("url",), ("uri",)):
-                self.equal = f.value
-            elif isinstance(f, StringStartsWith) and f.attribute in (("url",), ("uri",)) and f.value.startswith(self.prefix):
-                self.prefix = f.value
-            else:
-                yield f
-
     def partitions(self):
         files = list_archives(self.options["path"], self._flag("strictSuffix", "true"), self.options.get("pathglobfilter", self.options.get("pathGlobFilter")))
         each = int(self.options.get("filesPerPartition", self.options.get("filespartition", 1)))
@@ -115,7 +107,7 @@ class ArcReader(DataSourceReader):
 
         def rows():
             for path in partition.paths:
-                with where.open_input_stream(path) as stream:
+                with where.open_input_stream(path, compression=None) as stream:
                     for r in records(stream, self.options.get("mode", "PERMISSIVE").upper(), self._flag("legacyMetadata", "false")):
                         if r.url.startswith(self.prefix) and (self.equal is None or r.url == self.equal):
                             yield make(r, posixpath.basename(path), content)
@@ -123,6 +115,19 @@ class ArcReader(DataSourceReader):
         yield from batches(rows(), _ARROW_ITEM if item else _ARROW_RAW)
 
 
+class PushdownReader(ArcReader):
+    """Takes filters on the url; Spark refuses such a reader where pushdown is off."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute in (("url",), ("uri",)):
+                self.equal = f.value
+            elif isinstance(f, StringStartsWith) and f.attribute in (("url",), ("uri",)) and f.value.startswith(self.prefix):
+                self.prefix = f.value
+            else:
+                yield f
+
+
 class ArcStream(DataSourceStreamReader):
     """New archive files as they come: the offset is the list's length in name order."""
 
@@ -163,7 +168,7 @@ class ArcWriter(DataSourceWriter):
         where.create_dir(base, recursive=True)
         stamp = self.options.get("timestamp", "20240101000000")
         name, n = f"part-{uuid.uuid4().hex}.arc.gz", 0
-        with where.open_output_stream(f"{base}/.{name}.tmp") as out:
+        with where.open_output_stream(f"{base}/.{name}.tmp", compression=None) as out:
             out.write(file_header(name, stamp))
             for r in rows:
                 headers = [(h["item_key"], h["item_value"]) for h in r["headers"] or []]
@@ -196,7 +201,8 @@ class ArcDataSource(DataSource):
         return schemas.ITEM if self.options.get("records", "raw") == "item" else schemas.RAW_RECORD
 
     def reader(self, schema):
-        return ArcReader(dict(self.options))
+        options = dict(self.options)
+        return (PushdownReader if options.get("pushdown") == "true" else ArcReader)(options)
 
     def streamReader(self, schema):
         return ArcStream(dict(self.options))
@@ -207,6 +213,7 @@ class ArcDataSource(DataSource):
 
 def read_arc(spark: SparkSession, path: str, **options: object) -> DataFrame:
     spark.dataSource.register(ArcDataSource)
+    options = {"pushdown": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"), **options}
     return spark.read.format("arc").options(**{k: str(v) for k, v in options.items()}).load(path)
 
 
