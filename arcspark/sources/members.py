@@ -82,7 +82,7 @@ def members(stream: BinaryIO, block: int = BLOCK) -> Iterator[tuple[int, int, by
             try:
                 parts.append(inflater.decompress(pending))
             except zlib.error as e:
-                raise ArcError(f"Corrupt GZIP trailer: {e}" if "check" in str(e) and parts else f"Corrupt GZIP header: {e}") from e
+                raise ArcError(f"Corrupt GZIP {'header' if 'header' in str(e) else 'trailer'}: {e}") from e
             used += len(pending) - len(inflater.unused_data)
             pending = inflater.unused_data
         yield offset, used, b"".join(parts)
