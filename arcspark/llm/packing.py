@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from arcspark.llm import pretoken
 from arcspark.llm.common import id_and_text, materialize
 
-#: Pre-tokens whose ids a worker keeps.
-WORKER_CACHE = 300_000
+#: Pre-tokens whose ids a worker keeps: some 200 bytes each.
+WORKER_CACHE = 1_000_000
 #: Rows of one length and salt that one task ranks, and most salts.
 ROWS_A_SALT, MOST_SALTS = 200_000, 1024
 
