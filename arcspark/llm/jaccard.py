@@ -9,9 +9,12 @@ most of what meets; each pair left is verified once, on the whole sets.
 
 Links matter for components, so no group is expanded into its pairs. First
 every class in a group is compared with one centre for its sizes. Then, in
-the groups that still hold more than one component, every pair from different
-components that the filters allow is verified. No link between components can
-be missed.
+the groups that still hold more than one component, every class meets the
+likeliest class of each other component, and last, where components are still
+apart, every pair between them that the filters allow is verified. There the
+suffix filter is sharper: parities of the shingles in 512 cells, which differ
+in no more cells than the sets differ in shingles. No link between components
+can be missed.
 """
 
 from __future__ import annotations
@@ -61,6 +64,12 @@ def sketch(s: np.ndarray) -> int:
     return int.from_bytes(counts.astype(np.uint8).tobytes(), "little", signed=True)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """A bit for each of 512 cells: whether an odd number of shingles falls there."""
+    odd = np.bincount(((s >> np.uint64(20)) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _counts(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).astype(np.int32)
 
@@ -77,28 +86,29 @@ def may_link(n, pos, sk, m, qos, tk, percent: int) -> np.ndarray:
 
 
 def describe(rows: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, n, cid) and, with a cell, (cell, count): one pass over the texts."""
+    """Rows (doc_id, n, cid, bits) and, with a cell, (cell, count): one pass over the texts."""
 
     def work(batches):
         total, kind = np.zeros(CELLS, np.int64), None
         for batch in batches:
             kind = batch.schema.field(0).type
-            n, cid = [], []
+            n, cid, bits = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, width)
                 n.append(len(s))
                 cid.append(class_of(s))
+                bits.append(parities(s))
                 if len(s):
                     total += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) if len(s) > CELLS // 8 else 0
                     if len(s) <= CELLS // 8:
                         np.add.at(total, (s & np.uint64(CELLS - 1)).astype(np.int64), 1)
             none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), *none], ["doc_id", "n", "cid", "cell", "count"])
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(bits, pa.binary()), *none], ["doc_id", "n", "cid", "bits", "cell", "count"])
         cells = np.flatnonzero(total)
         if kind is not None and len(cells):
-            yield pa.record_batch([pa.nulls(len(cells), kind), pa.nulls(len(cells), pa.int64()), pa.nulls(len(cells), pa.int64()), pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["doc_id", "n", "cid", "cell", "count"])
+            yield pa.record_batch([pa.nulls(len(cells), kind), pa.nulls(len(cells), pa.int64()), pa.nulls(len(cells), pa.int64()), pa.nulls(len(cells), pa.binary()), pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["doc_id", "n", "cid", "bits", "cell", "count"])
 
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, cid long, cell int, count long")
+    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, cid long, bits binary, cell int, count long")
 
 
 def prefixes(rows: DataFrame, width: int, percent: int, rank) -> DataFrame:
@@ -136,7 +146,7 @@ def _join(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def _groups(batches, names: list[str]):
+def _groups(batches, names: list[str], binary: str | None = None):
     """Whole groups of equal first column from sorted rows, as (arrays, starts); a very large one comes in parts.
 
     Each later part of such a group begins with the group's first row again.
@@ -147,6 +157,9 @@ def _groups(batches, names: list[str]):
         if not batch.num_rows:
             continue
         now = _arrays(batch, names)
+        if binary:
+            packed = b"".join(batch.column(batch.schema.get_field_index(binary)).to_pylist())
+            now.append(np.frombuffer(packed, np.uint64).reshape(len(now[0]), -1))
         if carry and now[0][0] == carry[0][0][0] and now[0][-1] == now[0][0]:
             carry.append(now)
             held += len(now[0])
@@ -195,32 +208,44 @@ def centred(sorted_rows: DataFrame, percent: int) -> DataFrame:
     return sorted_rows.mapInArrow(work, "h long, n long, pos long, cid long, sketch long, centre long")
 
 
-def across(sorted_rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of rows in one group that lie in different components and pass the filters."""
+def across(sorted_rows: DataFrame, percent: int, likeliest: bool) -> DataFrame:
+    """Pairs (x, y) of rows in one group that lie in different components and pass the filters.
+
+    With ``likeliest``, for each row only the nearest of each other component.
+    """
     names = ["h", "n", "pos", "cid", "sketch", "part"]
 
     def work(batches):
         done: set[tuple[int, int]] = set()
-        for rows, starts in _groups(batches, names):
+
+        def pairs(n, pos, cid, sk, part, bits):
+            for i in range(len(n) - 1):
+                # sorted by size: what is too large for row i begins at ``end``
+                end = np.searchsorted(n, 100 * n[i] // percent, "right")
+                j = np.flatnonzero(part[i + 1 : end] != part[i]) + i + 1
+                if len(j):
+                    j = j[may_link(n[i], pos[i], np.full(len(j), sk[i]), n[j], pos[j], sk[j], percent)]
+                    differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
+                    near = differ <= n[i] + n[j] - 2 * least_overlap(n[i], n[j], percent)
+                    j, differ = j[near], differ[near]
+                    if likeliest and len(j) > 1:
+                        j = j[np.argsort(differ, kind="stable")]
+                        j = j[np.unique(part[j], return_index=True)[1]]
+                    for y in cid[j].tolist():
+                        yield (int(cid[i]), y) if cid[i] < y else (y, int(cid[i]))
+
+        for rows, starts in _groups(batches, names, "bits"):
             for a, b in zip(starts, np.append(starts[1:], len(rows[0])), strict=True):
-                _, n, pos, cid, sk, part = (c[a:b] for c in rows)
-                xs, ys = [], []
-                for i in range(len(n) - 1):
-                    # sorted by size: what is too large for row i begins at ``end``
-                    end = np.searchsorted(n, 100 * n[i] // percent, "right")
-                    j = np.flatnonzero(part[i + 1 : end] != part[i]) + i + 1
-                    if len(j):
-                        j = j[may_link(n[i], pos[i], np.full(len(j), sk[i]), n[j], pos[j], sk[j], percent)]
-                        for y in cid[j].tolist():
-                            pair = (int(cid[i]), y) if cid[i] < y else (y, int(cid[i]))
-                            if pair not in done:
-                                if len(done) >= 1_000_000:
-                                    done.clear()
-                                done.add(pair)
-                                xs.append(pair[0])
-                                ys.append(pair[1])
-                if xs:
-                    yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
+                found = []
+                for pair in pairs(*(c[a:b] for c in rows[1:])):
+                    if pair not in done:
+                        if len(done) >= 1_000_000:
+                            done.clear()
+                        done.add(pair)
+                        found.append(pair)
+                if found:
+                    x, y = zip(*found, strict=True)
+                    yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
 
     return sorted_rows.mapInArrow(work, "x long, y long")
 
@@ -267,7 +292,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col)
     facts = materialize(describe(rows, width), "jaccard-facts", scope)
-    own = facts.where(F.col("cell").isNull()).select("doc_id", "n", "cid")
+    own = facts.where(F.col("cell").isNull()).select("doc_id", "n", "cid", "bits")
     cells = facts.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("count").alias("count")).collect()
     counts = np.zeros(CELLS, np.int64)
     for r in cells:
@@ -275,19 +300,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     order = np.argsort(counts, kind="stable")
     rank = np.empty(CELLS, np.uint64)
     rank[order] = np.arange(CELLS, dtype=np.uint64)
-    classes = materialize(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep")), "jaccard-classes", scope)
+    classes = own.where("n > 0 AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
+    classes = materialize(classes, "jaccard-classes", scope)
 
     sent = prefixes(rows.where(F.col("doc_id").isNotNull()).select("text"), width, percent, spark.sparkContext.broadcast(rank))
     met = materialize(centred(sent.repartition("h").sortWithinPartitions("h", "n", "pos", "cid"), percent), "jaccard-groups", scope)
     links = verified(met.where(F.col("centre").isNotNull()).select(F.col("centre").alias("x"), F.col("cid").alias("y")), rows, classes, width, percent, scope)
     tree = stars(links.select(F.col("x").alias("a"), F.col("y").alias("b")), scope)
 
-    rows_of = met.drop("centre").distinct().join(sized(tree.withColumnRenamed("node", "cid"), tree.count()), "cid", "left").withColumn("part", F.coalesce("root", "cid")).drop("root")
-    rows_of = materialize(rows_of, "jaccard-parts", scope)
-    open_groups = rows_of.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("h")
-    left = rows_of.join(open_groups, "h").select("h", "n", "pos", "cid", "sketch", "part")
-    more = verified(across(left.repartition("h").sortWithinPartitions("h", "n", "pos", "cid"), percent), rows, classes, width, percent, scope)
-    tree = stars(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))), scope)
+    groups = met.drop("centre").distinct()
+    for likeliest in (True, False):
+        parts = groups.join(sized(tree.withColumnRenamed("node", "cid"), tree.count()), "cid", "left").withColumn("part", F.coalesce("root", "cid")).drop("root")
+        parts = materialize(parts, "jaccard-parts", scope)
+        open_groups = parts.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("h")
+        parts = materialize(parts.join(open_groups, "h"), "jaccard-open", scope)
+        groups = parts.drop("part")
+        left = parts.join(classes.select("cid", "bits"), "cid").select("h", "n", "pos", "cid", "sketch", "part", "bits")
+        pairs = across(left.repartition("h").sortWithinPartitions("h", "n", "pos", "cid"), percent, likeliest)
+        more = verified(pairs, rows, classes, width, percent, scope)
+        tree = stars(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))), scope)
 
     placed = classes.join(tree.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
