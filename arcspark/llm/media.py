@@ -83,7 +83,7 @@ class ShardWriter:
         if self._out is None:
             self._fs.create_dir(self._base, recursive=True)
             self.shard, self._at = f"shard-{uuid.uuid4().hex}.tar", 0
-            self._out = self._fs.open_output_stream(f"{self._base}/{self.shard}")
+            self._out = self._fs.open_output_stream(f"{self._base}/{self.shard}", compression=None)
         info = tarfile.TarInfo(name)
         info.size = len(data)
         head = info.tobuf(tarfile.USTAR_FORMAT)
