@@ -38,7 +38,7 @@ def test_round_trip(stream):
 def test_value_begins_with_own_headers():
     _, data = archive(1)
     value = next(m.records(io.BytesIO(data))).value()
-    assert value.startswith(b"x_commoncrawl_HostIP:1.2.3.4\r\nx_commoncrawl_ArcTimestamp:20240101000000\r\nx_commoncrawl_ArcMimeType:text/html\r\nHTTP/1.1 200 OK\r\n")
+    assert value.startswith(f"{m.HOST_IP}:1.2.3.4\r\n{m.TIMESTAMP}:20240101000000\r\n{m.MIME_TYPE}:text/html\r\nHTTP/1.1 200 OK\r\n".encode())
 
 
 @pytest.mark.parametrize("end", [b"\n\n", b"\n\r\n", b"\r\n\r\n"])
