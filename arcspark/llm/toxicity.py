@@ -8,6 +8,8 @@ too rare for either class gets the same probability from both and cancels in
 the comparison. A document's score is the difference of the two models'
 log-likelihoods, normalised by its length, through a logistic calibration.
 
+A document counts a word once, with the word before its first occurrence, so
+that neither long documents nor words that come in bursts outvote the rest.
 All counts are gathered over all learnable rows and grow with them. What is
 broadcast is bounded: the n-grams whose two probabilities differ by MIN_GAP
 or more, and of those the MODEL_ENTRIES with most evidence.
@@ -20,86 +22,116 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcspark.llm.common import id_and_text, materialize, mix, text_of, word_hashes
+from arcspark.llm.common import id_and_text, materialize, mix, sized, text_of
 from arcspark.llm.language import id_remainder
 
 #: Kneser-Ney discount; pooled count below which an n-gram is rare; letters of a stem.
 DISCOUNT, MIN_COUNT, STEM = 0.75, 4, 4
 #: N-grams of each order that the broadcast model keeps at most; least difference in nats.
 MODEL_ENTRIES, MIN_GAP = 200_000, 1.0
-#: Least evidence of an n-gram: its count times its difference, in nats.
-MIN_EVIDENCE = 16.0
+#: Least evidence of an n-gram, in nats: how much better two rates explain its counts than one.
+MIN_EVIDENCE = 10.0
 #: Rows of each class that the calibration is fitted on at most.
 CALIBRATION_ROWS = 20_000
-#: Bigrams that a task holds before it passes their counts on.
-HELD = 2_000_000
+#: Bigrams that a task holds before it passes their counts on; tokens whose codes a worker keeps.
+HELD, CODES = 2_000_000, 500_000
 
 _NOT_WORD = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
-_STEM_SALT, _START = np.uint64(0x5DEECE66D), np.uint64(0x9E3779B97F4A7C15)
+#: A bigram in one number: 20 bits of the stem, 20 of the word within it, 24 of the word before.
+STEM_BITS, WORD_BITS, BEFORE_BITS = 20, 20, 24
+_START = 0x9E3779B9 & ((1 << BEFORE_BITS) - 1)
 
 
 def words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_NOT_WORD).split()
 
 
-def stems(tokens: list[bytes]) -> list[bytes]:
-    return [t[:STEM] for t in tokens]
+class _Codes(dict):
+    """Token -> its stem's and its own bits of a bigram, and in the low bits what the next token has of it."""
 
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= CODES:
+            self.clear()
+        own, stem = xxhash.xxh3_64_intdigest(token), xxhash.xxh3_64_intdigest(token[:STEM])
+        word = own & ((1 << WORD_BITS) - 1)
+        code = self[token] = (stem >> (64 - STEM_BITS) << WORD_BITS | word) << BEFORE_BITS | own >> (64 - BEFORE_BITS)
+        return code
 
-def pair_keys(before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(before * np.uint64(0x9E3779B97F4A7C15) + now)
 
+_codes = _Codes()
+_BEFORE = np.uint64((1 << BEFORE_BITS) - 1)
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+
+def keys_of(tokens: list[bytes]) -> np.ndarray:
+    """The bigram of each token, as one number."""
+    codes = np.fromiter(map(_codes.__getitem__, tokens), np.uint64, len(tokens))
+    before = np.concatenate([np.asarray([_START], np.uint64), codes[:-1] & _BEFORE])
+    return codes & ~_BEFORE | before
+
+
+def word_of(key: Column) -> Column:
+    return F.shiftrightunsigned(key, BEFORE_BITS)
 
 
 def bigram_counts(rows: DataFrame) -> DataFrame:
-    """Rows (toxic, text) -> (h, w, stem, toxic, ordinary), summed over all rows."""
+    """Rows (toxic, text) -> (key, toxic, ordinary), summed over all rows."""
 
     def count(batches):
         held, size = ([], []), 0
 
         def out():
-            kept = []
-            for parts in held:
-                if parts:
-                    h, w, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    key, first, n = np.unique(pair_keys(h, w), return_index=True, return_counts=True)
-                    kept.append((h[first], w[first], s[first], n))
-                else:
-                    kept.append((np.zeros(0, np.uint64),) * 3 + (np.zeros(0, np.int64),))
-                parts.clear()
-            (a, b), zero = kept, lambda x: np.zeros(len(x[3]), np.int64)
-            columns = [_signed(np.concatenate([x, y])) for x, y in zip(a[:3], b[:3], strict=True)]
-            return pa.record_batch([*columns, pa.array(np.concatenate([zero(a), b[3]]).astype(np.int64)), pa.array(np.concatenate([a[3], zero(b)]).astype(np.int64))], ["h", "w", "stem", "toxic", "ordinary"])
+            key = np.concatenate([*held[1], *held[0]])
+            n_toxic = sum(map(len, held[1]))
+            held[0].clear()
+            held[1].clear()
+            found, at = np.unique(key, return_inverse=True)
+            toxic, ordinary = (np.bincount(x, minlength=len(found)).astype(np.int32) for x in (at[:n_toxic], at[n_toxic:]))
+            return pa.record_batch([pa.array(found.view(np.int64)), pa.array(toxic), pa.array(ordinary)], ["key", "toxic", "ordinary"])
 
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = words(text)
-                if not tokens:
-                    continue
-                w = word_hashes(tokens)
-                held[toxic].append((np.concatenate([[_START], w[:-1]]), w, word_hashes(stems(tokens)) ^ _STEM_SALT))
-                size += len(w)
-                if size >= HELD:
-                    yield out()
-                    size = 0
+                if tokens := words(text):
+                    keys = keys_of(tokens)
+                    _, first = np.unique(keys >> np.uint64(BEFORE_BITS), return_index=True)
+                    held[toxic].append(keys[first])
+                    size += len(first)
+                    if size >= HELD:
+                        yield out()
+                        size = 0
         if size:
             yield out()
 
-    parts = rows.mapInArrow(count, "h long, w long, stem long, toxic long, ordinary long")
-    return parts.groupBy("h", "w").agg(F.min("stem").alias("stem"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    parts = rows.mapInArrow(count, "key long, toxic int, ordinary int")
+    return parts.groupBy("key").agg(F.sum("toxic").cast("int").alias("toxic"), F.sum("ordinary").cast("int").alias("ordinary"))
 
 
 def _less(n: Column) -> Column:
     return F.greatest(n - DISCOUNT, F.lit(0.0))
 
 
+def _cell(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys) >> np.uint64(42)).astype(np.int64)
+
+
+class _Gaps(dict):
+    """Token -> difference by its word, or else its stem; kept within a bound."""
+
+    def __init__(self, of_words: dict[int, float], of_stems: dict[int, float]):
+        super().__init__()
+        self._words, self._stems = of_words, of_stems
+
+    def __missing__(self, token: bytes) -> float:
+        if len(self) > 300_000:
+            self.clear()
+        w = _codes[token] >> BEFORE_BITS
+        gap = self[token] = self._words.get(w, self._stems.get(w >> WORD_BITS, 0.0))
+        return gap
+
+
 @dataclass
 class Model:
     """Differences (toxic less ordinary log-probability) by n-gram hash; calibration weights."""
@@ -112,8 +144,8 @@ class Model:
 
     def __post_init__(self):
         self._seen = np.zeros(1 << 22, bool)
-        self._seen[(self.pair_keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        self._cache: dict[bytes, float] = {}
+        self._seen[_cell(self.pair_keys)] = True
+        self._gap = _Gaps(self.words, self.stems).__getitem__
 
     def __getstate__(self):
         return self.words, self.stems, self.pair_keys, self.pair_gaps, self.weights
@@ -121,15 +153,6 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def _gap(self, token: bytes) -> float:
-        gap = self._cache.get(token)
-        if gap is None:
-            if len(self._cache) > 300_000:
-                self._cache.clear()
-            w, s = int(word_hashes([token])[0]), int(word_hashes([token[:STEM]])[0] ^ _STEM_SALT)
-            gap = self._cache[token] = self.words.get(w, self.stems.get(s, 0.0))
-        return gap
-
     def features(self, text: str) -> np.ndarray:
         """Difference of the log-likelihoods over the length, and over its square root."""
         tokens = words(text)
@@ -137,9 +160,8 @@ class Model:
             return np.zeros(2)
         gaps = np.fromiter(map(self._gap, tokens), np.float64, len(tokens))
         if len(self.pair_keys):
-            w = word_hashes(tokens)
-            keys = pair_keys(np.concatenate([[_START], w[:-1]]), w)
-            for i in np.flatnonzero(self._seen[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)]):
+            keys = keys_of(tokens)
+            for i in np.flatnonzero(self._seen[_cell(keys)]):
                 at = np.searchsorted(self.pair_keys, keys[i])
                 if at < len(self.pair_keys) and self.pair_keys[at] == keys[i]:
                     gaps[i] = self.pair_gaps[at]
@@ -149,9 +171,16 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights[:2] + self.weights[2], -35, 35))))
 
 
-def _strongest(gaps: DataFrame) -> list:
-    """At most MODEL_ENTRIES rows (key, gap, ...) by evidence, the bound found from a histogram."""
-    gaps = gaps.where((F.abs("gap") >= MIN_GAP) & (F.col("n") * F.abs("gap") >= MIN_EVIDENCE)).withColumn("grade", F.floor(F.log2(F.col("n") * F.abs("gap")) * 8).cast("int"))
+def _strongest(gaps: DataFrame, share: float) -> list:
+    """At most MODEL_ENTRIES rows (key, gap, ...) by evidence, the bound found from a histogram.
+
+    ``share`` is the toxic class's part of all counts.
+    """
+    n, evidence = F.col("toxic") + F.col("ordinary"), F.lit(0.0)
+    for c, part in (("toxic", share), ("ordinary", 1 - share)):
+        evidence += F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * part))).otherwise(0.0)
+    gaps = gaps.withColumn("evidence", evidence).where((F.abs("gap") >= MIN_GAP) & (F.col("evidence") >= MIN_EVIDENCE))
+    gaps = gaps.withColumn("grade", F.floor(F.log2("evidence") * 8).cast("int"))
     least, total = None, 0
     for r in sorted(gaps.groupBy("grade").count().collect(), key=lambda r: -r["grade"]):
         total += r["count"]
@@ -179,8 +208,9 @@ def learn(rows: DataFrame, scope: str | None = None) -> Model:
     """``rows`` (doc_id, text, toxic 0/1) -> Model."""
     pairs = materialize(bigram_counts(rows.select("toxic", "text")), "toxicity-pairs", scope)
     # Kneser-Ney continuation counts: of how many different predecessors a word follows
-    by_word = pairs.groupBy("w", "stem").agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("toxic", "ordinary")), F.count("*").alias("n"))
+    by_word = pairs.groupBy(word_of(F.col("key")).alias("w")).agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("toxic", "ordinary")), F.count("*").alias("n"))
     by_word = materialize(by_word, "toxicity-words", scope)
+    by_word = by_word.withColumn("stem", F.shiftrightunsigned("w", WORD_BITS))
     by_stem = by_word.groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary", "n")))
     total = by_word.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("toxic", "ordinary", "n"))).first()
     if not total["toxic"] or not total["ordinary"]:
@@ -195,24 +225,24 @@ def learn(rows: DataFrame, scope: str | None = None) -> Model:
     weight = by_word.agg(F.sum(F.least(F.col("n").cast("double"), F.lit(DISCOUNT))) / sums["n"]).first()[0]
     pooled = F.col("n") / sums["n"]
     stem_level = level(by_stem, {"toxic": pooled, "ordinary": pooled}, F.lit(weight)).where(F.col("n") >= MIN_COUNT)
-    share = by_stem.select("stem", F.col("n").alias("stem_n"), *((_less(F.col(c)) / sums[c] + weight * F.col("n") / sums["n"]).alias(f"stem_{c}") for c in ("toxic", "ordinary")))
-    frequent = by_word.where(F.col("n") >= MIN_COUNT).join(share, "stem")
+    of_stem = by_stem.select("stem", F.col("n").alias("stem_n"), *((_less(F.col(c)) / sums[c] + weight * F.col("n") / sums["n"]).alias(f"stem_{c}") for c in ("toxic", "ordinary")))
+    frequent = by_word.where(F.col("n") >= MIN_COUNT).join(of_stem, "stem")
     inside = F.col("n") / F.col("stem_n")  # a word's share of its stem, the same for both classes
     word_level = level(frequent, {c: F.col(f"stem_{c}") * inside for c in ("toxic", "ordinary")}, F.lit(weight))
-    word_level = materialize(word_level.select("w", "n", "gap", "p_toxic", "p_ordinary"), "toxicity-level", scope)
-    by_history = pairs.groupBy("h").agg(*(F.sum(_less(F.col(c))).alias(f"h_{c}") for c in ("toxic", "ordinary")), (F.count("*") * DISCOUNT / F.sum(F.col("toxic") + F.col("ordinary"))).alias("free"))
-    known = pairs.where(F.col("toxic") + F.col("ordinary") >= MIN_COUNT)
+    word_level = materialize(word_level.select("w", "toxic", "ordinary", "gap", "p_toxic", "p_ordinary"), "toxicity-level", scope)
+    before = F.col("key").bitwiseAND(F.lit((1 << BEFORE_BITS) - 1))
+    by_history = pairs.groupBy(before.alias("h")).agg(*(F.sum(_less(F.col(c))).alias(f"h_{c}") for c in ("toxic", "ordinary")), (F.count("*") * DISCOUNT / F.sum(F.col("toxic") + F.col("ordinary"))).alias("free"))
+    known = pairs.where(F.col("toxic") + F.col("ordinary") >= MIN_COUNT).select("*", before.alias("h"), word_of(F.col("key")).alias("w"))
     known = known.join(by_history, "h").join(word_level.select("w", "p_toxic", "p_ordinary"), "w")
     free = F.least(F.col("free"), F.lit(1.0))
     p = {c: F.when(F.col(f"h_{c}") > 0, (1 - free) * _less(F.col(c)) / F.col(f"h_{c}")).otherwise(0.0) + free * F.col(f"p_{c}") for c in ("toxic", "ordinary")}
-    pair_level = known.select("h", "w", (F.col("toxic") + F.col("ordinary")).alias("n"), (F.log(p["toxic"]) - F.log(p["ordinary"])).alias("gap"))
-
-    unsigned = (1 << 64) - 1
-    model_words = {r["w"] & unsigned: r["gap"] for r in _strongest(word_level.select("w", "n", "gap"))}
-    model_stems = {r["stem"] & unsigned: r["gap"] for r in _strongest(stem_level.select("stem", "n", "gap"))}
-    strong = _strongest(pair_level)
-    h, w = (np.asarray([r[c] for r in strong], np.int64).view(np.uint64) for c in ("h", "w"))
-    keys, gaps = pair_keys(h, w), np.asarray([r["gap"] for r in strong], np.float64)
+    pair_level = known.select("key", "toxic", "ordinary", (F.log(p["toxic"]) - F.log(p["ordinary"])).alias("gap"))
+
+    share = sums["toxic"] / (sums["toxic"] + sums["ordinary"])
+    model_words = {r["w"]: r["gap"] for r in _strongest(word_level, share)}
+    model_stems = {r["stem"]: r["gap"] for r in _strongest(stem_level, share)}
+    strong = _strongest(pair_level, share)
+    keys, gaps = np.asarray([r["key"] for r in strong], np.int64).view(np.uint64), np.asarray([r["gap"] for r in strong], np.float64)
     order = np.argsort(keys)
     model = Model(model_words, model_stems, keys[order], gaps[order], np.asarray([0.0, 0.0, -5.0]))
     x, y = _calibration(rows, model)
@@ -242,7 +272,7 @@ def _calibration(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]
 def learnable(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, held: int) -> DataFrame:
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.where(id_remainder(id_col, folds) != held)
-    return id_and_text(rows, id_col, text_col).join(known, "doc_id")
+    return id_and_text(rows, id_col, text_col).join(sized(known, labels.count()), "doc_id")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1, learn_from: DataFrame | None = None, scope: str | None = None) -> DataFrame:
