@@ -22,8 +22,8 @@ from arcspark.llm.common import materialize, mix, sized, text_of, word_hashes
 
 #: Words from which a repeated line is removed, and from which one edit is allowed.
 LEAST_WORDS, LEAST_EDIT = 3, 8
-#: Variants a task holds before it sorts and passes them on.
-HELD = 1_000_000
+#: Variants a task holds before it sorts and passes them on; words it hashes at once.
+HELD, WORDS = 1_000_000, 200_000
 #: Documents whose line lists may be broadcast.
 BROADCAST_DOCS = 300_000
 
@@ -41,6 +41,11 @@ def _power(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def _name(x: np.ndarray, n) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(x + np.asarray(n, np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
 class Line:
     """Hashes of one line's words: of all of them, of its halves and of its deletions."""
 
@@ -50,28 +55,34 @@ class Line:
             terms = word_hashes(words) * _power(_BASE, self.n)
             self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
 
-    @staticmethod
-    def _name(x: np.ndarray, n: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix(x + np.uint64(n) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-
     def whole(self) -> int:
-        return int(self._name(self.sums[-1:], self.n)[0])
-
-    def halves(self, m: int) -> tuple[int, int]:
-        """Of a pair whose shorter line has m words: the first m // 2 words, and the last m - m // 2."""
-        s, t = m // 2, m - m // 2
-        with np.errstate(over="ignore"):
-            last = (self.sums[-1] - self.sums[self.n - t]) * _power(_INVERSE, self.n + 1)[self.n - t]
-            x = np.asarray([self.sums[s], last + np.uint64(1)], np.uint64)
-        a, b = self._name(x, 2 * m + 1_000_000)
-        return int(a), int(b)
+        return int(_name(self.sums[-1:], self.n)[0])
 
     def without(self, at: np.ndarray) -> np.ndarray:
         """Names of the line with the word at each place left out."""
         with np.errstate(over="ignore"):
             rest = (self.sums[-1] - self.sums[at + 1]) * np.uint64(_INVERSE)
-            return self._name(self.sums[at] + rest, self.n - 1)
+            return _name(self.sums[at] + rest, self.n - 1)
+
+
+def hashed(words: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names, keys) of lines of ``n`` words end to end, all at once; the names are those of ``Line.whole``.
+
+    Keys are four for each line, for pairs whose shorter line has m = n or
+    m = n - 1 words: its first m // 2 words and its last m - m // 2.
+    """
+    end = np.cumsum(n)
+    start = end - n
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word_hashes(words) * _power(_BASE, len(words)), dtype=np.uint64)])
+        back = _power(_INVERSE, len(words) + 1)
+        names = _name((sums[end] - sums[start]) * back[start], n)
+        keys = []
+        for m in (n, n - 1):
+            first, last = m // 2, m - m // 2
+            keys.append(_name((sums[start + first] - sums[start]) * back[start], 2 * m + 1_000_000))
+            keys.append(_name((sums[end] - sums[end - last]) * back[end - last] + np.uint64(1), 2 * m + 1_000_000))
+    return names, np.stack(keys, axis=1)
 
 
 def split(text: str) -> list[list[bytes]]:
@@ -81,20 +92,29 @@ def split(text: str) -> list[list[bytes]]:
 def line_facts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (d, l, n, h, keys): lines of LEAST_WORDS or more, with the hashes of their halves."""
 
+    def rows(d, at, n, words):
+        n = np.asarray(n, np.int64)
+        names, keys = hashed(words, n)
+        edits = n >= LEAST_EDIT
+        offsets = pa.array(np.concatenate([[0], np.cumsum(4 * edits)]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(keys[edits].ravel()))
+        return pa.record_batch([pa.array(d, pa.int64()), pa.array(at, pa.int32()), pa.array(n.astype(np.int32)), pa.array(names), lists], ["d", "l", "n", "h", "keys"])
+
     def work(batches):
+        d, at, n, words = [], [], [], []
         for batch in batches:
-            out = [], [], [], [], []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, words in enumerate(split(text)):
-                    if len(words) >= LEAST_WORDS:
-                        line = Line(words)
-                        keys = []
-                        if line.n >= LEAST_EDIT:
-                            keys = [*line.halves(line.n), *line.halves(line.n - 1)]
-                        for column, x in zip(out, (d, i, line.n, line.whole(), keys), strict=True):
-                            column.append(x)
-            kinds = pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["d", "l", "n", "h", "keys"])
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for i, line in enumerate(split(text)):
+                    if len(line) >= LEAST_WORDS:
+                        d.append(doc)
+                        at.append(i)
+                        n.append(len(line))
+                        words += line
+                if len(words) >= WORDS:
+                    yield rows(d, at, n, words)
+                    d, at, n, words = [], [], [], []
+        if words:
+            yield rows(d, at, n, words)
 
     return docs.mapInArrow(work, "d long, l int, n int, h long, keys array<long>")
 
