@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arcspark.functions import codec, domain, dom, hashing, headers, http, mime, net, text, url
+from arcspark.functions import codec, domain, dom, hashing, headers, http, mime, net, records, text, url
 from arcspark.operators import aggregates, near_duplicates, ordering
 from arcspark.plans.archive_query import ArchiveQuery, Controller, SortOrder, register
 from arcspark.sources.arc import read_arc, read_arc_binary, write_arc
@@ -362,6 +362,14 @@ def to_hex(spark, sf_dir):
     return _table(spark, sf_dir, "nation").select("n_nationkey", F.hex("n_name").alias("hexed"))
 
 
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def struct_round_trip(spark, sf_dir):
+    """Records encoded to tagged bytes and decoded again."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    packed = rows.select(records.struct_encode(rows.schema, F.struct("*")).alias("p"))
+    return packed.select(records.struct_decode(rows.schema, F.col("p")).alias("r")).select("r.*")
+
+
 @query()
 def dom_walk(spark, sf_dir):
     spark.udtf.register("dom_nodes", dom.DomNodes)
