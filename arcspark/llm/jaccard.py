@@ -318,7 +318,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         left = parts.join(classes.select("cid", "bits"), "cid").select("h", "n", "pos", "cid", "sketch", "part", "bits")
         pairs = across(left.repartition("h").sortWithinPartitions("h", "n", "pos", "cid"), percent, likeliest)
         more = verified(pairs, rows, classes, width, percent, scope)
-        tree = stars(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))), scope)
+        if not more.isEmpty():
+            tree = stars(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))), scope)
 
     placed = classes.join(tree.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
