@@ -2,17 +2,20 @@
 
 Two bigram models, toxic and ordinary, are estimated from every learnable
 labelled row with absolute discounting: bigram, then word, then word stem
-(its first letters), each level interpolated with the next. The weights and
-the last level come from counts that both classes share, so an expression
-too rare for either class gets the same probability from both and cancels in
-the comparison. A document's score is the difference of the two models'
+(its first letters), each level interpolated with the next. The last level
+and a word's share of its stem come from counts that both classes share, and
+an n-gram counted less than MIN_COUNT times takes its backoff's difference.
+Each other difference is averaged with its backoff's by how likely it is to
+be real: by its evidence (how much better two rates explain its counts than
+one, in nats) and its size. A document's score is the difference of the two models'
 log-likelihoods, normalised by its length, through a logistic calibration.
 
 A document counts a word once, with the word before its first occurrence, so
 that neither long documents nor words that come in bursts outvote the rest.
-All counts are gathered over all learnable rows and grow with them. What is
-broadcast is bounded: the n-grams whose two probabilities differ by MIN_GAP
-or more, and of those the MODEL_ENTRIES with most evidence.
+All counts are gathered over all learnable rows and grow with them, and so
+does the model: every n-gram whose difference is not its backoff's takes part
+in every score. The LOCAL most frequent of them are broadcast; texts are
+joined with the table of all others.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -31,10 +33,12 @@ from arcspark.llm.language import id_remainder
 
 #: Kneser-Ney discount; pooled count below which an n-gram is rare; letters of a stem.
 DISCOUNT, MIN_COUNT, STEM = 0.75, 4, 4
-#: N-grams of each order that the broadcast model keeps at most; least difference in nats.
-MODEL_ENTRIES, MIN_GAP = 200_000, 1.0
-#: Least evidence of an n-gram, in nats: how much better two rates explain its counts than one.
-MIN_EVIDENCE = 10.0
+#: Nats of evidence at which a difference is as likely real as not.
+DOUBT = 10.0
+#: N-grams that are broadcast; past it the join shuffles. Bits of the cells that tell what to send.
+LOCAL, CELL_BITS = 400_000, 27
+#: Characters of the texts that are measured at once.
+RUN = 1_000_000
 #: Rows of each class that the calibration is fitted on at most.
 CALIBRATION_ROWS = 20_000
 #: Bigrams that a task holds before it passes their counts on; tokens whose codes a worker keeps.
@@ -43,6 +47,8 @@ HELD, CODES = 2_000_000, 500_000
 _NOT_WORD = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 #: A bigram in one number: 20 bits of the stem, 20 of the word within it, 24 of the word before.
 STEM_BITS, WORD_BITS, BEFORE_BITS = 20, 20, 24
+_LEVELS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_PARTS = ["_text", "n", "total", "name", "times"]
 _START = 0x9E3779B9 & ((1 << BEFORE_BITS) - 1)
 
 
@@ -113,81 +119,138 @@ def _less(n: Column) -> Column:
     return F.greatest(n - DISCOUNT, F.lit(0.0))
 
 
-def _cell(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys) >> np.uint64(42)).astype(np.int64)
-
-
-class _Gaps(dict):
-    """Token -> difference by its word, or else its stem; kept within a bound."""
-
-    def __init__(self, of_words: dict[int, float], of_stems: dict[int, float]):
-        super().__init__()
-        self._words, self._stems = of_words, of_stems
-
-    def __missing__(self, token: bytes) -> float:
-        if len(self) > 300_000:
-            self.clear()
-        w = _codes[token] >> BEFORE_BITS
-        gap = self[token] = self._words.get(w, self._stems.get(w >> WORD_BITS, 0.0))
-        return gap
+def _names(part: np.ndarray, level: int) -> np.ndarray:
+    """One hash for stems, words and bigrams alike."""
+    return mix(part ^ _LEVELS[level])
 
 
 @dataclass
 class Model:
-    """Differences (toxic less ordinary log-probability) by n-gram hash; calibration weights."""
-
-    words: dict[int, float]
-    stems: dict[int, float]
-    pair_keys: np.ndarray
-    pair_gaps: np.ndarray
-    weights: np.ndarray
+    """What each n-gram adds to the difference (toxic less ordinary log-probability) of its backoff; calibration weights.
 
-    def __post_init__(self):
-        self._seen = np.zeros(1 << 22, bool)
-        self._seen[_cell(self.pair_keys)] = True
-        self._gap = _Gaps(self.words, self.stems).__getitem__
-
-    def __getstate__(self):
-        return self.words, self.stems, self.pair_keys, self.pair_gaps, self.weights
+    The most frequent n-grams are arrays that every worker holds. The others
+    lie in the table ``rest``, which texts are joined with; ``cells`` marks
+    the hash cells they fall in, so that only what may be there is sent.
+    """
 
-    def __setstate__(self, state):
-        self.__init__(*state)
+    names: np.ndarray
+    adds: np.ndarray
+    rest: DataFrame | None
+    cells: np.ndarray | None
+    weights: np.ndarray
 
-    def features(self, text: str) -> np.ndarray:
-        """Difference of the log-likelihoods over the length, and over its square root."""
-        tokens = words(text)
-        if not tokens:
-            return np.zeros(2)
-        gaps = np.fromiter(map(self._gap, tokens), np.float64, len(tokens))
-        if len(self.pair_keys):
-            keys = keys_of(tokens)
-            for i in np.flatnonzero(self._seen[_cell(keys)]):
-                at = np.searchsorted(self.pair_keys, keys[i])
-                if at < len(self.pair_keys) and self.pair_keys[at] == keys[i]:
-                    gaps[i] = self.pair_gaps[at]
-        return np.asarray([gaps.sum() / len(tokens), gaps.sum() / len(tokens) ** 0.5])
+    def held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        return self.names, self.adds, self.cells
+
+    def score(self, n: Column, total: Column) -> Column:
+        """From a text's length and the difference of its log-likelihoods; over the length, and over its square root."""
+        long = F.greatest(n, F.lit(1)).cast("double")
+        a, b, c = map(float, self.weights)
+        x = total / long * a + total / F.sqrt(long) * b + c
+        return 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(35.0)), F.lit(-35.0))))
+
+
+def _in_runs(batches):
+    """Texts in runs of about RUN characters, so that the tokens of few are held at once."""
+    for batch in batches:
+        texts, size, start = batch.column(batch.num_columns - 1).to_pylist(), 0, 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= RUN or i == len(texts) - 1:
+                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
+                start, size = i + 1, 0
+
+
+def _measure(texts: list[str], names: np.ndarray, adds: np.ndarray, cells: np.ndarray | None):
+    """Per text its length and the sum over the n-grams held; and (text, name, times) of those that may be in the rest."""
+    keys = [keys_of(words(t)) for t in texts]
+    lengths = np.fromiter(map(len, keys), np.int64, len(keys))
+    owner, keys = np.repeat(np.arange(len(texts)), lengths), np.concatenate([np.zeros(0, np.uint64), *keys])
+    total, asked = np.zeros(len(texts)), []
+    for level, part in enumerate((keys >> np.uint64(BEFORE_BITS + WORD_BITS), keys >> np.uint64(BEFORE_BITS), keys)):
+        name, at = np.unique(_names(part, level), return_inverse=True)
+        place = np.minimum(np.searchsorted(names, name), max(len(names) - 1, 0))
+        found = names[place] == name if len(names) else np.zeros(len(name), bool)
+        add = np.zeros(len(name))
+        add[found] = adds[place[found]]
+        total += np.bincount(owner, add[at], len(texts))
+        if cells is not None:
+            cell = name >> np.uint64(64 - CELL_BITS)
+            maybe = ~found & ((cells[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            sent = maybe[at]
+            asked.append((owner[sent], name[at[sent]]))
+    if not asked:
+        return lengths, total, None
+    who, name = (np.concatenate(x) for x in zip(*asked, strict=True))
+    order = np.lexsort((name, who))
+    who, name = who[order], name[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(who), 1), bool), (who[1:] != who[:-1]) | (name[1:] != name[:-1])]))
+    return lengths, total, (who[first], name[first].view(np.int64), np.diff(np.append(first, len(who))))
+
+
+def measured(rows: DataFrame, model: Model, scope: str | None = None) -> DataFrame:
+    """Rows (..., text) -> (..., n, total): the text's length and the sum of what its n-grams add."""
+    shared = rows.sparkSession.sparkContext.broadcast(model.held())
+    kept = rows.columns[:-1]
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+
+    def whole(batches):
+        for batch, texts in _in_runs(batches):
+            n, total, _ = _measure(texts, *shared.value)
+            yield pa.record_batch([*batch.columns[:-1], pa.array(n), pa.array(total)], [*kept, "n", "total"])
+
+    if model.rest is None:
+        return rows.mapInArrow(whole, f"{fields}, n long, total double")
+
+    def parts(batches):
+        for batch, texts in _in_runs(batches):
+            n, total, (who, name, times) = _measure(texts, *shared.value)
+            ids, empty = batch.column(0), pa.nulls(len(who), pa.int64())
+            yield pa.record_batch([ids, pa.array(n), pa.array(total), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], _PARTS)
+            yield pa.record_batch([ids.take(pa.array(who)), empty, empty.cast(pa.float64()), pa.array(name), pa.array(times)], _PARTS)
+
+    # a text is known by its hash; rows of equal texts send the same parts, so sums are over their number
+    text = rows.select(*kept, F.xxhash64("text").alias("_text"), "text")
+    sent = text.select("_text", "text").mapInArrow(parts, "_text long, n long, total double, name long, times long")
+    sent = materialize(sent, "toxicity-parts", scope)
+    added = sent.where("name IS NOT NULL").join(model.rest, "name").groupBy("_text").agg(F.sum(F.col("add") * F.col("times")).alias("more"))
+    own = sent.where("name IS NULL").groupBy("_text").agg(F.first("n").alias("n"), F.first("total").alias("own"), F.count("*").alias("rows"))
+    sums = own.join(added, "_text", "left").select("_text", "n", (F.col("own") + F.coalesce(F.col("more") / F.col("rows"), F.lit(0.0))).alias("total"))
+    return text.drop("text").join(materialize(sums, "toxicity-sums", scope), "_text").drop("_text")
+
+
+def _named(entries: DataFrame, level: int) -> DataFrame:
+    """Rows (key, count, add) of one level -> (name, count, add), without those that add nothing."""
 
-    def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights[:2] + self.weights[2], -35, 35))))
+    def work(batches):
+        for batch in batches:
+            name = _names(batch.column(0).to_numpy().view(np.uint64), level)
+            yield pa.record_batch([pa.array(name.view(np.int64)), *batch.columns[1:]], ["name", "count", "add"])
 
+    return entries.where("add <> 0").mapInArrow(work, "name long, count long, add double")
 
-def _strongest(gaps: DataFrame, share: float) -> list:
-    """At most MODEL_ENTRIES rows (key, gap, ...) by evidence, the bound found from a histogram.
 
-    ``share`` is the toxic class's part of all counts.
-    """
-    n, evidence = F.col("toxic") + F.col("ordinary"), F.lit(0.0)
-    for c, part in (("toxic", share), ("ordinary", 1 - share)):
-        evidence += F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * part))).otherwise(0.0)
-    gaps = gaps.withColumn("evidence", evidence).where((F.abs("gap") >= MIN_GAP) & (F.col("evidence") >= MIN_EVIDENCE))
-    gaps = gaps.withColumn("grade", F.floor(F.log2("evidence") * 8).cast("int"))
-    least, total = None, 0
-    for r in sorted(gaps.groupBy("grade").count().collect(), key=lambda r: -r["grade"]):
+def _placed(entries: DataFrame, scope: str | None) -> tuple[np.ndarray, np.ndarray, DataFrame | None, np.ndarray | None]:
+    """Which n-grams every worker holds, the rest, and the rest's cells. All are used; counts decide only where they lie."""
+    entries = materialize(entries, "toxicity-model", scope).withColumn("grade", F.floor(F.log2("count") * 8).cast("int"))
+    least, held, total = None, 0, 0
+    for r in sorted(entries.groupBy("grade").count().collect(), key=lambda r: -r["grade"]):
         total += r["count"]
-        if total > MODEL_ENTRIES:
-            break
-        least = r["grade"]
-    return [] if least is None else gaps.where(F.col("grade") >= least).drop("grade").collect()
+        if total <= LOCAL:
+            least, held = r["grade"], total
+    near = entries.where(F.col("grade") >= least) if held else entries.where("false")
+    got = near.select("name", "add").toArrow()
+    names, adds = got.column("name").to_numpy().view(np.uint64), got.column("add").to_numpy()
+    order = np.argsort(names)
+    if held == total:
+        return names[order], adds[order], None, None
+    rest = (entries.where(F.col("grade") < least) if held else entries).select("name", "add")
+    cell = F.shiftrightunsigned("name", 64 - CELL_BITS)
+    block = rest.groupBy(F.shiftright(cell, 15).alias("block")).agg(F.bitmap_construct_agg(cell.bitwiseAND(F.lit(32767))).alias("bits"))
+    cells = np.zeros(1 << (CELL_BITS - 3), np.uint8)
+    for r in block.toLocalIterator():
+        cells[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return names[order], adds[order], rest, cells
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -206,6 +269,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def learn(rows: DataFrame, scope: str | None = None) -> Model:
     """``rows`` (doc_id, text, toxic 0/1) -> Model."""
+    none = np.zeros(0, np.uint64), np.zeros(0), None, None
     pairs = materialize(bigram_counts(rows.select("toxic", "text")), "toxicity-pairs", scope)
     # Kneser-Ney continuation counts: of how many different predecessors a word follows
     by_word = pairs.groupBy(word_of(F.col("key")).alias("w")).agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("toxic", "ordinary")), F.count("*").alias("n"))
@@ -214,59 +278,68 @@ def learn(rows: DataFrame, scope: str | None = None) -> Model:
     by_stem = by_word.groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary", "n")))
     total = by_word.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("toxic", "ordinary", "n"))).first()
     if not total["toxic"] or not total["ordinary"]:
-        return Model({}, {}, np.zeros(0, np.uint64), np.zeros(0), np.asarray([0.0, 0.0, -5.0]))
+        return Model(*none, np.asarray([0.0, 0.0, -5.0]))
     sums = {c: float(total[c]) for c in ("toxic", "ordinary", "n")}
+    classes = ("toxic", "ordinary")
 
-    def level(df: DataFrame, lower: dict[str, Column], back: Column) -> DataFrame:
-        p = {c: _less(F.col(c)) / sums[c] + back * lower[c] for c in ("toxic", "ordinary")}
-        return df.withColumn("p_toxic", p["toxic"]).withColumn("p_ordinary", p["ordinary"]).withColumn("gap", F.log("p_toxic") - F.log("p_ordinary"))
-
-    # the share of mass that discounting frees, from pooled counts: one weight for both classes
-    weight = by_word.agg(F.sum(F.least(F.col("n").cast("double"), F.lit(DISCOUNT))) / sums["n"]).first()[0]
-    pooled = F.col("n") / sums["n"]
-    stem_level = level(by_stem, {"toxic": pooled, "ordinary": pooled}, F.lit(weight)).where(F.col("n") >= MIN_COUNT)
-    of_stem = by_stem.select("stem", F.col("n").alias("stem_n"), *((_less(F.col(c)) / sums[c] + weight * F.col("n") / sums["n"]).alias(f"stem_{c}") for c in ("toxic", "ordinary")))
-    frequent = by_word.where(F.col("n") >= MIN_COUNT).join(of_stem, "stem")
-    inside = F.col("n") / F.col("stem_n")  # a word's share of its stem, the same for both classes
-    word_level = level(frequent, {c: F.col(f"stem_{c}") * inside for c in ("toxic", "ordinary")}, F.lit(weight))
-    word_level = materialize(word_level.select("w", "toxic", "ordinary", "gap", "p_toxic", "p_ordinary"), "toxicity-level", scope)
+    share = sums["toxic"] / (sums["toxic"] + sums["ordinary"])
+
+    def freed(df: DataFrame) -> dict[str, float]:
+        """The share of each class's mass that discounting frees."""
+        got = df.agg(*(F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT))).alias(c) for c in classes)).first()
+        return {c: got[c] / sums[c] for c in classes}
+
+    def trusted(gap: Column, backoff: Column) -> Column:
+        """``gap`` as far as its counts speak for it, and for the other part its backoff's."""
+        n, evidence = F.col("toxic") + F.col("ordinary"), F.lit(0.0)
+        for c, part in (("toxic", share), ("ordinary", 1 - share)):
+            evidence += F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * part))).otherwise(0.0)
+        belief = 1 / (1 + F.exp(F.greatest(F.lit(DOUBT) - evidence, F.lit(-35.0)))) * gap * gap / (gap * gap + 1)
+        return belief * gap + (1 - belief) * backoff
+
+    def gap(toxic: Column, ordinary: Column) -> Column:
+        return F.log(toxic) - F.log(ordinary)
+
+    of_words, of_stems = freed(by_word), freed(by_stem)
+    common, pooled = F.col("n") >= MIN_COUNT, F.col("n") / sums["n"]
+    stem_level = by_stem.select("stem", "toxic", "ordinary", "n", *(F.when(common, _less(F.col(c)) / sums[c] + of_stems[c] * pooled).otherwise(pooled).alias(f"stem_{c}") for c in classes))
+    stem_level = stem_level.withColumn("stem_gap", trusted(gap(F.col("stem_toxic"), F.col("stem_ordinary")), F.lit(0.0)))
+    # a word's share of its stem is the same for both classes
+    back = {c: F.col(f"stem_{c}") * F.col("n") / F.col("stem_n") for c in classes}
+    # a rare word has its stem's difference, but bigrams that end in it may still be common
+    word_level = by_word.join(stem_level.select("stem", F.col("n").alias("stem_n"), "stem_toxic", "stem_ordinary", "stem_gap"), "stem")
+    word_level = word_level.select("w", "toxic", "ordinary", "n", "stem_gap", *(F.when(common, _less(F.col(c)) / sums[c] + of_words[c] * back[c]).otherwise(back[c]).alias(f"p_{c}") for c in classes))
+    word_level = word_level.withColumn("word_gap", F.when(common, trusted(gap(F.col("p_toxic"), F.col("p_ordinary")), F.col("stem_gap"))).otherwise(F.col("stem_gap")))
     before = F.col("key").bitwiseAND(F.lit((1 << BEFORE_BITS) - 1))
-    by_history = pairs.groupBy(before.alias("h")).agg(*(F.sum(_less(F.col(c))).alias(f"h_{c}") for c in ("toxic", "ordinary")), (F.count("*") * DISCOUNT / F.sum(F.col("toxic") + F.col("ordinary"))).alias("free"))
+    by_history = pairs.groupBy(before.alias("h")).agg(*(f for c in classes for f in (F.sum(c).alias(f"h_{c}"), F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT))).alias(f"free_{c}"))))
     known = pairs.where(F.col("toxic") + F.col("ordinary") >= MIN_COUNT).select("*", before.alias("h"), word_of(F.col("key")).alias("w"))
-    known = known.join(by_history, "h").join(word_level.select("w", "p_toxic", "p_ordinary"), "w")
-    free = F.least(F.col("free"), F.lit(1.0))
-    p = {c: F.when(F.col(f"h_{c}") > 0, (1 - free) * _less(F.col(c)) / F.col(f"h_{c}")).otherwise(0.0) + free * F.col(f"p_{c}") for c in ("toxic", "ordinary")}
-    pair_level = known.select("key", "toxic", "ordinary", (F.log(p["toxic"]) - F.log(p["ordinary"])).alias("gap"))
-
-    share = sums["toxic"] / (sums["toxic"] + sums["ordinary"])
-    model_words = {r["w"]: r["gap"] for r in _strongest(word_level, share)}
-    model_stems = {r["stem"]: r["gap"] for r in _strongest(stem_level, share)}
-    strong = _strongest(pair_level, share)
-    keys, gaps = np.asarray([r["key"] for r in strong], np.int64).view(np.uint64), np.asarray([r["gap"] for r in strong], np.float64)
-    order = np.argsort(keys)
-    model = Model(model_words, model_stems, keys[order], gaps[order], np.asarray([0.0, 0.0, -5.0]))
-    x, y = _calibration(rows, model)
+    known = known.join(by_history, "h").join(word_level.select("w", "p_toxic", "p_ordinary", "word_gap"), "w")
+    # a class that never saw the word before has only the backoff to go by
+    p = {c: F.when(F.col(f"h_{c}") > 0, (_less(F.col(c)) + F.col(f"free_{c}") * F.col(f"p_{c}")) / F.col(f"h_{c}")).otherwise(F.col(f"p_{c}")) for c in classes}
+
+    levels = (
+        stem_level.select(F.col("stem").alias("key"), F.col("n").alias("count"), F.col("stem_gap").alias("add")),
+        word_level.select(F.col("w").alias("key"), F.col("n").alias("count"), (F.col("word_gap") - F.col("stem_gap")).alias("add")),
+        known.select("key", (F.col("toxic") + F.col("ordinary")).cast("long").alias("count"), (trusted(gap(p["toxic"], p["ordinary"]), F.col("word_gap")) - F.col("word_gap")).alias("add")),
+    )
+    stems, words_, bigrams = (_named(entries, level) for level, entries in enumerate(levels))
+    model = Model(*_placed(stems.unionByName(words_).unionByName(bigrams), scope), np.asarray([0.0, 0.0, -5.0]))
+    x, y = _calibration(rows, model, scope)
     if len(set(y)) == 2:
         model.weights = _fit(x, y)
     return model
 
 
-def _calibration(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+def _calibration(rows: DataFrame, model: Model, scope: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Features of at most CALIBRATION_ROWS rows of each class, those whose id hashes lowest."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.lit(0.0)
     for label, n in sizes.items():
         share = F.when(F.col("toxic") == label, min(1.0, CALIBRATION_ROWS / n)).otherwise(share)
-
-    def work(batches):
-        for batch in batches:
-            x = np.asarray([shared.value.features(t) for t in batch.column(1).to_pylist()]).reshape(-1, 2)
-            yield pa.record_batch([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "a", "b"])
-
-    got = rows.where(place < share).select("toxic", "text").mapInArrow(work, "toxic int, a double, b double").collect()
-    return np.asarray([[r["a"], r["b"]] for r in got]).reshape(-1, 2), np.asarray([r["toxic"] for r in got], np.float64)
+    got = measured(rows.where(place < share).select("toxic", "text"), model, scope).toArrow()
+    n, total = np.maximum(got.column("n").to_numpy(), 1), got.column("total").to_numpy()
+    return np.column_stack([total / n, total / np.sqrt(n)]), got.column("toxic").to_numpy().astype(np.float64)
 
 
 def learnable(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, held: int) -> DataFrame:
@@ -286,23 +359,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, i
     """
     source = docs if learn_from is None else learn_from
     model = learn(learnable(source, labels, id_col, text_col, folds, held), scope)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def work(batches):
-        for batch in batches:
-            scores = np.asarray([shared.value.score(t) for t in batch.column(2).to_pylist()], np.float64)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-
     rows = docs.select(F.col(id_col).alias("doc_id"), (id_remainder(id_col, folds) == held).alias("held_out"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    scored = measured(rows, model, scope).select("doc_id", "held_out", model.score(F.col("n"), F.col("total")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1, scope: str | None = None) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, their columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(learnable(docs, labels, id_col, text_col, folds, held), scope))
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
-
-    return docs.where(score(text_of(text_col)) < threshold)
+    model = learn(learnable(docs, labels, id_col, text_col, folds, held), scope)
+    text = text_of(text_col)
+    found = measured(docs.select(F.xxhash64(text).alias("_text"), text.alias("text")), model, scope)
+    gone = materialize(found.where(model.score(F.col("n"), F.col("total")) >= threshold).select("_text").distinct(), "toxicity-gone", scope)
+    return docs.withColumn("_text", F.xxhash64(text)).join(sized(gone, gone.count()), "_text", "left_anti").select(*docs.columns)

@@ -167,6 +167,26 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.reject_toxic(odd, some.where("false")).columns == odd.columns
 
 
+def test_toxicity_scores_every_ngram(spark, monkeypatch):
+    # each of many words has little evidence of its own; with no cut they still move the score
+    rows = [(f"t{i}{k}", f"mild{i} filler{k % 7} mild{i}", 1) for i in range(40) for k in range(5)] + [(f"o{i}{k}", f"plain{i} filler{k % 7} plain{i}", 0) for i in range(40) for k in range(5)]
+    rows = spark.createDataFrame(rows, "doc_id string, text string, toxic int")
+    texts = spark.createDataFrame([(1, "mild3 filler2 mild3 mild4"), (1, "mild3 filler2 mild3 mild4"), (2, "plain3 filler2"), (3, ""), (None, "unseen")], "doc_id long, text string")
+    model = toxicity.learn(rows)
+    whole = sorted((tuple(r) for r in toxicity.measured(texts, model).collect()), key=repr)
+    # where texts are joined with the table the sums are the same
+    for local in (0, 5):
+        monkeypatch.setattr(toxicity, "LOCAL", local)
+        again = toxicity.learn(rows)
+        joined = sorted((tuple(r) for r in toxicity.measured(texts, again).collect()), key=repr)
+        assert len(again.names) + again.rest.count() == len(model.names) and len(again.names) <= local
+        assert [r[:2] for r in joined] == [r[:2] for r in whole] and np.allclose([r[2] for r in joined], [r[2] for r in whole])
+    # the count of the model's n-grams is that of all that differ from their backoff, however little
+    evidence = 5 * np.log(2)
+    assert evidence < toxicity.DOUBT
+    assert next(r[2] for r in whole if r[0] == 1) > 0 > next(r[2] for r in whole if r[0] == 2)
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "user", "How do I sort a list?\nIt has numbers."), (1, 1, "assistant", "Use sorted()."), (1, 2, "user", "> How do I  SORT a list?\nIn place, please."),
