@@ -10,8 +10,8 @@ be real: by its evidence (how much better two rates explain its counts than
 one, in nats) and its size. A document's score is the difference of the two models'
 log-likelihoods, normalised by its length, through a logistic calibration.
 
-A document counts a word once, with the word before its first occurrence, so
-that neither long documents nor words that come in bursts outvote the rest.
+A document counts each of its different bigrams once, so that repeated
+passages do not outvote the rest.
 All counts are gathered over all learnable rows and grow with them, and so
 does the model: every n-gram whose difference is not its backoff's takes part
 in every score. The LOCAL most frequent of them are broadcast; texts are
@@ -101,10 +101,9 @@ def bigram_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if tokens := words(text):
-                    keys = keys_of(tokens)
-                    _, first = np.unique(keys >> np.uint64(BEFORE_BITS), return_index=True)
-                    held[toxic].append(keys[first])
-                    size += len(first)
+                    keys = np.unique(keys_of(tokens))
+                    held[toxic].append(keys)
+                    size += len(keys)
                     if size >= HELD:
                         yield out()
                         size = 0

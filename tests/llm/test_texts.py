@@ -187,6 +187,16 @@ def test_toxicity_scores_every_ngram(spark, monkeypatch):
     assert next(r[2] for r in whole if r[0] == 1) > 0 > next(r[2] for r in whole if r[0] == 2)
 
 
+def test_toxicity_counts_every_bigram_of_a_document(spark):
+    rows = spark.createDataFrame([(1, "a b c b a b"), (0, "c b")], "toxic int, text string")
+    found = {(r.key, r.toxic, r.ordinary) for r in toxicity.bigram_counts(rows).collect()}
+    tokens = (b"a", b"b", b"c")
+    keys = {(x, y): toxicity.keys_of([x, y])[1:].view(np.int64)[0] for x in tokens for y in tokens}
+    start = {t: toxicity.keys_of([t]).view(np.int64)[0] for t in tokens}
+    want = {(start[b"a"], 1, 0), (keys[b"a", b"b"], 1, 0), (keys[b"b", b"c"], 1, 0), (keys[b"c", b"b"], 1, 1), (keys[b"b", b"a"], 1, 0), (start[b"c"], 0, 1)}
+    assert found == want
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "user", "How do I sort a list?\nIt has numbers."), (1, 1, "assistant", "Use sorted()."), (1, 2, "user", "> How do I  SORT a list?\nIn place, please."),
