@@ -146,10 +146,11 @@ def _join(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def _groups(batches, names: list[str], binary: str | None = None):
-    """Whole groups of equal first column from sorted rows, as (arrays, starts); a very large one comes in parts.
+def _groups(batches, names: list[str], binary: str | None = None, limit: int | None = None):
+    """Whole groups of equal first column from sorted rows, as (arrays, starts).
 
-    Each later part of such a group begins with the group's first row again.
+    With ``limit``, one of more rows comes in parts; each later part begins
+    with the group's first row again.
     """
     carry: list[list[np.ndarray]] = []
     held = 0
@@ -163,7 +164,7 @@ def _groups(batches, names: list[str], binary: str | None = None):
         if carry and now[0][0] == carry[0][0][0] and now[0][-1] == now[0][0]:
             carry.append(now)
             held += len(now[0])
-            if held > HELD:
+            if limit is not None and held > limit:
                 out = _join(carry)
                 yield out, np.zeros(1, np.int64)
                 carry, held = [[c[:1] for c in out]], 1
@@ -180,10 +181,10 @@ def _groups(batches, names: list[str], binary: str | None = None):
 
 def centred(sorted_rows: DataFrame, percent: int) -> DataFrame:
     """Rows of groups with more than one class, each with a centre: the first row whose size it is near."""
-    names = ["h", "n", "pos", "cid", "sketch"]
+    names, limit = ["h", "n", "pos", "cid", "sketch"], HELD
 
     def work(batches):
-        for rows, starts in _groups(batches, names):
+        for rows, starts in _groups(batches, names, limit=limit):
             h, n, pos, cid, sk = rows
             fresh = np.ones(len(h), bool)
             fresh[1:] = (h[1:] != h[:-1]) | (cid[1:] != cid[:-1])
@@ -208,21 +209,35 @@ def centred(sorted_rows: DataFrame, percent: int) -> DataFrame:
     return sorted_rows.mapInArrow(work, "h long, n long, pos long, cid long, sketch long, centre long")
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (h, ..., rows of the group) with ``block`` and, as ``h``, a key of the pair of blocks; no group is over about HELD.
+
+    A group of more rows than HELD is dealt into blocks by class, and each
+    block meets every other and itself, so any two rows meet. ``block`` is
+    -1 where a group is one block, or a block meets itself.
+    """
+    n = F.when(F.col("rows") > HELD, F.ceil(F.col("rows") * 2 / HELD)).otherwise(1).cast("int")
+    dealt = rows.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") > 1, F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("h"))
+    return dealt.withColumn("h", key).withColumn("block", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))).drop("blocks", "own", "other", "rows")
+
+
 def across(sorted_rows: DataFrame, percent: int, likeliest: bool) -> DataFrame:
     """Pairs (x, y) of rows in one group that lie in different components and pass the filters.
 
     With ``likeliest``, for each row only the nearest of each other component.
     """
-    names = ["h", "n", "pos", "cid", "sketch", "part"]
+    names = ["h", "n", "pos", "cid", "sketch", "part", "block"]
 
     def work(batches):
         done: set[tuple[int, int]] = set()
 
-        def pairs(n, pos, cid, sk, part, bits):
+        def pairs(n, pos, cid, sk, part, block, bits):
             for i in range(len(n) - 1):
                 # sorted by size: what is too large for row i begins at ``end``
                 end = np.searchsorted(n, 100 * n[i] // percent, "right")
-                j = np.flatnonzero(part[i + 1 : end] != part[i]) + i + 1
+                j = np.flatnonzero((part[i + 1 : end] != part[i]) & ((block[i] < 0) | (block[i + 1 : end] != block[i]))) + i + 1
                 if len(j):
                     j = j[may_link(n[i], pos[i], np.full(len(j), sk[i]), n[j], pos[j], sk[j], percent)]
                     differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
@@ -312,10 +327,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     for likeliest in (True, False):
         parts = groups.join(sized(tree.withColumnRenamed("node", "cid"), tree.count()), "cid", "left").withColumn("part", F.coalesce("root", "cid")).drop("root")
         parts = materialize(parts, "jaccard-parts", scope)
-        open_groups = parts.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("h")
+        open_groups = parts.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("rows")).where("a <> b").select("h", "rows")
         parts = materialize(parts.join(open_groups, "h"), "jaccard-open", scope)
-        groups = parts.drop("part")
-        left = parts.join(classes.select("cid", "bits"), "cid").select("h", "n", "pos", "cid", "sketch", "part", "bits")
+        groups = parts.drop("part", "rows")
+        left = parts.join(classes.select("cid", "bits"), "cid").select("h", "n", "pos", "cid", "sketch", "part", "bits", "rows")
+        left = in_blocks(left)
         pairs = across(left.repartition("h").sortWithinPartitions("h", "n", "pos", "cid"), percent, likeliest)
         more = verified(pairs, rows, classes, width, percent, scope)
         if not more.isEmpty():

@@ -54,6 +54,23 @@ def test_jaccard(spark, docs, width, percent):
         assert sorted(tuple(r) for r in got.collect()) == brute_components(rows, width, percent)
 
 
+def test_jaccard_groups_in_blocks(spark, monkeypatch):
+    left = [(7, 100, 0, i, 0, i, bytes(64), 60) for i in range(60)]
+    left = spark.createDataFrame(left, "h long, n long, pos long, cid long, sketch long, part long, bits binary, rows long")
+    monkeypatch.setattr(jaccard, "HELD", 10)
+    dealt = jaccard.in_blocks(left).select("h", "cid", "block").collect()
+    sizes = collections.Counter(r.h for r in dealt)
+    assert len(sizes) > 1 and max(sizes.values()) < 60
+    by_key = collections.defaultdict(list)
+    for r in dealt:
+        by_key[r.h].append(r)
+    met = collections.Counter((a.cid, b.cid) for g in by_key.values() for a in g for b in g if a.cid < b.cid and (a.block < 0 or a.block != b.block))
+    assert met == {(a, b): 1 for a in range(60) for b in range(a + 1, 60)}
+    rows = near_copies()
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+    assert sorted(tuple(r) for r in got.collect()) == brute_components(rows, 3, 90)
+
+
 def test_jaccard_odd(odd, empty):
     found = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.jaccard_components(odd).collect()}
     assert found[2, 0] == 2 and found[3, 0] == 3 and found[1, next(n for d, n in found if d == 1)] == 1
