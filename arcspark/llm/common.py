@@ -1,14 +1,16 @@
-"""Shared pieces of the training-data operators: tables, scratch space, words.
+"""Shared pieces of the training-data operators: tables, scratch space, words, joins with what was found.
 
 Every operator here takes a DataFrame plus the names of its id and text
 columns and selects just those, so extra or clashing columns never matter.
+Operators that return their input's columns carry them packed in one struct.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words whose hashes a Python worker keeps; past it the cache starts anew.
-CACHE_WORDS = 1 << 18
+#: Entries that a Python worker's cache keeps (about 200 bytes each); past it the cache starts anew.
+CACHE_WORDS = 150_000
 #: Rows up to which a side may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of text that are split into words at once.
+PIECE = 1 << 22
+#: Bits of the map of found keys, as a power of two: 16 MB.
+MAP_BITS = 27
 
 _own_dir: dict[str, str] = {}
 _scopes: dict[str, list[str]] = {}
@@ -32,11 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary one is made.
+    Where that is unset a temporary one is made on a local master; any other
+    master is an error, since its executors could not see the folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = f"file://{tempfile.mkdtemp(prefix='arcspark-')}"
@@ -51,6 +60,11 @@ def scratch(spark: SparkSession, name: str, scope: str | None = None) -> str:
     return path
 
 
+def new_scope(name: str) -> str:
+    """A scope of tables that no result reads, swept when the operator has planned its result."""
+    return f"{name}-{uuid.uuid4().hex}"
+
+
 def sweep(spark: SparkSession, scope: str) -> None:
     """Delete the scratch tables of ``scope``; their readers must be done."""
     for path in _scopes.pop(scope, []):
@@ -66,9 +80,46 @@ def materialize(df: DataFrame, name: str, scope: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(side: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a side of ``rows`` rows for broadcast if the bound allows it."""
-    return F.broadcast(side) if rows <= limit else side
+def sized(side: DataFrame, rows: int, limit: int | None = None) -> DataFrame:
+    """Mark a side of ``rows`` narrow rows for broadcast if the bound allows it."""
+    return F.broadcast(side) if rows <= (BROADCAST_ROWS if limit is None else limit) else side
+
+
+def _marked(docs: DataFrame, keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """``docs`` with ``_may``: false where the key is surely not among ``keys`` (one column).
+
+    A map of one bit for each hash cell, in blocks of 4096 bytes, goes to every
+    executor; its size depends on ``bits`` alone.
+    """
+    cell = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    block = keys.groupBy(F.shiftright(cell, 15).alias("_block")).agg(F.bitmap_construct_agg(cell.bitwiseAND(F.lit(32767))).alias("_bits"))
+    at = cell.bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(F.lit(7)).cast("int"))) > 0
+    return docs.withColumn("_block", F.shiftright(cell, 15)).join(F.broadcast(block), "_block", "left").withColumn("_may", F.coalesce(bit, F.lit(False))).drop("_block", "_bits")
+
+
+def joined(docs: DataFrame, found: DataFrame, key: str, how: str = "inner", limit: int | None = None, bits: int = MAP_BITS) -> DataFrame:
+    """``docs`` joined with ``found`` (one row a key) so that no text moves that has no match.
+
+    Up to ``limit`` rows ``found`` is broadcast. Past it a bitmap tells which
+    keys may be found; only those rows are shuffled, the others pass by.
+    """
+    if found.count() <= (BROADCAST_ROWS if limit is None else limit):
+        return docs.join(F.broadcast(found), key, how)
+    marked = _marked(docs, found.select(key), key, bits)
+    moved = marked.where("_may").drop("_may").join(found, key, how)
+    if how == "inner" or how == "left_semi":
+        return moved
+    rest = marked.where("NOT _may").drop("_may")
+    if how == "left":
+        rest = rest.withColumns({f.name: F.lit(None).cast(f.dataType) for f in found.schema if f.name != key})
+    return moved.unionByName(rest)
+
+
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """``row``, a struct of all columns, and ``more`` beside it: nothing of ours can clash with a name in ``docs``."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(name) for name, c in more.items()))
 
 
 def text_of(text_col: str) -> Column:
@@ -80,12 +131,24 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
 
-def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
+class Kept(dict):
+    """A worker's cache within CACHE_WORDS entries. Workers live on from task to task: ``take`` empties the caches of other operators."""
+
+    _all: list[Kept] = []
+
+    def __init__(self):
+        super().__init__()
+        Kept._all.append(self)
 
+    def take(self) -> Kept:
+        for other in Kept._all:
+            if other is not self:
+                other.clear()
+        return self
 
-class WordHashes(dict):
-    """bytes -> 64-bit hash, kept for the life of a worker within a bound."""
+
+class WordHashes(Kept):
+    """bytes -> 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
@@ -98,7 +161,30 @@ _hashes = WordHashes()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(_hashes.take().__getitem__, words), np.uint64, len(words))
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(data: bytes) -> Iterator[bytes]:
+    """``data`` in pieces of about PIECE bytes that end at a blank."""
+    at = 0
+    while len(data) - at > PIECE:
+        blank = _BLANK.search(data, at + PIECE)
+        if blank is None:
+            break
+        yield data[at : blank.start()]
+        at = blank.start()
+    yield data[at:] if at else data
+
+
+def text_hashes(text: str) -> np.ndarray:
+    """Hashes of a text's words, A-Z lower-cased; words end at blanks and the control characters 9 to 13."""
+    data = text.encode("utf-8", "surrogatepass").lower()
+    if len(data) <= PIECE:
+        return word_hashes(data.split())
+    return np.concatenate([word_hashes(x.split()) for x in pieces(data)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,14 +195,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; fewer words are one shingle."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    width = min(k, n)
-    with np.errstate(over="ignore"):
-        out = np.full(n - width + 1, width, np.uint64)
-        for j in range(width):
-            out = mix(out + hashes[j : n - width + 1 + j])
-    return np.unique(out)
+def in_runs(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of about ``size`` characters, so that the words of few texts are held at once."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= size:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)

@@ -1,20 +1,23 @@
 """N-gram Jaccard join with rare-first prefix filtering.
 
-Documents with equal shingle sets form a class, known by a 64-bit hash of the
-set. Shingles are ordered rare first, by counts over all documents held in a
-fixed number of hash cells. Two sets that reach the threshold share a shingle
-within both prefixes, so classes are joined on prefix shingles only. Length,
-position and suffix (counts of the rest in eight ranges of the hash) rule out
-most of what meets; each pair left is verified once, on the whole sets.
-
-Links matter for components, so no group is expanded into its pairs. First
-every class in a group is compared with one centre for its sizes. Then, in
-the groups that still hold more than one component, every class meets the
-likeliest class of each other component, and last, where components are still
-apart, every pair between them that the filters allow is verified. There the
-suffix filter is sharper: parities of the shingles in 512 cells, which differ
-in no more cells than the sets differ in shingles. No link between components
-can be missed.
+One pass counts shingles over all documents, in a fixed number of hash cells;
+the cells' ranks and the rest of the hash make one number of a shingle, so
+that a sorted set is in rare-first order. A second pass gives each document
+its set's size and its class: documents of equal sets, known by a 64-bit hash
+of the set. Two sets that reach the threshold share a shingle within both
+prefixes, so classes are joined on prefix shingles only, and the filters rule
+out most of what meets: sizes, places in the prefix, and, as the suffix
+filter, parities of the shingles in 512 cells, which differ in no more cells
+than the sets differ in shingles. What is left is verified on the whole sets;
+a pair that failed is not verified again.
+
+Links matter for components, so no group of one prefix shingle is expanded
+into its pairs. Three rounds, each on the groups that still hold more than one
+component: every class with one centre for its size; a forest of the nearest
+pairs between components, at most as many as there are classes; and at last
+every pair between components that the filters allow. No link between
+components can be missed. A large group is dealt into tiles: what lies outside
+its largest component meets each block of it, and itself.
 """
 
 from __future__ import annotations
@@ -24,28 +27,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcspark.llm.common import id_and_text, materialize, mix, shingles, sized, word_hashes
+from arcspark.llm.common import id_and_text, in_runs, joined, materialize, mix, new_scope, packed, sized, sweep, text_hashes, text_of
 from arcspark.llm.components import stars
 
-#: Cells of the shingle counts; classes a task remembers; rows of a group held at once.
-CELLS, REMEMBERED, HELD = 1 << 17, 200_000, 200_000
+#: Cells of the shingle counts as a power of two; classes a task remembers; rows of a side of a tile.
+CELL_BITS, REMEMBERED, HELD = 17, 200_000, 4096
+#: Cells of the counts in one row; nearest classes that a class offers to the forest.
+COUNTS_A_ROW, NEAREST = 2048, 8
 #: Pairs that are verified against one copy of their centre.
 PAIRS_A_CENTRE = 500
-_ONE = np.uint64(1)
+#: Prefix shingles that several classes share, up to which they are broadcast.
+BROADCAST_SHARED = 1_000_000
+_CELLS = 1 << CELL_BITS
 
 
-def words(text: str) -> list[bytes]:
-    """Lower-cases A-Z; words end at blanks and the control characters 9 to 13."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def rolled(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of some texts end to end, as they come, and how many each text has.
+
+    A text of fewer words is one shingle; one without words has none.
+    """
+    hashes = [text_hashes(t) for t in texts]
+    n = np.fromiter(map(len, hashes), np.int64, len(hashes))
+    short = np.flatnonzero((n > 0) & (n < width))
+    for i in short:  # padded with a number that depends on what is missing
+        hashes[i] = np.concatenate([hashes[i], np.full(width - n[i], n[i], np.uint64)])
+    n[short] = width
+    flat = np.concatenate([np.zeros(0, np.uint64), *hashes])
+    counts = np.maximum(n - width + 1, 0)
+    if not counts.any():
+        return flat[:0], counts
+    starts = np.cumsum(n) - n
+    first = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    with np.errstate(over="ignore"):
+        out = np.full(len(flat) - width + 1, width, np.uint64)
+        for j in range(width):
+            out = mix(out + flat[j : len(flat) - width + 1 + j])
+    return out[first], counts
 
 
-def shingle_set(text: str, width: int) -> np.ndarray:
-    return shingles(word_hashes(words(text)), width)
+def ordered(values: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Shingle hashes as numbers in rare-first order, one to one: the cell's rank, then the rest of the hash."""
+    return (rank[(values & np.uint64(_CELLS - 1)).astype(np.int64)] << np.uint64(64 - CELL_BITS)) | (values >> np.uint64(CELL_BITS))
 
 
-def class_of(s: np.ndarray) -> int:
+def sets_of(texts: list[str], width: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' shingle sets end to end, each sorted, and their sizes."""
+    values, counts = rolled(texts, width)
+    values = ordered(values, rank)
+    ends = np.cumsum(counts)
+    for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        values[a:b].sort()
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    fresh[(ends - counts)[counts > 0]] = True
+    seen = np.concatenate([[0], np.cumsum(fresh)])
+    return values[fresh], seen[ends] - seen[ends - counts]
+
+
+def classes_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
     with np.errstate(over="ignore"):
-        return int(mix(mix(s).sum(dtype=np.uint64) + np.uint64(len(s))).view(np.int64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)])
+        ends = np.cumsum(sizes)
+        return mix(mix(sums[ends] - sums[ends - sizes]) + sizes.astype(np.uint64)).view(np.int64)
+
+
+def parities(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 bytes a set, a bit for each of 512 cells: whether an odd number of shingles falls there."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    cell = owner * 512 + ((values >> np.uint64(20)) & np.uint64(511)).astype(np.int64)
+    odd = np.bincount(cell, minlength=len(sizes) * 512) & 1
+    return np.packbits(odd.astype(np.uint8)).reshape(len(sizes), 64)
 
 
 def needed(n, percent: int):
@@ -58,296 +110,322 @@ def least_overlap(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def sketch(s: np.ndarray) -> int:
-    """Eight counts in one number: how many shingles lie in each eighth of the hash range, 255 for more."""
-    counts = np.minimum(np.bincount((s >> np.uint64(61)).astype(np.int64), minlength=8), 255)
-    return int.from_bytes(counts.astype(np.uint8).tobytes(), "little", signed=True)
-
-
-def parities(s: np.ndarray) -> bytes:
-    """A bit for each of 512 cells: whether an odd number of shingles falls there."""
-    odd = np.bincount(((s >> np.uint64(20)) & np.uint64(511)).astype(np.int64), minlength=512) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+def ranks(rows: DataFrame, width: int) -> np.ndarray:
+    """Rank of each cell by how many shingles of all documents fall into it, rarest first."""
 
+    def count(batches):
+        total = np.zeros(_CELLS, np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in in_runs(texts):
+                values, _ = rolled(texts[a:b], width)
+                total += np.bincount((values & np.uint64(_CELLS - 1)).astype(np.int64), minlength=_CELLS)
+        yield rows_of(dict(enumerate(total.reshape(-1, COUNTS_A_ROW))))
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.int64)
+        yield rows_of(sums)
 
-def _counts(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).astype(np.int32)
+    def rows_of(sums):
+        return pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
+    kind = "block int, counts binary"
+    got = rows.select("text").mapInArrow(count, kind).repartition(_CELLS // COUNTS_A_ROW, "block").mapInArrow(add, kind)
+    counts = np.zeros(_CELLS, np.int64)
+    for r in got.collect():
+        counts[r["block"] * COUNTS_A_ROW : (r["block"] + 1) * COUNTS_A_ROW] = np.frombuffer(r["counts"], np.int64)
+    rank = np.empty(_CELLS, np.uint64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(_CELLS, dtype=np.uint64)
+    return rank
 
-def may_link(n, pos, sk, m, qos, tk, percent: int) -> np.ndarray:
-    """Length, position and suffix filters for rows that share a prefix shingle."""
-    small, large = np.minimum(n, m), np.maximum(n, m)
-    ok = 100 * small >= percent * large
-    least = least_overlap(n, m, percent)
-    ok &= np.minimum(n - pos, m - qos) >= least
-    a, b = _counts(sk), _counts(tk)
-    open_ = ((a == 255) | (b == 255)).any(1)
-    return ok & (open_ | (np.minimum(a, b).sum(1) >= least))
 
+_FACTS = ["doc_id", "rid", "n", "cid", "bits", "prefix"]
 
-def describe(rows: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, n, cid, bits) and, with a cell, (cell, count): one pass over the texts."""
 
-    def work(batches):
-        total, kind = np.zeros(CELLS, np.int64), None
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            n, cid, bits = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, width)
-                n.append(len(s))
-                cid.append(class_of(s))
-                bits.append(parities(s))
-                if len(s):
-                    total += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) if len(s) > CELLS // 8 else 0
-                    if len(s) <= CELLS // 8:
-                        np.add.at(total, (s & np.uint64(CELLS - 1)).astype(np.int64), 1)
-            none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(bits, pa.binary()), *none], ["doc_id", "n", "cid", "bits", "cell", "count"])
-        cells = np.flatnonzero(total)
-        if kind is not None and len(cells):
-            yield pa.record_batch([pa.nulls(len(cells), kind), pa.nulls(len(cells), pa.int64()), pa.nulls(len(cells), pa.int64()), pa.nulls(len(cells), pa.binary()), pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["doc_id", "n", "cid", "bits", "cell", "count"])
-
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, cid long, bits binary, cell int, count long")
-
-
-def prefixes(rows: DataFrame, width: int, percent: int, rank) -> DataFrame:
-    """(h, n, pos, cid, sketch) for the prefix shingles of each class a task meets."""
+def describe(rows: DataFrame, width: int, percent: int, rank) -> DataFrame:
+    """Rows (doc_id, text, rid) -> (doc_id, rid, n, cid); parities and prefix with a task's first row of each class."""
 
     def work(batches):
         seen: set[int] = set()
         for batch in batches:
-            parts = []
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text, width)
-                n, cid = len(s), class_of(s)
-                if not n or cid in seen:
-                    continue
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen.add(cid)
-                key = (rank.value[(s & np.uint64(CELLS - 1)).astype(np.int64)] << np.uint64(47)) | (s >> np.uint64(17))
-                size = n - needed(n, percent) + 1
-                first = np.argpartition(key, size - 1)[:size] if size < n else np.arange(n)
-                first = np.sort(first)[np.argsort(key[np.sort(first)], kind="stable")]
-                parts.append((s[first], np.full(size, n), np.arange(size), np.full(size, cid), np.full(size, sketch(s))))
-            if parts:
-                h, n, pos, cid, sk = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(cid), pa.array(sk)], ["h", "n", "pos", "cid", "sketch"])
-
-    return rows.mapInArrow(work, "h long, n int, pos int, cid long, sketch long")
-
-
-def _arrays(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
-    return [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in in_runs(texts):
+                values, n = sets_of(texts[a:b], width, rank.value)
+                cid, bits = classes_of(values, n), parities(values, n)
+                ends, sent, prefix = np.cumsum(n), [], []
+                for i, (c, size, end) in enumerate(zip(cid.tolist(), n.tolist(), ends.tolist(), strict=True)):
+                    new = size > 0 and c not in seen
+                    if new:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(c)
+                    sent.append(bits[i].tobytes() if new else None)
+                    prefix.append(values[end - size : end - needed(size, percent) + 1].view(np.int64) if new else None)
+                yield pa.record_batch([ids.slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n), pa.array(cid), pa.array(sent, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], _FACTS)
+
+    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rid long, n long, cid long, bits binary, prefix array<long>")
+
+
+def shared_prefixes(facts: DataFrame, scope: str) -> DataFrame:
+    """(h, cid, n, pos, bits) of each class for the prefix shingles that it shares with another class."""
+    own = facts.where("prefix IS NOT NULL AND doc_id IS NOT NULL")
+    sent = own.select("cid", "n", F.posexplode("prefix").alias("pos", "h"))
+    shared = sent.groupBy("h").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("h")
+    shared = materialize(shared, "jaccard-shared", scope)
+    met = sent.join(sized(shared, shared.count(), BROADCAST_SHARED), "h").distinct()
+    bits = own.groupBy("cid").agg(F.first("bits").alias("bits"))
+    return materialize(met.join(bits, "cid").select("h", "cid", "n", "pos", "bits"), "jaccard-groups", scope)
+
+
+def may_link(n, pos, bits, m, qos, others, percent: int) -> np.ndarray:
+    """Symmetric differences that parities show, or -1 where sizes, places or parities rule a pair out. ``n`` is one row's or each row's."""
+    least = least_overlap(n, m, percent)
+    ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(n - pos, m - qos) >= least)
+    differ = np.bitwise_count(bits ^ others).sum(-1).astype(np.int64)
+    return np.where(ok & (differ <= n + m - 2 * least), differ, -1)
+
 
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 8)
 
-def _join(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
+def _numbers(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
+    return [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
 
-def _groups(batches, names: list[str], binary: str | None = None, limit: int | None = None):
-    """Whole groups of equal first column from sorted rows, as (arrays, starts).
 
-    With ``limit``, one of more rows comes in parts; each later part begins
-    with the group's first row again.
-    """
-    carry: list[list[np.ndarray]] = []
-    held = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = _arrays(batch, names)
-        if binary:
-            packed = b"".join(batch.column(batch.schema.get_field_index(binary)).to_pylist())
-            now.append(np.frombuffer(packed, np.uint64).reshape(len(now[0]), -1))
-        if carry and now[0][0] == carry[0][0][0] and now[0][-1] == now[0][0]:
-            carry.append(now)
-            held += len(now[0])
-            if limit is not None and held > limit:
-                out = _join(carry)
-                yield out, np.zeros(1, np.int64)
-                carry, held = [[c[:1] for c in out]], 1
-            continue
-        out = _join([*carry, now])
-        starts = np.concatenate([[0], np.flatnonzero(out[0][1:] != out[0][:-1]) + 1])
-        done = starts[-1]
-        if done:
-            yield [c[:done] for c in out], starts[:-1]
-        carry, held = [[c[done:] for c in out]], len(out[0]) - done
-    if carry:
-        yield _join(carry), np.zeros(1, np.int64)
-
-
-def centred(sorted_rows: DataFrame, percent: int) -> DataFrame:
-    """Rows of groups with more than one class, each with a centre: the first row whose size it is near."""
-    names, limit = ["h", "n", "pos", "cid", "sketch"], HELD
+def with_centre(groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y): each class of a group with the least class of about its size."""
+    band = F.floor(F.log("n") / float(np.log(100 / percent))) if percent < 100 else F.col("n")
+    rows = groups.withColumn("band", band)
+    heads = rows.groupBy("h", "band").agg(F.min(F.struct("n", "cid", "pos", "bits")).alias("c"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    near = rows.join(heads, ["h", "band"]).where("cid <> c.cid")
+    near = near.select("cid", "n", "pos", "bits", F.col("c.cid").alias("x"), F.col("c.n").alias("m"), F.col("c.pos").alias("qos"), F.col("c.bits").alias("others"))
 
     def work(batches):
-        for rows, starts in _groups(batches, names, limit=limit):
-            h, n, pos, cid, sk = rows
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (cid[1:] != cid[:-1])
-            h, n, pos, cid, sk = (c[fresh] for c in rows)
-            starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-            sizes = np.diff(np.append(starts, len(h)))
-            centre = np.repeat(starts, sizes)
-            keep = np.repeat(sizes > 1, sizes)
-            while True:
-                far = np.flatnonzero(keep & (100 * n[centre] < percent * n))
-                if not len(far):
-                    break
-                _, first = np.unique(h[far], return_index=True)
-                heads = far[first]
-                ends = np.append(starts, len(h))[np.searchsorted(starts, heads, "right")]
-                for a, b in zip(heads, ends, strict=True):
-                    centre[a:b] = np.maximum(centre[a:b], a)
-            c = centre
-            ok = may_link(n, pos, sk, n[c], pos[c], sk[c], percent) & (cid != cid[c])
-            yield pa.record_batch([pa.array(x[keep]) for x in (h, n, pos, cid, sk)] + [pa.array(cid[c][keep], mask=~ok[keep])], [*names, "centre"])
-
-    return sorted_rows.mapInArrow(work, "h long, n long, pos long, cid long, sketch long, centre long")
-
-
-def in_blocks(rows: DataFrame) -> DataFrame:
-    """Rows (h, ..., rows of the group) with ``block`` and, as ``h``, a key of the pair of blocks; no group is over about HELD.
-
-    A group of more rows than HELD is dealt into blocks by class, and each
-    block meets every other and itself, so any two rows meet. ``block`` is
-    -1 where a group is one block, or a block meets itself.
-    """
-    n = F.when(F.col("rows") > HELD, F.ceil(F.col("rows") * 2 / HELD)).otherwise(1).cast("int")
-    dealt = rows.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = F.when(F.col("blocks") > 1, F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("h"))
-    return dealt.withColumn("h", key).withColumn("block", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))).drop("blocks", "own", "other", "rows")
+        for batch in batches:
+            cid, n, pos, x, m, qos = _numbers(batch, ["cid", "n", "pos", "x", "m", "qos"])
+            ok = may_link(n, pos, _bits(batch.column(3)), m, qos, _bits(batch.column(7)), percent) >= 0
+            yield pa.record_batch([pa.array(x[ok]), pa.array(cid[ok])], ["x", "y"])
+
+    return near.mapInArrow(work, "x long, y long")
 
 
-def across(sorted_rows: DataFrame, percent: int, likeliest: bool) -> DataFrame:
-    """Pairs (x, y) of rows in one group that lie in different components and pass the filters.
+def open_groups(groups: DataFrame, tree: DataFrame, scope: str) -> DataFrame:
+    """Rows of groups that hold several components, with ``part``, the group's rows and its largest part."""
+    parts = groups.join(sized(tree.withColumnRenamed("node", "cid"), tree.count()), "cid", "left").withColumn("part", F.coalesce("root", "cid")).drop("root")
+    sizes = parts.groupBy("h", "part").agg(F.count("*").alias("k"))
+    sizes = sizes.groupBy("h").agg(F.sum("k").alias("rows"), F.max(F.struct("k", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    sizes = materialize(sizes.select("h", "rows", F.col("most.k").alias("k"), F.col("most.part").alias("most")), "jaccard-open", scope)
+    return materialize(parts.join(sized(sizes, sizes.count()), "h"), "jaccard-parts", scope)
 
-    With ``likeliest``, for each row only the nearest of each other component.
+
+def in_tiles(rows: DataFrame) -> DataFrame:
+    """Rows of open groups -> (tile, side, cid, n, pos, bits, part): any two rows of different parts meet in one tile.
+
+    A group of at most HELD rows is one tile. In a larger one the largest part
+    is dealt into blocks by class, and so are the other rows; blocks of the
+    others meet each block of the largest part, each other and themselves.
+    Rows of one ``side`` don't meet; of side -1 all do.
     """
-    names = ["h", "n", "pos", "cid", "sketch", "part", "block"]
+    blocks = lambda n: F.greatest(F.ceil(n / HELD), F.lit(1)).cast("int")
+    alone, largest = F.col("rows") <= HELD, F.col("part") == F.col("most")
+    dealt = rows.withColumns({"major": F.when(alone, 0).otherwise(blocks(F.col("k"))), "minor": F.when(alone, 1).otherwise(blocks(F.col("rows") - F.col("k")))})
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cid"), F.when(largest & ~alone, F.col("major")).otherwise(F.col("minor"))).cast("int"))
+    tile = lambda kind, a, b, side: F.struct(F.xxhash64("h", F.lit(kind), a, b).alias("tile"), side.cast("int").alias("side"))
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    as_major = F.transform(up_to(F.greatest("minor", F.lit(1))), lambda j: tile(0, F.col("own"), j, F.lit(0)))
+    with_major = F.transform(up_to(F.greatest("major", F.lit(1))), lambda i: tile(0, i, F.col("own"), F.lit(1)))
+    with_minor = F.transform(up_to(F.greatest("minor", F.lit(1))), lambda j: tile(1, F.least("own", j), F.greatest("own", j), F.when(F.col("own") == j, -1).otherwise(F.col("own"))))
+    places = F.when(alone, F.array(tile(2, F.lit(0), F.lit(0), F.lit(-1)))).when(largest, as_major).otherwise(F.concat(with_major, with_minor))
+    dealt = dealt.select(F.explode(places).alias("at"), "cid", "n", "pos", "bits", "part")
+    return dealt.select("at.tile", "at.side", "cid", "n", "pos", "bits", "part")
+
+
+def _tiles(batches):
+    """Arrays of the rows of each tile, from sorted rows: side, cid, n, pos, part, bits."""
+    names, held = ["tile", "side", "cid", "n", "pos", "part"], []
+    for batch in batches:
+        now = [*_numbers(batch, names), _bits(batch.column(batch.schema.get_field_index("bits")))]
+        if held:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        cuts = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
+            yield [c[a:b] for c in now[1:]]
+        last = cuts[-1] if len(cuts) else 0
+        held = [c[last:] for c in now]
+    if held and len(held[0]):
+        yield held[1:]
+
+
+def across(rows: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs (x, y) between components that the filters allow: every one, or a forest of the nearest in each tile."""
+
+    def candidates(side, n, pos, part, bits):
+        for i in range(len(n) - 1):
+            # sorted by size: what is too large for row i begins at ``end``
+            end = np.searchsorted(n, 100 * n[i] // percent, "right")
+            j = np.flatnonzero((part[i + 1 : end] != part[i]) & ((side[i] < 0) | (side[i + 1 : end] != side[i]))) + i + 1
+            if len(j):
+                differ = may_link(n[i], pos[i], bits[i], n[j], pos[j], bits[j], percent)
+                j, differ = j[differ >= 0], differ[differ >= 0]
+                if not every and len(j) > NEAREST:
+                    nearest = np.argpartition(differ, NEAREST)[:NEAREST]
+                    j, differ = j[nearest], differ[nearest]
+                if len(j):
+                    yield np.full(len(j), i), j, differ
+
+    def forest(i, j, differ, part):
+        _, node = np.unique(part, return_inverse=True)
+        up = list(range(int(node.max()) + 1))
+        for k in np.argsort(differ, kind="stable").tolist():
+            a, b = int(node[i[k]]), int(node[j[k]])
+            while up[a] != a:
+                up[a] = a = up[up[a]]
+            while up[b] != b:
+                up[b] = b = up[up[b]]
+            if a != b:
+                up[a] = b
+                yield k
 
     def work(batches):
         done: set[tuple[int, int]] = set()
-
-        def pairs(n, pos, cid, sk, part, block, bits):
-            for i in range(len(n) - 1):
-                # sorted by size: what is too large for row i begins at ``end``
-                end = np.searchsorted(n, 100 * n[i] // percent, "right")
-                j = np.flatnonzero((part[i + 1 : end] != part[i]) & ((block[i] < 0) | (block[i + 1 : end] != block[i]))) + i + 1
-                if len(j):
-                    j = j[may_link(n[i], pos[i], np.full(len(j), sk[i]), n[j], pos[j], sk[j], percent)]
-                    differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
-                    near = differ <= n[i] + n[j] - 2 * least_overlap(n[i], n[j], percent)
-                    j, differ = j[near], differ[near]
-                    if likeliest and len(j) > 1:
-                        j = j[np.argsort(differ, kind="stable")]
-                        j = j[np.unique(part[j], return_index=True)[1]]
-                    for y in cid[j].tolist():
-                        yield (int(cid[i]), y) if cid[i] < y else (y, int(cid[i]))
-
-        for rows, starts in _groups(batches, names, "bits"):
-            for a, b in zip(starts, np.append(starts[1:], len(rows[0])), strict=True):
-                found = []
-                for pair in pairs(*(c[a:b] for c in rows[1:])):
-                    if pair not in done:
-                        if len(done) >= 1_000_000:
-                            done.clear()
-                        done.add(pair)
-                        found.append(pair)
-                if found:
-                    x, y = zip(*found, strict=True)
-                    yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
-
-    return sorted_rows.mapInArrow(work, "x long, y long")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, scope: str | None) -> DataFrame:
-    """The pairs (x, y) of classes whose whole sets reach the threshold, each compared once."""
-    pairs = materialize(pairs.distinct(), "jaccard-pairs", scope)
+        for side, cid, n, pos, part, bits in _tiles(batches):
+            found = list(candidates(side, n, pos, part, bits))
+            if not found:
+                continue
+            i, j, differ = (np.concatenate(x) for x in zip(*found, strict=True))
+            if not every:
+                kept = np.fromiter(forest(i, j, differ, part), np.int64)
+                i, j = i[kept], j[kept]
+            x, y = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
+            new = []
+            for k, pair in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+                if pair not in done:
+                    if len(done) >= REMEMBERED:
+                        done.clear()
+                    done.add(pair)
+                    new.append(k)
+            yield pa.record_batch([pa.array(x[new]), pa.array(y[new])], ["x", "y"])
+
+    return rows.repartition("tile").sortWithinPartitions("tile", "n", "cid").mapInArrow(work, "x long, y long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, rank, scope: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs, links): which classes were compared, and those whose whole sets reach the threshold."""
+    pairs = materialize(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "jaccard-pairs", scope)
     ids = pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).distinct()
     wanted = materialize(ids.join(classes, "cid").select("cid", F.col("rep").alias("doc_id")), "jaccard-wanted", scope)
-    texts = materialize(docs.join(sized(wanted, wanted.count()), "doc_id").select("cid", "text"), "jaccard-texts", scope)
+
+    def sets(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            want = batch.column(0).to_numpy()
+            for a, b in in_runs(texts):
+                values, n = sets_of(texts[a:b], width, rank.value)
+                same = np.flatnonzero(classes_of(values, n) == want[a:b])  # rows that repeat an id may have other texts
+                ends = np.cumsum(n)
+                keys = [values[ends[i] - n[i] : ends[i]].tobytes() for i in same]
+                yield pa.record_batch([pa.array(want[a:b][same]), pa.array(keys, pa.binary())], ["cid", "keys"])
+
+    found = joined(docs, wanted, "doc_id").select("cid", "text").mapInArrow(sets, "cid long, keys binary")
+    found = materialize(found.dropDuplicates(["cid"]), "jaccard-sets", scope)
     heavy = pairs.groupBy("x").agg(F.ceil(F.count("*") / PAIRS_A_CENTRE).cast("int").alias("copies"))
     members = pairs.join(heavy, "x").withColumn("copy", F.pmod(F.xxhash64("y"), F.col("copies")).cast("int"))
-    members = members.join(texts.withColumnRenamed("cid", "y"), "y").select("x", "copy", "y", "text")
-    centres = heavy.join(texts.withColumnRenamed("cid", "x"), "x").select("x", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("y"), "text")
+    members = members.join(found.withColumnRenamed("cid", "y"), "y").select("x", "copy", "y", "keys")
+    centres = heavy.join(found.withColumnRenamed("cid", "x"), "x").select("x", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("y"), "keys")
     rows = centres.unionByName(members).repartition("x", "copy").sortWithinPartitions("x", "copy", F.col("y").asc_nulls_first())
 
     def work(batches):
-        at, centre = None, None
+        centre = np.zeros(0, np.uint64)
         for batch in batches:
             xs, ys = [], []
-            for x, copy, y, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                s = shingle_set(text, width)
+            for x, y, keys in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                s = np.frombuffer(keys, np.uint64)
                 if y is None:
-                    if class_of(s) == x:
-                        at, centre = (x, copy), s
-                elif at == (x, copy) and class_of(s) == y:
-                    both = len(np.intersect1d(s, centre, assume_unique=True))
-                    if 100 * both >= percent * (len(s) + len(centre) - both):
-                        xs.append(x)
-                        ys.append(y)
+                    centre = s
+                    continue
+                both = len(np.intersect1d(s, centre, assume_unique=True))
+                if 100 * both >= percent * (len(s) + len(centre) - both):
+                    xs.append(x)
+                    ys.append(y)
             yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
 
-    return materialize(rows.mapInArrow(work, "x long, y long").distinct(), "jaccard-links", scope)
-
-
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scope: str | None = None) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least doc_id that links reach).
-
-    Texts of fewer than ``width`` words are one shingle; without words the set
-    is empty and links with nothing. Rows without an id keep a null component.
-    Rows that repeat a doc_id are taken each by its own text. An empty table
-    gives no rows.
-    """
-    spark = docs.sparkSession
-    rows = id_and_text(docs, id_col, text_col)
-    facts = materialize(describe(rows, width), "jaccard-facts", scope)
-    own = facts.where(F.col("cell").isNull()).select("doc_id", "n", "cid", "bits")
-    cells = facts.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("count").alias("count")).collect()
-    counts = np.zeros(CELLS, np.int64)
-    for r in cells:
-        counts[r["cell"]] = r["count"]
-    order = np.argsort(counts, kind="stable")
-    rank = np.empty(CELLS, np.uint64)
-    rank[order] = np.arange(CELLS, dtype=np.uint64)
-    classes = own.where("n > 0 AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
-    classes = materialize(classes, "jaccard-classes", scope)
-
-    sent = prefixes(rows.where(F.col("doc_id").isNotNull()).select("text"), width, percent, spark.sparkContext.broadcast(rank))
-    met = materialize(centred(sent.repartition("h").sortWithinPartitions("h", "n", "pos", "cid"), percent), "jaccard-groups", scope)
-    links = verified(met.where(F.col("centre").isNotNull()).select(F.col("centre").alias("x"), F.col("cid").alias("y")), rows, classes, width, percent, scope)
-    tree = stars(links.select(F.col("x").alias("a"), F.col("y").alias("b")), scope)
-
-    groups = met.drop("centre").distinct()
-    for likeliest in (True, False):
-        parts = groups.join(sized(tree.withColumnRenamed("node", "cid"), tree.count()), "cid", "left").withColumn("part", F.coalesce("root", "cid")).drop("root")
-        parts = materialize(parts, "jaccard-parts", scope)
-        open_groups = parts.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("rows")).where("a <> b").select("h", "rows")
-        parts = materialize(parts.join(open_groups, "h"), "jaccard-open", scope)
-        groups = parts.drop("part", "rows")
-        left = parts.join(classes.select("cid", "bits"), "cid").select("h", "n", "pos", "cid", "sketch", "part", "bits", "rows")
-        left = in_blocks(left)
-        pairs = across(left.repartition("h").sortWithinPartitions("h", "n", "pos", "cid"), percent, likeliest)
-        more = verified(pairs, rows, classes, width, percent, scope)
+    return pairs, materialize(rows.mapInArrow(work, "x long, y long"), "jaccard-links", scope)
+
+
+def _edges(links: DataFrame, a: str, b: str) -> DataFrame:
+    return links.select(F.col(a).alias("a"), F.col(b).alias("b"))
+
+
+def _components(rows: DataFrame, width: int, percent: int, scope: str | None) -> DataFrame:
+    """Rows (doc_id, text, rid) -> (doc_id, rid, n, cid, component_id); reads tables of ``scope`` alone."""
+    spark = rows.sparkSession
+    inner = new_scope("jaccard")
+    texts = rows.select("doc_id", "text")
+    rank = spark.sparkContext.broadcast(ranks(rows, width))
+    facts = materialize(describe(rows, width, percent, rank), "jaccard-facts", inner)
+    own = materialize(facts.select("doc_id", "rid", "n", "cid"), "jaccard-own", scope)
+    classes = materialize(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep")), "jaccard-classes", inner)
+
+    groups = shared_prefixes(facts, inner)
+    compared, links = verified(with_centre(groups, percent), texts, classes, width, percent, rank, inner)
+    tree = stars(_edges(links, "x", "y"), inner)
+    for every in (False, True):
+        groups = open_groups(groups.select("h", "cid", "n", "pos", "bits"), tree, inner)
+        if groups.isEmpty():
+            break
+        pairs = across(in_tiles(groups), percent, every).join(compared, ["x", "y"], "left_anti")
+        now, more = verified(pairs, texts, classes, width, percent, rank, inner)
+        compared = compared.unionByName(now)
         if not more.isEmpty():
-            tree = stars(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))), scope)
+            tree = stars(_edges(tree, "node", "root").unionByName(_edges(more, "x", "y")), inner)
 
     placed = classes.join(tree.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_class = materialize(placed.join(least, "root").select("cid", "component_id"), "jaccard-components", scope)
+    sweep(spark, inner)
+    linked = F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id"))
     out = own.join(by_class, "cid", "left")
-    alone = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(alone).alias("component_id"))
+    return out.select("doc_id", "rid", "n", "cid", F.when(F.col("doc_id").isNotNull(), linked).alias("component_id"))
+
+
+def _with_rid(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = id_and_text(docs, id_col, text_col)
+    return rows.withColumn("rid", F.xxhash64("doc_id", "text"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scope: str | None = None) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (least doc_id that links reach), class_id (equal for equal sets).
+
+    Texts of fewer than ``width`` words are one shingle; null, empty and blank
+    texts have an empty set and link with nothing. Rows without an id keep a
+    null component and link nothing. Rows that repeat a doc_id are taken each
+    by its own text. Links are symmetric, so ties don't arise. An empty table
+    gives no rows. Other columns are not looked at. A task holds the words of
+    about a million characters, or of one longer text: some 100 bytes a word.
+    """
+    found = _components(_with_rid(docs, id_col, text_col), width, percent, scope)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cid").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scope: str | None = None) -> DataFrame:
-    """``docs`` without those that link, over any number of links, with a lower doc_id. Rows without an id stay."""
-    found = jaccard_components(docs, width, percent, id_col, text_col, scope)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    gone = materialize(gone, "jaccard-gone", scope)
-    return docs.join(sized(gone, gone.count()), id_col, "left_anti").select(*docs.columns)
+    """``docs`` without those that link, over any number of links, with a lower doc_id.
+
+    Of rows that repeat an id and its text one stays, any one. Rows that repeat
+    an id with other texts are judged each by its own text. Rows without an
+    id, and texts without words, stay. An empty table stays empty. No column
+    name is taken: rows are carried packed.
+    """
+    inner = new_scope("near-duplicates")
+    found = materialize(_components(_with_rid(docs, id_col, text_col), width, percent, inner).where("n > 0 AND doc_id IS NOT NULL"), "jaccard-found", inner)
+    gone = materialize(found.where("component_id <> doc_id").select("rid").distinct(), "jaccard-gone", scope)
+    again = materialize(found.where("component_id = doc_id").groupBy("rid").count().where("count > 1").select("rid"), "jaccard-again", scope)
+    sweep(docs.sparkSession, inner)
+    rows = packed(docs, rid=F.xxhash64(F.col(f"`{id_col}`"), text_of(f"`{text_col}`")))
+    kept = joined(rows, gone, "rid", "left_anti")
+    if not again.isEmpty():
+        kept = joined(kept, again, "rid", "left_anti").unionByName(joined(kept, again, "rid", "left_semi").dropDuplicates(["rid"]))
+    return kept.select("row.*")

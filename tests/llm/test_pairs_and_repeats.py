@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from arcspark.llm import jaccard, lines, suffix
+from arcspark.llm import common, jaccard, lines, suffix
 from arcspark.llm.components import stars
 
 
@@ -32,6 +32,15 @@ def brute_components(rows, width, percent):
     return sorted((d, len(s), least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
+def chains():
+    """Each text is within the threshold of the next, and of few others."""
+    now, rows = [f"u{i}" for i in range(120)], []
+    for d in range(40):
+        now[(d * 37) % 120] = f"x{d}"
+        rows.append((d, " ".join(now)))
+    return rows
+
+
 def near_copies():
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -49,26 +58,42 @@ def near_copies():
 
 @pytest.mark.parametrize("width,percent", [(3, 90), (5, 80), (1, 50)])
 def test_jaccard(spark, docs, width, percent):
-    for rows in (near_copies(), [(r.doc_id, r.text) for r in docs.collect()]):
+    for rows in (near_copies(), chains(), [(r.doc_id, r.text) for r in docs.collect()]):
         got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width, percent)
-        assert sorted(tuple(r) for r in got.collect()) == brute_components(rows, width, percent)
+        assert sorted(tuple(r)[:3] for r in got.collect()) == brute_components(rows, width, percent)
 
 
-def test_jaccard_groups_in_blocks(spark, monkeypatch):
-    left = [(7, 100, 0, i, 0, i, bytes(64), 60) for i in range(60)]
-    left = spark.createDataFrame(left, "h long, n long, pos long, cid long, sketch long, part long, bits binary, rows long")
+def test_jaccard_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "HELD", 10)
-    dealt = jaccard.in_blocks(left).select("h", "cid", "block").collect()
-    sizes = collections.Counter(r.h for r in dealt)
-    assert len(sizes) > 1 and max(sizes.values()) < 60
-    by_key = collections.defaultdict(list)
+    rows = [(7, i, 100, 0, bytearray(64), 1 if i % 3 else 500 + i, 60, 40, 1) for i in range(60)] + [(8, i, 100, 0, bytearray(64), i, 9, 1, 0) for i in range(9)]
+    dealt = jaccard.in_tiles(spark.createDataFrame(rows, "h long, cid long, n long, pos int, bits binary, part long, rows long, k long, most long")).collect()
+    by_tile = collections.defaultdict(list)
     for r in dealt:
-        by_key[r.h].append(r)
-    met = collections.Counter((a.cid, b.cid) for g in by_key.values() for a in g for b in g if a.cid < b.cid and (a.block < 0 or a.block != b.block))
-    assert met == {(a, b): 1 for a in range(60) for b in range(a + 1, 60)}
-    rows = near_copies()
-    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
-    assert sorted(tuple(r) for r in got.collect()) == brute_components(rows, 3, 90)
+        by_tile[r.tile].append(r)
+    assert max(map(len, by_tile.values())) < 40
+    met = collections.Counter((a.cid, b.cid) for g in by_tile.values() for a in g for b in g if a.cid < b.cid and a.part != b.part and (a.side < 0 or a.side != b.side))
+    part = {i: 1 if i % 3 else 500 + i for i in range(60)}
+    want = collections.Counter((a, b) for a in range(60) for b in range(a + 1, 60) if part[a] != part[b]) + collections.Counter((a, b) for a in range(9) for b in range(a + 1, 9))
+    assert met == want
+
+
+@pytest.mark.parametrize("held,remembered", [(2, 3), (5, 100)])
+def test_jaccard_large_groups(spark, monkeypatch, held, remembered):
+    monkeypatch.setattr(jaccard, "HELD", held)
+    monkeypatch.setattr(jaccard, "REMEMBERED", remembered)
+    monkeypatch.setattr(jaccard, "BROADCAST_SHARED", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    for rows in (near_copies(), chains()):
+        got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+        assert sorted(tuple(r)[:3] for r in got.collect()) == brute_components(rows, 3, 90)
+
+
+def test_one_of_each(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, "a"), (2, text, "b"), (2, "something else altogether here now", "c"), (2, "something else altogether here now", "c"), (3, None, None), (None, text, "d")]
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string, rid string"), spark.createDataFrame([(None if i is None else f"k{i}", t, x) for i, t, x in rows], "doc_id string, text string, rid string")):
+        kept = sorted((str(r.doc_id)[-1], r.rid or "") for r in jaccard.one_of_each(docs).collect())
+        assert kept == [("1", "a"), ("2", "c"), ("3", ""), ("e", "d")]
 
 
 def test_jaccard_odd(odd, empty):
