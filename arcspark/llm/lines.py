@@ -1,14 +1,15 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line is its sequence of words. Lines of the same words are one, known by a
-hash, and the earliest by (doc_id, line number) stays. Of lines within one
-word's edit (inserted, deleted or replaced) the earlier stays too: every line
-that can have such a neighbour emits the hash of itself and of each sequence
-with one word left out; equal hashes meet, and word counts and the places of
-the deletions decide the edit distance. Which lines can have one is found
-first: one edit leaves the first or the second half of a line as it was, so
-only lines that share a half with another emit variants, and only for
-deletions in the other half.
+A line is its sequence of units: its words, and of a long word in a script
+without blanks each character. Lines of the same units are one, known by a
+hash, and the earliest by (id, text's hash, line number) stays. Of lines
+within one unit's edit (inserted, deleted or replaced) the earlier stays too:
+every line that can have such a neighbour emits the hash of itself and of
+each sequence with one unit left out; equal variants are joined, each with the
+earliest of them, and the edit distance of the pair is verified on the units.
+Which lines can have one is found first: one edit leaves the first or the
+second half of a line as it was, so only lines that share a half with another
+emit variants, and only for deletions in the other half.
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcspark.llm.common import materialize, mix, sized, text_of, word_hashes
+from arcspark.llm.common import joined, materialize, mix, new_scope, packed, sized, sweep, text_of, word_hashes
 
-#: Words from which a repeated line is removed, and from which one edit is allowed.
-LEAST_WORDS, LEAST_EDIT = 3, 8
-#: Variants a task holds before it sorts and passes them on; words it hashes at once.
-HELD, WORDS = 1_000_000, 200_000
-#: Documents whose line lists may be broadcast.
-BROADCAST_DOCS = 300_000
+#: Bytes from which a repeated line is removed; units and bytes from which one edit is allowed.
+LEAST_BYTES, EDIT_UNITS, EDIT_BYTES = 16, 8, 32
+#: Bytes from which a word beyond ASCII counts character by character.
+LONG_WORD = 24
+#: Units that a task hashes at once.
+UNITS = 100_000
+#: Columns of a line's place: its document's id and hash, its number from 0.
+AT = ("d", "rid", "l")
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -37,7 +40,9 @@ def _power(base: int, n: int) -> np.ndarray:
     if known is None or len(known) < n:
         out = np.full(max(n, 1024), base, np.uint64)
         out[0] = 1
-        known = _powers[base] = np.cumprod(out, dtype=np.uint64)
+        known = np.cumprod(out, dtype=np.uint64)
+        if n <= 2 * UNITS:
+            _powers[base] = known
     return known[:n]
 
 
@@ -47,35 +52,35 @@ def _name(x: np.ndarray, n) -> np.ndarray:
 
 
 class Line:
-    """Hashes of one line's words: of all of them, of its halves and of its deletions."""
+    """Hashes of one line's units: of all of them and of its deletions."""
 
-    def __init__(self, words: list[bytes]):
-        self.n = len(words)
+    def __init__(self, units: list[bytes]):
+        self.n = len(units)
         with np.errstate(over="ignore"):
-            terms = word_hashes(words) * _power(_BASE, self.n)
+            terms = word_hashes(units) * _power(_BASE, self.n)
             self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
 
     def whole(self) -> int:
         return int(_name(self.sums[-1:], self.n)[0])
 
     def without(self, at: np.ndarray) -> np.ndarray:
-        """Names of the line with the word at each place left out."""
+        """Names of the line with the unit at each place left out."""
         with np.errstate(over="ignore"):
             rest = (self.sums[-1] - self.sums[at + 1]) * np.uint64(_INVERSE)
             return _name(self.sums[at] + rest, self.n - 1)
 
 
-def hashed(words: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(names, keys) of lines of ``n`` words end to end, all at once; the names are those of ``Line.whole``.
+def hashed(units: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names, keys) of lines of ``n`` units end to end, all at once; the names are those of ``Line.whole``.
 
     Keys are four for each line, for pairs whose shorter line has m = n or
-    m = n - 1 words: its first m // 2 words and its last m - m // 2.
+    m = n - 1 units: its first m // 2 units and its last m - m // 2.
     """
     end = np.cumsum(n)
     start = end - n
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word_hashes(words) * _power(_BASE, len(words)), dtype=np.uint64)])
-        back = _power(_INVERSE, len(words) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word_hashes(units) * _power(_BASE, len(units)), dtype=np.uint64)])
+        back = _power(_INVERSE, len(units) + 1)
         names = _name((sums[end] - sums[start]) * back[start], n)
         keys = []
         for m in (n, n - 1):
@@ -85,147 +90,172 @@ def hashed(words: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names, np.stack(keys, axis=1)
 
 
-def split(text: str) -> list[list[bytes]]:
-    return [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
+def units_of(line: bytes) -> list[bytes]:
+    """Words; a word of LONG_WORD bytes or more that is not ASCII counts as its characters."""
+    words = line.split()
+    if line.isascii() or max(map(len, words), default=0) < LONG_WORD:
+        return words
+    out: list[bytes] = []
+    for w in words:
+        out += [w] if len(w) < LONG_WORD or w.isascii() else [c.encode("utf-8", "surrogatepass") for c in w.decode("utf-8", "surrogatepass")]
+    return out
 
 
-def line_facts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (d, l, n, h, keys): lines of LEAST_WORDS or more, with the hashes of their halves."""
+def size_of(units: list[bytes]) -> int:
+    """Bytes of a line with one blank between its units."""
+    return sum(map(len, units)) + len(units) - 1
+
+
+def split(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split(b"\n")
+
+
+def within_one(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether one unit inserted, deleted or replaced makes a into b, or none does."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    least, i = min(len(a), len(b)), 0
+    while i < least and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < least - i and a[len(a) - 1 - j] == b[len(b) - 1 - j]:
+        j += 1
+    return max(len(a), len(b)) - i - j <= 1
+
 
-    def rows(d, at, n, words):
-        n = np.asarray(n, np.int64)
-        names, keys = hashed(words, n)
-        edits = n >= LEAST_EDIT
-        offsets = pa.array(np.concatenate([[0], np.cumsum(4 * edits)]).astype(np.int32))
-        lists = pa.ListArray.from_arrays(offsets, pa.array(keys[edits].ravel()))
-        return pa.record_batch([pa.array(d, pa.int64()), pa.array(at, pa.int32()), pa.array(n.astype(np.int32)), pa.array(names), lists], ["d", "l", "n", "h", "keys"])
+def line_facts(docs: DataFrame) -> DataFrame:
+    """(d, rid, text) -> (d, rid, l, h, keys): lines of LEAST_BYTES or more, with the hashes of their halves where edits count."""
 
     def work(batches):
-        d, at, n, words = [], [], [], []
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, line in enumerate(split(text)):
-                    if len(line) >= LEAST_WORDS:
-                        d.append(doc)
-                        at.append(i)
-                        n.append(len(line))
-                        words += line
-                if len(words) >= WORDS:
-                    yield rows(d, at, n, words)
-                    d, at, n, words = [], [], [], []
-        if words:
-            yield rows(d, at, n, words)
-
-    return docs.mapInArrow(work, "d long, l int, n int, h long, keys array<long>")
-
-
-def variants(rows: DataFrame) -> DataFrame:
-    """(d, text, lines: l and flags) -> (key, place, d, l).
-
-    ``place`` is the deleted word's, or -1 for the whole line. Within a task
-    only the earliest of equal key and place is passed on; the others are
-    found to be near repeats already and go out with place -2.
-    """
+            row, at, n, edits, units = [], [], [], [], []
+
+            def out(batch=batch, row=row, at=at, n=n, edits=edits, units=units):
+                sizes, which = np.asarray(n, np.int64), np.asarray(edits, bool)
+                names, keys = hashed(units, sizes)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(4 * which)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(keys[which].ravel()))
+                rows = pa.array(row, pa.int64())
+                found = pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at, pa.int32()), pa.array(names), lists], [*AT, "h", "keys"])
+                for x in (row, at, n, edits, units):
+                    x.clear()
+                return found
+
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                for k, line in enumerate(split(text)):
+                    if len(line) < LEAST_BYTES:
+                        continue
+                    found = units_of(line)
+                    size = size_of(found)
+                    if size >= LEAST_BYTES:
+                        row.append(i)
+                        at.append(k)
+                        n.append(len(found))
+                        edits.append(len(found) >= EDIT_UNITS and size >= EDIT_BYTES)
+                        units += found
+                        if len(units) >= UNITS:
+                            yield out()
+            if row:
+                yield out()
+
+    return docs.mapInArrow(work, f"d {docs.schema['d'].dataType.simpleString()}, rid long, l int, h long, keys array<long>")
+
+
+def line_texts(rows: DataFrame) -> DataFrame:
+    """(rid, text, lines: l, h and flags) -> (h, flags, line): the units of each line, between line feeds, which no unit holds."""
 
     def work(batches):
-        held: list[tuple] = []
-        size = 0
-
-        def out():
-            key, place, d, line = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.lexsort((line, d, place, key))
-            key, place, d, line = key[order], place[order], d[order], line[order]
-            fresh = np.ones(len(key), bool)  # a row that comes twice is not its own neighbour
-            fresh[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (d[1:] != d[:-1]) | (line[1:] != line[:-1])
-            key, place, d, line = key[fresh], place[fresh], d[fresh], line[fresh]
-            again = np.zeros(len(key), bool)
-            again[1:] = (key[1:] == key[:-1]) & (place[1:] == place[:-1])
-            key, place = np.where(again, mix((d * 31 + line).view(np.uint64)).view(np.int64), key), np.where(again, -2, place)
-            return pa.record_batch([pa.array(key), pa.array(place.astype(np.int32)), pa.array(d), pa.array(line.astype(np.int32))], ["key", "place", "d", "l"])
+        for batch in batches:
+            h, flags, lines = [], [], []
+            for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                every = split(text)
+                for x in wanted:
+                    h.append(x["h"])
+                    flags.append(x["flags"])
+                    lines.append(b"\n".join(units_of(every[x["l"]])))
+            yield pa.record_batch([pa.array(h, pa.int64()), pa.array(flags, pa.int32()), pa.array(lines, pa.binary())], ["h", "flags", "line"])
+
+    return rows.mapInArrow(work, "h long, flags int, line binary")
+
 
+def variants(lines: DataFrame) -> DataFrame:
+    """(h, flags, line) -> (key, place, h); ``place`` is the deleted unit's, or -1 for the whole line."""
+
+    def work(batches):
         for batch in batches:
-            for d, text, lines in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                all_words = split(text)
-                for x in lines:
-                    at, flags = x["l"], x["flags"]
-                    if at >= len(all_words) or len(all_words[at]) < LEAST_EDIT:
-                        continue
-                    line = Line(all_words[at])
-                    n, places = line.n, []
-                    for bits, m in ((flags & 3, n), (flags >> 2, n - 1)):
-                        if bits & 1:  # the first half is shared: the edit lies behind it
-                            places.append(np.arange(m // 2, n))
-                        if bits & 2:
-                            places.append(np.arange(0, m // 2 + 1))
-                    place = np.unique(np.concatenate(places)) if places else np.zeros(0, np.int64)
-                    key, place = line.without(place), place.astype(np.int64)
-                    if flags & 3:
-                        key, place = np.append(key, line.whole()), np.append(place, -1)
-                    held.append((key, place, np.full(len(key), d, np.int64), np.full(len(key), at, np.int64)))
-                    size += len(key)
-                    if size >= HELD:
-                        yield out()
-                        size = 0
-        if held:
-            yield out()
-
-    return rows.mapInArrow(work, "key long, place int, d long, l int")
-
-
-def later(sorted_rows: DataFrame) -> DataFrame:
-    """Rows (key, place, d, l), sorted by key, d, l and place -> (d, l) of lines with an earlier neighbour.
-
-    A deletion meets an earlier one at the same place (a replaced word) or an
-    earlier whole line; a whole line meets an earlier deletion.
+            key, place, h = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for name, flags, packed_line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                line = Line(packed_line.split(b"\n"))
+                n, places = line.n, []
+                for bits, m in ((flags & 3, n), (flags >> 2, n - 1)):
+                    if bits & 1:  # the first half is shared: the edit lies behind it
+                        places.append(np.arange(m // 2, n))
+                    if bits & 2:
+                        places.append(np.arange(0, m // 2 + 1))
+                at = np.unique(np.concatenate(places)).astype(np.int64)
+                key.append(line.without(at))
+                place.append(at)
+                if flags & 3:
+                    key.append(np.asarray([line.whole()]))
+                    place.append(np.asarray([-1]))
+                h.append(np.full(len(at) + bool(flags & 3), name))
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in (key, place, h)], ["key", "place", "h"])
+
+    return lines.mapInArrow(work, "key long, place long, h long")
+
+
+def neighbours(sent: DataFrame) -> DataFrame:
+    """(key, place, h, at) -> (h, g): a line and the earliest earlier one that shares a variant with it.
+
+    A deletion meets the earliest at the same place (a replaced unit) and a
+    whole line; a whole line meets the earliest deletion.
     """
+    me = F.struct("at", "h")
+    firsts = sent.groupBy("key", "place").agg(F.min(me).alias("first"), F.count("*").alias("n"))
+    deleted = F.col("place") >= 0
+    by_key = firsts.groupBy("key").agg(F.min(F.when(deleted, F.col("first"))).alias("deletion"), F.min(F.when(~deleted, F.col("first"))).alias("whole"))
+    same = sent.join(firsts.where("n > 1 AND place >= 0").select("key", "place", "first"), ["key", "place"]).where("first.at < at").select("h", F.col("first.h").alias("g"))
+    other = sent.join(by_key.where("deletion IS NOT NULL AND whole IS NOT NULL"), "key")
+    other = other.select("h", "at", F.when(F.col("place") >= 0, F.col("whole")).otherwise(F.col("deletion")).alias("first")).where("first.at < at")
+    return same.unionByName(other.select("h", F.col("first.h").alias("g"))).where("h <> g").distinct()
+
+
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(h) of the pairs (h, g) whose units are within one edit."""
+    both = pairs.join(lines.select("h", "line"), "h").join(lines.select(F.col("h").alias("g"), F.col("line").alias("other")), "g")
 
     def work(batches):
-        at, places, whole, deleted, last = None, set(), False, False, None
         for batch in batches:
-            key, place, d, line = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            hit = place == -2
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
-            ends = np.append(starts[1:], len(key)) if len(key) else []
-            for a, b in zip(starts, ends, strict=True):
-                if b - a == 1 and key[a] != at and b < len(key):
-                    continue
-                if key[a] != at:
-                    at, places, whole, deleted, last = key[a], set(), False, False, None
-                for i in range(a, b):
-                    p = place[i]
-                    if (p, d[i], line[i]) == last:
-                        continue
-                    last = p, d[i], line[i]
-                    if p == -1:
-                        hit[i] = deleted
-                        whole = True
-                    elif p >= 0:
-                        hit[i] = whole or p in places
-                        places.add(p)
-                        deleted = True
-            yield pa.record_batch([pa.array(d[hit]), pa.array(line[hit])], ["d", "l"])
+            h, a, b = (batch.column(i).to_pylist() for i in range(3))
+            near = [within_one(x.split(b"\n"), y.split(b"\n")) for x, y in zip(a, b, strict=True)]
+            yield pa.record_batch([batch.column(0).filter(pa.array(near, pa.bool_()))], ["h"])
 
-    return sorted_rows.mapInArrow(work, "d long, l int")
+    return both.select("h", "line", "other").mapInArrow(work, "h long").distinct()
 
 
 def repeated_lines(docs: DataFrame, scope: str | None = None) -> DataFrame:
-    """``docs`` (doc_id long, text) -> (d, lines): the numbers, from 0, of each document's lines to remove."""
-    facts = materialize(line_facts(docs), "line-facts", scope)
-    first = facts.groupBy("h").agg(F.min(F.struct("d", "l")).alias("at"), F.first("keys").alias("keys"))
-    first = materialize(first.select("h", "at.d", "at.l", "keys"), "line-classes", scope)
-    keyed = first.where(F.size("keys") > 0).select("h", "d", "l", F.posexplode("keys").alias("side", "key"))
+    """``docs`` (d, rid, text) -> (rid, lines): the numbers, from 0, of each document's lines to remove."""
+    inner = new_scope("lines")
+    facts = materialize(line_facts(docs), "line-facts", inner)
+    classes = facts.groupBy("h").agg(F.min(F.struct(*AT)).alias("at"), F.first("keys").alias("keys"), F.count("*").alias("n"))
+    classes = materialize(classes, "line-classes", inner)
+    keyed = classes.where(F.size("keys") > 0).select("h", F.posexplode("keys").alias("side", "key"))
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
-    flagged = keyed.join(shared, "key").groupBy("h", "d", "l").agg(F.bit_or(F.expr("shiftleft(1, side)")).alias("flags"))
-    by_doc = materialize(flagged.groupBy("d").agg(F.collect_list(F.struct("l", "flags")).alias("lines")), "line-candidates", scope)
-    n = by_doc.count()
-    texts = docs.withColumnRenamed("doc_id", "d")
-    sent = variants(texts.join(sized(by_doc, n, BROADCAST_DOCS), "d").select("d", "text", "lines"))
-    near = later(sent.repartition("key").sortWithinPartitions("key", "d", "l", "place")).distinct().withColumn("near", F.lit(True))
-    marked = first.select("h", "d", "l").join(near, ["d", "l"], "left").select("h", F.col("d").alias("first_d"), F.col("l").alias("first_l"), F.coalesce("near", F.lit(False)).alias("near"))
-    marked = materialize(marked, "line-marks", scope)
-    gone = facts.select("d", "l", "h").join(marked, "h").where(F.col("near") | (F.col("d") != F.col("first_d")) | (F.col("l") != F.col("first_l")))
-    return materialize(gone.groupBy("d").agg(F.collect_set("l").alias("lines")), "line-removals", scope)
+    flagged = keyed.join(shared, "key").groupBy("h").agg(F.bit_or(F.expr("shiftleft(1, side)")).cast("int").alias("flags"))
+    flagged = flagged.join(classes.select("h", "at"), "h")
+    by_doc = materialize(flagged.groupBy("at.rid").agg(F.collect_list(F.struct("at.l", "h", "flags")).alias("lines")), "line-candidates", inner)
+    lines = materialize(line_texts(joined(docs.select("rid", "text"), by_doc, "rid")).dropDuplicates(["h"]), "line-texts", inner)
+
+    sent = materialize(variants(lines), "line-variants", inner)
+    live = sent.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+    sent = materialize(sent.join(live, "key").join(classes.select("h", "at"), "h"), "line-shared-variants", inner)
+    near = materialize(verified(neighbours(sent), lines), "line-near", inner).withColumn("near", F.lit(True))
+
+    judged = classes.select("h", "at", "n").join(sized(near, near.count()), "h", "left").where("n > 1 OR near").select("h", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    gone = facts.select(*AT, "h").join(judged, "h").where(F.col("near") | (F.struct(*AT) > F.col("first")))
+    gone = materialize(gone.groupBy("rid").agg(F.collect_set("l").alias("lines")), "line-removals", scope)
+    sweep(docs.sparkSession, inner)
+    return gone
 
 
 def _kept(lines: Column, gone: Column) -> Column:
@@ -234,30 +264,34 @@ def _kept(lines: Column, gone: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: str | None = None) -> DataFrame:
-    """The rows of ``docs`` with repeated lines cut from the text, and ``_lines``, ``_gone`` (counts).
-
-    Lines shorter than LEAST_WORDS words stay; those shorter than LEAST_EDIT
-    go only if an earlier line has the same words. Blank lines stay. Words
-    are compared in ASCII lower case. Null texts, and rows without an id, stay
-    as they are. Rows that repeat an id and its text are one document.
+    """(row, cut, n_lines, n_removed): the rows of ``docs``, packed, their texts without repeated lines, and counts.
+
+    Lines under LEAST_BYTES bytes stay; those under EDIT_UNITS units or
+    EDIT_BYTES bytes go only if an earlier line has the same units. Blank lines
+    stay. Units are compared in ASCII lower case. Null texts stay null, and
+    rows without an id stay as they are. Rows that repeat an id and its text
+    are one document and keep the same lines; rows that repeat an id with
+    other texts are documents of their own, earlier by the text's hash. Ids
+    keep their type. An empty table stays empty. No column name is taken. A
+    task holds the units of UNITS or of one longer line.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    gone = repeated_lines(rows, scope).withColumnsRenamed({"d": "_d", "lines": "_removed"})
-    found = docs.join(sized(gone, gone.count(), BROADCAST_DOCS), F.col(id_col).cast("long") == F.col("_d"), "left")
-    lines = F.split(text_of(text_col), "\n")
-    cut = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(_kept(lines, F.col("_removed")), "\n"))
-    n_gone = F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed")).cast("long")
-    return found.select("*", F.size(lines).cast("long").alias("_lines"), n_gone.alias("_gone")).withColumn(text_col, cut).drop("_d", "_removed")
+    id_, text = F.col(f"`{id_col}`"), text_of(f"`{text_col}`")
+    rows = packed(docs, rid=F.when(id_.isNotNull(), F.xxhash64(id_, text)), d=id_, text=text)
+    gone = repeated_lines(rows.where("d IS NOT NULL").select("d", "rid", "text"), scope)
+    found = joined(rows.select("row", "rid", "text"), gone, "rid", "left")
+    lines = F.split("text", "\n")
+    cut = F.when(F.col("lines").isNull(), F.col(f"row.`{text_col}`")).otherwise(F.array_join(_kept(lines, F.col("lines")), "\n"))
+    return found.select("row", cut.alias("cut"), F.size(lines).cast("long").alias("n_lines"), F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_removed"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: str | None = None) -> DataFrame:
-    """Per row: doc_id, n_lines, n_removed, kept_bytes, kept_sha256."""
-    out = dedup_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), scope=scope)
-    text = F.coalesce("text", F.lit(""))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"), F.octet_length(text).cast("long").alias("kept_bytes"), F.sha2(text, 256).alias("kept_sha256"))
+    """Per row: doc_id, n_lines, n_removed, kept_bytes, kept_sha256. Cases are those of ``dedup_lines``; a null text is empty."""
+    out = dedup_lines(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), scope=scope)
+    text = F.coalesce("cut", F.lit(""))
+    return out.select("row.doc_id", "n_lines", "n_removed", F.octet_length(text).cast("long").alias("kept_bytes"), F.sha2(text, 256).alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: str | None = None) -> DataFrame:
-    """``docs`` with repeated lines cut; a document of which nothing but blanks is left goes."""
-    out = dedup_lines(docs, id_col, text_col, scope)
-    return out.where((F.col("_gone") == 0) | (F.trim(F.regexp_replace(F.col(text_col), r"\s+", " ")) != "")).drop("_lines", "_gone")
+    """``docs`` with repeated lines cut; a document of which nothing but blanks is left goes. Cases are those of ``dedup_lines``."""
+    out = dedup_lines(docs, id_col, text_col, scope).where((F.col("n_removed") == 0) | F.col("cut").rlike(r"\S"))
+    return out.select(*(F.col("cut" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns))

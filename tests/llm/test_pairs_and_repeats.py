@@ -161,12 +161,14 @@ def within_one(a, b):
 
 def brute_lines(rows):
     found, known = collections.Counter(), []
-    every = sorted({(i, k, tuple(x.split())) for i, t in rows if i is not None for k, x in enumerate((t or "").encode().lower().split(b"\n"))})
+    every = sorted({(i, k, tuple(lines.units_of(x))) for i, t in rows if i is not None for k, x in enumerate((t or "").encode().lower().split(b"\n"))})
     for i, _, w in every:
-        if len(w) < 3:
+        size = sum(map(len, w)) + len(w) - 1
+        if size < 16:
             continue
-        found[i] += any(w == v or len(w) >= 8 and len(v) >= 8 and within_one(w, v) for v in known)
-        known.append(w)
+        edits = len(w) >= 8 and size >= 32
+        found[i] += any(w == v or edits and other and within_one(w, v) for v, other in known)
+        known.append((w, edits))
     return found
 
 
@@ -200,6 +202,36 @@ def test_lines(spark, docs, seed):
     assert got == {i: want[i] for i, _ in rows}
 
 
+def test_lines_far_side(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rows = edited_lines(7)
+    got = {r.doc_id: r.n_removed for r in lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_lines(rows)
+    assert got == {i: want[i] for i, _ in rows}
+
+
+def test_lines_without_blanks(spark):
+    a = "這是一個沒有空格的長句子用來測試去重"
+    rows = [(1, a), (2, a.replace("長", "短")), (3, "這" + a), (4, a[::-1]), (5, a.replace("長", "短").replace("測", "考"))]
+    got = {r.doc_id: r.n_removed for r in lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1}  # 5 is one edit from 2
+
+
+def test_lines_repeated_ids_and_types(spark):
+    x, y = "one line that two documents hold in full", "nothing that any other document has in it"
+    rows = [("a", x, 1, 1), ("b", x, 2, 2), ("b", y, 3, 3), (None, x, 4, 4)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, rid int, _d int")
+    got = sorted(((r.doc_id or "", r.text, r.rid) for r in lines.without_repeats(docs).collect()))
+    assert got == [("", x, 4), ("a", x, 1), ("b", y, 3)]
+
+
+def test_within_one():
+    for a, b in [(b"a b c", b"a b c"), (b"a b c", b"a x c"), (b"a b", b"a b c"), (b"b c", b"a b c")]:
+        assert lines.within_one(a.split(), b.split()) and lines.within_one(b.split(), a.split())
+    assert not lines.within_one(b"a b c".split(), b"b c d".split()) and not lines.within_one(b"a".split(), b"a b c".split())
+    assert lines.within_one(b"a a".split(), b"a a a".split())
+
+
 def test_lines_odd(odd, empty):
     rows = lines.line_report(odd).collect()
     assert len(rows) == odd.count() and {r.n_removed for r in rows if r.doc_id == 1} == {2}
