@@ -13,10 +13,10 @@ a pair that failed is not verified again.
 
 Links matter for components, so no group of one prefix shingle is expanded
 into its pairs. Three rounds, each on the groups that still hold more than one
-component: every class with one centre for its size; a forest of the nearest
-pairs between components, at most as many as there are classes; and at last
-every pair between components that the filters allow. No link between
-components can be missed. A large group is dealt into tiles: what lies outside
+component: every class with one centre for its size; the pairs between
+components that the filters allow, or a forest of the nearest where they are
+many; and at last, in the groups with a forest, every pair between components
+that the filters allow. No link between components can be missed. A large group is dealt into tiles: what lies outside
 its largest component meets each block of it, and itself.
 """
 
@@ -170,14 +170,12 @@ def describe(rows: DataFrame, width: int, percent: int, rank) -> DataFrame:
 
 
 def shared_prefixes(facts: DataFrame, scope: str) -> DataFrame:
-    """(h, cid, n, pos, bits) of each class for the prefix shingles that it shares with another class."""
-    own = facts.where("prefix IS NOT NULL AND doc_id IS NOT NULL")
-    sent = own.select("cid", "n", F.posexplode("prefix").alias("pos", "h"))
+    """(h, cid, n, pos) of each class for the prefix shingles that it shares with another class."""
+    sent = facts.where("prefix IS NOT NULL AND doc_id IS NOT NULL").select("cid", "n", F.posexplode("prefix").alias("pos", "h"))
     shared = sent.groupBy("h").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("h")
     shared = materialize(shared, "jaccard-shared", scope)
-    met = sent.join(sized(shared, shared.count(), BROADCAST_SHARED), "h").distinct()
-    bits = own.groupBy("cid").agg(F.first("bits").alias("bits"))
-    return materialize(met.join(bits, "cid").select("h", "cid", "n", "pos", "bits"), "jaccard-groups", scope)
+    met = joined(sent, shared, "h", "left_semi", limit=BROADCAST_SHARED)
+    return materialize(met.select("h", "cid", "n", "pos").distinct(), "jaccard-groups", scope)
 
 
 def may_link(n, pos, bits, m, qos, others, percent: int) -> np.ndarray:
@@ -196,21 +194,24 @@ def _numbers(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
     return [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
 
 
-def with_centre(groups: DataFrame, percent: int) -> DataFrame:
+def with_centre(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y): each class of a group with the least class of about its size."""
     band = F.floor(F.log("n") / float(np.log(100 / percent))) if percent < 100 else F.col("n")
     rows = groups.withColumn("band", band)
-    heads = rows.groupBy("h", "band").agg(F.min(F.struct("n", "cid", "pos", "bits")).alias("c"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    near = rows.join(heads, ["h", "band"]).where("cid <> c.cid")
-    near = near.select("cid", "n", "pos", "bits", F.col("c.cid").alias("x"), F.col("c.n").alias("m"), F.col("c.pos").alias("qos"), F.col("c.bits").alias("others"))
+    heads = rows.groupBy("h", "band").agg(F.min(F.struct("n", "cid", "pos")).alias("c"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    least = F.ceil((F.col("n") + F.col("c.n")) * percent / (100 + percent))
+    near = rows.join(heads, ["h", "band"]).where((F.col("cid") != F.col("c.cid")) & (F.least(F.col("n") - F.col("pos"), F.col("c.n") - F.col("c.pos")) >= least))
+    pairs = near.where(100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")).select("n", F.col("c.n").alias("m"), F.col("c.cid").alias("x"), F.col("cid").alias("y")).distinct()
+    bits = classes.select("cid", "bits")
+    pairs = pairs.join(bits.withColumnsRenamed({"cid": "y", "bits": "own"}), "y").join(bits.withColumnsRenamed({"cid": "x", "bits": "others"}), "x")
 
     def work(batches):
         for batch in batches:
-            cid, n, pos, x, m, qos = _numbers(batch, ["cid", "n", "pos", "x", "m", "qos"])
-            ok = may_link(n, pos, _bits(batch.column(3)), m, qos, _bits(batch.column(7)), percent) >= 0
-            yield pa.record_batch([pa.array(x[ok]), pa.array(cid[ok])], ["x", "y"])
+            n, m, x, y = _numbers(batch, ["n", "m", "x", "y"])
+            ok = may_link(n, 0, _bits(batch.column(4)), m, 0, _bits(batch.column(5)), percent) >= 0
+            yield pa.record_batch([pa.array(x[ok]), pa.array(y[ok])], ["x", "y"])
 
-    return near.mapInArrow(work, "x long, y long")
+    return pairs.select("n", "m", "x", "y", "own", "others").mapInArrow(work, "x long, y long")
 
 
 def open_groups(groups: DataFrame, tree: DataFrame, scope: str) -> DataFrame:
@@ -223,7 +224,7 @@ def open_groups(groups: DataFrame, tree: DataFrame, scope: str) -> DataFrame:
 
 
 def in_tiles(rows: DataFrame) -> DataFrame:
-    """Rows of open groups -> (tile, side, cid, n, pos, bits, part): any two rows of different parts meet in one tile.
+    """Rows of open groups -> (tile, side, h, cid, n, pos, bits, part): any two rows of different parts meet in one tile.
 
     A group of at most HELD rows is one tile. In a larger one the largest part
     is dealt into blocks by class, and so are the other rows; blocks of the
@@ -240,13 +241,13 @@ def in_tiles(rows: DataFrame) -> DataFrame:
     with_major = F.transform(up_to(F.greatest("major", F.lit(1))), lambda i: tile(0, i, F.col("own"), F.lit(1)))
     with_minor = F.transform(up_to(F.greatest("minor", F.lit(1))), lambda j: tile(1, F.least("own", j), F.greatest("own", j), F.when(F.col("own") == j, -1).otherwise(F.col("own"))))
     places = F.when(alone, F.array(tile(2, F.lit(0), F.lit(0), F.lit(-1)))).when(largest, as_major).otherwise(F.concat(with_major, with_minor))
-    dealt = dealt.select(F.explode(places).alias("at"), "cid", "n", "pos", "bits", "part")
-    return dealt.select("at.tile", "at.side", "cid", "n", "pos", "bits", "part")
+    dealt = dealt.select(F.explode(places).alias("at"), "h", "cid", "n", "pos", "bits", "part")
+    return dealt.select("at.tile", "at.side", "h", "cid", "n", "pos", "bits", "part")
 
 
 def _tiles(batches):
-    """Arrays of the rows of each tile, from sorted rows: side, cid, n, pos, part, bits."""
-    names, held = ["tile", "side", "cid", "n", "pos", "part"], []
+    """Arrays of the rows of each tile, from sorted rows: side, h, cid, n, pos, part, bits."""
+    names, held = ["tile", "side", "h", "cid", "n", "pos", "part"], []
     for batch in batches:
         now = [*_numbers(batch, names), _bits(batch.column(batch.schema.get_field_index("bits")))]
         if held:
@@ -260,47 +261,35 @@ def _tiles(batches):
         yield held[1:]
 
 
+def _forest(i: np.ndarray, j: np.ndarray, differ: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Which pairs, nearest first, join parts that no pair before has joined."""
+    _, node = np.unique(part, return_inverse=True)
+    up, kept = list(range(int(node.max()) + 1)), []
+    for k in np.argsort(differ, kind="stable").tolist():
+        a, b = int(node[i[k]]), int(node[j[k]])
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a != b:
+            up[a] = b
+            kept.append(k)
+    return np.asarray(kept, np.int64)
+
+
 def across(rows: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs (x, y) between components that the filters allow: every one, or a forest of the nearest in each tile."""
-
-    def candidates(side, n, pos, part, bits):
-        for i in range(len(n) - 1):
-            # sorted by size: what is too large for row i begins at ``end``
-            end = np.searchsorted(n, 100 * n[i] // percent, "right")
-            j = np.flatnonzero((part[i + 1 : end] != part[i]) & ((side[i] < 0) | (side[i + 1 : end] != side[i]))) + i + 1
-            if len(j):
-                differ = may_link(n[i], pos[i], bits[i], n[j], pos[j], bits[j], percent)
-                j, differ = j[differ >= 0], differ[differ >= 0]
-                if not every and len(j) > NEAREST:
-                    nearest = np.argpartition(differ, NEAREST)[:NEAREST]
-                    j, differ = j[nearest], differ[nearest]
-                if len(j):
-                    yield np.full(len(j), i), j, differ
-
-    def forest(i, j, differ, part):
-        _, node = np.unique(part, return_inverse=True)
-        up = list(range(int(node.max()) + 1))
-        for k in np.argsort(differ, kind="stable").tolist():
-            a, b = int(node[i[k]]), int(node[j[k]])
-            while up[a] != a:
-                up[a] = a = up[up[a]]
-            while up[b] != b:
-                up[b] = b = up[up[b]]
-            if a != b:
-                up[a] = b
-                yield k
+    """Pairs (x, y) between components that the filters allow.
+
+    With ``every`` all of them. Otherwise a tile in which a row has more than
+    NEAREST gives a forest of the nearest, and a row (null, null, h): its group
+    has more.
+    """
+    kind = "x long, y long, h long"
 
     def work(batches):
         done: set[tuple[int, int]] = set()
-        for side, cid, n, pos, part, bits in _tiles(batches):
-            found = list(candidates(side, n, pos, part, bits))
-            if not found:
-                continue
-            i, j, differ = (np.concatenate(x) for x in zip(*found, strict=True))
-            if not every:
-                kept = np.fromiter(forest(i, j, differ, part), np.int64)
-                i, j = i[kept], j[kept]
-            x, y = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
+
+        def fresh(x, y):
             new = []
             for k, pair in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
                 if pair not in done:
@@ -308,49 +297,83 @@ def across(rows: DataFrame, percent: int, every: bool) -> DataFrame:
                         done.clear()
                     done.add(pair)
                     new.append(k)
-            yield pa.record_batch([pa.array(x[new]), pa.array(y[new])], ["x", "y"])
+            return new
 
-    return rows.repartition("tile").sortWithinPartitions("tile", "n", "cid").mapInArrow(work, "x long, y long")
+        def out(cid, i, j, h=()):
+            x, y = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
+            new = fresh(x, y)
+            none = pa.nulls(len(h), pa.int64())
+            columns = pa.concat_arrays([pa.array(x[new]), none]), pa.concat_arrays([pa.array(y[new]), none]), pa.concat_arrays([pa.nulls(len(new), pa.int64()), pa.array(h, pa.int64())])
+            return pa.record_batch(list(columns), ["x", "y", "h"])
+
+        for side, h, cid, n, pos, part, bits in _tiles(batches):
+            found, dense = [], False
+            for i in range(len(n) - 1):
+                # sorted by size: what is too large for row i begins at ``end``
+                end = np.searchsorted(n, 100 * n[i] // percent, "right")
+                j = np.flatnonzero((part[i + 1 : end] != part[i]) & ((side[i] < 0) | (side[i + 1 : end] != side[i]))) + i + 1
+                if not len(j):
+                    continue
+                differ = may_link(n[i], pos[i], bits[i], n[j], pos[j], bits[j], percent)
+                j, differ = j[differ >= 0], differ[differ >= 0]
+                if every and len(j):
+                    yield out(cid, np.full(len(j), i), j)
+                    continue
+                if len(j) > NEAREST:
+                    dense = True
+                    nearest = np.argpartition(differ, NEAREST)[:NEAREST]
+                    j, differ = j[nearest], differ[nearest]
+                if len(j):
+                    found.append((np.full(len(j), i), j, differ))
+            if found:
+                i, j, differ = (np.concatenate(x) for x in zip(*found, strict=True))
+                if dense:
+                    kept = _forest(i, j, differ, part)
+                    yield out(cid, i[kept], j[kept], [h[0]])
+                else:
+                    yield out(cid, i, j)
+
+    return rows.repartition("tile").sortWithinPartitions("tile", "n", "cid").mapInArrow(work, kind)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, rank, scope: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs, links): which classes were compared, and those whose whole sets reach the threshold."""
-    pairs = materialize(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "jaccard-pairs", scope)
-    ids = pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).distinct()
-    wanted = materialize(ids.join(classes, "cid").select("cid", F.col("rep").alias("doc_id")), "jaccard-wanted", scope)
+    """(pairs, links): which classes were compared, and those whose whole sets reach the threshold.
 
-    def sets(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            want = batch.column(0).to_numpy()
-            for a, b in in_runs(texts):
-                values, n = sets_of(texts[a:b], width, rank.value)
-                same = np.flatnonzero(classes_of(values, n) == want[a:b])  # rows that repeat an id may have other texts
-                ends = np.cumsum(n)
-                keys = [values[ends[i] - n[i] : ends[i]].tobytes() for i in same]
-                yield pa.record_batch([pa.array(want[a:b][same]), pa.array(keys, pa.binary())], ["cid", "keys"])
-
-    found = joined(docs, wanted, "doc_id").select("cid", "text").mapInArrow(sets, "cid long, keys binary")
-    found = materialize(found.dropDuplicates(["cid"]), "jaccard-sets", scope)
-    heavy = pairs.groupBy("x").agg(F.ceil(F.count("*") / PAIRS_A_CENTRE).cast("int").alias("copies"))
-    members = pairs.join(heavy, "x").withColumn("copy", F.pmod(F.xxhash64("y"), F.col("copies")).cast("int"))
-    members = members.join(found.withColumnRenamed("cid", "y"), "y").select("x", "copy", "y", "keys")
-    centres = heavy.join(found.withColumnRenamed("cid", "x"), "x").select("x", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("y"), "keys")
-    rows = centres.unionByName(members).repartition("x", "copy").sortWithinPartitions("x", "copy", F.col("y").asc_nulls_first())
+    ``docs`` (doc_id, text). Each text goes once to each centre it is compared with.
+    """
+    pairs = materialize(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "jaccard-pairs", scope)
+    # of two classes the one in more pairs is the centre, so that the other's text goes out few times
+    ends = pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).groupBy("cid").agg(F.count("*").alias("pairs"))
+    stars_ = pairs.join(ends.select(F.col("cid").alias("x"), F.struct("pairs", "cid").alias("a")), "x").join(ends.select(F.col("cid").alias("y"), F.struct("pairs", "cid").alias("b")), "y")
+    stars_ = stars_.select(F.greatest("a", "b").alias("c"), F.least("a", "b").alias("m")).select("c.*", F.col("m.cid").alias("member"))
+    copies = F.ceil(F.col("pairs") / PAIRS_A_CENTRE).cast("int")
+    members = stars_.select(F.col("member").alias("cid"), F.col("cid").alias("x"), F.pmod(F.xxhash64("member"), copies).cast("int").alias("copy"))
+    centres = stars_.select("cid", "pairs").distinct().select("cid", F.col("cid").alias("x"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    wanted = members.unionByName(centres).join(classes.select("cid", F.col("rep").alias("doc_id")), "cid")
+    wanted = materialize(wanted, "jaccard-wanted", scope)
+    rows = joined(docs, wanted, "doc_id").select("x", "copy", (F.col("cid") != F.col("x")).alias("member"), "cid", "text")
+    rows = rows.repartition("x", "copy").sortWithinPartitions("x", "copy", "member")
 
     def work(batches):
-        centre = np.zeros(0, np.uint64)
+        centre, whose = np.zeros(0, np.uint64), None
         for batch in batches:
+            x, copy, cid = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            texts = batch.column(4).to_pylist()
             xs, ys = [], []
-            for x, y, keys in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                s = np.frombuffer(keys, np.uint64)
-                if y is None:
-                    centre = s
-                    continue
-                both = len(np.intersect1d(s, centre, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(centre) - both):
-                    xs.append(x)
-                    ys.append(y)
+            for a, b in in_runs(texts):
+                values, n = sets_of(texts[a:b], width, rank.value)
+                same, ends = classes_of(values, n), np.cumsum(n)
+                for i, k in enumerate(range(a, b)):
+                    if same[i] != cid[k]:
+                        continue  # another text under the same id
+                    s = values[ends[i] - n[i] : ends[i]]
+                    if cid[k] == x[k]:
+                        centre, whose = s.copy(), (x[k], copy[k])
+                    elif whose == (x[k], copy[k]):
+                        both = len(np.intersect1d(s, centre, assume_unique=True))
+                        if 100 * both >= percent * (len(s) + len(centre) - both):
+                            xs.append(x[k])
+                            ys.append(cid[k])
             yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
 
     return pairs, materialize(rows.mapInArrow(work, "x long, y long"), "jaccard-links", scope)
@@ -368,20 +391,24 @@ def _components(rows: DataFrame, width: int, percent: int, scope: str | None) ->
     rank = spark.sparkContext.broadcast(ranks(rows, width))
     facts = materialize(describe(rows, width, percent, rank), "jaccard-facts", inner)
     own = materialize(facts.select("doc_id", "rid", "n", "cid"), "jaccard-own", scope)
-    classes = materialize(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep")), "jaccard-classes", inner)
+    classes = facts.where("n > 0 AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("bits", ignorenulls=True).alias("bits"))
+    classes = materialize(classes, "jaccard-classes", inner)
 
     groups = shared_prefixes(facts, inner)
-    compared, links = verified(with_centre(groups, percent), texts, classes, width, percent, rank, inner)
+    compared, links = verified(with_centre(groups, classes, percent), texts, classes, width, percent, rank, inner)
     tree = stars(_edges(links, "x", "y"), inner)
     for every in (False, True):
-        groups = open_groups(groups.select("h", "cid", "n", "pos", "bits"), tree, inner)
-        if groups.isEmpty():
+        open_ = open_groups(groups, tree, inner)
+        if open_.isEmpty():
             break
-        pairs = across(in_tiles(groups), percent, every).join(compared, ["x", "y"], "left_anti")
+        found = across(in_tiles(open_.join(classes.select("cid", "bits"), "cid")), percent, every)
+        found = materialize(found, "jaccard-found", inner)
+        pairs = found.where("x IS NOT NULL").select("x", "y").join(compared, ["x", "y"], "left_anti")
         now, more = verified(pairs, texts, classes, width, percent, rank, inner)
         compared = compared.unionByName(now)
         if not more.isEmpty():
             tree = stars(_edges(tree, "node", "root").unionByName(_edges(more, "x", "y")), inner)
+        groups = joined(groups, found.where("h IS NOT NULL").select("h").distinct(), "h", "left_semi")
 
     placed = classes.join(tree.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
