@@ -102,10 +102,12 @@ def _marked(docs: DataFrame, keys: DataFrame, key: str, bits: int) -> DataFrame:
 def joined(docs: DataFrame, found: DataFrame, key: str, how: str = "inner", limit: int | None = None, bits: int = MAP_BITS) -> DataFrame:
     """``docs`` joined with ``found`` (one row a key) so that no text moves that has no match.
 
-    Up to ``limit`` rows ``found`` is broadcast. Past it a bitmap tells which
-    keys may be found; only those rows are shuffled, the others pass by.
+    Up to ``limit`` rows, the elements of arrays counted as rows, ``found`` is
+    broadcast. Past it a bitmap tells which keys may be found; only those rows
+    are shuffled, the others pass by.
     """
-    if found.count() <= (BROADCAST_ROWS if limit is None else limit):
+    entries = sum((F.coalesce(F.size(f.name), F.lit(0)) for f in found.schema if f.dataType.typeName() == "array"), F.lit(1))
+    if (found.agg(F.sum(entries)).first()[0] or 0) <= (BROADCAST_ROWS if limit is None else limit):
         return docs.join(F.broadcast(found), key, how)
     marked = _marked(docs, found.select(key), key, bits)
     moved = marked.where("_may").drop("_may").join(found, key, how)

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcspark.llm.common import materialize, sized, text_of
+from arcspark.llm.common import joined, materialize, new_scope, packed, sized, sweep, text_of
 
 #: Words of a benchmark window, and of a k-gram within it.
 SPAN, GRAM = 8, 4
@@ -75,7 +75,7 @@ def windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "te
 
 
 def hits(docs: DataFrame, known: DataFrame, scope: str | None = None) -> DataFrame:
-    """``docs`` (doc_id, text) and windows -> (doc_id, text_hash, spans, items) where any window occurs.
+    """``docs`` (rid, text) and windows -> (rid, spans, items) where any window occurs.
 
     ``spans`` are distinct (first word, number of words); a document without hits has no row.
     """
@@ -87,32 +87,29 @@ def hits(docs: DataFrame, known: DataFrame, scope: str | None = None) -> DataFra
     def gram(size: int) -> int:
         return GRAM if size == SPAN else size
 
-    base = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    folded = base.select("doc_id", "text_hash", folded_words(F.col("text")).alias("folded"))
-    found = folded.select("doc_id", "text_hash", *(grams("folded", gram(n)).alias(f"g{n}") for n in lengths))
-    prints = found.select("doc_id", "text_hash", F.array_distinct(F.concat(F.array().cast("array<bigint>"), *(minima("g8") if n == SPAN else F.col(f"g{n}") for n in lengths))).alias("prints"))
+    folded = docs.select("rid", folded_words(F.col("text")).alias("folded"))
+    found = folded.select("rid", *(grams("folded", gram(n)).alias(f"g{n}") for n in lengths))
+    prints = found.select("rid", F.array_distinct(F.concat(F.array().cast("array<bigint>"), *(minima("g8") if n == SPAN else F.col(f"g{n}") for n in lengths))).alias("prints"))
     # explode_outer: for explode, the optimiser would repeat the array inside a filter, once for each element
-    training = prints.select("doc_id", "text_hash", F.explode_outer("prints").alias("h"))
+    training = prints.select("rid", F.explode_outer("prints").alias("h"))
     wanted = known.select("h").distinct()
-    same = training.join(sized(wanted, n_windows, BROADCAST_HITS), "h").groupBy("doc_id", "text_hash").agg(F.collect_set("h").alias("hs"))
+    same = training.join(sized(wanted, n_windows, BROADCAST_HITS), "h").groupBy("rid").agg(F.collect_set("h").alias("hs"))
     same = materialize(same, "fingerprint-hits", scope)
 
-    near = sized(same.withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"}), same.count(), BROADCAST_HITS)
-    whole = base.join(near, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")))
-    whole = whole.select("doc_id", "text_hash", "hs", exact_words(F.col("text")).alias("words"), folded_words(F.col("text")).alias("folded"))
+    whole = joined(docs, same, "rid").select("rid", "hs", exact_words(F.col("text")).alias("words"), folded_words(F.col("text")).alias("folded"))
     spots = []
     for n in lengths:
-        g = whole.select("doc_id", "text_hash", "hs", "words", grams("folded", gram(n)).alias("g"))
+        g = whole.select("rid", "hs", "words", grams("folded", gram(n)).alias("g"))
         place = F.filter(F.transform("g", lambda h, i: F.struct(i.alias("at"), h.alias("h"))), lambda x: F.array_contains("hs", x["h"]))
-        g = g.select("doc_id", "text_hash", F.explode_outer(F.transform(place, lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"), F.slice("words", F.greatest(x["at"] - SPAN + 2, F.lit(1)), 2 * SPAN).alias("near"), F.greatest(x["at"] - SPAN + 1, F.lit(0)).alias("first")))).alias("x"))
-        spots.append(g.select("doc_id", "text_hash", "x.*", F.lit(n).alias("size")).where(F.col("h").isNotNull()))
-    none = whole.select("doc_id", "text_hash", F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("h"), "words", F.lit(0).alias("first"), F.lit(0).alias("size")).where(F.lit(False)).withColumnRenamed("words", "near")
+        g = g.select("rid", F.explode_outer(F.transform(place, lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"), F.slice("words", F.greatest(x["at"] - SPAN + 2, F.lit(1)), 2 * SPAN).alias("near"), F.greatest(x["at"] - SPAN + 1, F.lit(0)).alias("first")))).alias("x"))
+        spots.append(g.select("rid", "x.*", F.lit(n).alias("size")).where(F.col("h").isNotNull()))
+    none = whole.select("rid", F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("h"), "words", F.lit(0).alias("first"), F.lit(0).alias("size")).where(F.lit(False)).withColumnRenamed("words", "near")
     spot = reduce(DataFrame.unionByName, spots, none)
     window = sized(known.withColumnsRenamed({"words": "window"}), n_windows, BROADCAST_HITS)
     start = F.col("at") - F.col("skip")
     met = spot.join(window, ["h", "size"]).where(start >= 0)
     met = met.where(F.slice("near", F.greatest(start - F.col("first") + 1, F.lit(1)), F.col("size")) == F.col("window"))
-    return met.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(start.alias("start"), F.col("size").alias("size"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    return met.groupBy("rid").agg(F.collect_set(F.struct(start.alias("start"), F.col("size").alias("size"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def hit_words(spans: str) -> Column:
@@ -120,31 +117,36 @@ def hit_words(spans: str) -> Column:
     return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1))))
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: str | None = None) -> DataFrame:
-    """The columns of ``docs`` and ``_hit`` (word indices), ``_items``, both null where nothing occurs."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    found = hits(rows, windows(benchmark), scope).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), hit_words("spans").alias("_hit"), F.col("items").alias("_items"))
+def with_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, scope: str | None = None) -> DataFrame:
+    """(row, text, hit, items): the rows of ``docs``, packed, with word indices and items; null where nothing occurs.
+
+    Rows are known by a hash of id and text.
+    """
+    inner = new_scope("decontamination")
+    text = text_of(f"`{text_col}`")
+    rows = packed(docs, rid=F.xxhash64(F.col(f"`{id_col}`"), text), text=text)
+    found = hits(rows.select("rid", "text"), windows(benchmark), inner).select("rid", hit_words("spans").alias("hit"), "items")
     found = materialize(found, "decontamination-hits", scope)
-    found = sized(found, found.count(), BROADCAST_HITS)
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_hash")), "left").drop("_id", "_hash")
+    sweep(docs.sparkSession, inner)
+    return joined(rows, found, "rid", "left").drop("rid")
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_items: int = 2, scope: str | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Null texts have no words. Items without words, and null items, match
-    nothing. Rows that repeat get equal results; with an empty benchmark no
-    word is hit.
+    Null and empty texts have no words. Items without words, and null items,
+    match nothing; items of equal text all count. Rows that repeat get equal
+    results, rows without an id their text's. With an empty benchmark no word
+    is hit; an empty table gives no rows. Texts are taken whole: a task holds
+    the words and hashes of one at a time.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    n_items = F.coalesce(F.size("_items"), F.lit(0))
-    n_items = F.when(F.col("_items").isNull(), 0).otherwise(n_items)
-    return with_hits(rows, benchmark, scope=scope).select(
-        "doc_id",
+    n_items = F.when(F.col("items").isNull(), 0).otherwise(F.size("items"))
+    return with_hits(docs, benchmark, id_col, text_col, scope).select(
+        F.col(f"row.`{id_col}`").alias("doc_id"),
         F.regexp_count("text", F.lit(ANY_WORD)).cast("long").alias("n_words"),
-        F.when(F.col("_hit").isNull(), 0).otherwise(F.size("_hit")).cast("long").alias("n_hit"),
+        F.when(F.col("hit").isNull(), 0).otherwise(F.size("hit")).cast("long").alias("n_hit"),
         n_items.cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("_items", ","), F.lit("")), 256).alias("items_sha256"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         (n_items >= least_items).alias("contaminated"),
     )
 
@@ -152,13 +154,15 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str =
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_items: int = 2, scope: str | None = None) -> DataFrame:
     """``docs`` without those that hold ``least_items`` items or more; the others lose the words hit.
 
-    A word goes with what stands between it and the next. Columns stay as they are.
+    A word goes with what stands between it and the next. Columns stay as they
+    are, and no column name is taken. Cases are those of the report.
     """
-    found = with_hits(docs, benchmark, id_col, text_col, scope).where(F.col("_items").isNull() | (F.size("_items") < least_items))
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(ANY_WORD + NOT_WORD), F.lit(0))
-    left = F.filter(pieces, lambda x, i: ~F.array_contains("_hit", i))
-    cut = F.concat(F.regexp_extract(F.col(text_col), "^" + NOT_WORD, 0), F.array_join(left, ""))
-    return found.withColumn(text_col, F.when(F.col("_hit").isNull(), F.col(text_col)).otherwise(cut)).drop("_hit", "_items")
+    found = with_hits(docs, benchmark, id_col, text_col, scope).where(F.col("items").isNull() | (F.size("items") < least_items))
+    words = F.regexp_extract_all("text", F.lit(ANY_WORD + NOT_WORD), F.lit(0))
+    left = F.array_except(F.sequence(F.lit(0), F.size(words) - 1), F.col("hit"))
+    cut = F.concat(F.regexp_extract("text", "^" + NOT_WORD, 0), F.array_join(F.transform(left, lambda i: F.get(words, i)), ""))
+    text = F.when(F.col("hit").isNull(), F.col(f"row.`{text_col}`")).otherwise(cut)
+    return found.select(*((text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 #: DuckDB: every window of every item against every document, word for word.

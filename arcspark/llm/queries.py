@@ -62,6 +62,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chat(table(spark, sf_dir, "conversations"))
 
 
+def chat_quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's operator over all conversations after some of their replies were made to quote."""
+    return chat.format_chat(chat.with_quotes(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,10 +80,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_best_fit_packing,
         op10_chat_formatting,
+        chat_quoted_replies,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_benchmark_decontamination": decontamination.REPORT_SQL,
     "op10_chat_formatting": chat.FORMAT_SQL,
+    "chat_quoted_replies": chat.QUOTED_SQL,
 }

@@ -28,21 +28,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcspark.llm.common import id_and_text, materialize, mix, sized, text_of
+from arcspark.llm.common import CACHE_WORDS, Kept, id_and_text, in_runs, joined, materialize, mix, new_scope, packed, sized, sweep, text_of
 from arcspark.llm.language import id_remainder
 
 #: Kneser-Ney discount; pooled count below which an n-gram is rare; letters of a stem.
 DISCOUNT, MIN_COUNT, STEM = 0.75, 4, 4
 #: Nats of evidence at which a difference is as likely real as not.
 DOUBT = 10.0
-#: N-grams that are broadcast; past it the join shuffles. Bits of the cells that tell what to send.
-LOCAL, CELL_BITS = 400_000, 27
-#: Characters of the texts that are measured at once.
-RUN = 1_000_000
+#: N-grams that are broadcast, at 12 bytes each; past it the join shuffles. Bits of the cells that tell what to send.
+LOCAL, CELL_BITS = 3_000_000, 27
 #: Rows of each class that the calibration is fitted on at most.
 CALIBRATION_ROWS = 20_000
-#: Bigrams that a task holds before it passes their counts on; tokens whose codes a worker keeps.
-HELD, CODES = 2_000_000, 500_000
+#: Bigrams that a task holds before it passes their counts on.
+HELD = 1_000_000
 
 _NOT_WORD = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 #: A bigram in one number: 20 bits of the stem, 20 of the word within it, 24 of the word before.
@@ -56,11 +54,11 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_NOT_WORD).split()
 
 
-class _Codes(dict):
+class _Codes(Kept):
     """Token -> its stem's and its own bits of a bigram, and in the low bits what the next token has of it."""
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) >= CODES:
+        if len(self) >= CACHE_WORDS:
             self.clear()
         own, stem = xxhash.xxh3_64_intdigest(token), xxhash.xxh3_64_intdigest(token[:STEM])
         word = own & ((1 << WORD_BITS) - 1)
@@ -74,7 +72,7 @@ _BEFORE = np.uint64((1 << BEFORE_BITS) - 1)
 
 def keys_of(tokens: list[bytes]) -> np.ndarray:
     """The bigram of each token, as one number."""
-    codes = np.fromiter(map(_codes.__getitem__, tokens), np.uint64, len(tokens))
+    codes = np.fromiter(map(_codes.take().__getitem__, tokens), np.uint64, len(tokens))
     before = np.concatenate([np.asarray([_START], np.uint64), codes[:-1] & _BEFORE])
     return codes & ~_BEFORE | before
 
@@ -111,7 +109,7 @@ def bigram_counts(rows: DataFrame) -> DataFrame:
             yield out()
 
     parts = rows.mapInArrow(count, "key long, toxic int, ordinary int")
-    return parts.groupBy("key").agg(F.sum("toxic").cast("int").alias("toxic"), F.sum("ordinary").cast("int").alias("ordinary"))
+    return parts.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def _less(n: Column) -> Column:
@@ -149,17 +147,6 @@ class Model:
         return 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(35.0)), F.lit(-35.0))))
 
 
-def _in_runs(batches):
-    """Texts in runs of about RUN characters, so that the tokens of few are held at once."""
-    for batch in batches:
-        texts, size, start = batch.column(batch.num_columns - 1).to_pylist(), 0, 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= RUN or i == len(texts) - 1:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
-
-
 def _measure(texts: list[str], names: np.ndarray, adds: np.ndarray, cells: np.ndarray | None):
     """Per text its length and the sum over the n-grams held; and (text, name, times) of those that may be in the rest."""
     keys = [keys_of(words(t)) for t in texts]
@@ -194,19 +181,23 @@ def measured(rows: DataFrame, model: Model, scope: str | None = None) -> DataFra
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
 
     def whole(batches):
-        for batch, texts in _in_runs(batches):
-            n, total, _ = _measure(texts, *shared.value)
-            yield pa.record_batch([*batch.columns[:-1], pa.array(n), pa.array(total)], [*kept, "n", "total"])
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for a, b in in_runs(texts):
+                n, total, _ = _measure(texts[a:b], *shared.value)
+                yield pa.record_batch([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(n), pa.array(total)], [*kept, "n", "total"])
 
     if model.rest is None:
         return rows.mapInArrow(whole, f"{fields}, n long, total double")
 
     def parts(batches):
-        for batch, texts in _in_runs(batches):
-            n, total, (who, name, times) = _measure(texts, *shared.value)
-            ids, empty = batch.column(0), pa.nulls(len(who), pa.int64())
-            yield pa.record_batch([ids, pa.array(n), pa.array(total), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], _PARTS)
-            yield pa.record_batch([ids.take(pa.array(who)), empty, empty.cast(pa.float64()), pa.array(name), pa.array(times)], _PARTS)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in in_runs(texts):
+                n, total, (who, name, times) = _measure(texts[a:b], *shared.value)
+                ids, empty = batch.column(0).slice(a, b - a), pa.nulls(len(who), pa.int64())
+                yield pa.record_batch([ids, pa.array(n), pa.array(total), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], _PARTS)
+                yield pa.record_batch([ids.take(pa.array(who)), empty, empty.cast(pa.float64()), pa.array(name), pa.array(times)], _PARTS)
 
     # a text is known by its hash; rows of equal texts send the same parts, so sums are over their number
     text = rows.select(*kept, F.xxhash64("text").alias("_text"), "text")
@@ -239,7 +230,7 @@ def _placed(entries: DataFrame, scope: str | None) -> tuple[np.ndarray, np.ndarr
             least, held = r["grade"], total
     near = entries.where(F.col("grade") >= least) if held else entries.where("false")
     got = near.select("name", "add").toArrow()
-    names, adds = got.column("name").to_numpy().view(np.uint64), got.column("add").to_numpy()
+    names, adds = got.column("name").to_numpy().view(np.uint64), got.column("add").to_numpy().astype(np.float32)
     order = np.argsort(names)
     if held == total:
         return names[order], adds[order], None, None
@@ -354,19 +345,31 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, i
     (``docs`` if not given). A document with several labels counts as toxic if
     one says so; null labels are left out. Null and empty texts score as a
     text of no evidence. Without labelled rows of both classes no text is
-    rejected.
+    rejected. Rows that repeat score alike and are learnt from each; rows
+    without an id fall into the fold of an empty id and have no label. Texts
+    are taken whole. An empty table gives no rows; other columns are not
+    looked at.
     """
     source = docs if learn_from is None else learn_from
-    model = learn(learnable(source, labels, id_col, text_col, folds, held), scope)
+    inner = new_scope("toxicity")
+    model = learn(learnable(source, labels, id_col, text_col, folds, held), inner)
     rows = docs.select(F.col(id_col).alias("doc_id"), (id_remainder(id_col, folds) == held).alias("held_out"), text_of(text_col).alias("text"))
-    scored = measured(rows, model, scope).select("doc_id", "held_out", model.score(F.col("n"), F.col("total")).alias("score"))
+    found = measured(rows, model, scope)
+    sweep(docs.sparkSession, inner)
+    scored = found.select("doc_id", "held_out", model.score(F.col("n"), F.col("total")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1, scope: str | None = None) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, their columns as they are."""
-    model = learn(learnable(docs, labels, id_col, text_col, folds, held), scope)
-    text = text_of(text_col)
-    found = measured(docs.select(F.xxhash64(text).alias("_text"), text.alias("text")), model, scope)
-    gone = materialize(found.where(model.score(F.col("n"), F.col("total")) >= threshold).select("_text").distinct(), "toxicity-gone", scope)
-    return docs.withColumn("_text", F.xxhash64(text)).join(sized(gone, gone.count()), "_text", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that score below ``threshold``, their columns as they are.
+
+    Cases are those of ``score_toxicity``; equal texts are judged alike. An
+    empty table stays empty, and no column name is taken.
+    """
+    inner = new_scope("toxicity")
+    model = learn(learnable(docs, labels, id_col, text_col, folds, held), inner)
+    rows = packed(docs, tid=F.xxhash64(text_of(f"`{text_col}`")), text=text_of(f"`{text_col}`"))
+    found = measured(rows.select("tid", "text"), model, inner)
+    gone = materialize(found.where(model.score(F.col("n"), F.col("total")) >= threshold).select("tid").distinct(), "toxicity-gone", scope)
+    sweep(docs.sparkSession, inner)
+    return joined(rows.drop("text"), gone, "tid", "left_anti").select("row.*")

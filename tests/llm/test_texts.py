@@ -197,17 +197,51 @@ def test_toxicity_counts_every_bigram_of_a_document(spark):
     assert found == want
 
 
+def chat_rows(spark, rows):
+    return chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "user", "How do I sort a list?\nIt has numbers."), (1, 1, "assistant", "Use sorted()."), (1, 2, "user", "> How do I  SORT a list?\nIn place, please."),
         (1, 3, "assistant", ">> how do i sort a list?\n> In place, please.\nUse list.sort()."), (1, 5, "user", "> something nobody said\nHello?"),
-        (2, 0, "user", None), (2, 1, "user", ""), (None, 1, "user", "x"), (3, None, "user", "y"), (1, 1, "assistant", "Use sorted()."),
+        (2, 0, "user", None), (2, 1, "user", ""), (None, 1, "user", "x"), (3, None, "user", "y"), (1, 1, "assistant", "Use sorted()."), (1, 6, "user", ">>> use sorted().\nNo"),
     ]
-    found = sorted((tuple(r) for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()), key=repr)
-    by_turn = {(r[0], r[1]): r[3:] for r in found}
+    found = chat_rows(spark, rows)
+    by_turn = {(r.conv_id, r.turn): r for r in found}
     assert len(found) == len(rows)
-    assert by_turn[1, 2] == ("In place, please.", 0, 0, 1, 1, 1)
-    assert by_turn[1, 3] == ("Use list.sort().", 2, 0, 2, 2, 1)
-    assert by_turn[1, 5][1:] == (None, 5, 0, 1, 0)
-    assert by_turn[2, 1] == ("", 0, 0, 1, 0, 0)
+    what = lambda c, t: tuple(by_turn[c, t])[3:]
+    assert what(1, 2) == ("In place, please.", 0, 0, 1, 3, 1, 1, "0")
+    assert what(1, 3) == ("Use list.sort().", 2, 0, 2, 4, 2, 1, "0,2")
+    assert what(1, 5)[1:] == (None, 5, 0, 5, 1, 0, "")
+    assert what(1, 6) == ("No", 1, 0, 2, 2, 1, 1, "1")
+    assert what(2, 1) == ("", 0, 0, 1, 1, 0, 0, "")
     assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 4096])
+def test_chat_reply_order(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    rng = random.Random(block)
+    rows, parents = [], {}
+    for conv in range(4):
+        for turn in range(25):
+            parent = rng.randrange(turn) if turn and rng.random() < 0.5 else turn - 1 if turn else None
+            if turn and rng.random() < 0.1:
+                continue  # a gap: what comes after begins a thread, unless it quotes
+            if parent is not None and (conv, parent) not in parents:
+                parent = None
+            quote = f"> c{conv} t{parent}\n" if parent is not None and parent != turn - 1 else ""
+            if not quote:
+                parent = turn - 1 if (conv, turn - 1) in parents else None
+            parents[conv, turn] = parent
+            rows.append((conv, turn, "user", f"{quote}c{conv} t{turn}"))
+
+    def path(conv, turn):
+        return (*(path(conv, parents[conv, turn]) if parents[conv, turn] is not None else ()), turn)
+
+    want = {}
+    for conv in range(4):
+        order = sorted(path(c, t) for c, t in parents if c == conv)
+        want |= {(conv, p[-1]): (parents[conv, p[-1]], p[0], len(p) - 1, k) for k, p in enumerate(order)}
+    assert {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth, r.reply_order) for r in chat_rows(spark, rows)} == want
