@@ -68,8 +68,8 @@ def concat_escaped(parts: Column, separator: str = ",") -> Column:
 
 # --------------------------------------------------------------------- base64
 
+# The standard alphabet, and one whose order is that of the bytes it encodes.
 _STANDARD = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-#: Alphabet whose order is that of the bytes it encodes.
 _ORDERED = "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"
 
 
@@ -227,3 +227,72 @@ def hex_dump(data: bytes, offset: int = 0) -> str:
         shown = "".join(chr(b) if 0x20 <= b < 0x7F else "." for b in part)
         rows.append(f"{offset + i:08X} {' '.join(f'{b:02X}' for b in part):<48}{shown}")
     return "\n".join(rows)
+
+
+# --------------------------------------------------------------- column forms
+
+
+def _column(kind, of, *, per_row: int = 1):
+    """A pandas UDF of ``of``; what it can't read is null, as with Spark's try functions."""
+
+    def one(*values):
+        if any(v is None for v in values):
+            return None
+        try:
+            return of(*values)
+        except (ValueError, IndexError):
+            return None
+
+    if per_row == 1:
+
+        @F.pandas_udf(kind)
+        def mapped(a: pd.Series) -> pd.Series:
+            return pd.Series([one(None if v is None else v) for v in a], dtype="object")
+
+        return mapped
+
+    @F.pandas_udf(kind)
+    def mapped_two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="object")
+
+    return mapped_two
+
+
+def unescaped(text: Column, chars: str = ",") -> Column:
+    """The text without escapes; null where one is wrong."""
+    return _column(schemas.S, lambda t: unescape(t, chars))(text)
+
+
+def split_escaped_of(text: Column, separator: str = ",") -> Column:
+    """The parts of an escaped list; null where an escape is wrong."""
+    return _column(schemas.STRINGS, lambda t: split_escaped(t, separator))(text)
+
+
+def parsed_long(data: Column, radix: Column) -> Column:
+    """A signed number in ``radix``; null beyond 64 bits or for any other character."""
+    return _column(schemas.L, lambda d, r: parse_long(bytes(d), int(r)), per_row=2)(data.cast("binary"), radix)
+
+
+def vlong_bytes(value: Column) -> Column:
+    return _column(schemas.B, lambda v: vlong_encode(int(v)))(value)
+
+
+def vlong_value(data: Column) -> Column:
+    """The number that the data begin with."""
+    return _column(schemas.L, lambda d: vlong_decode(bytes(d))[0])(data)
+
+
+def bit_at(data: Column, i: Column) -> Column:
+    """Bit ``i`` of a bit stream, as built-in functions have it."""
+    byte = F.conv(F.hex(F.substring(data, F.shiftright(i, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, i.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1))
+
+
+def gunzipped_to(limit: int):
+    """``gunzipped`` that stops after ``limit`` bytes."""
+
+    @F.pandas_udf(schemas.GUNZIPPED)
+    def unpack(data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([gunzip_best_effort(bytes(x), limit) if x is not None else (None, None) for x in data], columns=["data", "was_truncated"])
+
+    return unpack

@@ -6,7 +6,7 @@ import re
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcspark import schemas
@@ -36,6 +36,46 @@ def suffix_rules(text: str = SUFFIXES) -> dict[str, frozenset[str]]:
     return {k: frozenset(v) for k, v in rules.items()}
 
 
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(rule) of a public-suffix file: a rule a line, up to the first blank; ``//`` begins a comment."""
+    rule = F.lower(F.regexp_extract("value", r"^\s*(\S+)", 1))
+    return spark.read.text(path).select(rule.alias("rule")).where("rule <> '' AND rule NOT LIKE '//%'").distinct()
+
+
+def rules_table(spark: SparkSession, text: str = SUFFIXES) -> DataFrame:
+    return spark.createDataFrame([(r,) for r in text.split()], "rule string")
+
+
+#: Rules that may be broadcast (the public list has about ten thousand); labels of the longest rule.
+MOST_RULES, MOST_LABELS = 100_000, 6
+
+
+def with_suffix(hosts: DataFrame, host: str, rules: DataFrame) -> DataFrame:
+    """``hosts`` and ``suffix``, ``registrable``: by a join with the rules, in built-in functions alone.
+
+    The longest rule counts, and an exception before any other: it is a suffix
+    without its first label. A wildcard stands for one label. Hosts without a
+    rule have neither, and one that is a suffix itself has no registrable name.
+    """
+    known = hosts.select(F.col(host).alias("name")).where(F.col(host).isNotNull()).distinct()
+    labels = F.split(F.regexp_replace(F.lower("name"), r"\.$", ""), r"\.")
+    each = known.select("name", labels.alias("labels"), F.explode(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MOST_LABELS)))).alias("k"))
+    last = lambda k: F.array_join(F.slice("labels", F.size("labels") - k + 1, k), ".")
+    k = F.col("k")
+    tries = F.array(
+        F.struct(last(k).alias("rule"), F.lit(0).alias("first"), k.alias("n")),
+        F.struct(F.concat(F.lit("*."), last(F.greatest(k - 1, F.lit(0)))).alias("rule"), F.lit(0).alias("first"), k.alias("n")),
+        F.struct(F.concat(F.lit("!"), last(k)).alias("rule"), F.lit(1).alias("first"), (k - 1).alias("n")),
+    )
+    asked = each.select("name", "labels", F.explode(tries).alias("t")).select("name", "labels", "t.*")
+    side = F.broadcast(rules) if rules.count() <= MOST_RULES else rules
+    found = asked.join(side.select("rule").distinct(), "rule").groupBy("name").agg(F.max(F.struct("first", "n", "labels")).alias("x"))
+    n = F.col("x.n")
+    tail = lambda k: F.array_join(F.slice("x.labels", F.size("x.labels") - k + 1, k), ".")
+    found = found.select(F.col("name").alias(host), tail(n).alias("suffix"), F.when(F.size("x.labels") > n, tail(n + 1)).alias("registrable"))
+    return hosts.join(found, host, "left")
+
+
 def _depth(host: str, rules: dict[str, frozenset[str]]) -> tuple[list[str], int] | None:
     """Labels and how many of them are the suffix."""
     host = host.removesuffix(".").removeprefix("*")

@@ -55,6 +55,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x & _TOP else x
 
 
+def start_of(degree: int) -> int:
+    """What a fingerprint of no bytes begins with; bytes are folded in by the same number."""
+    return _overflow(degree)
+
+
 def rabin_bytes(data: bytes, degree: int = 64) -> int:
     """Fingerprint of a byte string as a signed long; that of no bytes is the polynomial."""
     f = _overflow(degree)
@@ -91,7 +96,7 @@ def _int32(x: int) -> int:
 
 
 def murmur2(data: bytes, seed: int = 0) -> int:
-    """32-bit Murmur2; the bytes after the last four are taken as signed."""
+    """32-bit Murmur2; the bytes after the last whole four are signed, the first of them the highest."""
     m, h = 0x5BD1E995, (seed ^ len(data)) & 0xFFFFFFFF
     whole = len(data) // 4 * 4
     for i in range(0, whole, 4):
@@ -100,16 +105,71 @@ def murmur2(data: bytes, seed: int = 0) -> int:
         h = (h * m & 0xFFFFFFFF) ^ k
     rest = [b - 256 if b > 127 else b for b in data[whole:]]
     if rest:
-        for i in reversed(range(len(rest))):
-            h ^= rest[i] << 8 * i & 0xFFFFFFFF
+        for i, b in enumerate(reversed(rest)):
+            h ^= b << 8 * i & 0xFFFFFFFF
         h = h * m & 0xFFFFFFFF
     h = (h ^ h >> 13) * m & 0xFFFFFFFF
     return _int32(h ^ h >> 15)
 
 
+def murmur2_many(data: list[bytes], seeds: np.ndarray | int = 0) -> np.ndarray:
+    """``murmur2`` of many byte strings, four bytes of all of them at a time; as unsigned numbers."""
+    n = np.fromiter(map(len, data), np.int64, len(data))
+    out = np.zeros(len(data), np.uint32)
+    seeds = np.broadcast_to(np.asarray(seeds, np.uint32), len(data))
+    m = np.uint32(0x5BD1E995)
+    for size in np.unique(n):
+        which = np.flatnonzero(n == size)
+        rows = np.frombuffer(b"".join(data[i] for i in which), np.uint8).reshape(len(which), size)
+        h = seeds[which] ^ np.uint32(size)
+        whole = size // 4 * 4
+        words = np.ascontiguousarray(rows[:, :whole]).view("<u4")
+        with np.errstate(over="ignore"):
+            for j in range(whole // 4):
+                k = words[:, j] * m
+                h = h * m ^ (k ^ k >> np.uint32(24)) * m
+            for i in range(size - whole):
+                h = h ^ rows[:, size - 1 - i].view(np.int8).astype(np.int32).view(np.uint32) << np.uint32(8 * i)
+            if size > whole:
+                h = h * m
+            h = (h ^ h >> np.uint32(13)) * m
+        out[which] = h ^ h >> np.uint32(15)
+    return out
+
+
+def _to_bytes(value) -> bytes:
+    """Text as UTF-8, whole numbers as 4 or 8 bytes by their type, floats as their bits, booleans as one byte; high bytes first."""
+    if isinstance(value, str):
+        return value.encode("utf-8", "surrogatepass")
+    if isinstance(value, (bool, np.bool_)):
+        return b"\1" if value else b"\0"
+    if isinstance(value, (np.int32, np.float32)):
+        return value.astype(value.dtype.newbyteorder(">")).tobytes()
+    if isinstance(value, (int, np.integer)):
+        return int(value).to_bytes(8, "big", signed=True)
+    if isinstance(value, (float, np.floating)):
+        return np.asarray(value, ">f8").tobytes()
+    return bytes(value)
+
+
+def _mapped(values: pd.Series, of) -> pd.Series:
+    """``of`` (a list of byte strings -> numbers) for all that isn't null."""
+    known = values.notna().to_numpy()
+    out = pd.Series(pd.NA, index=values.index, dtype="Int32")
+    if known.any():
+        out[known] = of([_to_bytes(v) for v in values[known]])
+    return out
+
+
+@F.pandas_udf(schemas.I)
+def murmur2_of(values: pd.Series) -> pd.Series:
+    """Murmur2 of text, bytes, numbers or booleans."""
+    return _mapped(values, lambda data: murmur2_many(data).view(np.int32))
+
+
 @F.pandas_udf(schemas.I)
 def murmur2_text(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: murmur2(t.encode()), na_action="ignore").astype("Int32")
+    return _mapped(texts, lambda data: murmur2_many(data).view(np.int32))
 
 
 @cache
@@ -130,9 +190,21 @@ def crc16(data: bytes, start: int = 0) -> int:
     return start
 
 
+def crc16_many(data: list[bytes]) -> np.ndarray:
+    """``crc16`` of many byte strings, a byte of all of them at a time."""
+    table, n = np.asarray(_crc16(), np.int32), np.fromiter(map(len, data), np.int64, len(data))
+    order = np.argsort(-n, kind="stable")
+    flat, starts = np.frombuffer(b"".join(data), np.uint8), np.cumsum(n) - n
+    out = np.zeros(len(data), np.int32)
+    for j in range(int(n.max(initial=0))):
+        live = order[: np.searchsorted(-n[order], -j, "left")]
+        out[live] = out[live] >> 8 ^ table[(out[live] ^ flat[starts[live] + j]) & 0xFF]
+    return out
+
+
 @F.pandas_udf(schemas.I)
 def crc16_of(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: crc16(bytes(x)), na_action="ignore").astype("Int32")
+    return _mapped(data, crc16_many)
 
 
 def md5_signature(data: Column) -> Column:

@@ -89,17 +89,19 @@ def content_of(value: Column) -> Column:
     return F.call_function("substring", value, split_value(value)["header_length"] + 1)
 
 
-def item_of(value: Column, url: Column) -> Column:
-    """A raw record's value -> the item's columns, with built-in functions alone."""
-    from arcspark.sources.members import HOST_IP, MIME_TYPE, TIMESTAMP
+def item_of(value: Column, url: Column, prefix: str | None = None) -> Column:
+    """A raw record's value -> the item's columns, with built-in functions alone; ``prefix`` is that of the own headers' names."""
+    from arcspark.sources.members import HOST_IP, MIME_TYPE, PREFIX, TIMESTAMP
+
+    prefix = PREFIX if prefix is None else prefix
 
     head = F.decode(F.call_function("substring", value, F.lit(1), split_value(value)["header_length"]), "UTF-8")
     lines = F.filter(F.split(head, "\r\n"), lambda x: x != "")
     usable = lambda x: (F.instr(x, ":") > 0) & ~x.endswith(":")
     headers = F.transform(lines, lambda x: F.when(usable(x), header(F.substring_index(x, ":", 1), F.regexp_replace(x, "^[^:]*:", ""))).otherwise(header(None, x)))
     return F.struct(
-        url.alias("uri"), find(headers, HOST_IP).alias("host_ip"), F.unix_millis(F.try_to_timestamp(find(headers, TIMESTAMP), F.lit("yyyyMMddHHmmss"))).alias("timestamp"),
-        find(headers, MIME_TYPE).alias("mime_type"), F.octet_length(value).alias("record_length"), headers.alias("header_items"), content_of(value).alias("content"),
+        url.alias("uri"), find(headers, prefix + HOST_IP).alias("host_ip"), F.unix_millis(F.try_to_timestamp(find(headers, prefix + TIMESTAMP), F.lit("yyyyMMddHHmmss"))).alias("timestamp"),
+        find(headers, prefix + MIME_TYPE).alias("mime_type"), F.octet_length(value).alias("record_length"), headers.alias("header_items"), content_of(value).alias("content"),
     )
 
 

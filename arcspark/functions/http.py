@@ -79,10 +79,19 @@ def ts14_millis(text: Column) -> Column:
     return F.unix_millis(F.try_to_timestamp(text, F.lit("yyyyMMddHHmmss")))
 
 
-def format_millis(millis: Column, zone: str = "America/Los_Angeles") -> Column:
-    """``yyyy.MM.dd at hh:mm:ss``, empty for -1."""
-    shown = F.date_format(F.from_utc_timestamp(F.timestamp_millis(millis), zone), "yyyy.MM.dd 'at' hh:mm:ss")
-    return F.when(millis == -1, "").otherwise(shown)
+#: Short names of the default zone's two offsets from UTC, in hours.
+ZONE_NAMES = {-8: "PST", -7: "PDT"}
+
+
+def format_millis(millis: Column, zone: str = "America/Los_Angeles", names: dict[int, str] | None = None) -> Column:
+    """``yyyy.MM.dd at hh:mm:ss`` and the zone's short name (its offset if it has none), empty for -1."""
+    utc = F.timestamp_millis(millis)
+    there = F.from_utc_timestamp(utc, zone)
+    seconds = F.unix_timestamp(there) - F.unix_timestamp(utc)
+    name = F.concat(F.lit("GMT"), F.when(seconds < 0, "-").otherwise("+"), F.lpad(F.floor(F.abs(seconds) / 3600).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.floor(F.abs(seconds) / 60) % 60).cast("string"), 2, "0"))
+    for hours, short in (ZONE_NAMES if names is None else names).items():
+        name = F.when(seconds == hours * 3600, short).otherwise(name)
+    return F.when(millis == -1, "").otherwise(F.concat(F.date_format(there, "yyyy.MM.dd 'at' hh:mm:ss "), name))
 
 
 # ------------------------------------------------------------------ charsets
@@ -90,9 +99,9 @@ def format_millis(millis: Column, zone: str = "America/Los_Angeles") -> Column:
 #: Names that Python spells otherwise or doesn't know; every other alias is Python's own.
 ALIASES = {
     "shift_jis": "cp932", "shift-jis": "cp932", "sjis": "cp932", "x-sjis": "cp932", "windows-31j": "cp932", "ms_kanji": "cp932",
-    "euc-jp": "euc_jp", "x-euc-jp": "euc_jp", "x-euc-tw": "big5hkscs", "ks_c_5601-1987": "cp949", "ks_c_5601": "cp949", "x-windows-949": "cp949",
+    "euc-jp": "euc_jp", "x-euc-jp": "euc_jp", "ks_c_5601-1987": "cp949", "ks_c_5601": "cp949", "x-windows-949": "cp949",
     "gb_2312-80": "gb2312", "x-gbk": "gbk", "gb2312": "gbk", "big5": "big5hkscs", "iso-8859-1": "cp1252", "latin1": "cp1252", "us-ascii": "ascii",
-    "x-mac-roman": "mac_roman", "macintosh": "mac_roman", "unicode": "utf_16", "x-utf-8": "utf_8", "iso-2022-cn": "hz",
+    "x-mac-roman": "mac_roman", "macintosh": "mac_roman", "unicode": "utf_16", "x-utf-8": "utf_8",
 }
 
 
@@ -168,14 +177,14 @@ def _likely(data: bytes, codec: str) -> float:
 CANDIDATES = [("Shift_JIS", "cp932"), ("EUC-JP", "euc_jp"), ("EUC-KR", "euc_kr"), ("GB2312", "gb2312"), ("Big5", "big5"), ("GB18030", "gb18030")]
 
 
-def detect_charset(content: bytes) -> str | None:
-    """The likeliest charset of the first 16,000 bytes; ASCII for plain text, None for none.
+def detect_charset(content: bytes, most: int | None = None) -> str | None:
+    """The likeliest charset of the content, or of its first ``most`` bytes; ASCII for plain text, None for none.
 
     Marks and escape sequences decide first, then valid UTF-8, then the
     double-byte charset whose characters are most at home; windows-1252 is
     what is left. Approximate where several fit.
     """
-    data = bytes(content[:16000])
+    data = bytes(content if most is None else content[:most])
     if not data:
         return None
     for mark, name in ((b"\xef\xbb\xbf", "UTF-8"), (b"\xfe\xff", "UTF-16BE"), (b"\xff\xfe", "UTF-16LE")):

@@ -46,10 +46,25 @@ def socket_address(text: Column) -> Column:
     return F.struct(F.substring_index(text, ":", 1).alias("host"), F.regexp_extract(text, "^[^:]*:([0-9]+)$", 1).try_cast("int").alias("port"))
 
 
-def path_for_id(number: int, fan_out: int = 256, levels: int = 3) -> str:
-    """A folder for each level of a numeric id, the lowest digits last."""
-    parts = []
-    for _ in range(levels):
-        number, rest = divmod(number, fan_out)
-        parts.append(f"{rest:02x}")
-    return "/".join(reversed(parts))
+# Ids that the folders tell apart, and names in a folder.
+IDS, FAN_OUT = 100_000_000, 100
+
+
+def path_for_id(number: int, ids: int = IDS, fan_out: int = FAN_OUT) -> str:
+    """Folders of an id: decimal digits in base ``fan_out`` of its remainder by ``ids``, high ones first, and the id itself as the last name."""
+    rest, unit, parts = abs(number) % ids, ids // fan_out, []
+    while unit > 1:
+        part, rest = divmod(rest, unit)
+        parts.append(str(part))
+        unit //= fan_out
+    return "/".join([*parts, str(number)])
+
+
+def path_for_id_of(number: Column, ids: int = IDS, fan_out: int = FAN_OUT) -> Column:
+    """``path_for_id`` with built-in functions alone."""
+    rest, unit, parts = F.abs(number) % ids, ids // fan_out, []
+    while unit > 1:
+        parts.append(F.floor(rest / unit).cast("string"))
+        rest = rest % unit
+        unit //= fan_out
+    return F.concat_ws("/", *parts, number.cast("string"))

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from arcspark.functions.codec import vlong_decode, vlong_encode
 
@@ -101,22 +102,34 @@ def decode(schema: T.StructType, data: bytes) -> dict:
 
 
 def struct_encode(schema: T.StructType, row: Column) -> Column:
-    """STRUCT -> BINARY. Structs of plain fields; nested ones come as their own columns."""
+    """STRUCT -> BINARY, nested structs, arrays and maps too; a null struct gives null. Values keep their types: no floats for nulls."""
 
-    @F.pandas_udf(T.BinaryType())
-    def pack(rows: pd.DataFrame) -> pd.Series:
-        clean = lambda v: None if v is None or (not isinstance(v, (list, dict, bytes)) and pd.api.types.is_scalar(v) and pd.isna(v)) else v
-        return pd.Series([encode(schema, {k: clean(v) for k, v in r.items()}) for r in rows.to_dict("records")])
+    @F.arrow_udf(T.BinaryType())
+    def pack(rows: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else encode(schema, _plain(schema, r)) for r in rows.to_pylist()], pa.binary())
 
     return pack(row)
 
 
+def _plain(kind: T.DataType, value):
+    """Arrow's maps, lists of pairs, as dictionaries."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return {f.name: _plain(f.dataType, value[f.name]) for f in kind.fields}
+    if isinstance(kind, T.ArrayType):
+        return [_plain(kind.elementType, v) for v in value]
+    if isinstance(kind, T.MapType):
+        return {k: _plain(kind.valueType, v) for k, v in (value.items() if isinstance(value, dict) else value)}
+    return value
+
+
 def struct_decode(schema: T.StructType, data: Column) -> Column:
-    """BINARY -> STRUCT."""
+    """BINARY -> STRUCT; null gives null."""
+    kind = to_arrow_type(schema)
 
-    @F.pandas_udf(schema)
-    def unpack(values: pd.Series) -> pd.DataFrame:
-        rows = [decode(schema, bytes(v)) if v is not None else dict.fromkeys(schema.fieldNames()) for v in values]
-        return pd.DataFrame(rows, columns=schema.fieldNames(), dtype="object")
+    @F.arrow_udf(schema)
+    def unpack(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else decode(schema, v) for v in values.to_pylist()], kind)
 
     return unpack(data)

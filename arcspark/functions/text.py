@@ -36,8 +36,12 @@ def _vote(hashes: np.ndarray) -> int:
     """Bit i is set if more hashes have it than not."""
     if not len(hashes):
         return 0
-    bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    return int.from_bytes(np.packbits(2 * bits.sum(0) > len(hashes), bitorder="little").tobytes(), "little", signed=True)
+    # bits are added up byte by byte, in slices: 64 counts, whatever the number of hashes
+    counts, half = np.zeros(64, np.int64), len(hashes)
+    rows = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)
+    for i in range(0, half, 1 << 16):
+        counts += np.unpackbits(rows[i : i + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > half, bitorder="little").tobytes(), "little", signed=True)
 
 
 def simhash_text(text: str | None) -> int:

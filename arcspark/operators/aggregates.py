@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from arcspark import schemas
-from arcspark.functions.hashing import murmur2
+from arcspark.functions.hashing import murmur2_many
 
 
 def combine(df: DataFrame, keys: list[str], **how: Column) -> DataFrame:
@@ -32,8 +32,9 @@ def histogram(df: DataFrame, key: Column, bar: int | None = None) -> DataFrame:
     return out.orderBy("key")
 
 
-def moving_average(value: Column, order: list[Column], samples: int, partition: list[Column] | None = None) -> Column:
-    return F.avg(value).over(Window.partitionBy(*(partition or [])).orderBy(*order).rowsBetween(-(samples - 1), 0))
+def moving_average(value: Column, order: list[Column], samples: int, partition: list[Column]) -> Column:
+    """The mean of a row and the ``samples - 1`` before it, within a partition: one task orders each, so name one."""
+    return F.avg(value).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(-(samples - 1), 0))
 
 
 def smoothed_average(df: DataFrame, value: str, order: list[str], alpha: float, partition: list[str], out: str = "ema") -> DataFrame:
@@ -41,17 +42,23 @@ def smoothed_average(df: DataFrame, value: str, order: list[str], alpha: float,
 
     Rows stream through in order, so a partition of any size needs no more than its last value.
     """
+    if not partition:
+        raise ValueError("name the partition: one task smooths each")
     schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
     names = df.columns
 
     def work(frames):
         last, state = None, 0.0
         for frame in frames:
-            keys = list(zip(*(frame[p] for p in partition), strict=True))
             values, result = frame[value].to_numpy(float), np.empty(len(frame))
-            for i, x in enumerate(values):
-                state = x if keys[i] != last else alpha * x + (1 - alpha) * state
-                last, result[i] = keys[i], state
+            keys = list(zip(*(frame[p] for p in partition), strict=True))
+            starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])] if keys else []
+            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+                first = keys[a] != last
+                run = np.concatenate([values[a : a + 1] if first else [state], values[a + 1 : b] if first else values[a:b]])
+                smooth = pd.Series(run).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+                result[a:b] = smooth if first else smooth[1:]
+                last, state = keys[a], smooth[-1]
             yield frame.assign(**{out: result})[[*names, out]]
 
     return df.repartition(*partition).sortWithinPartitions(*partition, *order).mapInPandas(work, schema)
@@ -101,6 +108,10 @@ RATES = (
 )
 
 
+#: Bytes of a block of a filter that is being built, and of the largest filter.
+BLOOM_BLOCK, MOST_BLOOM_BYTES = 1 << 16, 1 << 28
+
+
 def best_k(buckets: int) -> int:
     return BEST_K[min(buckets, len(BEST_K) - 1)]
 
@@ -120,57 +131,79 @@ def bloom_bits(n: int, buckets: int) -> int:
     return -(-max(1, n * buckets) // 64) * 64
 
 
+def bloom_cells_many(data: list[bytes], k: int, m: int) -> np.ndarray:
+    """k cells for each byte string, by double hashing in 32 bits; the remainder keeps its sign, then loses it."""
+    a = murmur2_many(data, 0)
+    b = murmur2_many(data, a)
+    with np.errstate(over="ignore"):
+        x = (a[:, None] + np.arange(k, dtype=np.uint32) * b[:, None]).view(np.int32)
+    return np.abs(x.astype(np.int64)) % m
+
+
 def bloom_cells(data: bytes, k: int, m: int) -> list[int]:
-    """Double hashing in 32 bits; the remainder keeps its sign, then loses it."""
-    a = murmur2(data, 0)
-    b = murmur2(data, a)
-    out = []
-    for i in range(k):
-        x = (a + i * b) & 0xFFFFFFFF
-        x = x - (1 << 32) if x >> 31 else x
-        out.append(abs(x) % m)
-    return out
+    return bloom_cells_many([data], k, m)[0].tolist()
 
 
 def bloom_key(value: str | int) -> bytes:
     return value.to_bytes(8, "big", signed=True) if isinstance(value, int) else b"\xfe\xff" + value.encode("utf-16-be", "surrogatepass")
 
 
+def _bloom_keys(values: pd.Series) -> list[bytes]:
+    return [bloom_key(v if isinstance(v, str) else int(v)) for v in values]
+
+
 def build_bloom(df: DataFrame, column: str, n: int, buckets: int = 10) -> bytes:
-    """The filter of all values: partial filters by task, joined by OR; its size is fixed by ``n`` and ``buckets``."""
+    """The filter of all values; its size is fixed by ``n`` and ``buckets`` and may not pass MOST_BLOOM_BYTES.
+
+    Each task sets bits in blocks of its own; blocks of one place are joined
+    by OR, each place by one task, and only the finished filter reaches the driver.
+    """
     m, k = bloom_bits(n, buckets), best_k(buckets)
+    if m // 8 > MOST_BLOOM_BYTES:
+        raise ValueError(f"a filter of {m // 8} bytes is too large to be held in one piece")
+
+    def blocks(parts: dict[int, np.ndarray]):
+        yield pd.DataFrame({"block": list(parts), "part": [np.packbits(x, bitorder="little").tobytes() if len(x) == 8 * BLOOM_BLOCK else x.tobytes() for x in parts.values()]})
 
     def work(frames):
-        bits = np.zeros(m, np.uint8)
+        bits: dict[int, np.ndarray] = {}
         for frame in frames:
-            for v in frame[column]:
-                if v is not None:
-                    bits[bloom_cells(bloom_key(v if isinstance(v, str) else int(v)), k, m)] = 1
-        yield pd.DataFrame({"part": [np.packbits(bits, bitorder="little").tobytes()]})
+            values = frame[column].dropna()
+            if len(values):
+                cells = np.unique(bloom_cells_many(_bloom_keys(values), k, m))
+                place = cells // (8 * BLOOM_BLOCK)
+                for block, own in zip(*np.unique(place, return_index=True), strict=True):
+                    end = np.searchsorted(place, block, "right")
+                    bits.setdefault(int(block), np.zeros(8 * BLOOM_BLOCK, np.uint8))[cells[own:end] % (8 * BLOOM_BLOCK)] = 1
+        yield from blocks(bits)
 
     def either(frames):
-        total = None
+        total: dict[int, np.ndarray] = {}
         for frame in frames:
-            for part in frame["part"]:
+            for block, part in zip(frame["block"], frame["part"], strict=True):
                 x = np.frombuffer(part, np.uint8)
-                total = x.copy() if total is None else total | x
-        if total is not None:
-            yield pd.DataFrame({"part": [total.tobytes()]})
+                total[block] = total[block] | x if block in total else x
+        yield from blocks(total)
 
-    parts = df.select(column).mapInPandas(work, "part binary")
-    total = parts.coalesce(max(1, int(parts.rdd.getNumPartitions() ** 0.5))).mapInPandas(either, "part binary").coalesce(1).mapInPandas(either, "part binary").first()
-    return bytes(total["part"]) if total else bytes(m // 8)
+    schema = "block int, part binary"
+    out = np.zeros(-(-m // (8 * BLOOM_BLOCK)) * BLOOM_BLOCK, np.uint8)
+    for r in df.select(column).mapInPandas(work, schema).repartition("block").mapInPandas(either, schema).toLocalIterator():
+        out[r["block"] * BLOOM_BLOCK : (r["block"] + 1) * BLOOM_BLOCK] = np.frombuffer(r["part"], np.uint8)
+    return out[: m // 8].tobytes()
 
 
 def bloom_contains(column: Column, bits: bytes, buckets: int = 10) -> Column:
-    """Whether a value may be in the filter."""
+    """Whether a value may be in the filter, which goes to each executor once."""
     m, k = 8 * len(bits), best_k(buckets)
+    shared = SparkSession.active().sparkContext.broadcast(bits)
 
     @F.pandas_udf(schemas.BOOLEAN)
     def probe(values: pd.Series) -> pd.Series:
-        def one(v):
-            return None if v is None else all(bits[c >> 3] >> (c & 7) & 1 for c in bloom_cells(bloom_key(v if isinstance(v, str) else int(v)), k, m))
-
-        return values.map(one)
+        table, known = np.frombuffer(shared.value, np.uint8), values.notna().to_numpy()
+        out = pd.Series(pd.NA, index=values.index, dtype="boolean")
+        if known.any():
+            cells = bloom_cells_many(_bloom_keys(values[known]), k, m)
+            out[known] = (table[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).all(1)
+        return out
 
     return probe(column)

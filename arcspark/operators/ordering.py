@@ -23,12 +23,19 @@ def merge_combined(parts: list[DataFrame], keys: list[str], **how: Column) -> Da
     return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(*(c.alias(n) for n, c in how.items())).orderBy(*keys)
 
 
+#: Rows up to the end of a page that one task may sort out; pages further on go by row position.
+NEAR_ROWS = 100_000
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Page ``number``, from 0; out of range it is empty. Reverse the order for pages from the end."""
-    return df.orderBy(*order).offset(number * size).limit(size)
+    if (number + 1) * size <= NEAR_ROWS:
+        return df.orderBy(*order).offset(number * size).limit(size)
+    rows = with_row_index(df, order, "_row")
+    return seek(rows, number * size, (number + 1) * size, "_row").select(*df.columns)
 
 
-def with_row_index(df: DataFrame, order: list[str], index: str = "row_idx") -> DataFrame:
+def with_row_index(df: DataFrame, order: list[str | Column], index: str = "row_idx") -> DataFrame:
     """Adds each row's position, from 0, in the global order.
 
     Rows are sorted in ranges; only the ranges' sizes, one number each, come

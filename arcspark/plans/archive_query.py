@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 from abc import ABC, abstractmethod
 from concurrent.futures import Future
 from dataclasses import dataclass, field
@@ -110,14 +111,15 @@ class Controller:
         if not fs.exists(path):
             return None
         done = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        newest = max((int(n) for n in done if n.isdigit()), default=None)
-        return f"{base}/{newest}" if newest is not None and time.time() - newest / 1000 <= query.max_age_s else None
+        newest = max(((int(n.partition("-")[0]), n) for n in done if n.partition("-")[0].isdigit()), default=None)
+        return f"{base}/{newest[1]}" if newest is not None and time.time() - newest[0] / 1000 <= query.max_age_s else None
 
     def _compute(self, query: ArchiveQuery) -> str:
         status = self.statuses[query.canonical_id()]
         status.state, status.started = State.RUNNING, time.time()
         try:
-            path = f"{self.root}/{query.canonical_id()}/{int(time.time() * 1000)}"
+            # two drivers may share the root: the time alone could be taken
+            path = f"{self.root}/{query.canonical_id()}/{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
             built = query.build(self.spark)
             with_row_index(built.limit(1) if query.single_row else built, query.sort_keys()).write.parquet(path)
             status.rows = self.spark.read.parquet(path).count()
@@ -167,6 +169,21 @@ class Controller:
         return [r[0] for r in self.status_table().select(F.to_json(F.struct("*"))).collect()]
 
 
+def progress(phase: str, done: float = 0, total: float = 1) -> float:
+    """Of a query, from 0 to 1: the shards are a third, the local merge the next, and only serving is left at 0.99."""
+    part = min(max(done / total, 0.0), 1.0) if total else 1.0
+    # The shares of the phases.
+    return {"shards": 0.33 * part, "local": 0.66 + 0.33 * part, "cached": 0.99}[phase]
+
+
+def job_progress(spark: SparkSession, group: str) -> float:
+    """``progress`` of the shards phase from Spark's own counts of the group's tasks."""
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in (tracker.getJobInfo(j).stageIds if tracker.getJobInfo(j) else ())]
+    known = [s for s in stages if s is not None]
+    return progress("shards", sum(s.numCompletedTasks for s in known), sum(s.numTasks for s in known))
+
+
 def missing_parts(expected: int, present: list[str]) -> list[int]:
     """Shards whose ``part-NNNNN`` is not there yet."""
     have = {int(name[5:10]) for name in present if name.startswith("part-") and name[5:10].isdigit()}

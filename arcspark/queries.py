@@ -15,7 +15,8 @@ from arcspark.functions import codec, domain, dom, hashing, headers, http, mime,
 from arcspark.operators import aggregates, near_duplicates, ordering
 from arcspark.plans.archive_query import ArchiveQuery, Controller, SortOrder, register
 from arcspark.sources.arc import read_arc, read_arc_binary, write_arc
-from arcspark.sources.members import pack_splits
+from arcspark.sources.names import read_names, write_names
+from arcspark.sources.sequence import read_sequence, write_sequence
 from arcspark.storage import scratch
 from arcspark.streaming import windows
 
@@ -88,10 +89,36 @@ def arc_disposition_counts(spark, sf_dir):
     return rows.groupBy(mime.disposition(F.col("mime_type")).alias("disposition")).agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("content_bytes"))
 
 
-@query("SELECT * FROM (VALUES (0, 0), (1, 0), (2, 1), (3, 1), (4, 2)) AS t(file, split)")
+@query("SELECT mime_type, disposition, count(*) AS n FROM (SELECT page_id % 4 AS k FROM pages) JOIN (VALUES (0, 'text/html', 'ACCEPT_HTML'), (1, 'text/plain', 'ACCEPT_TEXT'), (2, 'image/png', 'REJECT'), (3, 'TEXT/HTML; charset=utf-8', 'ACCEPT_HTML')) AS t(k, mime_type, disposition) USING (k) GROUP BY ALL")
+def arc_mixed_dispositions(spark, sf_dir):
+    """Pages archived under four MIME types, read back and sorted into what would become of them."""
+    kinds = F.array(*map(F.lit, ("text/html", "text/plain", "image/png", "TEXT/HTML; charset=utf-8")))
+    path = scratch(spark, "kinds-arc")
+    rows = _table(spark, sf_dir, "pages").select("url", F.lit("127.0.0.1").alias("host_ip"), F.lit("20240101000000").alias("ts14"), F.get(kinds, (F.col("page_id") % 4).cast("int")).alias("mime"), F.encode("html", "UTF-8").alias("content"))
+    # a blank would end the type in the metadata line: what follows it travels as a header
+    rows = rows.select("url", "host_ip", "ts14", F.regexp_replace("mime", " .*", "").alias("mime_type"), F.array(headers.header("Content-Type", F.col("mime"))).alias("headers"), "content")
+    write_arc(rows, path)
+    kind = headers.find(F.col("header_items"), "content-type")
+    return read_arc(spark, path, records="item").groupBy(kind.alias("mime_type"), mime.disposition(kind).alias("disposition")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 3 AS n_partitions, count(*) AS n_rows FROM pages")
 def split_packing(spark, sf_dir):
-    splits = pack_splits([10, 20, 30, 5, 1], files_per_split=2)
-    return spark.createDataFrame([(f, i) for i, s in enumerate(splits) for f in s], "file int, split int")
+    """Six archive files, two to a partition."""
+    path = scratch(spark, "packed-arc")
+    pages = read_arc(spark, archive_of_pages(spark, sf_dir), records="item").select(F.col("uri").alias("url"), "host_ip", F.lit("20240101000000").alias("ts14"), "mime_type", F.col("header_items").alias("headers"), "content")
+    write_arc(pages.repartition(6), path)
+    rows = read_arc(spark, path, filesPerPartition=2)
+    return rows.agg(F.lit(rows.rdd.getNumPartitions()).alias("n_partitions"), F.count("*").alias("n_rows"))
+
+
+@query("SELECT url, CAST(octet_length(encode(html)) AS BIGINT) AS kept, true AS named_by_prefix FROM pages")
+def arc_header_prefix(spark, sf_dir):
+    """The own headers under a name of the caller's choice, and back to an item."""
+    rows = read_arc(spark, archive_of_pages(spark, sf_dir), headerPrefix="x-crawl-")
+    item = headers.item_of(F.col("value"), F.col("url"), "x-crawl-")
+    found = rows.select("url", item.alias("i"), headers.item_of(F.col("value"), F.col("url")).alias("j"))
+    return found.select("url", F.octet_length("i.content").cast("long").alias("kept"), (F.col("i.host_ip").isNotNull() & F.col("j.host_ip").isNull()).alias("named_by_prefix"))
 
 
 # -------------------------------------------------------------------- MIME, HTTP
@@ -203,14 +230,30 @@ def extract_tld(spark, sf_dir):
     return _table(spark, sf_dir, "pages").groupBy(domain.tld_of(domain.fast_host(F.col("url"))).alias("tld")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n FROM pages")
+@query("SELECT page_id, page_id % 5 = 0 OR page_id % 5 = 4 AS valid FROM pages")
 def valid_domain(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").where(domain.is_valid_domain_of(domain.fast_host(F.col("url")))).agg(F.count("*").alias("n"))
+    """Hosts as they are, without a dot, under no known suffix, too long, and as addresses."""
+    host, k = domain.fast_host(F.col("url")), F.col("page_id") % 5
+    made = F.when(k == 0, host).when(k == 1, F.replace(host, F.lit("."), F.lit("-"))).when(k == 2, F.concat(host, F.lit(".unknownzz"))).when(k == 3, F.concat(F.repeat(F.lit("abcdefgh."), 30), host)).otherwise("10.1.2.3")
+    return _table(spark, sf_dir, "pages").select("page_id", domain.is_valid_domain_of(made).alias("valid"))
+
 
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'com' WHEN 1 THEN 'co.uk' WHEN 2 THEN 'b.ck' WHEN 3 THEN 'ck' END AS suffix,
+  CASE page_id % 5 WHEN 0 THEN 'x' || page_id || '.com' WHEN 1 THEN 'x' || page_id || '.co.uk' WHEN 2 THEN 'x' || page_id || '.b.ck' WHEN 3 THEN 'www.ck' END AS registrable FROM pages""")
+def suffix_join(spark, sf_dir):
+    """Suffixes by a join with the rules: a plain one, one of two labels, a wildcard, an exception and none."""
+    k, x = F.col("page_id") % 5, F.concat(F.lit("x"), F.col("page_id").cast("string"))
+    host = F.when(k == 0, F.concat(F.lit("a."), x, F.lit(".com"))).when(k == 1, F.concat(F.lit("a.b."), x, F.lit(".co.uk"))).when(k == 2, F.concat(F.lit("a."), x, F.lit(".b.ck"))).when(k == 3, F.concat(x, F.lit(".www.ck"))).otherwise(F.concat(x, F.lit(".unknownzz")))
+    found = domain.with_suffix(_table(spark, sf_dir, "pages").select("page_id", host.alias("host")), "host", domain.rules_table(spark))
+    return found.select("page_id", "suffix", "registrable")
 
-@query("SELECT page_id, regexp_replace(url, '[?#].*$', '') AS stripped FROM pages")
+
+@query("SELECT page_id, 'http://a.com/p' || page_id || CASE page_id % 7 WHEN 1 THEN '/x' WHEN 4 THEN '--.html' WHEN 5 THEN '.html' WHEN 6 THEN '?sid=abc' ELSE '' END AS stripped FROM pages")
 def strip_session_id(spark, sf_dir):
-    dirty = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("?PHPSESSID="), F.md5("url"))
+    """Six of the rules, and a parameter that is no session."""
+    k, base, code = F.col("page_id") % 7, F.concat(F.lit("http://a.com/p"), F.col("page_id").cast("string")), F.md5("url")
+    tails = [F.concat(F.lit("?PHPSESSID="), code), F.concat(F.lit("/sessions/"), code, F.lit("/x")), F.lit(";$sessionid$ABC"), F.lit(";jsessionid=QQ"), F.lit("--session_id.123--.html"), F.concat(F.lit("-oscsid-"), code, F.lit(".html")), F.lit("?sid=abc")]
+    dirty = F.concat(base, F.get(F.array(*tails), k.cast("int")))
     return _table(spark, sf_dir, "pages").select("page_id", url.without_session_id(dirty).alias("stripped"))
 
 
@@ -219,9 +262,11 @@ def url_fingerprint(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", url.url_fp64("url").alias("fp64"), url.url_fingerprint("url").alias("f")).select("page_id", "fp64", "f.*")
 
 
-@query("SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/a/b' AS resolved FROM pages")
+@query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'http://h.com/a/b' WHEN 1 THEN 'http://other.com/y' WHEN 2 THEN 'https://abs.com/z' WHEN 3 THEN 'http://h.com/d/e/n.html' WHEN 4 THEN 'http://h.com/d/up' ELSE 'http://h.com/d/e/f?q=1' END AS resolved FROM pages")
 def resolve_relative(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", url.resolve("url", F.lit("/a/b")).alias("resolved"))
+    """References of six shapes: rooted, without a scheme, whole, beside, above, a query."""
+    shapes = F.array(*map(F.lit, ("/a/b", "//other.com/y", "https://abs.com/z", "n.html", "../up", "?q=1")))
+    return _table(spark, sf_dir, "pages").select("page_id", url.resolve(F.lit("http://h.com/d/e/f"), F.get(shapes, (F.col("page_id") % 6).cast("int"))).alias("resolved"))
 
 
 @query("SELECT page_id, url LIKE 'https://%' AS secure, CASE WHEN url LIKE 'http://www.%' THEN 'http://www.' WHEN url LIKE 'http://%' THEN 'http://' WHEN url LIKE 'https://%' THEN 'https://' END AS longest, CASE WHEN url LIKE '%.html' THEN '.html' END AS suffix FROM pages")
@@ -256,14 +301,18 @@ def detect_charset(spark, sf_dir):
     return _table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", http.detected_charset(F.encode("text", "UTF-8")).alias("charset"))
 
 
-@query("SELECT page_id, md5(html) AS text_md5, 'utf-8' AS charset FROM pages")
+@query("SELECT page_id, md5('<p>' || regexp_replace(html, '[^\\x20-\\x7e]|<meta', '', 'gi') || 'é') AS text_md5, CASE page_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'cp1252' WHEN 2 THEN 'utf-16-le' ELSE 'utf-8' END AS charset FROM pages")
 def decode_best_effort(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", http.decoded(F.encode("html", "UTF-8"), F.lit("utf-8")).alias("d")).select("page_id", F.md5("d.text").alias("text_md5"), "d.charset")
+    """Pages in three charsets as their header says, and one that says nothing."""
+    page, k = F.concat(F.lit("<p>"), F.regexp_replace("html", r"(?i)[^\x20-\x7e]|<meta", ""), F.lit("é")), F.col("page_id") % 4
+    data = F.when(k == 1, F.encode(page, "ISO-8859-1")).when(k == 2, F.encode(page, "UTF-16LE")).otherwise(F.encode(page, "UTF-8"))
+    said = F.when(k == 0, "UTF-8").when(k == 1, "iso-8859-1").when(k == 2, "utf-16le")
+    return _table(spark, sf_dir, "pages").select("page_id", http.decoded(data, said).alias("d")).select("page_id", F.md5("d.text").alias("text_md5"), "d.charset")
 
 
-@query("SELECT item_id, CAST(len(list_distinct(list_transform(range(1, greatest(length(text) - 2, 0) + 1), lambda i: substr(text, i, 3)))) AS INTEGER) AS n FROM benchmark")
+@query("SELECT doc_id, CAST(len(list_distinct(list_transform(range(1, greatest(length(text) - 2, 0) + 1), lambda i: substr(text, i, 3)))) AS INTEGER) AS n FROM documents")
 def char_shingles(spark, sf_dir):
-    return _table(spark, sf_dir, "benchmark").select("item_id", F.size(text.char_shingles(F.col("text"))).alias("n"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(text.char_shingles(F.col("text"))).alias("n"))
 
 
 @query("""WITH s AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(length(text) - 2, 0) + 1), lambda i: substr(text, i, 3))) AS s FROM benchmark)
@@ -294,17 +343,38 @@ def near_dup_pairs(spark, sf_dir):
     return near_duplicates.simhash_pairs(simhash64(spark, sf_dir), "doc_id", "simhash", 3)
 
 
+#: Bytes of an ASCII text in SQL.
+_BYTES = "list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS {1}))"
+_FOLD = "list_reduce(list_prepend({start}, {items}), lambda f, b: list_reduce(list_prepend(xor(f, b), [0, 0, 0, 0, 0, 0, 0, 0]::{kind}[]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, {poly}) ELSE x // 2 END))"
+
+
 @query()
 def rabin_fp(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", hashing.rabin64("html").alias("fp"))
 
 
+@query("SELECT p_partkey, CAST(CASE WHEN f >= 9223372036854775808 THEN f::HUGEINT - 18446744073709551616 ELSE f END AS BIGINT) AS fp FROM (SELECT p_partkey, " + _FOLD.format(start=f"{hashing.start_of(64)}::UBIGINT", items="flatten(list_transform(" + _BYTES.format("p_name", "UBIGINT") + ", lambda c: [c, 0::UBIGINT]))", kind="UBIGINT", poly=f"{hashing.start_of(64)}::UBIGINT") + " AS f FROM part)")
+def rabin_fp_names(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", hashing.rabin64("p_name").alias("fp"))
+
+
 @query()
 def murmur2(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", hashing.murmur2_text("html").alias("hash"))
 
 
-@query()
+@query("""WITH b AS (SELECT p_partkey, """ + _BYTES.format("p_name", "BIGINT") + """ AS b, length(p_name) AS n FROM part),
+w AS (SELECT p_partkey, b, n, list_transform(range(0, n // 4), lambda i: b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216) AS ws FROM b),
+k AS (SELECT *, list_transform(list_transform(ws, lambda w: (w * 1540483477) & 4294967295), lambda k: (xor(k, k >> 24) * 1540483477) & 4294967295) AS ks FROM w),
+h AS (SELECT *, list_reduce(list_prepend(CAST(n AS BIGINT), ks), lambda h, k: xor((h * 1540483477) & 4294967295, k)) AS h FROM k),
+t AS (SELECT p_partkey, CASE n % 4 WHEN 0 THEN h WHEN 1 THEN (xor(h, b[n]) * 1540483477) & 4294967295 WHEN 2 THEN (xor(h, b[n] + b[n - 1] * 256) * 1540483477) & 4294967295 ELSE (xor(h, b[n] + b[n - 1] * 256 + b[n - 2] * 65536) * 1540483477) & 4294967295 END AS h FROM h),
+f AS (SELECT p_partkey, (xor(h, h >> 13) * 1540483477) & 4294967295 AS h FROM t)
+SELECT p_partkey, CAST(CASE WHEN xor(h, h >> 15) >= 2147483648 THEN xor(h, h >> 15) - 4294967296 ELSE xor(h, h >> 15) END AS INTEGER) AS hash FROM f""")
+def murmur2_names(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", hashing.murmur2_of("p_name").alias("hash"))
+
+
+@query("SELECT page_id, CAST(" + _FOLD.format(start="0::BIGINT", items=_BYTES.format("url", "BIGINT"), kind="BIGINT", poly="40961") + " AS INTEGER) AS crc FROM pages")
 def crc16(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", hashing.crc16_of(F.encode("url", "UTF-8")).alias("crc"))
 
@@ -319,9 +389,12 @@ def hamming(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.hamming(F.col("l_orderkey"), F.col("l_partkey")).alias("distance"))
 
 
-@query("SELECT o_orderkey, o_orderkey * 2 AS rotated FROM orders")
+@query("""SELECT o_orderkey, CAST(CASE WHEN r >= 9223372036854775808 THEN r - 18446744073709551616 ELSE r END AS BIGINT) AS rotated
+FROM (SELECT o_orderkey, (u * 2) % 18446744073709551616 + u // 9223372036854775808 AS r FROM (SELECT o_orderkey, xor((o_orderkey::HUGEINT * 2305843009213693952) % 18446744073709551616, o_orderkey::HUGEINT) AS u FROM orders))""")
 def rotate_left1(spark, sf_dir):
-    return _table(spark, sf_dir, "orders").select("o_orderkey", text.rotate_left_1(F.col("o_orderkey")).alias("rotated"))
+    """Over numbers whose three top bits take every value."""
+    wide = F.shiftleft("o_orderkey", 61).bitwiseXOR(F.col("o_orderkey"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", text.rotate_left_1(wide).alias("rotated"))
 
 
 @query("SELECT doc_id, CAST(CASE WHEN strpos(text, 'the') = 0 THEN -1 ELSE strlen(substr(text, 1, strpos(text, 'the') - 1)) END AS INTEGER) AS at FROM documents")
@@ -344,6 +417,13 @@ def base64_text(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(codec.base64_url(F.encode("text", "UTF-8"))).alias("encoded_md5"))
 
 
+@query("SELECT p_partkey, left(p_name, 12) AS head, length(p_name) > 12 AS was_truncated FROM part")
+def gunzip_limited(spark, sf_dir):
+    """What a limit of twelve bytes leaves, and whether it cut."""
+    packed = codec.gzipped(F.encode("p_name", "UTF-8"))
+    return _table(spark, sf_dir, "part").select("p_partkey", codec.gunzipped_to(12)(packed).alias("g")).select("p_partkey", F.decode("g.data", "UTF-8").alias("head"), "g.was_truncated")
+
+
 @query("SELECT doc_id, md5(text) AS text_md5, false AS was_truncated FROM documents")
 def gzip_round_trip(spark, sf_dir):
     packed = codec.gzipped(F.encode("text", "UTF-8"))
@@ -418,12 +498,23 @@ def bandwidth_history(spark, sf_dir):
     return out.select("event_id", F.floor(F.col("bytes_per_second") * 1000).alias("rate"), "unit")
 
 
-@query("SELECT count(*) AS n, count(*) AS found FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
+@query("SELECT count(*) AS n, count(*) AS found, true AS few_false FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
 def bloom_filter(spark, sf_dir):
+    """Known keys are all found; of as many unknown ones at most three in a hundred."""
     customers, orders = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders")
     bits = aggregates.build_bloom(customers, "c_custkey", customers.count(), 10)
     known = orders.join(customers, orders.o_custkey == customers.c_custkey, "left_semi")
-    return known.agg(F.count("*").alias("n"), F.count_if(aggregates.bloom_contains(F.col("o_custkey"), bits, 10)).alias("found"))
+    there, not_there = (aggregates.bloom_contains(F.col("o_custkey") + far, bits, 10) for far in (0, 1 << 40))
+    return known.select(there.alias("a"), not_there.alias("b")).agg(F.count("*").alias("n"), F.count_if("a").alias("found"), (F.count_if("b") <= 0.03 * F.count("*") + 3).alias("few_false"))
+
+
+@query("SELECT count(*) AS n, true AS few_false FROM part")
+def bloom_filter_text(spark, sf_dir):
+    """The filter over text keys."""
+    parts = _table(spark, sf_dir, "part").select("p_name")
+    bits = aggregates.build_bloom(parts, "p_name", parts.count(), 10)
+    found = parts.select(aggregates.bloom_contains(F.col("p_name"), bits, 10).alias("a"), aggregates.bloom_contains(F.concat("p_name", F.lit("?")), bits, 10).alias("b"))
+    return found.agg(F.count_if("a").alias("n"), (F.count_if("b") <= 0.03 * F.count("*") + 3).alias("few_false"))
 
 
 @query("SELECT * FROM (VALUES (0.5, 2, 1), (0.01, 10, 5), (0.001, 15, 7), (0.0001, 15, 8)) AS t(rate, buckets, k)")
@@ -524,6 +615,15 @@ def query_page(spark, sf_dir):
     return controller.page(OrdersByPrice(sf_dir, "O"), 0, 25, SortOrder.DESC).rows.select("o_orderkey", "o_totalprice")
 
 
+@query("""SELECT * FROM (SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id)
+WHERE ts + to_days(CAST(event_id % 20 AS INTEGER)) > (SELECT max(ts) FROM events)""")
+def ttl_expiry(spark, sf_dir):
+    """The newest event of each user, if its own time to live has not run out by the last event of all."""
+    rows = _table(spark, sf_dir, "events").withColumn("ttl", F.expr("make_dt_interval(CAST(event_id % 20 AS INT))"))
+    now = rows.agg(F.max("ts")).first()[0]
+    return ordering.newest_by(rows, ["user_id"], "ts", ["event_id"], "ttl", F.lit(now).cast("timestamp_ntz"))
+
+
 @query("SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def ttl_cache(spark, sf_dir):
     return ordering.newest_by(_table(spark, sf_dir, "events"), ["user_id"], "ts", ["event_id"])
@@ -558,3 +658,133 @@ def merge_structs(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", ordering.merge_structs(base, peer, ["a", "b"]).alias("m")).select("page_id", "m.*")
 
 
+
+
+# ---------------------------------------------------------------- column forms
+
+
+@query("SELECT p_partkey, p_name AS unescaped, p_name || '|' || p_brand AS parts FROM part")
+def unescape_split(spark, sf_dir):
+    both = codec.concat_escaped(F.array("p_name", "p_brand"), ",")
+    back = codec.split_escaped_of(both, ",")
+    return _table(spark, sf_dir, "part").select("p_partkey", codec.unescaped(codec.escaped(F.col("p_name"), " "), " ").alias("unescaped"), F.array_join(back, "|").alias("parts"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey ELSE -o_orderkey END END AS number, o_orderkey * CASE WHEN o_orderkey % 2 = 0 THEN 1000003 ELSE -1000003 END AS long_value, CAST((o_orderkey >> 3) & 1 AS INTEGER) AS bit FROM orders")
+def small_numbers(spark, sf_dir):
+    """Numbers in base 16, variable-length numbers, a bit of a stream."""
+    k = F.col("o_orderkey")
+    shown = F.when(k % 3 == 0, F.concat(F.lower(F.hex(k)), F.lit("g"))).when(k % 3 == 1, F.lower(F.hex(k))).otherwise(F.concat(F.lit("-"), F.lower(F.hex(k))))
+    wide = k * F.when(k % 2 == 0, 1000003).otherwise(-1000003)
+    low = F.unhex(F.lpad(F.hex(k.bitwiseAND(255)), 2, "0"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", codec.parsed_long(shown, F.lit(16)).alias("number"), codec.vlong_value(codec.vlong_bytes(wide)).alias("long_value"), codec.bit_at(low, F.lit(3)).alias("bit"))
+
+
+@query("SELECT doc_id, CAST(CASE WHEN strpos(text, ' ') = 0 THEN -1 ELSE strlen(substr(text, 1, strpos(text, ' ') - 1)) END AS INTEGER) AS at, CAST(strlen(text) AS INTEGER) AS n_bytes, true AS valid, text IS NULL AS broken_valid FROM documents WHERE text <> ''")
+def utf8_ops(spark, sf_dir):
+    """Byte offsets, lengths and validity of UTF-8; a lone continuation byte is not valid."""
+    rows = _table(spark, sf_dir, "documents").where("text <> ''")
+    return rows.select("doc_id", text.utf8_find(F.col("text"), " ").cast("int").alias("at"), F.octet_length("text").alias("n_bytes"), F.is_valid_utf8("text").alias("valid"), F.is_valid_utf8(F.concat("text", F.unhex(F.lit("80")).cast("string"))).alias("broken_valid"))
+
+
+@query("SELECT o_orderkey, concat_ws('/', (o_orderkey % 100000000) // 1000000, (o_orderkey % 1000000) // 10000, (o_orderkey % 10000) // 100, o_orderkey) AS folder FROM orders")
+def folder_for_id(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", net.path_for_id_of(F.col("o_orderkey")).alias("folder"))
+
+
+@query("SELECT o_orderkey, strftime(timezone('America/Los_Angeles', timezone('UTC', date_trunc('second', o_orderdate::TIMESTAMP))), '%Y.%m.%d at %I:%M:%S ') || CASE WHEN epoch(timezone('America/Los_Angeles', timezone('UTC', o_orderdate::TIMESTAMP))) - epoch(o_orderdate::TIMESTAMP) = -25200 THEN 'PDT' ELSE 'PST' END AS shown FROM orders")
+def format_time(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", http.format_millis(F.unix_millis(F.col("o_orderdate").cast("timestamp"))).alias("shown"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey + 4611686018427387904 END AS wide FROM orders")
+def struct_with_nulls(spark, sf_dir):
+    """Records with unset fields and numbers beyond what a float holds."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") + (1 << 62)).alias("wide"))
+    packed = rows.select(records.struct_encode(rows.schema, F.struct("*")).alias("p"))
+    return packed.select(records.struct_decode(rows.schema, F.col("p")).alias("r")).select("r.*")
+
+
+@query("SELECT c_name AS key, c_mktsegment AS value FROM customer")
+def sequence_files(spark, sf_dir):
+    """Text pairs written to sequence files and read back, values as single lines."""
+    path = scratch(spark, "pairs-seq")
+    write_sequence(_table(spark, sf_dir, "customer").select(F.col("c_name").alias("key"), F.concat(F.lit(" "), "c_mktsegment", F.lit("\r\n")).alias("value")), path)
+    return read_sequence(spark, path, escape_lines=True)
+
+
+@query("SELECT c_name AS host, CAST(c_custkey AS INTEGER) AS ip, c_custkey * 1000 AS ttl, CASE WHEN c_custkey % 2 = 0 THEN 'alias' || c_custkey END AS cname, CAST(-1 AS BIGINT) AS last_touched FROM customer WHERE c_custkey % 5 <> 0")
+def name_table(spark, sf_dir):
+    """A dump of names and addresses, written and read with a filter."""
+    k, path = F.col("c_custkey"), scratch(spark, "names")
+    write_names(_table(spark, sf_dir, "customer").select(F.col("c_name").alias("host"), k.cast("int").alias("ip"), (k * 1000).alias("ttl"), F.when(k % 2 == 0, F.concat(F.lit("alias"), k.cast("string"))).alias("cname"), F.lit(-1).cast("long").alias("last_touched")), path)
+    return read_names(spark, path, F.col("ttl") / 1000 % 5 != 0)
+
+
+# ------------------------------------------------------------------ extensions
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_counts(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping_id(l_returnflag, l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+def grouping_sets(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem")
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    return rows.groupingSets([[flag], [status], []], flag, status).agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+
+
+@query("SELECT l_returnflag, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 4) AS median, true AS close FROM lineitem GROUP BY 1")
+def percentiles(spark, sf_dir):
+    """The exact median, and whether the sketches come close."""
+    price = F.col("l_extendedprice").cast("double")
+    out = _table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.percentile(price, 0.5).alias("m"), F.percentile_approx(price, 0.5, 10000).alias("a"), F.approx_count_distinct("l_partkey", 0.02).alias("d"), F.count_distinct("l_partkey").alias("e"))
+    close = (F.abs(F.col("a") / F.col("m") - 1) < 0.02) & (F.abs(F.col("d") / F.col("e") - 1) < 0.1)
+    return out.select("l_returnflag", F.round("m", 4).alias("median"), close.alias("close"))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def set_except(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(_table(spark, sf_dir, "orders").select("o_custkey"))
+
+
+@query("SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region")
+def union_distinct(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k")).union(_table(spark, sf_dir, "region").select("r_regionkey")).distinct()
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def semi_join(spark, sf_dir):
+    customers, orders = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    return customers.join(orders, customers.c_custkey == orders.o_custkey, "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT n_nationkey, r_regionkey FROM (SELECT * FROM nation WHERE n_nationkey % 2 = 0) FULL JOIN (SELECT * FROM region WHERE r_regionkey % 2 = 0) ON n_regionkey = r_regionkey")
+def outer_join(spark, sf_dir):
+    nations, regions = _table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0"), _table(spark, sf_dir, "region").where("r_regionkey % 2 = 0")
+    return nations.join(regions, nations.n_regionkey == regions.r_regionkey, "full").select("n_nationkey", "r_regionkey")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)")
+def lateral_join(spark, sf_dir):
+    _table(spark, sf_dir, "customer").createOrReplaceTempView("lateral_customer")
+    _table(spark, sf_dir, "orders").createOrReplaceTempView("lateral_orders")
+    return spark.sql("SELECT c_custkey, o_orderkey FROM lateral_customer, LATERAL (SELECT o_orderkey FROM lateral_orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)")
+
+
+@query("SELECT event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after, CAST(ntile(4) OVER w AS INTEGER) AS quarter FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def window_neighbours(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return _table(spark, sf_dir, "events").select("event_id", F.lag("event_id").over(w).alias("before"), F.lead("event_id").over(w).alias("after"), F.ntile(4).over(w).alias("quarter"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM e)
+SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, i""")
+def session_windows(spark, sf_dir):
+    # a session window ends before its gap is over: an event just at the end still belongs here
+    rows = _table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    out = rows.groupBy("user_id", F.session_window("t", F.lit("30 minutes 0.000001 seconds"))).agg(F.min("ts").alias("session_start"), F.count("*").alias("n"))
+    return out.select("user_id", "session_start", "n")

@@ -11,14 +11,14 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 S, B, I, L, Y = T.StringType(), T.BinaryType(), T.IntegerType(), T.LongType(), T.ByteType()
 
-BOOLEAN, LONGS = T.BooleanType(), T.ArrayType(T.LongType())
+BOOLEAN, LONGS, STRINGS = T.BooleanType(), T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
 
 HEADER = _struct(item_key=S, item_value=S)
 HEADERS = T.ArrayType(HEADER)
 RAW_RECORD = _struct(url=S, value=B, arc_file_name=S, arc_file_pos=L, arc_file_size=L)
 ITEM = _struct(
     uri=S, host_ip=S, timestamp=L, mime_type=S, record_length=I, header_items=HEADERS, content=B,
-    arc_file_name=S, arc_file_pos=I, flags=I, arc_file_size=I,
+    arc_file_name=S, arc_file_pos=L, flags=I, arc_file_size=L,
 )
 META_TAGS = _struct(robots_flags=Y, pragmas=Y, optional_refresh_url=S, optional_refresh_time=I, other_meta_tags=S)
 URL_FINGERPRINT = _struct(domain_hash=L, url_hash=L, root_domain_hash=L)

@@ -1,8 +1,11 @@
 """``spark.read.format("arc")``: web archives as rows, and the writer of such files.
 
-Options: ``mode`` (PERMISSIVE, FAILFAST, DROPMALFORMED), ``records`` (raw or
-item), ``strictSuffix`` (leave out ``.warc.gz``), ``filesPerPartition``,
-``mbPerPartition``, ``withContent``, ``urlPrefix``, ``legacyMetadata``.
+Options, in any case: ``mode`` (PERMISSIVE, FAILFAST, DROPMALFORMED), ``records``
+(raw or item), ``strictSuffix`` (leave out ``.warc.gz``), ``pathGlobFilter``,
+``filesPerPartition``, ``mbPerPartition``, ``withContent``, ``urlPrefix``,
+``legacyMetadata``, ``headerPrefix`` (of the names of a record's own headers),
+``maxRecordMB`` (longer records are cut there and flagged). The writer takes
+``timestamp`` and ``origin``.
 With ``pushdown`` (set by ``read_arc`` where
 ``spark.sql.python.filterPushdown.enabled`` is on) the scan takes filters on
 ``url``/``uri`` (equality, prefix).
@@ -23,7 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from arcspark import schemas
-from arcspark.sources.members import Record, epoch_millis, file_header, members, pack_splits, parse_record, record_member, records  # noqa: F401
+from arcspark.sources.members import ORIGIN, PREFIX, Record, epoch_millis, file_header, pack_splits, record_member, records
 
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
@@ -32,17 +35,14 @@ def is_archive(name: str, strict: bool = True) -> bool:
     return name.endswith("arc.gz") and not (strict and name.endswith(".warc.gz"))
 
 
-def raw_row(r: Record, name: str, content: bool = True) -> dict:
-    return {"url": r.url, "value": r.value() if content else None, "arc_file_name": name, "arc_file_pos": r.pos, "arc_file_size": r.size}
+def raw_row(r: Record, name: str, content: bool = True, prefix: str = PREFIX) -> dict:
+    return {"url": r.url, "value": r.value(prefix) if content else None, "arc_file_name": name, "arc_file_pos": r.pos, "arc_file_size": r.size}
 
 
-def item_row(r: Record, name: str, content: bool = True) -> dict:
-    from arcspark.sources.members import HOST_IP, MIME_TYPE, PAYLOAD_LENGTH, TIMESTAMP
-
-    headers = [(HOST_IP, r.host_ip), (TIMESTAMP, r.ts14), (MIME_TYPE, r.mime_type), *r.headers, (PAYLOAD_LENGTH, str(len(r.content)))]
+def item_row(r: Record, name: str, content: bool = True, prefix: str = PREFIX) -> dict:
     return {
-        "uri": r.url, "host_ip": r.host_ip, "timestamp": epoch_millis(r.ts14), "mime_type": r.mime_type, "record_length": len(r.value()),
-        "header_items": [{"item_key": k, "item_value": v} for k, v in headers], "content": r.content if content else None,
+        "uri": r.url, "host_ip": r.host_ip, "timestamp": epoch_millis(r.ts14), "mime_type": r.mime_type, "record_length": len(r.value(prefix)),
+        "header_items": [{"item_key": k, "item_value": v} for k, v in r.all_headers(prefix)], "content": r.content if content else None,
         "arc_file_name": name, "arc_file_pos": r.pos, "flags": r.flags, "arc_file_size": r.size,
     }
 
@@ -50,7 +50,7 @@ def item_row(r: Record, name: str, content: bool = True) -> dict:
 _ARROW_ITEM = pa.schema([
     ("uri", pa.string()), ("host_ip", pa.string()), ("timestamp", pa.int64()), ("mime_type", pa.string()), ("record_length", pa.int32()),
     ("header_items", pa.list_(pa.struct([("item_key", pa.string()), ("item_value", pa.string())]))), ("content", pa.binary()),
-    ("arc_file_name", pa.string()), ("arc_file_pos", pa.int32()), ("flags", pa.int32()), ("arc_file_size", pa.int32()),
+    ("arc_file_name", pa.string()), ("arc_file_pos", pa.int64()), ("flags", pa.int32()), ("arc_file_size", pa.int64()),
 ])
 _ARROW_RAW = pa.schema([("url", pa.string()), ("value", pa.binary()), ("arc_file_name", pa.string()), ("arc_file_pos", pa.int64()), ("arc_file_size", pa.int64())])
 
@@ -72,45 +72,78 @@ class Files(InputPartition):
     paths: tuple[str, ...]
 
 
+#: Schemes of Hadoop's clients for stores that have another name here.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
 def _place(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else posixpath.abspath(path))
+    """The file system of a path or URI, and the path in it; stores that only Spark opens need ``read_arc_binary``."""
+    scheme, mark, rest = path.partition("://")
+    if mark:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+    return fs.FileSystem.from_uri(path.removeprefix("file:") if path.startswith(("/", "file:")) else posixpath.abspath(path))
 
 
-def list_archives(path: str, strict: bool = True, glob: str | None = None) -> list[tuple[str, int]]:
+def _option(options: dict, name: str, default=None):
+    """Spark hands options over in lower case; a dictionary of our own may not be."""
+    return next((v for k, v in options.items() if k.lower() == name.lower()), default)
+
+
+@dataclass(frozen=True, order=True)
+class Found:
+    """An archive file; in order of arrival."""
+
+    mtime: int
+    path: str
+    size: int
+
+
+def find_archives(path: str, strict: bool = True, glob: str | None = None) -> list[Found]:
     where, base = _place(path)
     info = where.get_file_info(base)
     found = [info] if info.type == fs.FileType.File else where.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
-    kept = [(f.path, f.size) for f in found if f.type == fs.FileType.File and f.size and is_archive(f.base_name, strict) and (not glob or fnmatch.fnmatch(f.base_name, glob))]
-    return sorted(kept)
+    kept = [f for f in found if f.type == fs.FileType.File and f.size and is_archive(f.base_name, strict) and (not glob or fnmatch.fnmatch(f.base_name, glob))]
+    return sorted(Found(f.mtime_ns or 0, f.path, f.size) for f in kept)
+
+
+def list_archives(path: str, strict: bool = True, glob: str | None = None) -> list[tuple[str, int]]:
+    """(path, size) in order of paths."""
+    return sorted((f.path, f.size) for f in find_archives(path, strict, glob))
 
 
 class ArcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
         self.equal: str | None = None
-        self.prefix = options.get("urlprefix", options.get("urlPrefix", ""))
+        self.prefix = self.option("urlPrefix", "")
+
+    def option(self, name: str, default=None):
+        return _option(self.options, name, default)
 
     def _flag(self, name: str, default: str) -> bool:
-        return str(self.options.get(name, self.options.get(name.lower(), default))).lower() == "true"
+        return str(self.option(name, default)).lower() == "true"
+
+    def found(self) -> list[Found]:
+        return find_archives(self.option("path"), self._flag("strictSuffix", "true"), self.option("pathGlobFilter"))
 
     def partitions(self):
-        files = list_archives(self.options["path"], self._flag("strictSuffix", "true"), self.options.get("pathglobfilter", self.options.get("pathGlobFilter")))
-        each = int(self.options.get("filesPerPartition", self.options.get("filespartition", 1)))
-        mb = self.options.get("mbPerPartition")
-        splits = pack_splits([size for _, size in files], each if mb is None else 1 << 30, None if mb is None else int(mb) << 20)
+        files = sorted((f.path, f.size) for f in self.found())
+        mb, each = self.option("mbPerPartition"), self.option("filesPerPartition")
+        splits = pack_splits([size for _, size in files], int(each) if each else 1 << 30 if mb else 1, int(mb) << 20 if mb else None)
         return [Files(tuple(files[i][0] for i in split)) for split in splits] or [Files(())]
 
     def read(self, partition):
-        where, _ = _place(self.options["path"])
-        item = self.options.get("records", "raw") == "item"
+        where, _ = _place(self.option("path"))
+        item = self.option("records", "raw") == "item"
         content, make = self._flag("withContent", "true"), item_row if item else raw_row
+        prefix, most = self.option("headerPrefix", PREFIX), self.option("maxRecordMB")
 
         def rows():
             for path in partition.paths:
                 with where.open_input_stream(path, compression=None) as stream:
-                    for r in records(stream, self.options.get("mode", "PERMISSIVE").upper(), self._flag("legacyMetadata", "false")):
+                    for r in records(stream, self.option("mode", "PERMISSIVE").upper(), self._flag("legacyMetadata", "false"), most=int(most) << 20 if most else None):
                         if r.url.startswith(self.prefix) and (self.equal is None or r.url == self.equal):
-                            yield make(r, posixpath.basename(path), content)
+                            yield make(r, posixpath.basename(path), content, prefix)
 
         yield from batches(rows(), _ARROW_ITEM if item else _ARROW_RAW)
 
@@ -129,23 +162,25 @@ class PushdownReader(ArcReader):
 
 
 class ArcStream(DataSourceStreamReader):
-    """New archive files as they come: the offset is the list's length in name order."""
+    """New archive files as they come. The offset is the latest time a file was changed, and the files of that time."""
 
     def __init__(self, options: dict):
         self.reader = ArcReader(options)
 
-    def _names(self) -> list[str]:
-        return [p for p, _ in list_archives(self.reader.options["path"], self.reader._flag("strictSuffix", "true"))]
-
     def initialOffset(self):
-        return {"seen": []}
+        return {"time": -1, "names": []}
 
     def latestOffset(self):
-        return {"seen": self._names()}
+        files = self.reader.found()
+        if not files:
+            return self.initialOffset()
+        return {"time": files[-1].mtime, "names": [f.path for f in files if f.mtime == files[-1].mtime]}
 
     def partitions(self, start, end):
-        old = set(start["seen"])
-        return [Files((p,)) for p in end["seen"] if p not in old]
+        def beyond(f: Found) -> bool:
+            return f.mtime > start["time"] or f.mtime == start["time"] and f.path not in start["names"]
+
+        return [Files((f.path,)) for f in self.reader.found() if beyond(f) and (f.mtime < end["time"] or f.path in end["names"])]
 
     def read(self, partition):
         return self.reader.read(partition)
@@ -158,35 +193,46 @@ class Written(WriterCommitMessage):
 
 
 class ArcWriter(DataSourceWriter):
-    """Writes rows of url, host_ip, ts14, mime_type, headers, content; one file for each task."""
+    """Writes rows of url, host_ip, ts14, mime_type, headers, content; one file for each task.
+
+    Files carry the job's name and end in ``.tmp`` until the job commits; what
+    failed attempts left behind goes then, or when the job is given up.
+    """
 
     def __init__(self, options: dict):
-        self.options = options
+        self.options, self.job = options, uuid.uuid4().hex
 
     def write(self, rows):
-        where, base = _place(self.options["path"])
+        where, base = _place(_option(self.options, "path"))
         where.create_dir(base, recursive=True)
-        stamp = self.options.get("timestamp", "20240101000000")
+        stamp = _option(self.options, "timestamp", "20240101000000")
         name, n = f"part-{uuid.uuid4().hex}.arc.gz", 0
-        with where.open_output_stream(f"{base}/.{name}.tmp", compression=None) as out:
-            out.write(file_header(name, stamp))
+        with where.open_output_stream(self._hidden(base, name), compression=None) as out:
+            out.write(file_header(name, stamp, _option(self.options, "origin", ORIGIN)))
             for r in rows:
                 headers = [(h["item_key"], h["item_value"]) for h in r["headers"] or []]
                 out.write(record_member(r["url"] or "", r["host_ip"] or "0.0.0.0", r["ts14"] or stamp, r["mime_type"] or "no-type", headers, bytes(r["content"] or b"")))
                 n += 1
         return Written(name, n)
 
+    def _hidden(self, base: str, name: str) -> str:
+        return f"{base}/.{self.job}-{name}.tmp"
+
+    def _clear(self, where: fs.FileSystem, base: str) -> None:
+        for f in where.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+            if f.base_name.startswith(f".{self.job}-"):
+                where.delete_file(f.path)
+
     def commit(self, messages):
-        where, base = _place(self.options["path"])
+        where, base = _place(_option(self.options, "path"))
         for m in messages:
             if m is not None:
-                where.move(f"{base}/.{m.name}.tmp", f"{base}/{m.name}")
+                where.move(self._hidden(base, m.name), f"{base}/{m.name}")
+        self._clear(where, base)
 
     def abort(self, messages):
-        where, base = _place(self.options["path"])
-        for m in messages:
-            if m is not None:
-                where.delete_file(f"{base}/.{m.name}.tmp")
+        where, base = _place(_option(self.options, "path"))
+        self._clear(where, base)
 
 
 WRITE_SCHEMA = "url string, host_ip string, ts14 string, mime_type string, headers array<struct<item_key:string,item_value:string>>, content binary"
@@ -198,11 +244,11 @@ class ArcDataSource(DataSource):
         return "arc"
 
     def schema(self) -> StructType:
-        return schemas.ITEM if self.options.get("records", "raw") == "item" else schemas.RAW_RECORD
+        return schemas.ITEM if _option(self.options, "records", "raw") == "item" else schemas.RAW_RECORD
 
     def reader(self, schema):
         options = dict(self.options)
-        return (PushdownReader if options.get("pushdown") == "true" else ArcReader)(options)
+        return (PushdownReader if _option(options, "pushdown") == "true" else ArcReader)(options)
 
     def streamReader(self, schema):
         return ArcStream(dict(self.options))

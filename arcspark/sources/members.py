@@ -12,11 +12,17 @@ from typing import BinaryIO
 
 BLOCK, LONGEST_FILE_HEADER = 32 << 10, 4096
 
-# The metadata line, the headers that a record's value begins with, the file header.
+# The metadata line, the names of a record's own headers after their prefix, the file header.
 METADATA = re.compile(r"^(.*)\s([0-9.]+)\s([0-9]+)\s([^\s]+)\s([0-9]+)$", re.S)
-HOST_IP, TIMESTAMP, MIME_TYPE, PAYLOAD_LENGTH = "x_commoncrawl_HostIP", "x_commoncrawl_ArcTimestamp", "x_commoncrawl_ArcMimeType", "x_commoncrawl_ArcPayloadLen"
-FILE_HEADER = "filedesc://{name} 0.0.0.0 {ts} text/plain {length}\n1 0 CommonCrawl\nURL IP-address Archive-date Content-type Archive-length\n\n"
+HOST_IP, TIMESTAMP, MIME_TYPE, PAYLOAD_LENGTH = "HostIP", "ArcTimestamp", "ArcMimeType", "ArcPayloadLen"
+FILE_HEADER = "filedesc://{name} 0.0.0.0 {ts} text/plain {length}\n1 0 {origin}\nURL IP-address Archive-date Content-type Archive-length\n\n"
 EXTRA_FIELD = bytes([8, 0, 0x4C, 0x58, 4, 0, 0, 0, 0, 0])
+CUT_IN_DOWNLOAD = re.compile(r"x-[a-z]+-contenttruncated", re.I)
+
+#: What the own headers' names begin with, and the origin in a file header, unless a caller says otherwise.
+PREFIX, ORIGIN = "x-arc-", "arcspark"
+#: Bits of a record's flags: the payload is shorter than declared, or than the reader's bound allows.
+CUT_SHORT, CUT_BY_BOUND = 1, 2
 
 
 class ArcError(ValueError):
@@ -42,11 +48,14 @@ class Record:
     raw_header_bytes: int = 0
     extra: dict = field(default_factory=dict)
 
-    def value(self) -> bytes:
+    def all_headers(self, prefix: str = PREFIX) -> list[tuple[str | None, str]]:
+        """The record's own headers, those of the capture, and the payload's length."""
+        own = [(prefix + HOST_IP, self.host_ip), (prefix + TIMESTAMP, self.ts14), (prefix + MIME_TYPE, self.mime_type)]
+        return [*own, *self.headers, (prefix + PAYLOAD_LENGTH, str(len(self.content)))]
+
+    def value(self, prefix: str = PREFIX) -> bytes:
         """The record as headers, a blank line and the payload."""
-        own = [(HOST_IP, self.host_ip), (TIMESTAMP, self.ts14), (MIME_TYPE, self.mime_type)]
-        lines = [*own, *self.headers, (PAYLOAD_LENGTH, str(len(self.content)))]
-        return render_headers(lines) + b"\r\n" + self.content
+        return render_headers(self.all_headers(prefix)) + b"\r\n" + self.content
 
 
 def render_headers(headers: list[tuple[str | None, str]]) -> bytes:
@@ -62,8 +71,11 @@ def _check_header(head: bytes) -> None:
         raise ArcError("Unsupported compression method")
 
 
-def members(stream: BinaryIO, block: int = BLOCK) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, compressed size, data) of each gzip member; CRC and length are checked."""
+def members(stream: BinaryIO, block: int = BLOCK, most: int | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, compressed size, data) of each gzip member; CRC and length are checked.
+
+    Of a member of more than ``most`` bytes those are kept and the rest is read past.
+    """
     pending, offset = b"", 0
     while True:
         while len(pending) < 10 and (more := stream.read(block)):
@@ -71,7 +83,7 @@ def members(stream: BinaryIO, block: int = BLOCK) -> Iterator[tuple[int, int, by
         if not pending:
             return
         _check_header(pending)
-        inflater, parts, used = zlib.decompressobj(31), [], 0
+        inflater, parts, used, held = zlib.decompressobj(31), [], 0, 0
         while not inflater.eof:
             if not pending:
                 pending = stream.read(block)
@@ -80,7 +92,9 @@ def members(stream: BinaryIO, block: int = BLOCK) -> Iterator[tuple[int, int, by
                         raise TruncatedHeader("the file ends in a member's header")
                     raise ArcError("Corrupt GZIP trailer: the file ends in a member")
             try:
-                parts.append(inflater.decompress(pending))
+                part = inflater.decompress(pending)
+                parts.append(part if most is None else part[: max(0, most - held)])
+                held += len(part)
             except zlib.error as e:
                 raise ArcError(f"Corrupt GZIP {'header' if 'header' in str(e) else 'trailer'}: {e}") from e
             used += len(pending) - len(inflater.unused_data)
@@ -133,18 +147,19 @@ def parse_record(data: bytes, pos: int = 0, size: int = 0, legacy: bool = False)
     headers = [split_header(x) for x in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n") if x]
     wanted = max(0, declared - len(head))
     body = data[at : at + wanted]
-    truncated_header = any(k and k.lower() == "x-commoncrawl-contenttruncated" for k, _ in headers)
-    flags = (1 if len(body) < wanted or truncated_header else 0)
+    cut = len(body) < wanted or any(k and CUT_IN_DOWNLOAD.fullmatch(k) for k, _ in headers)
+    flags = CUT_SHORT if cut else 0
     return Record(url, ip, ts14, mime, headers, body, declared, flags, pos, size, len(head))
 
 
-def records(stream: BinaryIO, mode: str = "PERMISSIVE", legacy: bool = False, block: int = BLOCK) -> Iterator[Record]:
+def records(stream: BinaryIO, mode: str = "PERMISSIVE", legacy: bool = False, block: int = BLOCK, most: int | None = None) -> Iterator[Record]:
     """The records of one archive; its first member is the file header.
 
     A header cut short ends the scan, unless ``mode`` is FAILFAST. Other damage
-    raises; with DROPMALFORMED, bad records are left out.
+    raises; with DROPMALFORMED, bad records are left out. Members of more than
+    ``most`` bytes come cut there and flagged.
     """
-    found = members(stream, block)
+    found = members(stream, block, most)
     first = True
     while True:
         try:
@@ -165,7 +180,10 @@ def records(stream: BinaryIO, mode: str = "PERMISSIVE", legacy: bool = False, bl
                 raise ArcError("Invalid ARC File Header")
             continue
         try:
-            yield parse_record(data, pos, size, legacy)
+            record = parse_record(data, pos, size, legacy)
+            if most is not None and len(data) >= most:
+                record.flags |= CUT_BY_BOUND
+            yield record
         except ArcError:
             if mode != "DROPMALFORMED":
                 raise
@@ -186,9 +204,9 @@ def gzip_member(data: bytes, extra: bytes = b"") -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
-def file_header(name: str, ts14: str) -> bytes:
-    tail = FILE_HEADER.split("{length}")[1]
-    return gzip_member(FILE_HEADER.format(name=name, ts=ts14, length=len(tail)).encode("latin-1", "replace"), EXTRA_FIELD)
+def file_header(name: str, ts14: str, origin: str = ORIGIN) -> bytes:
+    tail = FILE_HEADER.split("{length}")[1].format(origin=origin)
+    return gzip_member(FILE_HEADER.format(name=name, ts=ts14, length=len(tail), origin=origin).encode("latin-1", "replace"), EXTRA_FIELD)
 
 
 def record_member(url: str, ip: str, ts14: str, mime: str, headers: list[tuple[str | None, str]], content: bytes) -> bytes:

@@ -30,6 +30,13 @@ def test_checksums():
     assert hashing.bytes_hash(b"hello") == 99162322
     assert hashing.bytes_hash(b"\xff") == -1
     assert hashing.murmur2(b"") == 0
+    # lengths with 0, 1, 2 and 3 bytes left over
+    assert [hashing.murmur2(b"abcdefg"[:n]) for n in (6, 7)] == [-1641135381, -14544559]
+    rng = random.Random(2)
+    data = [rng.randbytes(rng.randrange(40)) for _ in range(200)]
+    assert hashing.murmur2_many(data).view(np.int32).tolist() == [hashing.murmur2(x) for x in data]
+    assert hashing.murmur2_many(data, 77).view(np.int32).tolist() == [hashing.murmur2(x, 77) for x in data]
+    assert hashing.crc16_many(data).tolist() == [hashing.crc16(x) for x in data]
 
 
 CANONICAL = [
@@ -110,6 +117,12 @@ def test_detected_charsets(shown, codec_name, wanted):
     assert http.detect_charset(shown.encode(codec_name)) == wanted
 
 
+def test_charsets_that_are_not_known():
+    assert http.charset_codec("x-euc-tw") is None and http.charset_codec("ISO-2022-CN") is None and http.charset_codec("Shift-JIS") == "cp932"
+    late = b"a" * 20_000 + "é".encode()
+    assert http.detect_charset(late) == "UTF-8" and http.detect_charset(late, 16_000) == "ASCII"
+
+
 def test_decode():
     page = "<META http-equiv='Content-Type' content='text/html; charset=windows-1251'>привет".encode("cp1251")
     assert http.decode_best_effort(page, "utf-8")[1] == "cp1251"
@@ -152,6 +165,6 @@ def test_simhash_and_bloom_parts():
 
 def test_net_and_dom():
     assert net.ipv4_bytes("1.2.3.4") == bytes([1, 2, 3, 4]) and net.ipv4_bytes("1.256") == bytes([1, 0, 1, 0]) and net.ipv4_bytes("1.2.3.256") is None
-    assert net.path_for_id(0x010203) == "01/02/03"
+    assert net.path_for_id(123456789) == "23/45/67/123456789" and net.path_for_id(7) == "0/0/0/7"
     assert [r[3] for r in dom.walk("<p>a<br>b</p>")] == ["p", None, "br", None]
     assert [r[3] for r in dom.walk("<script>x<b></script><i>", "script")] == ["script", "i"]

@@ -38,7 +38,7 @@ def test_round_trip(stream):
 def test_value_begins_with_own_headers():
     _, data = archive(1)
     value = next(m.records(io.BytesIO(data))).value()
-    assert value.startswith(f"{m.HOST_IP}:1.2.3.4\r\n{m.TIMESTAMP}:20240101000000\r\n{m.MIME_TYPE}:text/html\r\nHTTP/1.1 200 OK\r\n".encode())
+    assert value.startswith(f"{m.PREFIX}{m.HOST_IP}:1.2.3.4\r\n{m.PREFIX}{m.TIMESTAMP}:20240101000000\r\n{m.PREFIX}{m.MIME_TYPE}:text/html\r\nHTTP/1.1 200 OK\r\n".encode())
 
 
 @pytest.mark.parametrize("end", [b"\n\n", b"\n\r\n", b"\r\n\r\n"])
@@ -86,3 +86,17 @@ def test_split_packing():
     assert m.pack_splits([1, 1, 1], 2) == [[0, 1], [2]]
     assert m.pack_splits([5, 6, 1, 9], 100, 10) == [[0, 1], [2, 3]]
     assert m.pack_splits([]) == []
+
+
+def test_members_past_a_bound_are_cut():
+    _, data = archive(3)
+    whole = list(m.records(io.BytesIO(data)))
+    cut = list(m.records(io.BytesIO(data), most=600))
+    assert [r.url for r in cut] == [r.url for r in whole] and all(r.content == w.content[: len(r.content)] for r, w in zip(cut, whole, strict=True))
+    assert [bool(r.flags & m.CUT_BY_BOUND) for r in cut] == [len(r.content) < len(w.content) or bool(r.flags & 2) for r, w in zip(cut, whole, strict=True)]
+    assert any(r.flags & m.CUT_BY_BOUND for r in cut)
+
+
+def test_truncation_header():
+    head = b"X-Any-ContentTruncated:true\r\n\r\n"
+    assert m.parse_record(b"http://x/ 1.1.1.1 20240101000000 text/plain %d\n" % (len(head) + 3) + head + b"abc").flags == m.CUT_SHORT
