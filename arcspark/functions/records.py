@@ -111,6 +111,17 @@ def struct_encode(schema: T.StructType, row: Column) -> Column:
     return pack(row)
 
 
+def _bare(kind: T.DataType) -> T.DataType:
+    """The type without its fields' metadata, which Arrow has no place for."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _bare(f.dataType), f.nullable) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_bare(kind.elementType), kind.containsNull)
+    if isinstance(kind, T.MapType):
+        return T.MapType(_bare(kind.keyType), _bare(kind.valueType), kind.valueContainsNull)
+    return kind
+
+
 def _plain(kind: T.DataType, value):
     """Arrow's maps, lists of pairs, as dictionaries."""
     if value is None:
@@ -126,9 +137,10 @@ def _plain(kind: T.DataType, value):
 
 def struct_decode(schema: T.StructType, data: Column) -> Column:
     """BINARY -> STRUCT; null gives null."""
-    kind = to_arrow_type(schema)
+    bare = _bare(schema)
+    kind = to_arrow_type(bare)
 
-    @F.arrow_udf(schema)
+    @F.arrow_udf(bare)
     def unpack(values: pa.Array) -> pa.Array:
         return pa.array([None if v is None else decode(schema, v) for v in values.to_pylist()], kind)
 
