@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from arcspark.llm.common import joined, materialize, mix, new_scope, packed, sized, sweep, text_of, word_hashes
 
-#: Bytes from which a repeated line is removed; units and bytes from which one edit is allowed.
-LEAST_BYTES, EDIT_UNITS, EDIT_BYTES = 16, 8, 32
+#: Bytes, blanks not counted, from which a repeated line is removed; units and bytes from which one edit is allowed.
+LEAST_BYTES, EDIT_UNITS, EDIT_BYTES = 14, 8, 28
 #: Bytes from which a word beyond ASCII counts character by character.
 LONG_WORD = 24
 #: Units that a task hashes at once.
@@ -101,9 +101,9 @@ def units_of(line: bytes) -> list[bytes]:
     return out
 
 
-def size_of(units: list[bytes]) -> int:
-    """Bytes of a line with one blank between its units."""
-    return sum(map(len, units)) + len(units) - 1
+def size_of(line: bytes) -> int:
+    """Bytes of a line that are no blanks."""
+    return len(line.translate(None, b" \t\r\x0b\x0c"))
 
 
 def split(text: str) -> list[bytes]:
@@ -142,19 +142,18 @@ def line_facts(docs: DataFrame) -> DataFrame:
                 return found
 
             for i, text in enumerate(batch.column(2).to_pylist()):
+                take = bytes.split if text.isascii() else units_of
                 for k, line in enumerate(split(text)):
-                    if len(line) < LEAST_BYTES:
+                    if len(line) < LEAST_BYTES or (size := size_of(line)) < LEAST_BYTES:
                         continue
-                    found = units_of(line)
-                    size = size_of(found)
-                    if size >= LEAST_BYTES:
-                        row.append(i)
-                        at.append(k)
-                        n.append(len(found))
-                        edits.append(len(found) >= EDIT_UNITS and size >= EDIT_BYTES)
-                        units += found
-                        if len(units) >= UNITS:
-                            yield out()
+                    found = take(line)
+                    row.append(i)
+                    at.append(k)
+                    n.append(len(found))
+                    edits.append(len(found) >= EDIT_UNITS and size >= EDIT_BYTES)
+                    units += found
+                    if len(units) >= UNITS:
+                        yield out()
             if row:
                 yield out()
 
@@ -281,7 +280,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = joined(rows.select("row", "rid", "text"), gone, "rid", "left")
     lines = F.split("text", "\n")
     cut = F.when(F.col("lines").isNull(), F.col(f"row.`{text_col}`")).otherwise(F.array_join(_kept(lines, F.col("lines")), "\n"))
-    return found.select("row", cut.alias("cut"), F.size(lines).cast("long").alias("n_lines"), F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_removed"))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return found.select("row", cut.alias("cut"), n_lines.cast("long").alias("n_lines"), F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_removed"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: str | None = None) -> DataFrame:

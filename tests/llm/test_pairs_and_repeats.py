@@ -163,10 +163,10 @@ def brute_lines(rows):
     found, known = collections.Counter(), []
     every = sorted({(i, k, tuple(lines.units_of(x))) for i, t in rows if i is not None for k, x in enumerate((t or "").encode().lower().split(b"\n"))})
     for i, _, w in every:
-        size = sum(map(len, w)) + len(w) - 1
-        if size < 16:
+        size = sum(map(len, w))
+        if size < 14:
             continue
-        edits = len(w) >= 8 and size >= 32
+        edits = len(w) >= 8 and size >= 28
         found[i] += any(w == v or edits and other and within_one(w, v) for v, other in known)
         known.append((w, edits))
     return found
