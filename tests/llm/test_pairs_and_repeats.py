@@ -142,6 +142,28 @@ def test_suffix(spark, few_ranges, seed):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_suffix(rows)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_suffix_in_pieces(spark, few_ranges, monkeypatch, seed):
+    monkeypatch.setattr(suffix, "CHUNK", 1000)
+    rng = random.Random(seed)
+    base = "".join(rng.choice("abcdefgh \n") for _ in range(9000))
+    other = "".join(rng.choice("abcdefgh \n") for _ in range(6000))
+    rows = [(1, base), (2, other + base[3000:3700] + other[:2500]), (3, base[:8999] + "!"), (3, other), (4, "z" * 5000), (5, "q" + base[2500:2702]), (1, base), (6, other[100:5900])]
+    got = suffix.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_suffix(rows)
+
+
+def test_prefix_doubling(spark):
+    rng = random.Random(9)
+    base = "".join(rng.choice("ab \n") for _ in range(400))
+    rows = [(0, base), (1, base[50:300]), (2, "x" + base[100:340]), (3, "y" * 30), (4, ""), (5, "é" * 25)]
+    for span in (20, 64, 200):
+        found = {tuple(r) for r in suffix.repeated_positions(spark.createDataFrame(rows, "rid long, text string"), span).collect()}
+        data = {i: t.encode() for i, t in rows}
+        seen = collections.Counter(b[p : p + span] for b in data.values() for p in range(len(b) - span + 1))
+        assert found == {(i, p) for i, b in data.items() for p in range(len(b) - span + 1) if seen[b[p : p + span]] > 1}
+
+
 def test_suffix_documents(docs, few_ranges):
     got = suffix.suffix_dedup(docs)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_suffix([(r.doc_id, r.text) for r in docs.collect()])
