@@ -158,9 +158,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     are, and no column name is taken. Cases are those of the report.
     """
     found = with_hits(docs, benchmark, id_col, text_col, scope).where(F.col("items").isNull() | (F.size("items") < least_items))
-    words = F.regexp_extract_all("text", F.lit(ANY_WORD + NOT_WORD), F.lit(0))
-    left = F.array_except(F.sequence(F.lit(0), F.size(words) - 1), F.col("hit"))
-    cut = F.concat(F.regexp_extract("text", "^" + NOT_WORD, 0), F.array_join(F.transform(left, lambda i: F.get(words, i)), ""))
+    # a column of its own: inside the function below the expression would run once for each word
+    found = found.withColumn("words", F.when(F.col("hit").isNotNull(), F.regexp_extract_all("text", F.lit(ANY_WORD + NOT_WORD), F.lit(0))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("words") - 1), F.col("hit"))
+    cut = F.concat(F.regexp_extract("text", "^" + NOT_WORD, 0), F.array_join(F.transform(left, lambda i: F.get("words", i)), ""))
     text = F.when(F.col("hit").isNull(), F.col(f"row.`{text_col}`")).otherwise(cut)
     return found.select(*((text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 

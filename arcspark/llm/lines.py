@@ -257,8 +257,9 @@ def repeated_lines(docs: DataFrame, scope: str | None = None) -> DataFrame:
     return gone
 
 
-def _kept(lines: Column, gone: Column) -> Column:
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+def _kept(lines: str, gone: str) -> Column:
+    """``lines`` is a column, not an expression, which would run once for each line."""
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     return F.transform(left, lambda i: F.get(lines, i))
 
 
@@ -278,8 +279,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = packed(docs, rid=F.when(id_.isNotNull(), F.xxhash64(id_, text)), d=id_, text=text)
     gone = repeated_lines(rows.where("d IS NOT NULL").select("d", "rid", "text"), scope)
     found = joined(rows.select("row", "rid", "text"), gone, "rid", "left")
-    lines = F.split("text", "\n")
-    cut = F.when(F.col("lines").isNull(), F.col(f"row.`{text_col}`")).otherwise(F.array_join(_kept(lines, F.col("lines")), "\n"))
+    found = found.withColumn("every", F.when(F.col("lines").isNotNull(), F.split("text", "\n")))
+    cut = F.when(F.col("lines").isNull(), F.col(f"row.`{text_col}`")).otherwise(F.array_join(_kept("every", "lines"), "\n"))
     n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     return found.select("row", cut.alias("cut"), n_lines.cast("long").alias("n_lines"), F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_removed"))
 

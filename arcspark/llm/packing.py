@@ -22,9 +22,9 @@ from arcspark.llm import pretoken
 from arcspark.llm.common import id_and_text, materialize
 
 #: Pre-tokens whose ids a worker keeps: some 200 bytes each.
-WORKER_CACHE = 1_000_000
-#: Rows of one length and salt that one task ranks, and most salts.
-ROWS_A_SALT, MOST_SALTS = 200_000, 1024
+WORKER_CACHE = 500_000
+#: Rows of one length and salt that one task ranks; lengths and salts that the driver counts at most.
+ROWS_A_SALT, MOST_CELLS = 200_000, 2_000_000
 
 _state: dict = {}
 
@@ -126,13 +126,20 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, end_id: int
 
     A null or empty text is the end id alone. Documents over ``capacity``
     tokens are cut into full pieces after a first one that may be shorter.
-    Repeated rows are packed each; an empty table gives no rows.
+    Repeated rows, and rows without an id, are packed each; an empty table
+    gives no rows; other columns are not looked at. Of equal lengths any piece
+    may take any place. Texts are taken whole: a task holds the ids of one at
+    a time.
     """
     spark = docs.sparkSession
     pieces = materialize(cut_pieces(id_and_text(docs, id_col, text_col), tokenizer_file, capacity, end_id), "pieces", scope)
-    salts = min(MOST_SALTS, max(16, pieces.count() // ROWS_A_SALT))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    cells = salted.groupBy("length", "salt").count().collect()  # at most capacity * salts rows
+    sizes = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
+    # each length is salted by its own number of pieces; rows of a length and salt grow only past MOST_CELLS of them
+    each = max(ROWS_A_SALT, sum(sizes.values()) // MOST_CELLS)
+    salts = max(16, 2 * max(sizes.values(), default=0) // each)
+    own = F.create_map(*(F.lit(x) for length, n in sorted(sizes.items()) for x in (length, max(1, min(salts, 2 * n // each))))) if sizes else F.create_map(F.lit(0).cast("long"), F.lit(1))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce(F.element_at(own, F.col("length")), F.lit(1))).cast("int"))
+    cells = salted.groupBy("length", "salt").count().collect()
     base, histogram = {}, {}
     for r in sorted(cells):
         base[r["length"] * salts + r["salt"]] = histogram.get(r["length"], 0)

@@ -1,8 +1,10 @@
 """Splitting texts into pre-tokens as the library's own patterns do.
 
-The fast split is used for texts made only of characters whose classes are
-the same in every Unicode version; any other text, and any text that holds a
-special token's string, goes to the tokenizer library as a whole.
+The fast split is used for texts made only of characters that Unicode has had
+since version 3.2, in the class they still have: all common scripts, marks and
+signs. Any other text (newer scripts, most emoji, rare blanks and controls),
+any that the normaliser would compose, and any that holds a special token's
+string goes to the tokenizer library as a whole.
 """
 
 from __future__ import annotations
@@ -14,24 +16,47 @@ from collections.abc import Callable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_HIGH = 0x250
-_CODES = [*range(0x20, 0x7F), *range(0xA1, _HIGH)]
+#: Letters whose lower case depends on their neighbours or that the library maps otherwise.
+_APART = {0x3A3}
 
 
-def _class(first: str) -> str:
-    return "".join(re.escape(chr(c)) for c in _CODES if unicodedata.category(chr(c))[0] == first)
+def _kind(category: str) -> str:
+    """L, N, or O for all else; '' for what has no stable class."""
+    return "" if category[0] == "C" and category != "Cf" or category[0] == "Z" else category[0] if category[0] in "LN" else "O"
 
 
-_L, _N, _S = _class("L"), _class("N"), r"\t\n\r "
-_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-ɏ]*")
+def _stable() -> dict[str, list[tuple[int, int]]]:
+    """Ranges of code points by kind: those of the same kind in Unicode 3.2 and now."""
+    ranges: dict[str, list[list[int]]] = {"L": [], "N": [], "O": []}
+    for code in range(0x20, 0x30000):
+        c = chr(code)
+        kind = _kind(unicodedata.ucd_3_2_0.category(c))
+        if not kind or kind != _kind(unicodedata.category(c)) or code in _APART or c.isspace():
+            continue
+        own = ranges[kind]
+        if own and own[-1][1] == code - 1:
+            own[-1][1] = code
+        else:
+            own.append([code, code])
+    return {k: [(a, b) for a, b in v] for k, v in ranges.items()}
+
+
+def _class(ranges: list[tuple[int, int]]) -> str:
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+_S = r"\t\n\r "
+_L, _N, _O = (_class(r) for r in _stable().values())
+_PLAIN = re.compile(f"[{_S}{_L}{_N}{_O}]*")
 
 # The split patterns that the two tokenizer files name.
 WORD_END = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
-def is_plain(text: str) -> bool:
-    return "<|" not in text and _PLAIN.fullmatch(text) is not None
+def is_plain(text: str, composed: bool = False) -> bool:
+    """Whether the fast split is the library's; ``composed`` if the library composes characters first."""
+    return "<|" not in text and _PLAIN.fullmatch(text) is not None and (not composed or text.isascii() or unicodedata.is_normalized("NFC", text))
 
 
 class Cache(dict):

@@ -1,11 +1,11 @@
 """Token counts by a two-tier map-side lookup.
 
-Tier one is a compact table, broadcast, of the pre-tokens that the
-tokenizer's own merges rank as frequent, with their lengths in tokens: it is
-bounded by the vocabulary and needs no pass over the corpus. Tier two is a
-bounded cache in each Python worker for everything else, filled by encoding
-each missing pre-token once. No pre-token is ever shuffled: the operator is
-one map over the texts.
+Tier one is a compact table, broadcast, of the pre-tokens that the tokenizer's
+own merges rank as frequent, with their lengths in tokens: one string of words
+and one of bytes, bounded by the vocabulary, without a pass over the corpus.
+Tier two is a bounded cache in each Python worker for everything else, filled
+by encoding each missing pre-token once. No pre-token is ever shuffled: the
+operator is one map over the texts.
 """
 
 from __future__ import annotations
@@ -23,20 +23,22 @@ WORKER_CACHE = 300_000
 _state: dict = {}
 
 
-def frequent_lengths(tokenizer_file: str) -> dict[str, int]:
-    """Lengths of the vocabulary's whole words (those that end a word)."""
+def frequent_lengths(tokenizer_file: str) -> tuple[str, bytes]:
+    """The vocabulary's whole words (those that end a word), a line each, and their lengths in tokens, a byte each."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_file)
     words = sorted(w[:-4] for w in tok.get_vocab() if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha())
-    return {w: len(e.ids) for w, e in zip(words, tok.encode_batch(words, add_special_tokens=False), strict=True)}
+    return "\n".join(words), bytes(len(e.ids) for e in tok.encode_batch(words, add_special_tokens=False))
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
-    Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted
-    each; an empty table gives no rows. Texts are taken whole.
+    Null and empty texts have 0 bytes and 0 tokens; repeated rows, and rows
+    without an id, are counted each; an empty table gives no rows; other
+    columns are not looked at. Texts are taken whole: a task holds the
+    pre-tokens of one at a time, some 60 bytes each.
     """
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(tokenizer_file))
 
@@ -45,13 +47,13 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 2048, id_col
             from tokenizers import Tokenizer
 
             tok = Tokenizer.from_file(tokenizer_file)
-            _state[tokenizer_file] = tok, pretoken.Cache(lambda w: len(tok.encode(w, add_special_tokens=False).ids), frequent.value, WORKER_CACHE)
+            _state[tokenizer_file] = tok, pretoken.Cache(lambda w: len(tok.encode(w, add_special_tokens=False).ids), dict(zip(frequent.value[0].split("\n"), frequent.value[1], strict=True)), WORKER_CACHE)
         tok, cache = _state[tokenizer_file]
         get, split = cache.__getitem__, pretoken.WORD_END.findall
         for batch in batches:
             n_tokens = []
             for text in batch.column(1).to_pylist():
-                if pretoken.is_plain(text):
+                if pretoken.is_plain(text, composed=True):
                     n_tokens.append(sum(map(get, split(text.lower()))))
                 else:
                     n_tokens.append(len(tok.encode(text, add_special_tokens=False).ids))

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from arcspark.llm import chat, decontamination, language, media, packing, queries, token_counts, toxicity
+from arcspark.llm import chat, decontamination, language, media, packing, pretoken, queries, token_counts, toxicity
 
 DATA = "/root/testdata/sf0.001"
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -72,7 +72,15 @@ TRICKY = ["a <|endoftext|> b 's ’ “x” Straße ǅ 漢字 \x1c y  \n\n z", "
 def tricky_texts():
     rng = random.Random(3)
     bits = ["a", "B", " ", "  ", "\n", "\t", "'s", "'", " '", "1", "é", "ß", ".", "\r", " \n", "don't", "¡", "\xa0", "ﬁ", "é"]
-    return TRICKY + ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    wide = ["Привет", "МИР", "漢字", "かな", "カナ", "한글", "“", "”", "’s", "—", "…", "€", "Σ", "Ω", "العربية", "עברית", "ไทย", "हिन्दी", "e\u0301", "Ⅷ", "٣", "①", "😀", "\u2003", "İ", "ǅ", "a", " ", "\n", "1", "-"]
+    return TRICKY + ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["".join(rng.choice(wide) for _ in range(rng.randrange(12))) for _ in range(3000)]
+
+
+def test_common_scripts_take_the_fast_path():
+    for text in ("Привет, мир! Это — “цитата”…", "這是一個句子。かなカナ", "한국어 문장입니다", "مرحبا بالعالم", "हिन्दी में", "ελληνικά", "naïve café – 5 €"):
+        assert pretoken.is_plain(text, composed=True), text
+    for text in ("e\u0301", "a <|endoftext|>", "\u2003x", "ΣΑΣ"):
+        assert not pretoken.is_plain(text, composed=True), text
 
 
 def test_token_counts(spark, odd, empty):
