@@ -7,6 +7,7 @@ profile from which its n-grams are least out of place.
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,43 +17,43 @@ from pyspark.sql import functions as F
 
 from arcspark.llm.common import text_of
 
-#: Letters are told apart by 63 symbols; symbol 0 is any run of other characters.
-SYMBOLS = 64
-SPACE = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
-#: N-grams in a profile. Languages whose counts a task holds before it passes them on.
-PROFILE, HELD = 300, 32
+#: Bits of a letter in an n-gram's number; a run of other characters is symbol 0.
+LETTER_BITS = 20
+#: N-grams in a profile; n-grams of all languages whose counts a task holds before it passes them on.
+PROFILE, HELD = 300, 400_000
+#: Languages that there may be: their profiles go to the driver and every worker.
+LANGUAGES = 1000
 
-_symbols: np.ndarray | None = None
+_letters: np.ndarray | None = None
 
 
-def symbols() -> np.ndarray:
-    """Code point -> symbol: a to z have one each, other letters share 37, the rest is 0."""
-    global _symbols
-    if _symbols is None:
-        table = np.zeros(0x110000, np.uint8)
+def letters() -> np.ndarray:
+    """Code point -> the letter in lower case, 0 for what is no letter or mark of one."""
+    global _letters
+    if _letters is None:
+        table = np.zeros(0x110000, np.int32)
         for code in range(0x110000):
-            if (c := chr(code)).isalpha():
-                low = ord(c.lower()[0])
-                table[code] = low - 96 if 97 <= low <= 122 else 27 + low % 37
-        _symbols = table
-    return _symbols
+            c = chr(code)
+            if c.isalpha():
+                table[code] = ord(c.lower()[0])
+            elif unicodedata.category(c) in ("Mn", "Mc"):
+                table[code] = code
+        _letters = table
+    return _letters
 
 
 def ngrams(text: str) -> np.ndarray:
-    """Ids of the text's 1-, 2- and 3-grams; words begin and end with symbol 0."""
+    """Numbers of the text's 1-, 2- and 3-grams, every letter of every script apart; words begin and end with symbol 0."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.concatenate([[0], symbols()[codes], [0]]).astype(np.int32)
+    s = np.concatenate([[0], letters()[codes], [0]]).astype(np.int64)
     s = s[np.concatenate([[True], (s[1:] > 0) | (s[:-1] > 0)])]
-    two = s[:-1] * SYMBOLS + s[1:]
-    three = (two[:-1] * SYMBOLS + s[2:])[s[1:-1] > 0]
-    return np.concatenate([s[s > 0], two + SYMBOLS, three + SYMBOLS + SYMBOLS**2])
+    two = s[:-1] << LETTER_BITS | s[1:]
+    three = (two[:-1] << LETTER_BITS | s[2:])[s[1:-1] > 0]
+    # the last two bits tell the length
+    return np.concatenate([s[s > 0] * 4 + 1, two * 4 + 2, three * 4 + 3])
 
 
 def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if len(ids) > 30_000:
-        counts = np.bincount(ids, minlength=SPACE)
-        kept = np.flatnonzero(counts)
-        return kept, counts[kept]
     return np.unique(ids, return_counts=True)
 
 
@@ -64,17 +65,23 @@ def top(ids: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Profiles:
+    """Languages and, over all n-grams that any of them ranks, their ranks (PROFILE where absent)."""
+
     langs: list[str]
-    ranks: np.ndarray  # languages x SPACE; PROFILE where absent
+    ids: np.ndarray
+    ranks: np.ndarray
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        ids = ngrams(text) if text and self.langs else np.zeros(0, np.int32)
-        if not len(ids) or not (ids < SYMBOLS).any():
+        ids = ngrams(text) if text and self.langs else np.zeros(0, np.int64)
+        if not len(ids) or not (ids & 3 == 1).any():
             return "und", 0.0
         own = top(ids)
-        away = np.abs(self.ranks[:, own].astype(np.int32) - np.arange(len(own)))
-        away[self.ranks[:, own] == PROFILE] = PROFILE
-        distance = away.sum(1) / (PROFILE * len(own))
+        at = np.minimum(np.searchsorted(self.ids, own), len(self.ids) - 1)
+        known = np.flatnonzero(self.ids[at] == own)
+        # an n-gram that a language does not rank is PROFILE places out
+        rank = self.ranks[:, at[known]].astype(np.int32)
+        away = np.where(rank == PROFILE, PROFILE, np.abs(rank - known))
+        distance = (away.sum(1) + PROFILE * (len(own) - len(known))) / (PROFILE * len(own))
         best = int(np.argmin(distance))
         return self.langs[best], 1.0 - float(distance[best])
 
@@ -83,32 +90,43 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Pr
     """Profiles from every row of ``docs`` with a language and a text."""
 
     def count(batches):
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}
+        size = 0
 
         def out():
-            for lang, counts in held.items():
-                kept = np.flatnonzero(counts)
-                yield pa.record_batch([pa.array([lang] * len(kept)), pa.array(kept.astype(np.int32)), pa.array(counts[kept])], ["lang", "id", "n"])
+            for lang, parts in held.items():
+                ids, place = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+                n = np.bincount(place, np.concatenate([n for _, n in parts]), len(ids)).astype(np.int64)
+                yield pa.record_batch([pa.array([lang] * len(ids), pa.string()), pa.array(ids), pa.array(n)], ["lang", "id", "n"])
             held.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if lang not in held and len(held) >= HELD:
+                ids, n = counted(ngrams(text))
+                parts = held.setdefault(lang, [])
+                parts.append((ids, n))
+                size += len(ids)
+                if size >= HELD:
                     yield from out()
-                kept, n = counted(ngrams(text))
-                held.setdefault(lang, np.zeros(SPACE, np.int64))[kept] += n
+                    size = 0
         yield from out()
 
-    rows = docs.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != "und")).select(F.col(lang_col).cast("string"), text_of(text_col))
-    counts = rows.mapInArrow(count, "lang string, id int, n long").groupBy("lang", "id").agg(F.sum("n").alias("n"))
-    # at most SPACE rows a language are ranked, and PROFILE of them kept
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
+    counts = rows.mapInArrow(count, "lang string, id long, n long").groupBy("lang", "id").agg(F.sum("n").alias("n"))
+    # the best of parts of a language first, so that no task orders all of a large language's n-grams
+    part = F.pmod(F.xxhash64("id"), F.lit(64))
+    first = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang", part).orderBy(F.desc("n"), "id"))).where(F.col("place") <= PROFILE).drop("place")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "id")
-    best = counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < PROFILE).select("lang", "id", "rank").collect()
-    langs = sorted({r["lang"] for r in best})
-    ranks = np.full((len(langs), SPACE), PROFILE, np.int16)
+    best = first.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < PROFILE).select("lang", "id", "rank")
+    best = best.limit(LANGUAGES * PROFILE + 1).collect()
+    if len(best) > LANGUAGES * PROFILE:
+        raise ValueError(f"over {LANGUAGES} languages: their profiles would not be small")
+    langs, ids = sorted({r["lang"] for r in best}), np.unique(np.asarray([r["id"] for r in best], np.int64))
+    ranks = np.full((len(langs), max(len(ids), 1)), PROFILE, np.int16)
+    row = {lang: i for i, lang in enumerate(langs)}
     for r in best:
-        ranks[langs.index(r["lang"]), r["id"]] = r["rank"]
-    return Profiles(langs, ranks)
+        ranks[row[r["lang"]], np.searchsorted(ids, r["id"])] = r["rank"]
+    return Profiles(langs, ids if len(ids) else np.zeros(1, np.int64), ranks)
 
 
 def id_remainder(id_col: str, parts: int) -> Column:
@@ -119,9 +137,13 @@ def id_remainder(id_col: str, parts: int) -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score (1 less the mean displacement).
 
-    Learns from rows outside fold 0 whose language is given. Null texts, texts
-    without letters, and any text if nothing could be learnt, are ``und`` with
-    score 0; equal distances go to the language first in order.
+    Learns from every row outside fold 0 whose language is given, repeated
+    rows each. Null texts, texts without letters, and any text if nothing
+    could be learnt, are ``und`` with score 0; equal distances go to the
+    language first in order. Rows without an id are judged and learnt from as
+    if their id were empty. An empty table gives no rows; other columns are
+    not looked at. Texts are taken whole: a task holds some 100 bytes for each
+    character of one. More than LANGUAGES languages are an error.
     """
     fold = id_remainder(id_col, folds)
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs.where(fold != 0), lang_col, text_col))

@@ -106,19 +106,21 @@ def store(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "te
 
     def write(batches):
         out, known = ShardWriter(uri), {}
-        for batch in batches:
-            got = []
-            for text in batch.column(1).to_pylist():
-                payload = payload_of(text)
-                digest = hashlib.sha256(payload).hexdigest()
-                if digest not in known:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[digest] = out.add(f"{digest}.png", encode_png(payload))
-                got.append((len(text.encode("utf-8", "surrogatepass")), digest, *known[digest]))
-            n, digest, shard, offset, length = zip(*got, strict=True) if got else ((),) * 5
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(shard, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
-        out.close()
+        try:
+            for batch in batches:
+                got = []
+                for text in batch.column(1).to_pylist():
+                    payload = payload_of(text)
+                    digest = hashlib.sha256(payload).hexdigest()
+                    if digest not in known:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[digest] = out.add(f"{digest}.png", encode_png(payload))
+                    got.append((len(text.encode("utf-8", "surrogatepass")), digest, *known[digest]))
+                n, digest, shard, offset, length = zip(*got, strict=True) if got else ((),) * 5
+                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(shard, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
+        finally:  # a shard that a failed task leaves has no row that points to it
+            out.close()
 
     rows = id_and_text(docs, id_col, text_col)
     return rows.mapInArrow(write, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, digest string, shard string, offset long, length long")
@@ -131,59 +133,67 @@ def addresses(rows: DataFrame) -> DataFrame:
 
 
 def _each(uri: str, batches, work, names, kinds):
-    """Rows of ``work(file, offset, length)`` beside the digest; one shard is open at a time."""
+    """The rows and ``work(file, row)`` beside them; one shard is open at a time."""
     where, base = open_store(uri)
     name, file = "", None
-    for batch in batches:
-        got = []
-        for shard, offset, length in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            if shard != name:
-                if file is not None:
-                    file.close()
-                name, file = shard, where.open_input_file(f"{base}/{shard}")
-            got.append(work(file, offset, length))
-        columns = zip(*got, strict=True) if got else ((),) * len(names)
-        yield pa.record_batch([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["digest", *names])
+    try:
+        for batch in batches:
+            got = []
+            for row in batch.to_pylist():
+                if row["shard"] != name:
+                    if file is not None:
+                        file.close()
+                    name, file = row["shard"], where.open_input_file(f"{base}/{row['shard']}")
+                got.append(work(file, row))
+            columns = zip(*got, strict=True) if got else ((),) * len(names)
+            yield pa.record_batch([*batch.columns, *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], [*batch.schema.names, *names])
+    finally:
+        if file is not None:
+            file.close()
 
 
-def _by_shard(index: DataFrame) -> DataFrame:
-    return index.select("digest", "shard", "offset", "length").repartition(F.col("shard"), F.pmod(F.xxhash64("digest"), F.lit(8))).sortWithinPartitions("shard", "offset")
+INDEX = "digest string, shard string, offset long, length long"
+HEADER = "width long, height long, bits int"
 
 
 def metadata(index: DataFrame, uri: str) -> DataFrame:
-    """digest, width, height, bits: reads HEADER_BYTES of each image and no more."""
+    """The index with width, height, bits: reads HEADER_BYTES of each image and no more. Rows come by shard."""
+    by_shard = index.select("digest", "shard", "offset", "length").repartition(F.col("shard"), F.pmod(F.xxhash64("digest"), F.lit(8))).sortWithinPartitions("shard", "offset")
 
-    def head(file, offset, _):
-        return read_header(file.read_at(HEADER_BYTES, offset))
+    def head(file, row):
+        return read_header(file.read_at(HEADER_BYTES, row["offset"]))
 
-    return _by_shard(index).mapInArrow(lambda b: _each(uri, b, head, ["width", "height", "bits"], [pa.int64(), pa.int64(), pa.int32()]), "digest string, width long, height long, bits int")
+    return by_shard.mapInArrow(lambda b: _each(uri, b, head, ["width", "height", "bits"], [pa.int64(), pa.int64(), pa.int32()]), f"{INDEX}, {HEADER}")
 
 
-def features(index: DataFrame, uri: str) -> DataFrame:
-    """Metadata from a header-only read, then digests and features of what is stored."""
+def features(described: DataFrame, uri: str) -> DataFrame:
+    """``metadata``'s rows with digests and features of what is stored, read back by address."""
 
-    def read(file, offset, length):
-        width, height, bits = read_header(file.read_at(HEADER_BYTES, offset))
-        stored = file.read_at(length, offset)
+    def read(file, row):
+        stored = file.read_at(row["length"], row["offset"])
         payload = decode_png(stored)
         samples = np.frombuffer(payload, np.uint8)
-        feature = f"grey{bits} {width}x{height} sum={int(samples.sum(dtype=np.int64))} " + ",".join(map(str, np.bincount(samples >> 5, minlength=8)))
-        return width, height, bits, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+        feature = f"grey{row['bits']} {row['width']}x{row['height']} sum={int(samples.sum(dtype=np.int64))} " + ",".join(map(str, np.bincount(samples >> 5, minlength=8)))
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
-    names = ["width", "height", "bits", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return _by_shard(index).mapInArrow(lambda b: _each(uri, b, read, names, kinds), "digest string, width long, height long, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return described.mapInArrow(lambda b: _each(uri, b, read, names, kinds), f"{INDEX}, {HEADER}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame, uri: str | None = None, id_col: str = "doc_id", text_col: str = "text", scope: str | None = None) -> DataFrame:
-    """Store, read back and describe: one row for each row of ``docs``.
-
-    Null and empty texts are one row of padding. Repeated texts share one
-    address and equal values; an empty table writes no shard.
+    """Store, describe and read back: one row for each row of ``docs``, with its payload's address under ``uri``.
+
+    Metadata columns come from header-only reads, features from the stored
+    bytes. Null and empty texts are one row of padding. Repeated texts share
+    one address and equal values; rows that repeat an id, and rows without
+    one, come each; an empty table writes no shard; other columns are not
+    looked at. A payload is held whole, with its image some three times its
+    size, one at a time.
     """
     uri = uri or scratch(docs.sparkSession, "media", scope)
     rows = materialize(store(docs, uri, id_col, text_col), "media-rows", scope)
-    known = features(addresses(rows), uri)
+    known = features(metadata(addresses(rows), uri), uri)
     return rows.select("doc_id", "n_bytes", "digest").join(known, "digest").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits"
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits", "digest", "shard", "offset", "length"
     )

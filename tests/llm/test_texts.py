@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import tarfile
+import unicodedata
 import zlib
 from pathlib import Path
 
@@ -66,6 +67,62 @@ def test_language(spark, docs, odd, empty):
     assert language.identify(empty.withColumn("lang", empty["cid"])).count() == 0
 
 
+def brute_language(rows):
+    """Rank-order profiles by counters: (doc_id, prediction, score)."""
+
+    def grams(text):
+        kept = [c.lower()[0] if c.isalpha() else c if unicodedata.category(c) in ("Mn", "Mc") else None for c in text]
+        words, now = [], []
+        for c in [*kept, None]:
+            if c is None:
+                if now:
+                    words.append(now)
+                now = []
+            else:
+                now.append(c)
+        found = collections.Counter()
+        for w in words:
+            s = ["", *w, ""]
+            found.update((c,) for c in w)
+            found.update(zip(s, s[1:]))
+            found.update((a, b, c) for a, b, c in zip(s, s[1:], s[2:]))
+        return found
+
+    def number(g):
+        x = 0
+        for c in g:
+            x = x << 20 | (ord(c) if c else 0)
+        return x * 4 + len(g)
+
+    def ranked(counts):
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], number(x[0])))[:300]]
+
+    by_lang = collections.defaultdict(collections.Counter)
+    for i, text, lang in rows:
+        if zlib.crc32(str("" if i is None else i).encode()) % 5 and lang is not None:
+            by_lang[lang].update(grams(text or ""))
+    profiles = {lang: {g: k for k, g in enumerate(ranked(c))} for lang, c in by_lang.items() if c}
+    out = []
+    for i, text, _ in rows:
+        own = ranked(grams(text or ""))
+        if not own or not profiles:
+            out.append((i, "und", 0.0))
+            continue
+        away = {lang: sum(abs(p[g] - k) if g in p else 300 for k, g in enumerate(own)) / (300 * len(own)) for lang, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        out.append((i, best, 1 - away[best]))
+    return sorted(out, key=repr)
+
+
+def test_language_against_counters(spark, docs):
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.limit(60).collect()]
+    rows += [(9000, "Съешь ещё этих мягких французских булок", "ru"), (9001, "Пример русского текста для проверки", "ru"), (9002, "これは日本語の文章です", "ja"), (9003, "日本語のテキスト", "ja"), (9004, "これは本です", None), (9005, "мягкий текст", None), (9006, "हिन्दी में एक वाक्य", "hi"), (9007, "123 !?", "en"), (9008, None, "en"), (None, "und text", "und")]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = brute_language(rows)
+    found = sorted(((r.doc_id, r.lang_pred, r.score) for r in got), key=repr)
+    assert [x[:2] for x in found] == [x[:2] for x in want] and np.allclose([x[2] for x in found], [x[2] for x in want])
+
+
 TRICKY = ["a <|endoftext|> b 's ’ “x” Straße ǅ 漢字 \x1c y  \n\n z", "don't  \t\n foo's ½²³ 12345 ___ --'s", "  lead", "trail  ", "a \nb \t c   d", "İI ŉ", "x" * 9000, ""]
 
 
@@ -156,6 +213,11 @@ def test_media(spark, tmp_path, odd, empty):
         image = stored[f"{r.payload_sha256}.png"]
         assert (hashlib.sha256(image).hexdigest(), len(image)) == (r.media_sha256, r.media_bytes)
         assert hashlib.sha256(media.decode_png(image)).hexdigest() == r.payload_sha256
+    for r in rows:  # each payload by its row's address
+        with open(tmp_path / "store" / r.shard, "rb") as f:
+            f.seek(r.offset)
+            assert media.decode_png(f.read(r.length))[-32:] == next(iter(p for p in [media.decode_png(stored[f"{r.digest}.png"])]))[-32:]
+            assert hashlib.sha256(media.decode_png(stored[f"{r.digest}.png"])).hexdigest() == r.digest
     index = media.addresses(media.store(odd, f"file://{tmp_path}/again"))
     assert media.metadata(index, f"file://{tmp_path}/again").count() == index.count() == len(stored)
     assert media.media_columns(empty).count() == 0
