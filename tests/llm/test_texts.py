@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import tarfile
 import unicodedata
@@ -237,6 +238,78 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.reject_toxic(odd, some.where("false")).columns == odd.columns
 
 
+def brute_toxicity(rows):
+    """Both Kneser-Ney models by dictionaries; gives a function of a text: (length, difference)."""
+    log, classes = math.log, ("toxic", "ordinary")
+    pairs = collections.defaultdict(collections.Counter)
+    for toxic, text in rows:
+        w = toxicity.words(text)
+        for pair in set(zip(w, [None, *w])):
+            pairs[pair][classes[not toxic]] += 1
+    by_word, by_stem = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for (word, _), c in pairs.items():
+        by_word[word].update({k: 1 for k in classes if c[k]} | {"n": 1})
+    for word, c in by_word.items():
+        by_stem[word[:4]].update(c)
+    sums = {k: sum(c[k] for c in by_word.values()) for k in (*classes, "n")}
+    share = {"toxic": sums["toxic"] / (sums["toxic"] + sums["ordinary"])}
+    share["ordinary"] = 1 - share["toxic"]
+    freed = lambda table, k: sum(min(c[k], 0.75) for c in table.values()) / sums[k]
+    less = lambda n: max(n - 0.75, 0.0)
+
+    def trusted(c, gap, backoff):
+        n = c["toxic"] + c["ordinary"]
+        evidence = sum(c[k] * log(c[k] / (n * share[k])) for k in classes if c[k])
+        belief = 1 / (1 + math.exp(max(10 - evidence, -35))) * gap * gap / (gap * gap + 1)
+        return belief * gap + (1 - belief) * backoff
+
+    stem_p, stem_gap, word_p, word_gap, adds = {}, {}, {}, {}, {}
+    for stem, c in by_stem.items():
+        pooled = c["n"] / sums["n"]
+        stem_p[stem] = {k: less(c[k]) / sums[k] + freed(by_stem, k) * pooled if c["n"] >= 4 else pooled for k in classes}
+        stem_gap[stem] = trusted(c, log(stem_p[stem]["toxic"]) - log(stem_p[stem]["ordinary"]), 0.0)
+        adds[stem, 0] = stem_gap[stem]
+    for word, c in by_word.items():
+        stem = word[:4]
+        back = {k: stem_p[stem][k] * c["n"] / by_stem[stem]["n"] for k in classes}
+        word_p[word] = {k: less(c[k]) / sums[k] + freed(by_word, k) * back[k] if c["n"] >= 4 else back[k] for k in classes}
+        word_gap[word] = trusted(c, log(word_p[word]["toxic"]) - log(word_p[word]["ordinary"]), stem_gap[stem]) if c["n"] >= 4 else stem_gap[stem]
+        adds[word, 1] = word_gap[word] - stem_gap[stem]
+    history = collections.defaultdict(list)
+    for (_, before), c in pairs.items():
+        history[before].append(c)
+    for (word, before), c in pairs.items():
+        if c["toxic"] + c["ordinary"] >= 4:
+            p = {}
+            for k in classes:
+                h, free = sum(x[k] for x in history[before]), sum(min(x[k], 0.75) for x in history[before])
+                p[k] = (less(c[k]) + free * word_p[word][k]) / h if h else word_p[word][k]
+            adds[(word, before), 2] = trusted(c, log(p["toxic"]) - log(p["ordinary"]), word_gap[word]) - word_gap[word]
+
+    def measure(text):
+        w = toxicity.words(text)
+        return len(w), sum(adds.get((word[:4], 0), 0) + adds.get((word, 1), 0) + adds.get(((word, before), 2), 0) for word, before in zip(w, [None, *w]))
+
+    return measure
+
+
+def test_toxicity_against_dictionaries(spark):
+    rng = random.Random(8)
+    common_words, bad = [f"word{i}" for i in range(40)] + ["the", "of", "and"], ["awful", "awfully", "nasty", "idiot"]
+    rows = []
+    for i in range(120):
+        toxic = i % 3 == 0
+        rows.append((i, " ".join(rng.choice(bad) if toxic and rng.random() < 0.3 else rng.choice(common_words) for _ in range(rng.randrange(1, 30))), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    measure = brute_toxicity([(t, x) for _, x, t in rows])
+    texts = [(i, x) for i, x, _ in rows] + [(1000, ""), (1001, "unseen words here"), (1002, "the awful awful idiot")]
+    model = toxicity.learn(df)
+    got = {r.doc_id: (r.n, r.total) for r in toxicity.measured(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for i, x in texts:
+        n, total = measure(x)
+        assert got[i][0] == n and abs(got[i][1] - total) < 1e-4 * max(1, abs(total)), (i, x)
+
+
 def test_toxicity_scores_every_ngram(spark, monkeypatch):
     # each of many words has little evidence of its own; with no cut they still move the score
     rows = [(f"t{i}{k}", f"mild{i} filler{k % 7} mild{i}", 1) for i in range(40) for k in range(5)] + [(f"o{i}{k}", f"plain{i} filler{k % 7} plain{i}", 0) for i in range(40) for k in range(5)]
