@@ -105,10 +105,37 @@ ALIASES = {
 }
 
 
+#: Families of names that differ in their prefix alone -> the codec's name.
+FAMILIES = [
+    (re.compile(r"(?:x-|cs)?(?:windows|win|cp|ms|ibm|dos|pc)[-_ ]?0*(\d{2,5})"), "cp{}"),
+    (re.compile(r"(?:x-|cs)?iso[-_ ]?8859[-_ ]?(\d{1,2})(?:[-_](?:e|i)|:\d{4})?"), "iso8859_{}"),
+    (re.compile(r"(?:csiso)?latin[-_ ]?(\d{1,2})|l(\d{1,2})"), "latin{}"),
+    (re.compile(r"(?:x-|cs|unicode-\d-\d-)?utf[-_ ]?(8|16|32|7)(?:[-_ ]?n|[-_ ]?mac)?"), "utf_{}"),
+    (re.compile(r"(?:x-)?(?:unicode-|utf[-_ ]?16[-_ ]?|x-utf-16)(le|be)(?:-bom)?"), "utf_16_{}"),
+    (re.compile(r"(?:x-)?mac-?(roman|greek|cyrillic|turkish|iceland|croatian|romania)"), "mac_{}"),
+    (re.compile(r"(?:x-|cs)?euc[-_ ]?(jp|kr|cn)"), "euc_{}"),
+    (re.compile(r"(?:x-|cs)?koi8[-_ ]?(r|u|t)"), "koi8_{}"),
+    (re.compile(r"(?:cs)?iso[-_ ]?2022[-_ ]?(jp(?:-[123]|-2004|-ext)?|kr)"), "iso2022_{}"),
+]
+#: Latin alphabets by number where a codec has another: ISO names part 9 the fifth, and so on.
+LATIN = {"5": "iso8859_9", "6": "iso8859_10", "7": "iso8859_13", "8": "iso8859_14", "9": "iso8859_15", "10": "iso8859_16"}
+
+
+def _family(key: str) -> str | None:
+    for pattern, shape in FAMILIES:
+        if m := pattern.fullmatch(key):
+            part = next(g for g in m.groups() if g is not None)
+            if shape == "latin{}":
+                return "cp1252" if part == "1" else LATIN.get(part, f"iso8859_{part}")
+            # browsers read part 1 as the wider Windows page, which has it whole
+            return "cp1252" if shape == "iso8859_{}" and part == "1" or shape == "cp{}" and part == "819" else shape.format(part.replace("-", "_"))
+    return None
+
+
 def charset_codec(name: str | None) -> str | None:
     """The codec for a charset's name, or None."""
-    key = (name or "").strip().lower()
-    for candidate in (ALIASES.get(key), key):
+    key = (name or "").strip().strip("\"'").lower()
+    for candidate in (ALIASES.get(key), _family(key), key):
         if candidate:
             try:
                 return codecs.lookup(candidate).name
@@ -155,7 +182,7 @@ def _likely(data: bytes, codec: str) -> float:
     try:
         text = data.decode(codec)
     except UnicodeDecodeError as e:
-        if len(data) - e.start > 4:  # more than a character cut off at the end
+        if len(data) - e.start > (3 if codec == "gb18030" else 1):  # more than a character cut off at the end
             return -1.0
         text = data[: e.start].decode(codec)
     wide = [c for c in text if ord(c) > 0x7F]

@@ -721,6 +721,24 @@ def name_table(spark, sf_dir):
     return read_names(spark, path, F.col("ttl") / 1000 % 5 != 0)
 
 
+@query("""SELECT page_id, md5(regexp_replace(html, '[^\\x20-\\x7e]|<meta', '', 'gi') || 'é') AS text_md5, CASE WHEN page_id % 11 < 6 THEN 'cp1252' WHEN page_id % 11 < 9 THEN 'utf-8' ELSE 'utf-16-be' END AS charset FROM pages""")
+def charset_alias(spark, sf_dir):
+    """Pages in three charsets under eleven of their names."""
+    names = ("latin1", "L1", "ISO_8859-1:1987", "IBM819", "csISOLatin1", "windows-1252", "utf8", "UTF_8", "unicode-1-1-utf-8", "UTF-16BE", "utf_16_be")
+    page, k = F.concat(F.regexp_replace("html", r"(?i)[^\x20-\x7e]|<meta", ""), F.lit("é")), (F.col("page_id") % 11).cast("int")
+    data = F.when(k < 6, F.encode(page, "ISO-8859-1")).when(k < 9, F.encode(page, "UTF-8")).otherwise(F.encode(page, "UTF-16BE"))
+    rows = _table(spark, sf_dir, "pages").select("page_id", http.decoded(data, F.get(F.array(*map(F.lit, names)), k)).alias("d"))
+    return rows.select("page_id", F.md5("d.text").alias("text_md5"), "d.charset")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'UTF-16LE' WHEN 2 THEN 'UTF-16BE' ELSE 'windows-1252' END AS charset FROM documents WHERE text <> ''")
+def detect_encoded(spark, sf_dir):
+    """Whole texts, ASCII with an accent, in four encodings that their bytes must tell apart."""
+    shown, k = F.concat(F.regexp_replace("text", r"[^\x20-\x7e]", " "), F.lit(" déjà vu")), F.col("doc_id") % 4
+    data = F.when(k == 0, F.encode(shown, "UTF-8")).when(k == 1, F.encode(shown, "UTF-16LE")).when(k == 2, F.encode(shown, "UTF-16BE")).otherwise(F.encode(shown, "ISO-8859-1"))
+    return _table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", http.detected_charset(data).alias("charset"))
+
+
 # ------------------------------------------------------------------ extensions
 
 

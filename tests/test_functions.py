@@ -119,6 +119,8 @@ def test_detected_charsets(shown, codec_name, wanted):
 
 def test_charsets_that_are_not_known():
     assert http.charset_codec("x-euc-tw") is None and http.charset_codec("ISO-2022-CN") is None and http.charset_codec("Shift-JIS") == "cp932"
+    for name, codec_name in {"CP-1251": "cp1251", "x-windows-1250": "cp1250", "IBM-850": "cp850", "ISO-8859-15": "iso8859-15", "csISOLatin2": "iso8859-2", "l5": "iso8859-9", "x-mac-cyrillic": "mac-cyrillic", "KOI8-R": "koi8-r", "euc-cn": "gb2312", "'utf-8'": "utf-8", "ISO-2022-JP-2": "iso2022_jp_2", "no such": None}.items():
+        assert http.charset_codec(name) == codec_name, name
     late = b"a" * 20_000 + "é".encode()
     assert http.detect_charset(late) == "UTF-8" and http.detect_charset(late, 16_000) == "ASCII"
 
