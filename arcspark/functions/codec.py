@@ -6,6 +6,7 @@ import base64
 import gzip
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -144,34 +145,25 @@ class Bits:
 
 
 def rice_encode(values: list[int], m: int, signed: bool = True) -> tuple[bytes, int, int]:
-    """(bits, number of bits, number of values): sign, quotient in ones ended by a zero, m bits of rest."""
-    bits = Bits()
+    """(bits, number of bits, number of values): sign, quotient in ones ended by a zero, m bits of rest, high ones first."""
+    shown = []
     for v in values:
-        if signed:
-            bits.append(int(v < 0))
         x = abs(v) if signed and v != -(1 << 63) else v
-        for _ in range(abs(x >> m)):
-            bits.append(1)
-        bits.append(0)
-        for i in reversed(range(m)):
-            bits.append(x >> i & 1)
-    return bytes(bits.data), bits.size, len(values)
+        rest = f"{x & ((1 << m) - 1):0{m}b}" if m else ""
+        shown.append(f"{'1' if signed and v < 0 else '0' if signed else ''}{'1' * abs(x >> m)}0{rest}")
+    bits = np.frombuffer("".join(shown).encode("ascii"), np.uint8) & 1
+    return np.packbits(bits, bitorder="little").tobytes(), len(bits), len(values)
 
 
 def rice_decode(data: bytes, count: int, m: int, signed: bool = True) -> list[int]:
-    bits, at, out = Bits(data), 0, []
+    shown = (np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little") | 48).tobytes().decode("ascii")
+    at, out = 0, []
     for _ in range(count):
-        negative = False
-        if signed:
-            negative, at = bool(bits.get(at)), at + 1
-        q = 0
-        while bits.get(at):
-            q, at = q + 1, at + 1
-        at += 1
-        x = q << m
-        for i in reversed(range(m)):
-            x |= bits.get(at) << i
-            at += 1
+        negative = signed and shown[at] == "1"
+        at += signed
+        end = shown.index("0", at)  # the quotient's end
+        x = (end - at) << m | (int(shown[end + 1 : end + 1 + m], 2) if m else 0)
+        at = end + 1 + m
         out.append(-x if negative else x)
     return out
 

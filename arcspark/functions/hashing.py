@@ -87,7 +87,11 @@ def rabin_longs(values: np.ndarray) -> np.ndarray:
 
 @F.pandas_udf(schemas.L)
 def rabin64(texts: pd.Series) -> pd.Series:
-    return texts.map(rabin_text, na_action="ignore").astype("Int64")
+    known = texts.notna().to_numpy()
+    out = pd.Series(pd.NA, index=texts.index, dtype="Int64")
+    if known.any():
+        out[known] = rabin_many([t.encode("utf-16-le", "surrogatepass") for t in texts[known]])
+    return out
 
 
 def _int32(x: int) -> int:
@@ -190,16 +194,32 @@ def crc16(data: bytes, start: int = 0) -> int:
     return start
 
 
-def crc16_many(data: list[bytes]) -> np.ndarray:
-    """``crc16`` of many byte strings, a byte of all of them at a time."""
-    table, n = np.asarray(_crc16(), np.int32), np.fromiter(map(len, data), np.int64, len(data))
+def _folded(data: list[bytes], start, table: np.ndarray) -> np.ndarray:
+    """f = (f >> 8) ^ table[low byte of f ^ byte] over the bytes of many strings, a byte of all of them at a time."""
+    n = np.fromiter(map(len, data), np.int64, len(data))
     order = np.argsort(-n, kind="stable")
-    flat, starts = np.frombuffer(b"".join(data), np.uint8), np.cumsum(n) - n
-    out = np.zeros(len(data), np.int32)
+    flat, starts, longest = np.frombuffer(b"".join(data), np.uint8), (np.cumsum(n) - n)[order], n[order]
+    out, kind = np.full(len(data), start, table.dtype), table.dtype.type
+    live = len(data)
     for j in range(int(n.max(initial=0))):
-        live = order[: np.searchsorted(-n[order], -j, "left")]
-        out[live] = out[live] >> 8 ^ table[(out[live] ^ flat[starts[live] + j]) & 0xFF]
-    return out
+        while live and longest[live - 1] <= j:
+            live -= 1
+        f = out[:live]
+        out[:live] = f >> kind(8) ^ table[((f ^ flat[starts[:live] + j]) & kind(0xFF)).astype(np.int64)]
+    back = np.empty(len(data), table.dtype)
+    back[order] = out
+    return back
+
+
+def crc16_many(data: list[bytes]) -> np.ndarray:
+    """``crc16`` of many byte strings."""
+    return _folded(data, 0, np.asarray(_crc16(), np.int32))
+
+
+def rabin_many(data: list[bytes]) -> np.ndarray:
+    """``rabin_bytes`` of many byte strings, in 64 bits, as signed numbers."""
+    start = start_of(64)
+    return _folded(data, start, _tables(start)[7]).view(np.int64)
 
 
 @F.pandas_udf(schemas.I)
@@ -212,20 +232,22 @@ def md5_signature(data: Column) -> Column:
     return F.when(F.octet_length(data) == 0, F.lit(b"")).otherwise(F.unhex(F.md5(data.cast("binary"))))
 
 
+def _polynomial(units: np.ndarray) -> int:
+    """The sum of units by powers of 31, the last unit by one, in 32 bits."""
+    powers = np.full(len(units), 31, np.uint32)
+    powers[:1] = 1
+    with np.errstate(over="ignore"):
+        return _int32(int((units[::-1].astype(np.uint32) * np.cumprod(powers, dtype=np.uint32)).sum(dtype=np.uint32)))
+
+
 def bytes_hash(data: bytes) -> int:
     """31 h + byte, bytes signed, in 32 bits."""
-    h = 0
-    for b in data:
-        h = (31 * h + (b - 256 if b > 127 else b)) & 0xFFFFFFFF
-    return _int32(h)
+    return _polynomial(np.frombuffer(data, np.int8).astype(np.int32))
 
 
 def string_hash(text: str) -> int:
     """31 h + unit over UTF-16 units, in 32 bits."""
-    h = 0
-    for u in np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").tolist():
-        h = (31 * h + u) & 0xFFFFFFFF
-    return _int32(h)
+    return _polynomial(np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2"))
 
 
 @F.pandas_udf(schemas.I)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # The plain types of the language.
@@ -202,3 +203,13 @@ def parse(text: str, known: dict[str, Record] | None = None) -> dict[str, Record
 def fixed_fields(record: Record) -> T.StructType:
     """The fields that are written: all but transient ones."""
     return T.StructType([f for f in record.schema.fields if not f.metadata.get("transient")])
+
+
+def ordered(df: DataFrame, record: Record, order: str | None = None) -> DataFrame:
+    """Rows by one of the record's named orders, or by its key fields."""
+    return df.orderBy(*(record.orders[order] if order else record.keys))
+
+
+def distinct_keys(df: DataFrame, record: Record) -> DataFrame:
+    """One row for each value of the record's key fields."""
+    return df.dropDuplicates(record.keys)

@@ -12,7 +12,7 @@ import threading
 import time
 import uuid
 from abc import ABC, abstractmethod
-from concurrent.futures import Future
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from enum import IntEnum
 
@@ -97,8 +97,16 @@ class Controller:
     root: str
     statuses: dict[str, Status] = field(default_factory=dict)
 
+    #: Queries that run at once; the others wait in the order they came.
+    concurrency: int = 1
+
     def __post_init__(self):
         self._lock, self._running = threading.Lock(), {}
+        self._queue = ThreadPoolExecutor(self.concurrency, thread_name_prefix="query")
+
+    def submit(self, query: ArchiveQuery) -> Future:
+        """Puts a query in the queue; the future has its result's rows."""
+        return self._queue.submit(self.result, query)
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)

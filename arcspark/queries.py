@@ -46,15 +46,22 @@ def _values(column: str, items: list[str | None]) -> str:
 # ----------------------------------------------------------- archives (sources)
 
 
+#: Archives that this process wrote, by application and tables.
+_archives: dict[tuple[str, str], str] = {}
+
+
 def archive_of_pages(spark: SparkSession, sf_dir: str) -> str:
     """The pages table as archive files in the shared folder."""
     rows = _table(spark, sf_dir, "pages").select(
         "url", F.lit("127.0.0.1").alias("host_ip"), F.lit("20240101000000").alias("ts14"), F.lit("text/html").alias("mime_type"),
         F.array(headers.header(None, "HTTP/1.1 200 OK"), headers.header("Content-Type", " text/html; charset=utf-8")).alias("headers"), F.encode("html", "UTF-8").alias("content"),
     )
-    path = scratch(spark, "pages-arc")
-    write_arc(rows, path)
-    return path
+    known = spark.sparkContext.applicationId, sf_dir
+    if known not in _archives:
+        path = scratch(spark, "pages-arc")
+        write_arc(rows, path)
+        _archives[known] = path
+    return _archives[known]
 
 
 @query("SELECT url, CAST(octet_length(encode(html)) AS BIGINT) AS content_length, md5(html) AS content_md5 FROM pages")

@@ -12,6 +12,13 @@ KNOBS = {
     "speculation": "spark.speculation",
     "max_attempts": "spark.task.maxFailures",
     "min_split_bytes": "spark.sql.files.maxPartitionBytes",
+    "speculation_share": "spark.speculation.quantile",
+    "reuse_workers": "spark.python.worker.reuse",
+    "skip_bad_files": "spark.sql.files.ignoreCorruptFiles",
+    "batch_rows": "spark.sql.execution.arrow.maxRecordsPerBatch",
+    "broadcast_bytes": "spark.sql.autoBroadcastJoinThreshold",
+    "temp_dir": "spark.local.dir",
+    "queue": "spark.scheduler.pool",
 }
 
 

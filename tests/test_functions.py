@@ -36,6 +36,12 @@ def test_checksums():
     data = [rng.randbytes(rng.randrange(40)) for _ in range(200)]
     assert hashing.murmur2_many(data).view(np.int32).tolist() == [hashing.murmur2(x) for x in data]
     assert hashing.murmur2_many(data, 77).view(np.int32).tolist() == [hashing.murmur2(x, 77) for x in data]
+    assert hashing.rabin_many(data).tolist() == [hashing.rabin_bytes(x) for x in data] and hashing.rabin_many([]).tolist() == []
+    for x in data:
+        h = g = 0
+        for b in x:
+            h, g = (31 * h + (b - 256 if b > 127 else b)) & 0xFFFFFFFF, (31 * g + b) & 0xFFFFFFFF
+        assert (hashing.bytes_hash(x) & 0xFFFFFFFF, hashing.string_hash(x.decode("latin-1")) & 0xFFFFFFFF) == (h, g)
     assert hashing.crc16_many(data).tolist() == [hashing.crc16(x) for x in data]
 
 
@@ -135,6 +141,13 @@ def test_codecs():
     extremes = [0, 1, -1, (1 << 63) - 1, (1 << 63) - 2, -(1 << 63) + 1, -(1 << 63)]
     data, _, n = codec.rice_encode(extremes, 62)
     assert codec.rice_decode(data, n, 62) == extremes
+    rng = random.Random(3)
+    for m in (0, 1, 5, 20):
+        values = [rng.randrange(-(8 << m), 8 << m) for _ in range(50)]
+        packed, n_bits, n = codec.rice_encode(values, m)
+        bits = codec.Bits(packed, n_bits)
+        assert codec.rice_decode(packed, n, m) == values and [bits.get(0), n] == [int(values[0] < 0), 50]
+        assert codec.rice_decode(codec.rice_encode([abs(v) for v in values], m, False)[0], n, m, False) == [abs(v) for v in values]
     for v in (0, 127, -112, 128, -113, (1 << 63) - 1, -(1 << 63)):
         assert codec.vlong_decode(codec.vlong_encode(v)) == (v, len(codec.vlong_encode(v)))
     assert codec.split_escaped(codec.join_escaped(["a,b", "", "c\\d"])) == ["a,b", "", "c\\d"]

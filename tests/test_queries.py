@@ -8,12 +8,14 @@ from html.parser import HTMLParser
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from arcspark import queries as q
 from arcspark.functions import domain, hashing, text, url
 from arcspark.operators import aggregates, near_duplicates, ordering
+from arcspark.plans.job import Job
 from arcspark.plans.archive_query import ArchiveQuery, Controller, SortOrder, create, missing_parts, progress
 from arcspark.sources.arc import is_archive, read_arc, write_arc
 
@@ -175,6 +177,40 @@ def test_dump(spark):
     assert all("https://" in x for x in dump(spark, path, item=True, rows=5, where="uri LIKE 'https://%'"))
 
 
+def test_job(spark, tmp_path):
+    def pairs(frames):
+        for f in frames:
+            yield f.assign(k=f.id % 3, v=f.id)[["k", "v"]]
+
+    def first_and_count(frames):
+        key, first, n = None, None, 0
+        for f in frames:
+            for k, v in zip(f.k, f.v, strict=True):
+                if k != key:
+                    if key is not None:
+                        yield pd.DataFrame({"k": [key], "first": [first], "n": [n]})
+                    key, first, n = k, v, 0
+                n += 1
+        if key is not None:
+            yield pd.DataFrame({"k": [key], "first": [first], "n": [n]})
+
+    spark.range(100).write.parquet(f"{tmp_path}/a")
+    spark.range(100, 130).write.parquet(f"{tmp_path}/b")
+    mapped = Job(spark).read("parquet", f"{tmp_path}/a", f"{tmp_path}/b").map(pairs, "k long, v long").group_by("k", partitions=2)
+    mapped.sort_by(F.desc("v")).reduce(first_and_count, "k long, first long, n long").write("parquet", f"{tmp_path}/out")
+    assert rows_of(spark.read.parquet(f"{tmp_path}/out"), "k", "first", "n") == [(0, 129, 44), (1, 127, 43), (2, 128, 43)]
+    assert rows_of(mapped.combine(n=F.count("*")).rows(), "k", "n") == [(0, 44), (1, 43), (2, 43)]
+    ranged = mapped.group_by("k", by_range=True).sort_by("v").rows()
+    assert ranged.count() == 130
+
+
+def test_queue(spark, tmp_path):
+    c = Controller(spark, f"file://{tmp_path}")
+    futures = [c.submit(q.OrdersByPrice(DATA, s)) for s in ("O", "F", "O")]
+    sizes = [f.result().count() for f in futures]
+    assert sizes[0] == sizes[2] and c.statuses and all(s.state.name == "FINISHED" for s in c.statuses.values())
+
+
 def test_progress():
     assert [progress("shards", 1, 2), progress("local", 0.5), progress("cached"), progress("shards", 0, 0)] == [pytest.approx(0.165), pytest.approx(0.825), 0.99, 0.33]
 
