@@ -98,10 +98,11 @@ def hits(docs: DataFrame, known: DataFrame, scope: str | None = None) -> DataFra
 
     whole = joined(docs, same, "rid").select("rid", "hs", exact_words(F.col("text")).alias("words"), folded_words(F.col("text")).alias("folded"))
     spots = []
+    # ``words`` stands twice in the function below, so that Spark keeps it as a column and does not split the text again for each place
     for n in lengths:
         g = whole.select("rid", "hs", "words", grams("folded", gram(n)).alias("g"))
         place = F.filter(F.transform("g", lambda h, i: F.struct(i.alias("at"), h.alias("h"))), lambda x: F.array_contains("hs", x["h"]))
-        g = g.select("rid", F.explode_outer(F.transform(place, lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"), F.slice("words", F.greatest(x["at"] - SPAN + 2, F.lit(1)), 2 * SPAN).alias("near"), F.greatest(x["at"] - SPAN + 1, F.lit(0)).alias("first")))).alias("x"))
+        g = g.select("rid", F.explode_outer(F.transform(place, lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"), F.slice("words", F.greatest(x["at"] - SPAN + 2, F.lit(1)), F.least(F.lit(2 * SPAN), F.size("words"))).alias("near"), F.greatest(x["at"] - SPAN + 1, F.lit(0)).alias("first")))).alias("x"))
         spots.append(g.select("rid", "x.*", F.lit(n).alias("size")).where(F.col("h").isNotNull()))
     none = whole.select("rid", F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("h"), "words", F.lit(0).alias("first"), F.lit(0).alias("size")).where(F.lit(False)).withColumnRenamed("words", "near")
     spot = reduce(DataFrame.unionByName, spots, none)
