@@ -13,6 +13,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -196,13 +198,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def in_runs(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """(first, end) of runs of about ``size`` characters, so that the words of few texts are held at once."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= size:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def in_runs(texts: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, int, list[str]]]:
+    """(first, end, texts) of runs of about ``size`` bytes, so that few texts of a batch are held as Python strings at once."""
+    if not len(texts):
+        return
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    cuts = np.flatnonzero(np.diff(ends // size, prepend=0)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+        if b > a:
+            yield a, b, texts.slice(a, b - a).to_pylist()

@@ -116,9 +116,8 @@ def ranks(rows: DataFrame, width: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(_CELLS, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in in_runs(texts):
-                values, _ = rolled(texts[a:b], width)
+            for _, _, texts in in_runs(batch.column(0)):
+                values, _ = rolled(texts, width)
                 total += np.bincount((values & np.uint64(_CELLS - 1)).astype(np.int64), minlength=_CELLS)
         yield rows_of(dict(enumerate(total.reshape(-1, COUNTS_A_ROW))))
 
@@ -151,9 +150,9 @@ def describe(rows: DataFrame, width: int, percent: int, rank) -> DataFrame:
     def work(batches):
         seen: set[int] = set()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in in_runs(texts):
-                values, n = sets_of(texts[a:b], width, rank.value)
+            ids = batch.column(0)
+            for a, b, texts in in_runs(batch.column(1)):
+                values, n = sets_of(texts, width, rank.value)
                 cid, bits = classes_of(values, n), parities(values, n)
                 ends, sent, prefix = np.cumsum(n), [], []
                 for i, (c, size, end) in enumerate(zip(cid.tolist(), n.tolist(), ends.tolist(), strict=True)):
@@ -358,10 +357,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
         centre, whose = np.zeros(0, np.uint64), None
         for batch in batches:
             x, copy, cid = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            texts = batch.column(4).to_pylist()
             xs, ys = [], []
-            for a, b in in_runs(texts):
-                values, n = sets_of(texts[a:b], width, rank.value)
+            for a, b, texts in in_runs(batch.column(4)):
+                values, n = sets_of(texts, width, rank.value)
                 same, ends = classes_of(values, n), np.cumsum(n)
                 for i, k in enumerate(range(a, b)):
                     if same[i] != cid[k]:

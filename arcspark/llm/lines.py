@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcspark.llm.common import joined, materialize, mix, new_scope, packed, sized, sweep, text_of, word_hashes
+from arcspark.llm.common import in_runs, joined, materialize, mix, new_scope, packed, sized, sweep, text_of, word_hashes
 
 #: Bytes, blanks not counted, from which a repeated line is removed; units and bytes from which one edit is allowed.
 LEAST_BYTES, EDIT_UNITS, EDIT_BYTES = 14, 8, 28
@@ -141,19 +141,20 @@ def line_facts(docs: DataFrame) -> DataFrame:
                     x.clear()
                 return found
 
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                take = bytes.split if text.isascii() else units_of
-                for k, line in enumerate(split(text)):
-                    if len(line) < LEAST_BYTES or (size := size_of(line)) < LEAST_BYTES:
-                        continue
-                    found = take(line)
-                    row.append(i)
-                    at.append(k)
-                    n.append(len(found))
-                    edits.append(len(found) >= EDIT_UNITS and size >= EDIT_BYTES)
-                    units += found
-                    if len(units) >= UNITS:
-                        yield out()
+            for first, _, texts in in_runs(batch.column(2)):
+                for i, text in enumerate(texts, first):
+                    take = bytes.split if text.isascii() else units_of
+                    for k, line in enumerate(split(text)):
+                        if len(line) < LEAST_BYTES or (size := size_of(line)) < LEAST_BYTES:
+                            continue
+                        found = take(line)
+                        row.append(i)
+                        at.append(k)
+                        n.append(len(found))
+                        edits.append(len(found) >= EDIT_UNITS and size >= EDIT_BYTES)
+                        units += found
+                        if len(units) >= UNITS:
+                            yield out()
             if row:
                 yield out()
 

@@ -137,7 +137,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, end_id: int
     # each length is salted by its own number of pieces; rows of a length and salt grow only past MOST_CELLS of them
     each = max(ROWS_A_SALT, sum(sizes.values()) // MOST_CELLS)
     salts = max(16, 2 * max(sizes.values(), default=0) // each)
-    own = F.create_map(*(F.lit(x) for length, n in sorted(sizes.items()) for x in (length, max(1, min(salts, 2 * n // each))))) if sizes else F.create_map(F.lit(0).cast("long"), F.lit(1))
+    own = F.create_map(*(F.lit(x) for length, n in sorted(sizes.items()) for x in (length, max(16, min(salts, 2 * n // each))))) if sizes else F.create_map(F.lit(0).cast("long"), F.lit(1))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce(F.element_at(own, F.col("length")), F.lit(1))).cast("int"))
     cells = salted.groupBy("length", "salt").count().collect()
     base, histogram = {}, {}

@@ -97,14 +97,16 @@ def bigram_counts(rows: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(found.view(np.int64)), pa.array(toxic), pa.array(ordinary)], ["key", "toxic", "ordinary"])
 
         for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if tokens := words(text):
-                    keys = np.unique(keys_of(tokens))
-                    held[toxic].append(keys)
-                    size += len(keys)
-                    if size >= HELD:
-                        yield out()
-                        size = 0
+            toxic = batch.column(0).to_pylist()
+            for a, _, texts in in_runs(batch.column(1)):
+                for i, text in enumerate(texts, a):
+                    if tokens := words(text):
+                        keys = np.unique(keys_of(tokens))
+                        held[toxic[i]].append(keys)
+                        size += len(keys)
+                        if size >= HELD:
+                            yield out()
+                            size = 0
         if size:
             yield out()
 
@@ -182,9 +184,8 @@ def measured(rows: DataFrame, model: Model, scope: str | None = None) -> DataFra
 
     def whole(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in in_runs(texts):
-                n, total, _ = _measure(texts[a:b], *shared.value)
+            for a, b, texts in in_runs(batch.column(batch.num_columns - 1)):
+                n, total, _ = _measure(texts, *shared.value)
                 yield pa.record_batch([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(n), pa.array(total)], [*kept, "n", "total"])
 
     if model.rest is None:
@@ -192,9 +193,8 @@ def measured(rows: DataFrame, model: Model, scope: str | None = None) -> DataFra
 
     def parts(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in in_runs(texts):
-                n, total, (who, name, times) = _measure(texts[a:b], *shared.value)
+            for a, b, texts in in_runs(batch.column(1)):
+                n, total, (who, name, times) = _measure(texts, *shared.value)
                 ids, empty = batch.column(0).slice(a, b - a), pa.nulls(len(who), pa.int64())
                 yield pa.record_batch([ids, pa.array(n), pa.array(total), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], _PARTS)
                 yield pa.record_batch([ids.take(pa.array(who)), empty, empty.cast(pa.float64()), pa.array(name), pa.array(times)], _PARTS)
@@ -297,7 +297,8 @@ def learn(rows: DataFrame, scope: str | None = None) -> Model:
     # a word's share of its stem is the same for both classes
     back = {c: F.col(f"stem_{c}") * F.col("n") / F.col("stem_n") for c in classes}
     # a rare word has its stem's difference, but bigrams that end in it may still be common
-    word_level = by_word.join(stem_level.select("stem", F.col("n").alias("stem_n"), "stem_toxic", "stem_ordinary", "stem_gap"), "stem")
+    # there are at most 2 ** STEM_BITS stems, and one may have very many words
+    word_level = by_word.join(F.broadcast(stem_level.select("stem", F.col("n").alias("stem_n"), "stem_toxic", "stem_ordinary", "stem_gap")), "stem")
     word_level = word_level.select("w", "toxic", "ordinary", "n", "stem_gap", *(F.when(common, _less(F.col(c)) / sums[c] + of_words[c] * back[c]).otherwise(back[c]).alias(f"p_{c}") for c in classes))
     word_level = word_level.withColumn("word_gap", F.when(common, trusted(gap(F.col("p_toxic"), F.col("p_ordinary")), F.col("stem_gap"))).otherwise(F.col("stem_gap")))
     before = F.col("key").bitwiseAND(F.lit((1 << BEFORE_BITS) - 1))
