@@ -15,7 +15,11 @@ from arcspark.functions.hashing import rabin_longs
 def char_shingles(text: Column, width: int = 3) -> Column:
     """Distinct runs of ``width`` characters; none for shorter texts."""
     n = F.char_length(text)
-    return F.when(n < width, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(width)))))
+    # the characters and the same shifted, side by side: one pass, where substrings would be looked for from the start
+    chars = F.split(text, "")
+    side = F.arrays_zip(*(F.slice(chars, i + 1, F.greatest(n, F.lit(1))).alias(f"c{i}") for i in range(width)))
+    runs = F.transform(F.slice(side, 1, F.greatest(n - width + 1, F.lit(1))), lambda x: F.concat(*(x[f"c{i}"] for i in range(width))))
+    return F.when(n < width, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
 
 
 def jaccard(a: Column, b: Column) -> Column:
