@@ -244,15 +244,25 @@ def _placed(entries: DataFrame, scope: str | None) -> tuple[np.ndarray, np.ndarr
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression with a small ridge, by Newton steps; balanced to the classes' shares."""
+    """Logistic regression with a small ridge, by Newton steps that are halved until they gain."""
     scale = np.concatenate([np.maximum(np.abs(x).max(0, initial=0), 1e-9), [1.0]])
     a, w = np.column_stack([x, np.ones(len(x))]) / scale, np.zeros(3)
-    ridge = np.diag([1e-3, 1e-3, 1e-6])
-    for _ in range(60):
+    ridge = np.asarray([1e-3, 1e-3, 1e-6])
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * ridge @ (w * w))
+
+    now = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ w)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (p - y) + ridge * w)
+        share = 1.0
+        while share > 1e-6 and loss(w - share * step) > now:
+            share /= 2
+        w, before = w - share * step, now
+        now = loss(w)
+        if before - now < 1e-9 * max(1.0, abs(before)):
             break
     return w / scale
 

@@ -230,7 +230,7 @@ def test_toxicity(spark, odd, empty):
     found = toxicity.score_toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
     toxic = [r.predicted for r in found if r.toxic == 1]
     clean = [r.predicted for r in found if r.toxic == 0]
-    assert sum(toxic) / len(toxic) > 0.75 and sum(clean) / len(clean) < 0.02 and all(0 <= r.score <= 1 for r in found)
+    assert sum(toxic) / len(toxic) > 0.85 and sum(clean) / len(clean) < 0.01 and all(0 <= r.score <= 1 for r in found)
     some = spark.createDataFrame([(1, 1), (4, 0), (2, None), (None, 1)], "doc_id long, toxic int")
     rows = toxicity.score_toxicity(odd, some).collect()
     assert len(rows) == odd.count() and all(r.predicted == int(r.score >= 0.7) for r in rows)
@@ -238,6 +238,18 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.reject_toxic(odd, some.where("false")).columns == odd.columns
 
 
+def test_calibration_reaches_the_optimum():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 2)) * [0.01, 3.0]
+    z = x @ [300.0, 0.5] - 1.0
+    y = (rng.random(4000) < 1 / (1 + np.exp(-z))).astype(float)
+    w = toxicity._fit(x, y)
+    p = 1 / (1 + np.exp(-(x @ w[:2] + w[2])))
+    assert np.allclose(w, [300.0, 0.5, -1.0], rtol=0.2) and abs((p - y).sum()) < 1e-2
+    apart = np.column_stack([np.linspace(-1, 1, 400), np.zeros(400)])
+    assert (apart @ toxicity._fit(apart, (apart[:, 0] > 0).astype(float))[:2])[-1] > 5
+
+
 def brute_toxicity(rows):
     """Both Kneser-Ney models by dictionaries; gives a function of a text: (length, difference)."""
     log, classes = math.log, ("toxic", "ordinary")
