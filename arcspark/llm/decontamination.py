@@ -21,8 +21,10 @@ SPAN, GRAM = 8, 4
 #: Rows of hits or of benchmark windows that may be broadcast; more are shuffled.
 BROADCAST_HITS = 200_000
 
-# The characters of a word, before and after lower-casing A-Z.
-LOWER_WORD, ANY_WORD, NOT_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+# The characters of a word before lower-casing A-Z, and all others. Named as ranges, the
+# commonest first: Java's matcher tries one range after the other, and a negated class all of them for each letter.
+_IN_WORD = r"a-z0-9A-Z\x{80}-\x{10FFFF}"
+ANY_WORD, NOT_WORD = f"[{_IN_WORD}]+", f"[^{_IN_WORD}]*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
