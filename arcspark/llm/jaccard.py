@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -351,6 +352,14 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     wanted = members.unionByName(centres).join(classes.select("cid", F.col("rep").alias("doc_id")), "cid")
     wanted = materialize(wanted, "jaccard-wanted", scope)
     rows = joined(docs, wanted, "doc_id").select("x", "copy", (F.col("cid") != F.col("x")).alias("member"), "cid", "text")
+
+    def packed_texts(batches):
+        for batch in batches:
+            for a, b, texts in in_runs(batch.column(4)):
+                small = [zstandard.compress(t.encode("utf-8", "surrogatepass"), 3) for t in texts]
+                yield pa.record_batch([*(batch.column(i).slice(a, b - a) for i in range(4)), pa.array(small, pa.binary())], ["x", "copy", "member", "cid", "text"])
+
+    rows = rows.mapInArrow(packed_texts, "x long, copy int, member boolean, cid long, text binary")
     rows = rows.repartition("x", "copy").sortWithinPartitions("x", "copy", "member")
 
     def work(batches):
@@ -358,7 +367,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
         for batch in batches:
             x, copy, cid = (batch.column(i).to_pylist() for i in (0, 1, 3))
             xs, ys = [], []
-            for a, b, texts in in_runs(batch.column(4)):
+            for a, b, small in in_runs(batch.column(4), 300_000):
+                texts = [zstandard.decompress(t).decode("utf-8", "surrogatepass") for t in small]
                 values, n = sets_of(texts, width, rank.value)
                 same, ends = classes_of(values, n), np.cumsum(n)
                 for i, k in enumerate(range(a, b)):
