@@ -22,7 +22,7 @@ from arcspark.llm import pretoken
 from arcspark.llm.common import id_and_text, materialize
 
 #: Pre-tokens whose ids a worker keeps: some 200 bytes each.
-WORKER_CACHE = 500_000
+WORKER_CACHE = 700_000
 #: Rows of one length and salt that one task ranks; lengths and salts that the driver counts at most.
 ROWS_A_SALT, MOST_CELLS = 200_000, 2_000_000
 
@@ -40,10 +40,11 @@ def encoder(tokenizer_file: str):
             return np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
         cache = pretoken.Cache(whole, {}, WORKER_CACHE)
-        get, split = cache.__getitem__, pretoken.BYTE_LEVEL.findall
+        get = cache.__getitem__
 
         def encode(text: str) -> bytes:
-            return b"".join(map(get, split(text))) if pretoken.is_plain(text) else whole(text)
+            words = pretoken.split(text, "byte_level")
+            return whole(text) if words is None else b"".join(map(get, words))
 
         _state[tokenizer_file] = encode
     return _state[tokenizer_file]

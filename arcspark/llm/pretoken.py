@@ -46,17 +46,34 @@ def _class(ranges: list[tuple[int, int]]) -> str:
 
 
 _S = r"\t\n\r "
-_L, _N, _O = (_class(r) for r in _stable().values())
-_PLAIN = re.compile(f"[{_S}{_L}{_N}{_O}]*")
+_RANGES = _stable()
+#: Below this code point, the Latin letters, patterns are a table look-up; beyond, a search through ranges.
+_NARROW = 0x250
 
-# The split patterns that the two tokenizer files name.
-WORD_END = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
+def _patterns(below: int) -> tuple[re.Pattern, dict[str, re.Pattern]]:
+    """What may stand in a text of characters below ``below``, and how it is split."""
+    letters, digits, others = (_class([(a, min(b, below - 1)) for a, b in r if a < below]) for r in _RANGES.values())
+    # The split patterns that the two tokenizer files name.
+    word_end = f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{_S}{letters}{digits}]+"
+    byte_level = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{_S}{letters}{digits}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+    return re.compile(f"[{_S}{letters}{digits}{others}]*"), {"word_end": re.compile(word_end), "byte_level": re.compile(byte_level)}
 
-def is_plain(text: str, composed: bool = False) -> bool:
-    """Whether the fast split is the library's; ``composed`` if the library composes characters first."""
-    return "<|" not in text and _PLAIN.fullmatch(text) is not None and (not composed or text.isascii() or unicodedata.is_normalized("NFC", text))
+
+_LATIN, _ALL = _patterns(_NARROW), _patterns(0x30000)
+
+
+def split(text: str, how: str) -> list[str] | None:
+    """The text's pre-tokens, ``how`` = "word_end" or "byte_level"; None if only the library can tell.
+
+    Before it splits at word ends, the library composes characters and lower-cases them.
+    """
+    if "<|" in text:
+        return None
+    latin = _LATIN[0].fullmatch(text) is not None
+    if not latin and (_ALL[0].fullmatch(text) is None or how == "word_end" and not unicodedata.is_normalized("NFC", text)):
+        return None
+    return (_LATIN if latin else _ALL)[1][how].findall(text.lower() if how == "word_end" else text)
 
 
 class Cache(dict):

@@ -49,12 +49,12 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 2048, id_col
             tok = Tokenizer.from_file(tokenizer_file)
             _state[tokenizer_file] = tok, pretoken.Cache(lambda w: len(tok.encode(w, add_special_tokens=False).ids), dict(zip(frequent.value[0].split("\n"), frequent.value[1], strict=True)), WORKER_CACHE)
         tok, cache = _state[tokenizer_file]
-        get, split = cache.__getitem__, pretoken.WORD_END.findall
+        get = cache.__getitem__
         for batch in batches:
             n_tokens = []
             for text in batch.column(1).to_pylist():
-                if pretoken.is_plain(text, composed=True):
-                    n_tokens.append(sum(map(get, split(text.lower()))))
+                if (words := pretoken.split(text, "word_end")) is not None:
+                    n_tokens.append(sum(map(get, words)))
                 else:
                     n_tokens.append(len(tok.encode(text, add_special_tokens=False).ids))
             yield pa.record_batch([batch.column(0), pa.array(n_tokens, pa.int64())], ["doc_id", "n_tokens"])
