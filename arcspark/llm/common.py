@@ -11,6 +11,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 CACHE_WORDS = 150_000
 #: Rows up to which a side may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 #: Bytes of text that are split into words at once.
 PIECE = 1 << 22
 #: Bits of the map of found keys, as a power of two: 16 MB.
@@ -73,11 +76,25 @@ def sweep(spark: SparkSession, scope: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Whole texts go to Python ``rows`` at a time, at most, in what runs meanwhile: a batch is held on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str, scope: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name, scope)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,11 +28,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcspark.llm.common import id_and_text, in_runs, joined, materialize, mix, new_scope, packed, sized, sweep, text_hashes, text_of
+from arcspark.llm.common import id_and_text, in_runs, joined, materialize, mix, new_scope, packed, sized, small_batches, sweep, text_hashes, text_of
 from arcspark.llm.components import stars
 
 #: Cells of the shingle counts as a power of two; classes a task remembers; rows of a side of a tile.
-CELL_BITS, REMEMBERED, HELD = 17, 200_000, 4096
+CELL_BITS, REMEMBERED, HELD = 17, 100_000, 4096
 #: Cells of the counts in one row; nearest classes that a class offers to the forest.
 COUNTS_A_ROW, NEAREST = 2048, 8
 #: Pairs that are verified against one copy of their centre.
@@ -135,7 +135,9 @@ def ranks(rows: DataFrame, width: int) -> np.ndarray:
     kind = "block int, counts binary"
     got = rows.select("text").mapInArrow(count, kind).repartition(_CELLS // COUNTS_A_ROW, "block").mapInArrow(add, kind)
     counts = np.zeros(_CELLS, np.int64)
-    for r in got.collect():
+    with small_batches(rows.sparkSession):
+        found = got.collect()
+    for r in found:
         counts[r["block"] * COUNTS_A_ROW : (r["block"] + 1) * COUNTS_A_ROW] = np.frombuffer(r["counts"], np.int64)
     rank = np.empty(_CELLS, np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(_CELLS, dtype=np.uint64)
