@@ -7,6 +7,7 @@ Operators that return their input's columns carry them packed in one struct.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -30,6 +31,8 @@ BATCH_ROWS = 1000
 PIECE = 1 << 22
 #: Bits of the map of found keys, as a power of two: 16 MB.
 MAP_BITS = 27
+#: Share of its greatest heap past which the driver collects what ended queries left.
+HEAP_SHARE = 0.5
 
 _own_dir: dict[str, str] = {}
 _scopes: dict[str, list[str]] = {}
@@ -69,11 +72,28 @@ def new_scope(name: str) -> str:
     return f"{name}-{uuid.uuid4().hex}"
 
 
+def settle(spark: SparkSession) -> None:
+    """Collect the driver's garbage once its heap has taken HEAP_SHARE of what it may.
+
+    Plans, collected rows and broadcasts of ended queries are garbage that the
+    heap grows over rather than collects, and it keeps what it has grown to; a
+    full collection hands that back. Shuffle files and the executors' copies of
+    broadcasts go with it.
+    """
+    pa.default_memory_pool().release_unused()
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > HEAP_SHARE * heap.maxMemory():
+        gc.collect()  # frames of Python hold their plans
+        jvm.java.lang.System.gc()
+
+
 def sweep(spark: SparkSession, scope: str) -> None:
     """Delete the scratch tables of ``scope``; their readers must be done."""
     for path in _scopes.pop(scope, []):
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    settle(spark)
 
 
 @contextmanager
@@ -95,6 +115,7 @@ def materialize(df: DataFrame, name: str, scope: str | None = None) -> DataFrame
     path = scratch(spark, name, scope)
     with small_batches(spark):
         df.write.parquet(path)
+    settle(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

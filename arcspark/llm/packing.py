@@ -46,8 +46,10 @@ def encoder(tokenizer_file: str):
             words = pretoken.split(text, "byte_level")
             return whole(text) if words is None else b"".join(map(get, words))
 
-        _state[tokenizer_file] = encode
-    return _state[tokenizer_file]
+        _state[tokenizer_file] = encode, cache
+    encode, cache = _state[tokenizer_file]
+    cache.take()
+    return encode
 
 
 def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int) -> DataFrame:

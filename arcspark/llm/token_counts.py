@@ -49,7 +49,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 2048, id_col
             tok = Tokenizer.from_file(tokenizer_file)
             _state[tokenizer_file] = tok, pretoken.Cache(lambda w: len(tok.encode(w, add_special_tokens=False).ids), dict(zip(frequent.value[0].split("\n"), frequent.value[1], strict=True)), WORKER_CACHE)
         tok, cache = _state[tokenizer_file]
-        get = cache.__getitem__
+        get = cache.take().__getitem__
         for batch in batches:
             n_tokens = []
             for text in batch.column(1).to_pylist():

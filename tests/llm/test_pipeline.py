@@ -1,8 +1,10 @@
 """The stages: their columns, what each decides against plain versions, the whole run."""
 
 import collections
+import gc
 import os
 import re
+import time
 
 import public_tokenizers
 from test_pairs_and_repeats import brute_components
@@ -10,7 +12,7 @@ from test_texts import check_packing
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from arcspark.llm import common, lines
+from arcspark.llm import common, lines, packing
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -91,6 +93,28 @@ def test_run_leaves_no_stage_tables(spark):
     assert not [n for n in os.listdir(f"{base}/arcspark") if n.startswith("stage-")]
 
 
+def test_driver_collects_what_ended_queries_left(spark, odd, monkeypatch):
+    monkeypatch.setattr(common, "HEAP_SHARE", 0)
+    for ends in (lambda: common.materialize(odd.select("doc_id"), "settled"), lambda: common.sweep(spark, "none")):
+        left = spark.sparkContext._jvm.java.util.ArrayList()
+        known = spark.sparkContext._jvm.java.lang.ref.WeakReference(left)
+        del left
+        gc.collect()
+        time.sleep(1)  # a thread of its own tells the JVM what Python dropped
+        ends()
+        assert known.get() is None
+
+
+def test_token_cache_gives_way_to_other_operators():
+    tokenizer_file = public_tokenizers.path("byte_bpe_50k.json")
+    ids = packing.encoder(tokenizer_file)("words that a worker keeps")
+    cache = packing._state[tokenizer_file][1]
+    assert cache
+    common.text_hashes("of another operator")
+    assert not cache
+    assert packing.encoder(tokenizer_file)("words that a worker keeps") == ids and cache
+
+
 def test_odd_rows_and_names(spark, odd, empty):
     docs = odd.withColumnsRenamed({"n": "n_chars", "cid": "row"}).selectExpr("doc_id", "text", "n_chars", "row", "'a' AS rid", "'b' AS hit", "'c' AS cut", "'d' AS lines", "'e' AS tid")
     for rows in (docs, docs.selectExpr("CAST(doc_id AS string) AS doc_id", "* EXCEPT (doc_id)"), docs.where("false")):
