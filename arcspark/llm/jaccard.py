@@ -32,7 +32,7 @@ from arcspark.llm.common import id_and_text, in_runs, joined, materialize, mix,
 from arcspark.llm.components import stars
 
 #: Cells of the shingle counts as a power of two; classes a task remembers; rows of a side of a tile.
-CELL_BITS, REMEMBERED, HELD = 17, 100_000, 4096
+CELL_BITS, REMEMBERED, HELD = 17, 100_000, 512
 #: Cells of the counts in one row; nearest classes that a class offers to the forest.
 COUNTS_A_ROW, NEAREST = 2048, 8
 #: Pairs that are verified against one copy of their centre.
@@ -148,18 +148,19 @@ _FACTS = ["doc_id", "rid", "n", "cid", "bits", "prefix"]
 
 
 def describe(rows: DataFrame, width: int, percent: int, rank) -> DataFrame:
-    """Rows (doc_id, text, rid) -> (doc_id, rid, n, cid); parities and prefix with a task's first row of each class."""
+    """Rows (doc_id, text, rid) -> (doc_id, rid, n, cid); parities and prefix with a task's first row with an id of each class."""
 
     def work(batches):
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0)
+            named = ids.is_valid().to_numpy(zero_copy_only=False)
             for a, b, texts in in_runs(batch.column(1)):
                 values, n = sets_of(texts, width, rank.value)
                 cid, bits = classes_of(values, n), parities(values, n)
                 ends, sent, prefix = np.cumsum(n), [], []
                 for i, (c, size, end) in enumerate(zip(cid.tolist(), n.tolist(), ends.tolist(), strict=True)):
-                    new = size > 0 and c not in seen
+                    new = size > 0 and named[a + i] and c not in seen  # rows without an id link nothing
                     if new:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
@@ -173,7 +174,7 @@ def describe(rows: DataFrame, width: int, percent: int, rank) -> DataFrame:
 
 def shared_prefixes(facts: DataFrame, scope: str) -> DataFrame:
     """(h, cid, n, pos) of each class for the prefix shingles that it shares with another class."""
-    sent = facts.where("prefix IS NOT NULL AND doc_id IS NOT NULL").select("cid", "n", F.posexplode("prefix").alias("pos", "h"))
+    sent = facts.where("prefix IS NOT NULL").select("cid", "n", F.posexplode("prefix").alias("pos", "h"))
     shared = sent.groupBy("h").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("h")
     shared = materialize(shared, "jaccard-shared", scope)
     met = joined(sent, shared, "h", "left_semi", limit=BROADCAST_SHARED)

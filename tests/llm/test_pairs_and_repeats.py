@@ -96,6 +96,21 @@ def test_one_of_each(spark):
         assert kept == [("1", "a"), ("2", "c"), ("3", ""), ("e", "d")]
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_jaccard_rows_without_an_id(spark, parts):
+    """Null ids before, between and after equal and near texts; each case has words and ids of its own."""
+    rows = []
+    for k, case in enumerate(([(None, "a"), (5, "a"), (7, "b")], [(5, "a"), (None, "a"), (7, "b"), (None, "b")], [(7, "b"), (5, "a"), (None, "a")], [(None, "b"), (None, "a"), (7, "b"), (None, "a"), (5, "a")], [(None, "a"), (7, "b")])):
+        a = " ".join(f"c{k}w{i}" for i in range(60))
+        rows += [(i and 10 * k + i, {"a": a, "b": a.replace("w30 ", "other ")}[t]) for i, t in case]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.repartition(parts) if parts > 1 else docs.coalesce(1)
+    got = sorted(tuple(r)[:3] for r in jaccard.jaccard_components(docs).where("doc_id IS NOT NULL").collect())
+    assert got == brute_components([r for r in rows if r[0] is not None], 5, 80)
+    kept = sorted(r.doc_id for r in jaccard.one_of_each(docs).collect() if r.doc_id is not None)
+    assert kept == sorted({c for _, _, c in got})
+
+
 def test_jaccard_odd(odd, empty):
     found = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.jaccard_components(odd).collect()}
     assert found[2, 0] == 2 and found[3, 0] == 3 and found[1, next(n for d, n in found if d == 1)] == 1
