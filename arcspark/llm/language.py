@@ -65,23 +65,35 @@ def top(ids: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Profiles:
-    """Languages and, over all n-grams that any of them ranks, their ranks (PROFILE where absent)."""
+    """Languages and, for each n-gram that any of them ranks, the entries (language, rank) from ``starts`` on."""
 
     langs: list[str]
     ids: np.ndarray
-    ranks: np.ndarray
+    starts: np.ndarray
+    lang: np.ndarray
+    rank: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[str, int, int]]) -> Profiles:
+        """From (language, n-gram, rank)."""
+        langs = sorted({r[0] for r in rows})
+        place = {lang: i for i, lang in enumerate(langs)}
+        entries = np.asarray(sorted((r[1], place[r[0]], r[2]) for r in rows), np.int64).reshape(-1, 3)
+        ids, starts = np.unique(entries[:, 0], return_index=True)
+        return cls(langs, ids, np.append(starts, len(entries)), entries[:, 1].astype(np.int16), entries[:, 2].astype(np.int16))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        ids = ngrams(text) if text and self.langs else np.zeros(0, np.int64)
-        if not len(ids) or not (ids & 3 == 1).any():
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0
+        ids = ngrams(text)
         own = top(ids)
         at = np.minimum(np.searchsorted(self.ids, own), len(self.ids) - 1)
         known = np.flatnonzero(self.ids[at] == own)
         # an n-gram that a language does not rank is PROFILE places out
-        rank = self.ranks[:, at[known]].astype(np.int32)
-        away = np.where(rank == PROFILE, PROFILE, np.abs(rank - known))
-        distance = (away.sum(1) + PROFILE * (len(own) - len(known))) / (PROFILE * len(own))
+        first, n = self.starts[at[known]], self.starts[at[known] + 1] - self.starts[at[known]]
+        entry = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        nearer = PROFILE - np.abs(self.rank[entry] - np.repeat(known, n))
+        distance = (PROFILE * len(own) - np.bincount(self.lang[entry], nearer, len(self.langs))) / (PROFILE * len(own))
         best = int(np.argmin(distance))
         return self.langs[best], 1.0 - float(distance[best])
 
@@ -121,12 +133,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Pr
     best = best.limit(LANGUAGES * PROFILE + 1).collect()
     if len(best) > LANGUAGES * PROFILE:
         raise ValueError(f"over {LANGUAGES} languages: their profiles would not be small")
-    langs, ids = sorted({r["lang"] for r in best}), np.unique(np.asarray([r["id"] for r in best], np.int64))
-    ranks = np.full((len(langs), max(len(ids), 1)), PROFILE, np.int16)
-    row = {lang: i for i, lang in enumerate(langs)}
-    for r in best:
-        ranks[row[r["lang"]], np.searchsorted(ids, r["id"])] = r["rank"]
-    return Profiles(langs, ids if len(ids) else np.zeros(1, np.int64), ranks)
+    return Profiles.of([(r["lang"], r["id"], r["rank"]) for r in best])
 
 
 def id_remainder(id_col: str, parts: int) -> Column:

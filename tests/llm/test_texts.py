@@ -106,7 +106,7 @@ def brute_language(rows):
     out = []
     for i, text, _ in rows:
         own = ranked(grams(text or ""))
-        if not own or not profiles:
+        if not any(unicodedata.category(c)[0] == "L" for c in text or "") or not profiles:
             out.append((i, "und", 0.0))
             continue
         away = {lang: sum(abs(p[g] - k) if g in p else 300 for k, g in enumerate(own)) / (300 * len(own)) for lang, p in profiles.items()}
@@ -117,7 +117,7 @@ def brute_language(rows):
 
 def test_language_against_counters(spark, docs):
     rows = [(r.doc_id, r.text, r.lang) for r in docs.limit(60).collect()]
-    rows += [(9000, "Съешь ещё этих мягких французских булок", "ru"), (9001, "Пример русского текста для проверки", "ru"), (9002, "これは日本語の文章です", "ja"), (9003, "日本語のテキスト", "ja"), (9004, "これは本です", None), (9005, "мягкий текст", None), (9006, "हिन्दी में एक वाक्य", "hi"), (9007, "123 !?", "en"), (9008, None, "en"), (None, "und text", "und")]
+    rows += [(9000, "Съешь ещё этих мягких французских булок", "ru"), (9001, "Пример русского текста для проверки", "ru"), (9002, "これは日本語の文章です", "ja"), (9003, "日本語のテキスト", "ja"), (9004, "これは本です", None), (9005, "мягкий текст", None), (9006, "हिन्दी में एक वाक्य", "hi"), (9007, "123 !?", "en"), (9008, None, "en"), (None, "und text", "und"), (9009, "\u0301", "en"), (9010, "\u0301 12", "fr"), (9011, "e\u0301", "fr")]
     got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     want = brute_language(rows)
     found = sorted(((r.doc_id, r.lang_pred, r.score) for r in got), key=repr)
