@@ -46,8 +46,8 @@ def rules_table(spark: SparkSession, text: str = SUFFIXES) -> DataFrame:
     return spark.createDataFrame([(r,) for r in text.split()], "rule string")
 
 
-#: Rules that may be broadcast (the public list has about ten thousand); labels of the longest rule.
-MOST_RULES, MOST_LABELS = 100_000, 6
+#: Rules that may be broadcast (the public list has about ten thousand).
+MOST_RULES = 100_000
 
 
 def with_suffix(hosts: DataFrame, host: str, rules: DataFrame) -> DataFrame:
@@ -59,7 +59,8 @@ def with_suffix(hosts: DataFrame, host: str, rules: DataFrame) -> DataFrame:
     """
     known = hosts.select(F.col(host).alias("name")).where(F.col(host).isNotNull()).distinct()
     labels = F.split(F.regexp_replace(F.lower("name"), r"\.$", ""), r"\.")
-    each = known.select("name", labels.alias("labels"), F.explode(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MOST_LABELS)))).alias("k"))
+    longest = rules.agg(F.max(F.size(F.split("rule", r"\.")))).first()[0] or 0
+    each = known.select("name", labels.alias("labels"), F.explode(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(longest, 1))))).alias("k"))
     last = lambda k: F.array_join(F.slice("labels", F.size("labels") - k + 1, k), ".")
     k = F.col("k")
     tries = F.array(

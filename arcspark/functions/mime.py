@@ -24,7 +24,7 @@ OTHER_APPLICATIONS = [
     "msaccess", "msexcel", "excel", "oasis.opendocument.spreadsheet", "oasis.opendocument.presentation", "openxmlformats", "sun.xml.calc",
     "cardfile", "mspublisher", "shockwave-flash", "lotus", "ms-word", "msword", "ms-htmlhelp", "ms-project", "msword-doc", "xls",
 ]
-TRUNCATION, TYPE_SUBTYPE = r"^([^a-zA-Z0-9]*)([a-zA-Z0-9-/.+]*).*", r"^(.+)/(.+)$"
+TRUNCATION, TYPE_SUBTYPE = r"^([^a-zA-Z0-9]*)([a-zA-Z0-9-/.+]*).*\z", r"^(.+)/(.+)$"
 SUBTYPE_PARTS = r"^[-.+]*(?:x-|vnd\.)*([^+]*)\+*([a-z]*)(?:\+.*)*$"
 TEXT_SUBTYPES = r"^(txt|text|plain|html|atom|xml|xhtml|css|pdf|postscript|dtd|rss|vcard|rtf|csv|javascript|json|perl|ruby|java|text-javascript|asp|php|doc|py|c|cc|c+|cxx|m|h)$"
 HTML_SUBTYPES = r"^(html|xhtml)$"
@@ -33,8 +33,8 @@ ACCEPT_TEXT, ACCEPT_HTML, ACCEPT_OTHER, REJECT = "ACCEPT_TEXT", "ACCEPT_HTML", "
 
 
 def normalize(mime: Column) -> Column:
-    found = F.lower(F.regexp_extract(mime, TRUNCATION, 2))
-    return F.when(mime.isNull() | (found == ""), "no-type").otherwise(found)
+    """Lower case, without what stands before and after type and subtype; ``no-type`` for null and for what goes on in another line."""
+    return F.when(mime.rlike(TRUNCATION), F.lower(F.regexp_extract(mime, TRUNCATION, 2))).otherwise("no-type")
 
 
 def _begins(x: Column, prefixes: list[str]) -> Column:
@@ -43,8 +43,11 @@ def _begins(x: Column, prefixes: list[str]) -> Column:
 
 def disposition(mime: Column) -> Column:
     m = normalize(mime)
-    primary, secondary = F.regexp_extract(m, TYPE_SUBTYPE, 1), F.regexp_extract(m, TYPE_SUBTYPE, 2)
-    left, right = F.regexp_extract(secondary, SUBTYPE_PARTS, 1), F.regexp_extract(secondary, SUBTYPE_PARTS, 2)
+    secondary = F.regexp_extract(m, TYPE_SUBTYPE, 2)
+    primary = F.when(secondary == "", m).otherwise(F.regexp_extract(m, TYPE_SUBTYPE, 1))
+    # a name alone is judged as a subtype too
+    named = F.when(secondary == "", m).otherwise(secondary)
+    left, right = F.regexp_extract(named, SUBTYPE_PARTS, 1), F.regexp_extract(named, SUBTYPE_PARTS, 2)
     html = left.rlike(HTML_SUBTYPES) | right.rlike(HTML_SUBTYPES)
     text = left.rlike(TEXT_SUBTYPES) | right.rlike(TEXT_SUBTYPES)
     bare = F.regexp_replace(secondary, r"^(vnd\.|x-)", "")
@@ -68,22 +71,3 @@ def is_text(mime: Column) -> Column:
 
 def is_html(mime: Column) -> Column:
     return disposition(mime) == ACCEPT_HTML
-
-
-def _sql_list(values: list[str]) -> str:
-    return ", ".join(f"'{v}'" for v in values)
-
-
-def disposition_sql(mime: str) -> str:
-    """The same decision as a DuckDB expression over the SQL expression ``mime``."""
-    m = f"CASE WHEN {mime} IS NULL OR regexp_extract({mime}, '{TRUNCATION}', 2) = '' THEN 'no-type' ELSE lower(regexp_extract({mime}, '{TRUNCATION}', 2)) END"
-    primary, secondary = f"regexp_extract({m}, '{TYPE_SUBTYPE}', 1)", f"regexp_extract({m}, '{TYPE_SUBTYPE}', 2)"
-    left, right = (f"regexp_extract({secondary}, '{SUBTYPE_PARTS}', {i})" for i in (1, 2))
-    either = lambda p: f"(regexp_matches({left}, '{p}') OR regexp_matches({right}, '{p}'))"
-    begins = lambda ps: f"regexp_matches({primary}, '^({'|'.join(ps)})')"
-    bare = f"regexp_replace({secondary}, '^(vnd\\.|x-)', '')"
-    return f"""CASE WHEN {m} = 'no-type' OR {primary} = '' THEN 'ACCEPT_OTHER' WHEN {begins(BINARY_TYPES + EXCLUDED_TYPES)} THEN 'REJECT'
-WHEN {begins(TEXT_TYPES)} THEN CASE WHEN {either(HTML_SUBTYPES)} THEN 'ACCEPT_HTML' ELSE 'ACCEPT_TEXT' END
-WHEN {secondary} IN ({_sql_list(INVALID_EXTENSIONS)}) OR {primary} IN ({_sql_list(INVALID_EXTENSIONS)}) THEN 'REJECT'
-WHEN {either(HTML_SUBTYPES)} THEN 'ACCEPT_HTML' WHEN {either(TEXT_SUBTYPES)} THEN 'ACCEPT_TEXT'
-WHEN {bare} IN ({_sql_list(TEXT_APPLICATIONS)}) THEN 'ACCEPT_TEXT' WHEN {bare} IN ({_sql_list(OTHER_APPLICATIONS)}) THEN 'ACCEPT_OTHER' ELSE 'REJECT' END"""

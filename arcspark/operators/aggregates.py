@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from arcspark import schemas
 from arcspark.functions.hashing import murmur2_many
@@ -76,6 +77,66 @@ def bandwidth(df: DataFrame, when_ms: Column, n_bytes: Column, order: list[Colum
     return out.withColumn("scaled", scaled).withColumn("unit", unit)
 
 
+# Milliseconds of a bucket at least, buckets kept, milliseconds without a byte that are a stall.
+BUCKET_MS, BUCKETS, STALL_MS = 150, 20, 5000
+
+
+class _Transfer:
+    """Buckets of one transfer: the last BUCKETS full ones, and the one being filled since ``began``."""
+
+    def __init__(self):
+        self.began: int | None = None
+        self.recent, self.stalled = 0, False
+        self.full: deque[tuple[int, int]] = deque(maxlen=BUCKETS)
+
+    def update(self, now: int, n: int) -> tuple[bool, int, float]:
+        """(stalled, full buckets, bytes a second) after ``n`` bytes at ``now``."""
+        if self.began is None:
+            self.began = now
+        self.recent += n
+        age = now - self.began
+        if age >= BUCKET_MS and n:
+            # what follows a stall is as if it had just begun
+            self.full.append((1 if self.stalled else age, self.recent))
+            self.stalled, self.began, self.recent = False, now, 0
+        elif age >= STALL_MS and not n:
+            self.stalled, self.recent = True, 0
+            self.full.clear()
+        amount = sum(b for _, b in self.full) + self.recent
+        took = sum(t for t, _ in self.full) + (0 if self.stalled else now - self.began)
+        return self.stalled, len(self.full), 1000.0 * amount / took if amount and took else 0.0
+
+
+def bandwidth_buckets(df: DataFrame, when_ms: str, n_bytes: str, partition: list[str], order: list[str] | None = None) -> DataFrame:
+    """Adds ``stalled``, ``buckets`` and ``bytes_per_second`` after each row of a transfer, from greedy buckets of time.
+
+    A bucket closes with the first bytes that come BUCKET_MS or more after it
+    began; the last BUCKETS count. A row without bytes STALL_MS or more after
+    the bucket began is a stall: what was counted is forgotten. Null bytes
+    count as none; rows without a time keep nulls and change nothing. Rows
+    stream through in order, by time and then by ``order``: a transfer of any
+    length needs no more than its buckets.
+    """
+    if not partition:
+        raise ValueError("name the partition: a transfer is one")
+    names = df.columns
+    schema = StructType([*df.schema.fields, StructField("stalled", BooleanType()), StructField("buckets", IntegerType()), StructField("bytes_per_second", DoubleType())])
+
+    def work(frames):
+        last, now = None, _Transfer()
+        for frame in frames:
+            out = []
+            for *key, when, n in zip(*(frame[p] for p in partition), frame[when_ms], frame[n_bytes], strict=True):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                if key != last:
+                    last, now = key, _Transfer()
+                out.append((None, None, None) if pd.isna(when) else now.update(int(when), 0 if pd.isna(n) else int(n)))
+            new = pd.DataFrame(out, columns=["stalled", "buckets", "bytes_per_second"], index=frame.index, dtype=object)
+            yield pd.concat([frame, new.astype({"stalled": "boolean", "buckets": "Int32", "bytes_per_second": "Float64"})], axis=1)[[*names, *new.columns]]
+
+    return df.repartition(*partition).sortWithinPartitions(*partition, when_ms, *(order or ())).mapInPandas(work, schema)
+
+
 def rate_limit(df: DataFrame, ts: str, want: str, budget: float, key: list[str], tie: str) -> DataFrame:
     """What each row is granted of its second's budget: min(budget - used before, wanted)."""
     second = F.date_trunc("second", F.col(ts))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcspark.functions.text import hamming
+from arcspark.storage import materialize
 
 #: Values that one key should hold at most on average; rows of a key that meet in one task.
 A_KEY, A_TILE = 64, 2048
@@ -41,6 +42,7 @@ def simhash_pairs(df: DataFrame, id_col: str, hash_col: str, distance: int = 3)
     from its first shared key alone.
     """
     values = df.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"))
+    values = materialize(values, "simhash-values")  # read three times, hashed once
     blocks = blocks_for(values.count(), distance)
     keyed = values.select("id", "h", F.posexplode(keys_of(F.col("h"), distance, blocks)).alias("nth", "key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / A_TILE).cast("int").alias("tiles"))

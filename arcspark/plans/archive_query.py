@@ -12,6 +12,7 @@ import threading
 import time
 import uuid
 from abc import ABC, abstractmethod
+from collections.abc import Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from enum import IntEnum
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from arcspark.functions.hashing import rabin_text
 from arcspark.operators.ordering import seek, with_row_index
+from arcspark.plans.shards import ShardedResult
 
 
 class SortOrder(IntEnum):
@@ -55,10 +57,15 @@ class Page:
 
 
 class ArchiveQuery(ABC):
-    """What a query is: subclass and register."""
+    """What a query is: subclass and register.
+
+    With ``shards`` the result is computed by ``build_shards`` and each shard
+    kept as it is done: a query that failed goes on from there.
+    """
 
     max_age_s: float = 24 * 3600.0
     single_row = False
+    shards = 0
 
     @abstractmethod
     def domain_id(self) -> str: ...
@@ -69,6 +76,10 @@ class ArchiveQuery(ABC):
     @abstractmethod
     def build(self, spark: SparkSession) -> DataFrame: ...
 
+    def build_shards(self, spark: SparkSession, shards: Sequence[int]) -> DataFrame:
+        """The rows of some shards, with their ``shard``."""
+        raise NotImplementedError
+
     @abstractmethod
     def sort_keys(self) -> list[str]: ...
 
@@ -128,8 +139,11 @@ class Controller:
         try:
             # two drivers may share the root: the time alone could be taken
             path = f"{self.root}/{query.canonical_id()}/{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-            built = query.build(self.spark)
+            parts = ShardedResult(self.spark, f"{self.root}/{query.canonical_id()}/shards", query.shards)
+            built = parts.refresh(query.build_shards).rows().drop("shard") if query.shards else query.build(self.spark)
             with_row_index(built.limit(1) if query.single_row else built, query.sort_keys()).write.parquet(path)
+            if query.shards:
+                parts.clear()
             status.rows = self.spark.read.parquet(path).count()
             status.state = State.FINISHED
             return path

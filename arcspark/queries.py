@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcspark.functions import codec, domain, dom, hashing, headers, http, mime, net, records, text, url
-from arcspark.operators import aggregates, near_duplicates, ordering
+from arcspark.operators import aggregates, blocks, bloom_table, near_duplicates, ordering, patterns
 from arcspark.plans.archive_query import ArchiveQuery, Controller, SortOrder, register
-from arcspark.sources.arc import read_arc, read_arc_binary, write_arc
+from arcspark.plans.shards import ShardedResult
+from arcspark.sources import positions
+from arcspark.sources.arc import list_archives, read_arc, read_arc_binary, write_arc
 from arcspark.sources.names import read_names, write_names
 from arcspark.sources.sequence import read_sequence, write_sequence
 from arcspark.storage import scratch
@@ -39,10 +41,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _values(column: str, items: list[str | None]) -> str:
-    return "(VALUES " + ", ".join("(NULL)" if i is None else "('" + i.replace("'", "''") + "')" for i in items) + f") AS t({column})"
-
-
 # ----------------------------------------------------------- archives (sources)
 
 
@@ -130,34 +128,54 @@ def arc_header_prefix(spark, sf_dir):
 
 # -------------------------------------------------------------------- MIME, HTTP
 
+#: (as a server says it, normalised, what becomes of it).
 MIME_TYPES = [
-    None, "", "text/html", "TEXT/HTML; charset=utf-8", "text/plain", "image/png", "application/pdf", "application/xhtml+xml", "application/x-javascript", "application/vnd.ms-excel",
-    "application/msword", "application/octet-stream", "video/mp4", "application/rss+xml", "application/zip", "chemical/x-pdb", "message/rfc822", "multipart/mixed", "html", "  text/html", "application/xml",
-    "application/vnd.google-earth.kml+xml", "audio/mpeg", "x-world/x-vrml", "application/mp3", "textual/odd", "application/c++", "application/json", "application/x-tar", "application/vnd.wap.xhtml+xml", "*/*",
+    (None, "no-type", "ACCEPT_OTHER"), ("", "", "ACCEPT_OTHER"), ("*/*", "", "ACCEPT_OTHER"), ("text/html", "text/html", "ACCEPT_HTML"), ("TEXT/HTML; charset=utf-8", "text/html", "ACCEPT_HTML"),
+    ("  text/html", "text/html", "ACCEPT_HTML"), ("html", "html", "ACCEPT_HTML"), ("application/xhtml+xml", "application/xhtml+xml", "ACCEPT_HTML"), ("text/x-server-html", "text/x-server-html", "ACCEPT_TEXT"),
+    ("text/plain", "text/plain", "ACCEPT_TEXT"), ("textual/odd", "textual/odd", "ACCEPT_TEXT"), ("message/rfc822", "message/rfc822", "ACCEPT_TEXT"), ("multipart/mixed", "multipart/mixed", "ACCEPT_TEXT"),
+    ("application/pdf", "application/pdf", "ACCEPT_TEXT"), ("pdf", "pdf", "ACCEPT_TEXT"), ("application/x-javascript", "application/x-javascript", "ACCEPT_TEXT"), ("application/json", "application/json", "ACCEPT_TEXT"),
+    ("application/rss+xml", "application/rss+xml", "ACCEPT_TEXT"), ("application/xml", "application/xml", "ACCEPT_TEXT"), ("application/c++", "application/c++", "ACCEPT_TEXT"),
+    ("application/vnd.wap.xhtml+xml", "application/vnd.wap.xhtml+xml", "ACCEPT_TEXT"), ("application/vnd.google-earth.kml+xml", "application/vnd.google-earth.kml+xml", "ACCEPT_TEXT"), ("application/x-tex", "application/x-tex", "ACCEPT_TEXT"),
+    ("application/vnd.ms-excel", "application/vnd.ms-excel", "ACCEPT_OTHER"), ("application/msword", "application/msword", "ACCEPT_OTHER"), ("application/x-tar", "application/x-tar", "ACCEPT_OTHER"),
+    ("image/png", "image/png", "REJECT"), ("image", "image", "REJECT"), ("video/mp4", "video/mp4", "REJECT"), ("audio/mpeg", "audio/mpeg", "REJECT"), ("application/mp3", "application/mp3", "REJECT"), ("gif", "gif", "REJECT"),
+    ("application/octet-stream", "application/octet-stream", "REJECT"), ("application/zip", "application/zip", "REJECT"), ("chemical/x-pdb", "chemical/x-pdb", "REJECT"), ("x-world/x-vrml", "x-world/x-vrml", "REJECT"), ("word", "word", "REJECT"),
 ]
 
 
-@query(f"SELECT mime, {mime.disposition_sql('mime')} AS disposition FROM {_values('mime', MIME_TYPES)}")
+def _dealt(spark, sf_dir, table: str, key: str, values: list[str | None]) -> DataFrame:
+    """(key, value): each row of a table with one of the values in turn."""
+    items = F.array(*(F.lit(v).cast("string") for v in values))
+    return _table(spark, sf_dir, table).select(key, F.get(items, F.pmod(F.col(key), F.lit(len(values))).cast("int")).alias("value"))
+
+
+def _listed(table: str, key: str, columns: str, rows: list[tuple]) -> str:
+    """SQL: each row of a table with one of the rows in turn."""
+    say = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    listed = ", ".join(f"({i}, {', '.join(map(say, row))})" for i, row in enumerate(rows))
+    return f"SELECT {key}, {columns} FROM {table} JOIN (VALUES {listed}) AS t(k, {columns}) ON {key} % {len(rows)} = k"
+
+
+@query(_listed("pages", "page_id", "mime, disposition", [(m, d) for m, _, d in MIME_TYPES]))
 def mime_disposition(spark, sf_dir):
-    return spark.createDataFrame([(m,) for m in MIME_TYPES], "mime string").select("mime", mime.disposition(F.col("mime")).alias("disposition"))
+    return _dealt(spark, sf_dir, "pages", "page_id", [m for m, _, _ in MIME_TYPES]).select("page_id", F.col("value").alias("mime"), mime.disposition(F.col("value")).alias("disposition"))
 
 
-@query(f"SELECT mime, CASE WHEN mime IS NULL OR regexp_extract(mime, '{mime.TRUNCATION}', 2) = '' THEN 'no-type' ELSE lower(regexp_extract(mime, '{mime.TRUNCATION}', 2)) END AS kind FROM {_values('mime', MIME_TYPES)}")
+@query(_listed("pages", "page_id", "mime, kind", [(m, k) for m, k, _ in MIME_TYPES]))
 def normalize_mime(spark, sf_dir):
-    return spark.createDataFrame([(m,) for m in MIME_TYPES], "mime string").select("mime", mime.normalize(F.col("mime")).alias("kind"))
+    return _dealt(spark, sf_dir, "pages", "page_id", [m for m, _, _ in MIME_TYPES]).select("page_id", F.col("value").alias("mime"), mime.normalize(F.col("value")).alias("kind"))
 
 
-@query(f"SELECT mime, {mime.disposition_sql('mime')} IN ('ACCEPT_TEXT', 'ACCEPT_HTML') AS is_text, {mime.disposition_sql('mime')} = 'ACCEPT_HTML' AS is_html FROM {_values('mime', MIME_TYPES)}")
+@query(_listed("pages", "page_id", "mime, is_text, is_html", [(m, d in ("ACCEPT_TEXT", "ACCEPT_HTML"), d == "ACCEPT_HTML") for m, _, d in MIME_TYPES]))
 def is_text_type(spark, sf_dir):
-    return spark.createDataFrame([(m,) for m in MIME_TYPES], "mime string").select("mime", mime.is_text(F.col("mime")).alias("is_text"), mime.is_html(F.col("mime")).alias("is_html"))
+    return _dealt(spark, sf_dir, "pages", "page_id", [m for m, _, _ in MIME_TYPES]).select("page_id", F.col("value").alias("mime"), mime.is_text(F.col("value")).alias("is_text"), mime.is_html(F.col("value")).alias("is_html"))
 
 
-STATUS_LINES = ["HTTP/1.1 200 OK", "HTTP/1.0 404 Not Found", "http/1.1 301", "HTTP", "", "junk 500", "HTTP/1.1  503 Busy", "HTTP/1.1 99999999999"]
+STATUS_LINES = [("HTTP/1.1 200 OK", 200), ("HTTP/1.0 404 Not Found", 404), ("http/1.1 301", 301), ("HTTP", 200), ("", 200), ("junk 500", 200), ("HTTP/1.1  503 Busy", 503), ("HTTP/1.1 99999999999", 0), ("  HTTP/1.1 204", 204)]
 
 
-@query(f"SELECT line, CASE WHEN regexp_extract(line, '(?i)^\\s*http/?[^ ]* +([0-9]+)', 1) = '' THEN 200 ELSE coalesce(try_cast(regexp_extract(line, '(?i)^\\s*http/?[^ ]* +([0-9]+)', 1) AS INTEGER), 0) END AS status FROM {_values('line', STATUS_LINES)}")
+@query(_listed("pages", "page_id", "line, status", STATUS_LINES))
 def http_status(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in STATUS_LINES], "line string").select("line", headers.http_status(F.col("line")).alias("status"))
+    return _dealt(spark, sf_dir, "pages", "page_id", [x for x, _ in STATUS_LINES]).select("page_id", F.col("value").alias("line"), headers.http_status(F.col("value")).alias("status"))
 
 
 @query("SELECT o_orderkey, CAST(epoch_ms(date_trunc('second', o_orderdate)) AS BIGINT) AS millis FROM orders")
@@ -175,10 +193,9 @@ def parse_ts14(spark, sf_dir):
 CONTENT_TYPES = [("text/html; charset=UTF-8", "text/html", "utf-8"), (' Text/Plain ;charset="x-y"', "text/plain", "x-y"), ("*/*", None, None), ("text", None, None), ("text/html (old); charset=a(b)", "text/html", "a"), ("", None, None)]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in row) + ")" for row in CONTENT_TYPES) + ") AS t(header, content_type, charset)")
+@query(_listed("pages", "page_id", "header, content_type, charset", CONTENT_TYPES))
 def parse_content_type(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x, _, _ in CONTENT_TYPES], "header string")
-    return rows.select("header", http.content_type("header").alias("x")).select("header", "x.content_type", "x.charset")
+    return _dealt(spark, sf_dir, "pages", "page_id", [x for x, _, _ in CONTENT_TYPES]).select("page_id", F.col("value").alias("header"), http.content_type("value").alias("x")).select("page_id", "header", "x.content_type", "x.charset")
 
 
 def _page_headers(spark, sf_dir):
@@ -524,11 +541,12 @@ def bloom_filter_text(spark, sf_dir):
     return found.agg(F.count_if("a").alias("n"), (F.count_if("b") <= 0.03 * F.count("*") + 3).alias("few_false"))
 
 
-@query("SELECT * FROM (VALUES (0.5, 2, 1), (0.01, 10, 5), (0.001, 15, 7), (0.0001, 15, 8)) AS t(rate, buckets, k)")
+@query("SELECT o_orderstatus, 10 AS buckets, 5 AS k, CAST(ceil(n * 10 / 64.0) * 8 AS BIGINT) AS filter_bytes FROM (SELECT o_orderstatus, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1)")
 def bloom_sizing(spark, sf_dir):
-    rates = (0.5, 0.01, 0.001, 0.0001)
-    rows = spark.createDataFrame([(r, *aggregates.buckets_and_k(r)) for r in rates], "rate double, buckets int, k int")
-    return rows.select(F.col("rate").cast("decimal(5,4)").alias("rate"), "buckets", "k")
+    """The filter for each status's customers at one false alarm in a hundred."""
+    buckets, k = aggregates.buckets_and_k(0.01)
+    each = _table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("n"))
+    return each.select("o_orderstatus", F.lit(buckets).alias("buckets"), F.lit(k).alias("k"), (F.ceil(F.col("n") * buckets / 64) * 8).cast("long").alias("filter_bytes"))
 
 
 @query("SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1")
@@ -813,3 +831,120 @@ def session_windows(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
     out = rows.groupBy("user_id", F.session_window("t", F.lit("30 minutes 0.000001 seconds"))).agg(F.min("ts").alias("session_start"), F.count("*").alias("n"))
     return out.select("user_id", "session_start", "n")
+
+
+# ------------------------------------------------- ranges, positions and stores
+
+
+def _one_archive(spark: SparkSession, sf_dir: str) -> tuple[str, float]:
+    """All pages in a single archive file, and megabytes of which it has about eight times as many."""
+    known = spark.sparkContext.applicationId, f"one:{sf_dir}"
+    if known not in _archives:
+        path = scratch(spark, "one-arc")
+        rows = read_arc(spark, archive_of_pages(spark, sf_dir), records="item").select(F.col("uri").alias("url"), "host_ip", F.lit("20240101000000").alias("ts14"), "mime_type", F.col("header_items").alias("headers"), "content")
+        write_arc(rows.coalesce(1), path)
+        _archives[known] = path
+    return _archives[known], sum(size for _, size in list_archives(_archives[known])) / (8 << 20)
+
+
+@query("SELECT url, md5(html) AS content_md5, true AS many_tasks FROM pages")
+def arc_split_scan(spark, sf_dir):
+    """One file read in several tasks, each from the first member that begins in its range."""
+    path, mb = _one_archive(spark, sf_dir)
+    rows = read_arc(spark, path, records="item", splitMB=mb)
+    return rows.select(F.col("uri").alias("url"), F.md5("content").alias("content_md5"), F.lit(rows.rdd.getNumPartitions() > 4).alias("many_tasks"))
+
+
+@query("SELECT url, md5(html) AS content_md5, true AS many_tasks FROM pages")
+def arc_index_scan(spark, sf_dir):
+    """One file read in several tasks at the places that its member index names."""
+    (path, mb), index = _one_archive(spark, sf_dir), scratch(spark, "member-index")
+    positions.write_member_index(spark, path, index, split_mb=mb)
+    rows = read_arc(spark, path, records="item", memberIndex=index)
+    return rows.select(F.col("uri").alias("url"), F.md5("content").alias("content_md5"), F.lit(rows.rdd.getNumPartitions() > 4).alias("many_tasks"))
+
+
+@query("SELECT url, md5(html) AS content_md5 FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 50 = 0)")
+def arc_index_lookup(spark, sf_dir):
+    """All captures of some urls, by the index, reading their bytes alone."""
+    path, index = archive_of_pages(spark, sf_dir), scratch(spark, "member-index")
+    positions.write_member_index(spark, path, index)
+    wanted = _table(spark, sf_dir, "pages").where("page_id % 50 = 0").select("url")
+    return positions.lookup(spark, wanted, path, index, item=True).select(F.col("uri").alias("url"), F.md5("content").alias("content_md5"))
+
+
+@query("SELECT o_custkey, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, '[0, 1, 2, 3, 4, 5]|[2]' AS ran FROM orders GROUP BY 1")
+def sharded_totals(spark, sf_dir):
+    """Totals by customer in six shards; one shard's result is lost and only that one is computed again."""
+
+    def build(s, shards):
+        rows = _table(s, sf_dir, "orders").withColumn("shard", F.pmod("o_custkey", F.lit(6)).cast("int")).where(F.col("shard").isin(list(shards)))
+        return rows.groupBy("shard", "o_custkey").agg(F.count("*").alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+
+    result = ShardedResult(spark, scratch(spark, "shards"), 6).refresh(build)
+    result.drop(2)
+    result.refresh(build)
+    return result.rows().select("o_custkey", "n", "cents", F.lit("|".join(map(str, result.ran))).alias("ran"))
+
+
+@query("SELECT * FROM (SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS row_idx FROM lineitem) WHERE row_idx >= 1050 AND row_idx < 1200")
+def block_page(spark, sf_dir):
+    """A page of a result that is kept in sorted blocks with one index entry each."""
+    path = scratch(spark, "blocks")
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey")
+    blocks.write_blocks(rows, ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], path, 1000)
+    return blocks.page(spark, path, 7, 150).select("l_orderkey", "l_linenumber", "l_extendedprice", "row_idx")
+
+
+@query("SELECT o_orderpriority, CAST(count(*) FILTER (o_totalprice < 100000) AS BIGINT) AS position FROM orders GROUP BY 1")
+def block_position(spark, sf_dir):
+    """Where a price would stand among the orders of each priority, by the index of the blocks."""
+    path = scratch(spark, "blocks")
+    orders = _table(spark, sf_dir, "orders")
+    blocks.write_blocks(orders.select("o_orderpriority", "o_totalprice"), ["o_orderpriority", "o_totalprice"], path, 500)
+    begins = [(r[0], blocks.position_of(spark, path, r[0], 100000.0) - blocks.position_of(spark, path, r[0], None)) for r in orders.select("o_orderpriority").distinct().collect()]
+    return spark.createDataFrame(begins, "o_orderpriority string, position long")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS present, count(*) FILTER (o_orderstatus = 'F') AS found, true AS few_false, true AS alike FROM orders")
+def bloom_filter_table(spark, sf_dir):
+    """A filter as a table of blocks, made of two halves; joined by block and broadcast it answers alike."""
+    orders = _table(spark, sf_dir, "orders")
+    n, own = orders.count(), orders.where("o_orderstatus = 'F'")
+    table = bloom_table.merge(*(bloom_table.bloom_table(own.where(F.col("o_orderkey") % 2 == half), "o_orderkey", n) for half in (0, 1)))
+    asked = bloom_table.with_membership(orders.select("o_orderkey", "o_orderstatus"), "o_orderkey", table, n, broadcast_bytes=0)
+    asked = bloom_table.with_membership(asked, "o_orderkey", table, n, name="also")
+    there = F.col("o_orderstatus") == "F"
+    return asked.agg(F.count("*").alias("n"), F.count_if(there).alias("present"), F.count_if(there & F.col("maybe")).alias("found"), (F.count_if(~there & F.col("maybe")) <= 0.02 * F.count("*") + 3).alias("few_false"), F.bool_and(F.col("maybe") == F.col("also")).alias("alike"))
+
+
+_ORIGINS = "SELECT regexp_extract(url, '^https?://[^/]+/') AS p FROM pages WHERE page_id % 3 = 0 UNION SELECT regexp_extract(url, '^https?://[^/]+/[a-z]+/') FROM pages WHERE page_id % 5 = 0 UNION SELECT 'https://'"
+
+
+@query(f"""WITH p AS ({_ORIGINS}), e AS (SELECT DISTINCT regexp_extract(url, '[#/.][a-z]*$') AS p FROM pages WHERE page_id % 4 = 0)
+SELECT page_id, (SELECT arg_max(p, length(p)) FROM p WHERE starts_with(url, p)) AS longest, (SELECT arg_min(p, length(p)) FROM p WHERE starts_with(url, p)) AS shortest, (SELECT arg_max(p, length(p)) FROM e WHERE suffix(url, p)) AS ending FROM pages""")
+def pattern_table(spark, sf_dir):
+    """Prefixes and suffixes taken from a table, longest and shortest, by joins."""
+    pages = _table(spark, sf_dir, "pages")
+    origin = lambda rows, pattern: rows.select(F.regexp_extract("url", pattern, 0).alias("pattern"))
+    prefixes = origin(pages.where("page_id % 3 = 0"), "^https?://[^/]+/").unionByName(origin(pages.where("page_id % 5 = 0"), "^https?://[^/]+/[a-z]+/")).unionByName(spark.createDataFrame([("https://",)], "pattern string"))
+    found = patterns.match_patterns(pages.select("page_id", "url"), "url", prefixes, name="longest")
+    found = patterns.match_patterns(found, "url", prefixes, which="shortest", name="shortest")
+    return patterns.match_patterns(found, "url", origin(pages.where("page_id % 4 = 0"), "[#/.][a-z]*$"), suffix=True, name="ending").drop("url")
+
+
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_ms(ts) // 10000 AS t, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id END AS n, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) // 10000, event_id) AS k FROM events),
+r AS (
+  SELECT event_id, user_id, k, t AS seen, t AS began, n AS recent, false AS stalled, []::BIGINT[] AS times, []::BIGINT[] AS sums FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.event_id, o.user_id, o.k, o.t, CASE WHEN shut THEN o.t ELSE began END, CASE WHEN shut OR stall THEN 0 ELSE recent + n END, CASE WHEN shut THEN false ELSE stalled OR stall END,
+    CASE WHEN shut THEN list_append(times[greatest(len(times) - 18, 1):], CASE WHEN stalled THEN 1 ELSE o.t - began END) WHEN stall THEN [] ELSE times END,
+    CASE WHEN shut THEN list_append(sums[greatest(len(sums) - 18, 1):], recent + n) WHEN stall THEN [] ELSE sums END
+  FROM (SELECT r.*, o AS o, o.n AS n, o.t - began >= 150 AND o.n > 0 AS shut, o.t - began >= 5000 AND o.n = 0 AS stall FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)),
+s AS (SELECT event_id, stalled, len(times) AS buckets, coalesce(list_sum(sums), 0) + recent AS amount, coalesce(list_sum(times), 0) + CASE WHEN stalled THEN 0 ELSE seen - began END AS took FROM r)
+SELECT event_id, stalled, CAST(buckets AS INTEGER) AS buckets, CAST(CASE WHEN amount > 0 AND took > 0 THEN floor(1000.0 * amount / took) ELSE 0 END AS BIGINT) AS rate FROM s""")
+def bandwidth_buckets(spark, sf_dir):
+    """Users' events as transfers of that many bytes, every third without any, at a fraction of their time."""
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 10000).alias("t"), F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("event_id")).alias("n"))
+    out = aggregates.bandwidth_buckets(rows, "t", "n", ["user_id"], ["event_id"])
+    return out.select("event_id", "stalled", "buckets", F.floor("bytes_per_second").cast("long").alias("rate"))

@@ -4,8 +4,12 @@ Options, in any case: ``mode`` (PERMISSIVE, FAILFAST, DROPMALFORMED), ``records`
 (raw or item), ``strictSuffix`` (leave out ``.warc.gz``), ``pathGlobFilter``,
 ``filesPerPartition``, ``mbPerPartition``, ``withContent``, ``urlPrefix``,
 ``legacyMetadata``, ``headerPrefix`` (of the names of a record's own headers),
-``maxRecordMB`` (longer records are cut there and flagged). The writer takes
-``timestamp`` and ``origin``.
+``maxRecordMB`` (longer records are cut there and flagged), ``fullNames``
+(paths below the folder in place of file names), ``splitMB`` (files are read in
+ranges, each from the first member that begins in it), ``memberIndex`` (the
+folder of ``arcspark.sources.positions``: ranges that begin where it says),
+``readRetries`` (a read that fails is tried again from where it stood).
+Streams take ``lookbackHours``. The writer takes ``timestamp`` and ``origin``.
 With ``pushdown`` (set by ``read_arc`` where
 ``spark.sql.python.filterPushdown.enabled`` is on) the scan takes filters on
 ``url``/``uri`` (equality, prefix).
@@ -14,19 +18,22 @@ With ``pushdown`` (set by ``read_arc`` where
 from __future__ import annotations
 
 import fnmatch
+import io
 import posixpath
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, InputPartition, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from arcspark import schemas
-from arcspark.sources.members import ORIGIN, PREFIX, Record, epoch_millis, file_header, pack_splits, record_member, records
+from arcspark.sources.members import ORIGIN, PREFIX, Record, epoch_millis, file_header, next_member, pack_splits, record_member, records
 
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
@@ -69,7 +76,76 @@ def batches(rows: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]
 
 @dataclass
 class Files(InputPartition):
-    paths: tuple[str, ...]
+    """What one task reads: files with where it begins, where it ends (None: the file's end), and whether a member is known to begin there."""
+
+    ranges: tuple[tuple[str, int, int | None, bool], ...]
+
+    @classmethod
+    def whole(cls, *paths: str) -> Files:
+        return cls(tuple((p, 0, None, True) for p in paths))
+
+    @property
+    def paths(self) -> tuple[str, ...]:
+        return tuple(r[0] for r in self.ranges)
+
+
+#: Bytes that one read of a range asks the store for; reads that are tried again, and the first wait in seconds.
+READ_AHEAD, RETRIES, WAIT_S = 1 << 20, 5, 0.5
+
+
+class Resuming(io.RawIOBase):
+    """A file that is opened again, where it stood, when a read fails."""
+
+    def __init__(self, where: fs.FileSystem, path: str, retries: int = RETRIES):
+        super().__init__()
+        self._where, self._path, self._left, self._at, self._file = where, path, retries, 0, None
+        self.bytes_read = 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self._at
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        if whence != 0:
+            raise OSError("positions are counted from the beginning")
+        self._at = offset
+        return offset
+
+    def readinto(self, buffer) -> int:
+        wait = WAIT_S
+        while True:
+            try:
+                if self._file is None:
+                    self._file = self._where.open_input_file(self._path)
+                self._file.seek(self._at)
+                data = self._file.read(len(buffer))
+                break
+            except OSError:
+                self._left -= 1
+                self._file = None
+                if self._left < 0:
+                    raise
+                time.sleep(wait)
+                wait *= 2
+        buffer[: len(data)] = data
+        self._at += len(data)
+        self.bytes_read += len(data)
+        return len(data)
+
+    def close(self) -> None:
+        if self._file is not None:
+            self._file.close()
+            self._file = None
+        super().close()
+
+
+def open_resuming(where: fs.FileSystem, path: str, retries: int = RETRIES) -> io.BufferedReader:
+    return io.BufferedReader(Resuming(where, path, retries), READ_AHEAD)
 
 
 #: Schemes of Hadoop's clients for stores that have another name here.
@@ -111,6 +187,13 @@ def list_archives(path: str, strict: bool = True, glob: str | None = None) -> li
     return sorted((f.path, f.size) for f in find_archives(path, strict, glob))
 
 
+def index_splits(index: str) -> list[tuple[str, int]]:
+    """(file, position) of the places where a member index says that ranges may begin: one for each of its ``splitMB``."""
+    where, base = _place(f"{index.rstrip('/')}/splits")
+    found = dataset.dataset(base, filesystem=where, format="parquet").to_table(columns=["path", "pos"])
+    return list(zip(found.column("path").to_pylist(), found.column("pos").to_pylist(), strict=True))
+
+
 class ArcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
@@ -128,22 +211,59 @@ class ArcReader(DataSourceReader):
 
     def partitions(self):
         files = sorted((f.path, f.size) for f in self.found())
+        if (ranges := self._ranges(files)) is not None:
+            return ranges or [Files(())]
         mb, each = self.option("mbPerPartition"), self.option("filesPerPartition")
         splits = pack_splits([size for _, size in files], int(each) if each else 1 << 30 if mb else 1, int(mb) << 20 if mb else None)
-        return [Files(tuple(files[i][0] for i in split)) for split in splits] or [Files(())]
+        return [Files.whole(*(files[i][0] for i in split)) for split in splits] or [Files(())]
+
+    def _ranges(self, files: list[tuple[str, int]]) -> list[Files] | None:
+        """Partitions of parts of files, where that is asked for."""
+        index, mb = self.option("memberIndex"), self.option("splitMB")
+        if index:
+            starts: dict[str, list[int]] = {}
+            for path, pos in index_splits(index):
+                starts.setdefault(path, []).append(pos)
+            base = _place(self.option("path"))[1].rstrip("/")
+            out = []
+            for path, _ in files:
+                # what the index doesn't know is read whole
+                known = sorted({0, *starts.get(posixpath.relpath(path, base) if path != base else posixpath.basename(path), ())})
+                out += [Files(((path, a, b, True),)) for a, b in zip(known, [*known[1:], None], strict=True)]
+            return out
+        if mb:
+            each = max(1, int(float(mb) * (1 << 20)))
+            return [Files(((path, a, a + each if a + each < size else None, a == 0),)) for path, size in files for a in range(0, max(size, 1), each)]
+        return None
 
     def read(self, partition):
-        where, _ = _place(self.option("path"))
+        where, base = _place(self.option("path"))
+        yield from self.read_from(where, base, partition)
+
+    def read_from(self, where: fs.FileSystem, base: str, partition: Files):
         item = self.option("records", "raw") == "item"
         content, make = self._flag("withContent", "true"), item_row if item else raw_row
         prefix, most = self.option("headerPrefix", PREFIX), self.option("maxRecordMB")
+        mode, legacy = self.option("mode", "PERMISSIVE").upper(), self._flag("legacyMetadata", "false")
+        name = (lambda p: posixpath.relpath(p, base) if p != base else posixpath.basename(p)) if self._flag("fullNames", "false") else posixpath.basename
 
         def rows():
-            for path in partition.paths:
-                with where.open_input_stream(path, compression=None) as stream:
-                    for r in records(stream, self.option("mode", "PERMISSIVE").upper(), self._flag("legacyMetadata", "false"), most=int(most) << 20 if most else None):
+            for path, start, end, exact in partition.ranges:
+                with open_resuming(where, path, int(self.option("readRetries", RETRIES))) as file:
+                    size = where.get_file_info(path).size
+
+                    def after(at: int):
+                        sound = next_member(file, at, size, legacy)
+                        return None if sound is None else (file.seek(sound), file)
+
+                    if not exact:
+                        start = next_member(file, start, end or size, legacy)
+                        if start is None:
+                            continue
+                    file.seek(start)
+                    for r in records(file, mode, legacy, most=int(most) << 20 if most else None, start=start, end=end, after=after):
                         if r.url.startswith(self.prefix) and (self.equal is None or r.url == self.equal):
-                            yield make(r, posixpath.basename(path), content, prefix)
+                            yield make(r, name(path), content, prefix)
 
         yield from batches(rows(), _ARROW_ITEM if item else _ARROW_RAW)
 
@@ -162,10 +282,17 @@ class PushdownReader(ArcReader):
 
 
 class ArcStream(DataSourceStreamReader):
-    """New archive files as they come. The offset is the latest time a file was changed, and the files of that time."""
+    """New archive files as they come, each once.
+
+    The offset is the latest time a file was changed, and the names of the
+    files changed within ``lookbackHours`` (a week if not given) before that:
+    a file that shows up late, or is moved in with an older time, is new as
+    long as its time lies within. Older ones count as read.
+    """
 
     def __init__(self, options: dict):
         self.reader = ArcReader(options)
+        self.lookback = int(float(self.reader.option("lookbackHours", 168)) * 3600e9)
 
     def initialOffset(self):
         return {"time": -1, "names": []}
@@ -174,13 +301,16 @@ class ArcStream(DataSourceStreamReader):
         files = self.reader.found()
         if not files:
             return self.initialOffset()
-        return {"time": files[-1].mtime, "names": [f.path for f in files if f.mtime == files[-1].mtime]}
+        latest = files[-1].mtime
+        return {"time": latest, "names": sorted(f.path for f in files if f.mtime > latest - self.lookback)}
 
     def partitions(self, start, end):
-        def beyond(f: Found) -> bool:
-            return f.mtime > start["time"] or f.mtime == start["time"] and f.path not in start["names"]
+        def read_by(offset: dict):
+            names, old = set(offset["names"]), offset["time"] - self.lookback
+            return lambda f: f.path in names or offset["time"] >= 0 and f.mtime <= old
 
-        return [Files((f.path,)) for f in self.reader.found() if beyond(f) and (f.mtime < end["time"] or f.path in end["names"])]
+        before, now = read_by(start), read_by(end)
+        return [Files.whole(f.path) for f in self.reader.found() if now(f) and not before(f)]
 
     def read(self, partition):
         return self.reader.read(partition)
@@ -282,6 +412,20 @@ def read_arc_binary(spark: SparkSession, path: str, item: bool = False, mode: st
     return files.where("path NOT LIKE '%.warc.gz'").select("path", "content").mapInArrow(work, schema)
 
 
+def read_named(files: DataFrame, item: bool = False, **options: object) -> DataFrame:
+    """The rows of the archives that the first column of ``files`` names, by URI or path; others are left out."""
+    reader = ArcReader({**options, "records": "item" if item else "raw"})
+
+    def work(found):
+        for batch in found:
+            for path in batch.column(0).to_pylist():
+                if path and is_archive(posixpath.basename(path), reader._flag("strictSuffix", "true")):
+                    where, place = _place(unquote(path))
+                    yield from reader.read_from(where, posixpath.dirname(place), Files.whole(place))
+
+    return files.mapInArrow(work, schemas.ITEM if item else schemas.RAW_RECORD)
+
+
 def write_arc(rows: DataFrame, path: str, **options: object) -> None:
     spark = rows.sparkSession
     spark.dataSource.register(ArcDataSource)

@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import BinaryIO
 
 BLOCK, LONGEST_FILE_HEADER = 32 << 10, 4096
 
+#: What every member begins with.
+MAGIC = b"\x1f\x8b\x08"
 # The metadata line, the names of a record's own headers after their prefix, the file header.
 METADATA = re.compile(r"^(.*)\s([0-9.]+)\s([0-9]+)\s([^\s]+)\s([0-9]+)$", re.S)
 HOST_IP, TIMESTAMP, MIME_TYPE, PAYLOAD_LENGTH = "HostIP", "ArcTimestamp", "ArcMimeType", "ArcPayloadLen"
@@ -71,13 +73,14 @@ def _check_header(head: bytes) -> None:
         raise ArcError("Unsupported compression method")
 
 
-def members(stream: BinaryIO, block: int = BLOCK, most: int | None = None) -> Iterator[tuple[int, int, bytes]]:
+def members(stream: BinaryIO, block: int = BLOCK, most: int | None = None, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, bytes]]:
     """(offset, compressed size, data) of each gzip member; CRC and length are checked.
 
     Of a member of more than ``most`` bytes those are kept and the rest is read past.
+    A stream that stands at the member at ``start`` gives those that begin before ``end``.
     """
-    pending, offset = b"", 0
-    while True:
+    pending, offset = b"", start
+    while end is None or offset < end:
         while len(pending) < 10 and (more := stream.read(block)):
             pending += more
         if not pending:
@@ -152,15 +155,19 @@ def parse_record(data: bytes, pos: int = 0, size: int = 0, legacy: bool = False)
     return Record(url, ip, ts14, mime, headers, body, declared, flags, pos, size, len(head))
 
 
-def records(stream: BinaryIO, mode: str = "PERMISSIVE", legacy: bool = False, block: int = BLOCK, most: int | None = None) -> Iterator[Record]:
+def records(
+    stream: BinaryIO, mode: str = "PERMISSIVE", legacy: bool = False, block: int = BLOCK, most: int | None = None,
+    start: int = 0, end: int | None = None, after: Callable[[int], tuple[int, BinaryIO] | None] | None = None,
+) -> Iterator[Record]:
     """The records of one archive; its first member is the file header.
 
     A header cut short ends the scan, unless ``mode`` is FAILFAST. Other damage
-    raises; with DROPMALFORMED, bad records are left out. Members of more than
-    ``most`` bytes come cut there and flagged.
-    """
-    found = members(stream, block, most)
-    first = True
+    raises. With DROPMALFORMED bad records are left out; where a member is
+    damaged, ``after`` finds the next sound one from a position on, and without
+    it the scan ends there. Members of more than ``most`` bytes come cut there
+    and flagged. ``start`` and ``end`` are those of ``members``.
+    """
+    found, at = members(stream, block, most, start, end), start
     while True:
         try:
             pos, size, data = next(found)
@@ -171,11 +178,16 @@ def records(stream: BinaryIO, mode: str = "PERMISSIVE", legacy: bool = False, bl
                 raise
             return
         except ArcError:
-            if mode == "DROPMALFORMED":
+            if mode != "DROPMALFORMED":
+                raise
+            sound = after(at + 1) if after else None
+            if sound is None or end is not None and sound[0] >= end:
                 return
-            raise
-        if first:
-            first = False
+            at = sound[0]
+            found = members(sound[1], block, most, at, end)
+            continue
+        at = pos + size
+        if pos == 0:
             if not data or len(data) >= LONGEST_FILE_HEADER:
                 raise ArcError("Invalid ARC File Header")
             continue
@@ -189,6 +201,49 @@ def records(stream: BinaryIO, mode: str = "PERMISSIVE", legacy: bool = False, bl
                 raise
 
 
+def _sound(file: BinaryIO, at: int, legacy: bool) -> bool:
+    """Whether a whole record's member stands there: its checksum holds and it begins with a metadata line."""
+    file.seek(at)
+    inflater, head = zlib.decompressobj(31), b""
+    try:
+        while not inflater.eof:
+            data = file.read(BLOCK)
+            if not data:
+                return False
+            while data and not inflater.eof:  # a little at a time: what stands here may be no member at all
+                part = inflater.decompress(data, BLOCK)
+                data = inflater.unconsumed_tail
+                head = head or part
+        parse_metadata(head.partition(b"\n")[0].decode("utf-8", "replace").rstrip("\r"), legacy)
+    except (zlib.error, ArcError):
+        return False
+    return True
+
+
+def next_member(file: BinaryIO, start: int, end: int, legacy: bool = False) -> int | None:
+    """Where the first record's member begins in [start, end) of a file that can seek.
+
+    The three bytes that begin a member can also stand inside one, so whatever
+    follows is inflated to its checksum and its first line read. Only an
+    archive that a record holds, stored as it is, could pass for one.
+    """
+    at, held = start, b""
+    file.seek(at)
+    while at < end:
+        data = held + file.read(BLOCK)
+        if len(data) < len(MAGIC):
+            return None
+        found = data.find(MAGIC)
+        while found >= 0 and at + found < end:
+            if _sound(file, at + found, legacy):
+                return at + found
+            found = data.find(MAGIC, found + 1)
+        held = data[-(len(MAGIC) - 1) :]
+        at += len(data) - len(held)
+        file.seek(at + len(held))
+    return None
+
+
 def epoch_millis(ts14: str) -> int | None:
     try:
         return int(datetime.strptime(ts14, "%Y%m%d%H%M%S").replace(tzinfo=timezone.utc).timestamp() * 1000)

@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def arc_stream(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    """Rows of archive files as new files come."""
-    from arcspark.sources.arc import ArcDataSource
-
-    spark.dataSource.register(ArcDataSource)
-    return spark.readStream.format("arc").options(**{k: str(v) for k, v in options.items()}).load(path)
+def arc_stream(spark: SparkSession, path: str, item: bool = False, max_file_age: str = "30d", files_per_trigger: int | None = None, **options: object) -> DataFrame:
+    """Rows of archive files as new files come, each file once, also over restarts.
+
+    Spark's own log of files says which were read: a file counts by its name,
+    so one that shows up late or is moved in with an older time is read too,
+    unless it is ``max_file_age`` older than the newest. Only names come from
+    there; tasks read the files as a scan does.
+    """
+    from arcspark.sources.arc import read_named
+
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", options.pop("pathGlobFilter", "*arc.gz")).option("recursiveFileLookup", "true").option("maxFileAge", max_file_age)
+    if files_per_trigger:
+        files = files.option("maxFilesPerTrigger", files_per_trigger)
+    return read_named(files.load(path).select("path"), item, **options)
 
 
 def event_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
