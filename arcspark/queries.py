@@ -11,15 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arcspark.functions import codec, domain, dom, hashing, headers, http, mime, net, records, text, url
-from arcspark.operators import aggregates, blocks, bloom_table, near_duplicates, ordering, patterns
+from arcspark.functions import codec, domain, dom, hashing, headers, http, mime, net, records, text, url, url_parts
+from arcspark.operators import aggregates, blocks, bloom_table, long_sets, near_duplicates, ordering, patterns
 from arcspark.plans.archive_query import ArchiveQuery, Controller, SortOrder, register
 from arcspark.plans.shards import ShardedResult
 from arcspark.sources import positions
 from arcspark.sources.arc import list_archives, read_arc, read_arc_binary, write_arc
 from arcspark.sources.names import read_names, write_names
 from arcspark.sources.sequence import read_sequence, write_sequence
-from arcspark.storage import scratch
+from arcspark.storage import materialize, scratch
 from arcspark.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -948,3 +948,80 @@ def bandwidth_buckets(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").select("event_id", "user_id", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 10000).alias("t"), F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("event_id")).alias("n"))
     out = aggregates.bandwidth_buckets(rows, "t", "n", ["user_id"], ["event_id"])
     return out.select("event_id", "stalled", "buckets", F.floor("bytes_per_second").cast("long").alias("rate"))
+
+
+# ------------------------------------------------------- URL components and sets
+
+
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
+
+
+@query(f"""SELECT page_id, strpos(url, {_HOST}) - 1 AS host_begin, length({_HOST}) AS host_len, CASE WHEN contains(url, '?') THEN strpos(url, '?') END AS query_begin,
+  CASE WHEN contains(url, '#') THEN length(url) - strpos(url, '#') END AS ref_len, length(regexp_extract(url, '^[a-z]+')) AS scheme_len FROM pages""")
+def url_spans(spark, sf_dir):
+    rows = _table(spark, sf_dir, "pages").select("page_id", url_parts.spans(F.col("url")).alias("s"))
+    return rows.select("page_id", F.col("s.host.begin").alias("host_begin"), F.col("s.host.len").alias("host_len"), F.col("s.query.begin").alias("query_begin"), F.col("s.ref.len").alias("ref_len"), F.col("s.scheme.len").alias("scheme_len"))
+
+
+@query(f"SELECT page_id, 'ftp://mirror.org:21' || regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || '?from=' || {_HOST} AS moved FROM pages")
+def url_replaced(spark, sf_dir):
+    """Scheme, host, port and query set, the fragment taken out."""
+    u = F.col("url")
+    moved = url_parts.replaced(u, scheme="ftp", host="mirror.org", port="21", query=F.concat(F.lit("from="), url_parts.part(u, "host")), ref=None)
+    return _table(spark, sf_dir, "pages").select("page_id", moved.alias("moved"))
+
+
+@query(f"SELECT page_id, {_HOST} LIKE '%.example.com' OR {_HOST} = 'example.com' AS below, false AS cut, page_id % 3 = 0 AS is_ip FROM pages")
+def url_domain_is(spark, sf_dir):
+    """Hosts below a domain, none where only letters agree, and hosts that are addresses."""
+    u = F.col("url")
+    other = F.when(F.col("page_id") % 3 == 0, url_parts.replaced(u, host="10.0.0.1")).otherwise(url_parts.replaced(u, host="10.0.0.256"))
+    return _table(spark, sf_dir, "pages").select("page_id", url_parts.domain_is(u, "example.com").alias("below"), url_parts.domain_is(u, "ample.com").alias("cut"), url_parts.host_is_ip(other).alias("is_ip"))
+
+
+@query("SELECT page_id, regexp_extract(regexp_extract(url, '^[a-z]+://[^?#]*'), '([^/]*)$', 1) AS name, regexp_extract(regexp_extract(url, '^[a-z]+://[^?#]*'), '([^/]*)$', 1) AS bare FROM pages")
+def url_file_name(spark, sf_dir):
+    """The last name of a path, also where parameters follow it."""
+    u = F.col("url")
+    with_params = url_parts.replaced(u, path=F.concat(url_parts.part(u, "path"), F.lit(";v=1/x")))
+    return _table(spark, sf_dir, "pages").select("page_id", url_parts.file_name(u).alias("name"), url_parts.file_name(with_params).alias("bare"))
+
+
+@query("""SELECT page_id, CAST(unnest([1, 2, 3]) AS INTEGER) AS nth, unnest(['id', 'flag', 'url']) AS key, unnest([CAST(page_id AS VARCHAR), '', 'a=b']) AS value FROM pages""")
+def url_query_pairs(spark, sf_dir):
+    """Keys and values of a query in their order; a key alone, and a value with a sign of equality in it."""
+    made = url_parts.replaced(F.col("url"), query=F.concat(F.lit("id="), F.col("page_id").cast("string"), F.lit("&flag&url=a=b&")))
+    rows = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(url_parts.query_pairs(made)).alias("nth", "pair"))
+    return rows.select("page_id", (F.col("nth") + 1).alias("nth"), "pair.key", "pair.value")
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS p, o_custkey * 1000003 - 50000000 AS v, o_orderkey % 2 AS half FROM orders),
+b AS (SELECT p, v FROM o WHERE half = 0 INTERSECT SELECT p, v FROM o WHERE half = 1)
+SELECT p AS o_orderpriority, count(DISTINCT v) AS n, (SELECT count(*) FROM b WHERE b.p = o.p) AS n_both, CAST(sum(DISTINCT v) AS BIGINT) AS total FROM o GROUP BY p""")
+def long_set_union(spark, sf_dir):
+    """Sets built from two halves of a table and joined; what both have; and the numbers taken out again."""
+    rows, keys = _table(spark, sf_dir, "orders").select("o_orderpriority", (F.col("o_custkey") * 1000003 - 50000000).alias("v"), (F.col("o_orderkey") % 2).alias("half")), ("o_orderpriority",)
+    a, b = (long_sets.long_set(rows.where(F.col("half") == i), "v", keys) for i in (0, 1))
+    whole = long_sets.union(a, b, keys=keys)
+    sums = long_sets.members(whole, keys).groupBy(*keys).agg(F.sum("value").alias("total"))
+    both = long_sets.cardinality(long_sets.intersection(a, b, keys), keys).withColumnRenamed("n", "n_both")
+    return long_sets.cardinality(whole, keys).join(sums, "o_orderpriority").join(both, "o_orderpriority", "left").select("o_orderpriority", "n", F.coalesce("n_both", F.lit(0)).alias("n_both"), "total")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10) AS there FROM lineitem")
+def long_set_contains(spark, sf_dir):
+    """Which line items are of small parts, by a set of longs."""
+    small = long_sets.long_set(_table(spark, sf_dir, "part").where("p_size < 10"), "p_partkey")
+    return long_sets.contains(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", small).drop("l_partkey")
+
+
+@query("SELECT event_type, true AS near_distinct, true AS near_median FROM events GROUP BY 1")
+def merged_sketches(spark, sf_dir):
+    """Sketches of each day are stored and merged: different users, and the median, against exact counts."""
+    rows = _table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    stored = materialize(long_sets.distinct_sketches(rows, ["event_type", "day"], "event_id"), "distinct-sketches")
+    quantiles = materialize(long_sets.quantile_sketches(rows, ["event_type", "day"], "value"), "quantile-sketches")
+    exact = rows.groupBy("event_type").agg(F.count_distinct("event_id").alias("exact"), F.percentile("value", F.array(F.lit(0.45), F.lit(0.55))).alias("around"))
+    found = long_sets.merged_distinct(stored, ["event_type"]).join(long_sets.merged_quantiles(quantiles, ["event_type"], [0.5]), "event_type").join(exact, "event_type")
+    median = F.get("quantiles", F.lit(0))
+    return found.select("event_type", (F.abs(F.col("n") - F.col("exact")) <= 0.05 * F.col("exact") + 1).alias("near_distinct"), median.between(F.get("around", F.lit(0)), F.get("around", F.lit(1))).alias("near_median"))
