@@ -7,12 +7,13 @@ Operators that return their input's columns carry them packed in one struct.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,9 @@ MAP_BITS = 27
 #: Share of its greatest heap past which the driver collects what ended queries left.
 HEAP_SHARE = 0.5
 
+# Arrow's own allocators keep what they have freed; batches of texts are large enough for the system's to return.
+pa.set_memory_pool(pa.system_memory_pool())
+
 _own_dir: dict[str, str] = {}
 _scopes: dict[str, list[str]] = {}
 
@@ -172,19 +176,36 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
 
+def hand_back() -> None:
+    """Give memory that was freed back to the machine: allocators keep it for the process otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Kept(dict):
-    """A worker's cache within CACHE_WORDS entries. Workers live on from task to task: ``take`` empties the caches of other operators."""
+    """A worker's cache within CACHE_WORDS entries.
+
+    Workers live on from task to task, beside another and a JVM that uses all
+    its heap: ``take`` empties the caches of other operators and hands their
+    memory back.
+    """
 
     _all: list[Kept] = []
+    _last: Kept | None = None
 
     def __init__(self):
         super().__init__()
         Kept._all.append(self)
 
     def take(self) -> Kept:
-        for other in Kept._all:
-            if other is not self:
-                other.clear()
+        if Kept._last is not self:
+            Kept._last = self
+            for other in Kept._all:
+                if other is not self:
+                    other.clear()
+            hand_back()
         return self
 
 
