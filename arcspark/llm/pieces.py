@@ -31,7 +31,7 @@ from arcspark.llm.common import Kept, id_and_text, in_runs
 #: The mark that stands for a blank (a fixed value of the format).
 BLANK = "▁"
 #: Cuts that a worker's cache keeps, and the characters that one of them may have to be kept.
-WORKER_CACHE, KEPT_CHARS = 400_000, 64
+WORKER_CACHE, KEPT_CHARS = 700_000, 64
 #: Fixed values of the model file's format: field numbers, the type that merges, the kinds of pieces.
 PIECES, TRAINER, NORMALIZER, PIECE, SCORE, KIND, MODEL_TYPE, BYTE_FALLBACK, SUFFIX_BLANKS, CHARS_MAP, DUMMY_PREFIX, EXTRA_BLANKS, ESCAPE = 1, 2, 3, 1, 2, 3, 3, 35, 24, 2, 3, 4, 5
 MERGES, NORMAL, UNKNOWN, CONTROL, BYTE = 2, 1, 2, 3, 6
