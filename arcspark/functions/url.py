@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from urllib.parse import urljoin
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from arcspark import schemas
 from arcspark.functions import domain
-from arcspark.functions.hashing import rabin_text, string_hash
+from arcspark.functions.hashing import rabin_many, string_hash
 from arcspark.functions.session_ids import strip_session_id
 
 # Schemes with a host and their default ports; characters a path and a host keep as they are.
@@ -176,14 +177,26 @@ def canonicalize(url: str | None, strip_www: bool = False) -> str | None:
     return strip_session_id(f"{p.scheme}://{user}{host}{port}{p.path.partition(';')[0]}" + (f"?{p.query}" if p.query else ""))
 
 
-def fingerprint(url: str | None) -> tuple[int, int, int] | None:
-    """(domain, url, root domain) hashes of the canonical URL; None without a host or root domain."""
+def _names(url: str | None) -> tuple[str, str, str] | None:
+    """What the hashes of a URL are taken of: its domain, its canonical form, its root domain; None without one of them."""
     known = canonicalize(url, strip_www=True)
     host = parse(known).host if known else ""
     root = domain.root_domain(host)
     if not host or not root:
         return None
-    return rabin_text(host.removeprefix("www.") if host != root else host), rabin_text(known), rabin_text(root)
+    return host.removeprefix("www.") if host != root else host, known, root
+
+
+def fingerprints(urls: Iterable[str | None]) -> list[tuple[int, int, int] | None]:
+    """(domain, url, root domain) hashes of each canonical URL, each different name hashed once and all together; None without a host or root domain."""
+    names = [_names(u) for u in urls]
+    each = list(dict.fromkeys(n for x in names if x for n in x))
+    hashes = dict(zip(each, rabin_many([n.encode("utf-16-le", "surrogatepass") for n in each]).tolist(), strict=True)) if each else {}
+    return [x and (hashes[x[0]], hashes[x[1]], hashes[x[2]]) for x in names]
+
+
+def fingerprint(url: str | None) -> tuple[int, int, int] | None:
+    return fingerprints([url])[0]
 
 
 @F.pandas_udf(schemas.URL_PARTS)
@@ -209,7 +222,11 @@ def without_session_id(urls: pd.Series) -> pd.Series:
 
 @F.pandas_udf(schemas.L)
 def url_fp64(urls: pd.Series) -> pd.Series:
-    return urls.map(rabin_text, na_action="ignore").astype("Int64")
+    known = urls.notna().to_numpy()
+    out = pd.Series(pd.NA, index=urls.index, dtype="Int64")
+    if known.any():
+        out[known] = rabin_many([u.encode("utf-16-le", "surrogatepass") for u in urls[known]])
+    return out
 
 
 @F.pandas_udf(schemas.I)
@@ -219,7 +236,7 @@ def host_fp32(hosts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(schemas.URL_FINGERPRINT)
 def url_fingerprint(urls: pd.Series) -> pd.DataFrame:
-    found = [fingerprint(u) or (None, None, None) for u in urls]
+    found = [x or (None, None, None) for x in fingerprints(urls)]
     return pd.DataFrame(found, columns=schemas.URL_FINGERPRINT.fieldNames()).astype("Int64")
 
 

@@ -89,10 +89,14 @@ def test_near_dup_pairs_against_brute_force(spark, monkeypatch):
 
 
 def test_fingerprints_of_urls(spark):
-    pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    """Each name's hash alone, where the query hashes a batch's names together."""
+    pages = {p.page_id: p.url for p in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
     for r in q.url_fingerprint(spark, DATA).collect():
-        address = next(p.url for p in pages if p.page_id == r.page_id)
-        assert r.fp64 == url.url_fp64_of(address) if hasattr(url, "url_fp64_of") else r.fp64 is not None
+        domain_name, known, root = url._names(pages[r.page_id])
+        assert r.fp64 == hashing.rabin_text(pages[r.page_id]) and known == url.canonicalize(pages[r.page_id], True)
+        assert (r.domain_hash, r.url_hash, r.root_domain_hash) == tuple(map(hashing.rabin_text, (domain_name, known, root)))
+    odd = ["http://nowhere/", None, "", "http://ü.example.com/ä", "http://example.com"]
+    assert [x and x[0] for x in url.fingerprints(odd)] == [x and hashing.rabin_text(x[0]) for x in map(url._names, odd)] and url.fingerprints([]) == []
 
 
 def test_hash_queries_against_bytes(spark):
