@@ -5,12 +5,15 @@ from __future__ import annotations
 import codecs
 import re
 from calendar import timegm
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from arcspark import schemas
+from arcspark.functions import charsets
+from arcspark.functions.text import META_CHARSET, META_TAG
 
 # ------------------------------------------------------------- content type
 
@@ -144,8 +147,7 @@ def charset_codec(name: str | None) -> str | None:
     return None
 
 
-_META = re.compile(rb"(?i)<meta\s+([^>]*http-equiv\s*=\s*[\"']?content-type[\"']?[^>]*)>")
-_META_CHARSET = re.compile(rb"(?i)charset\s*=\s*([a-z][_\-0-9a-z]*)")
+_META, _META_CHARSET = re.compile(META_TAG.encode()), re.compile(META_CHARSET.encode())
 
 
 def sniff_meta(content: bytes) -> str | None:
@@ -166,54 +168,8 @@ def _escapes(data: bytes) -> str | None:
     return None
 
 
-def _pairs(data: bytes) -> list[tuple[int, int]]:
-    out, i = [], 0
-    while i < len(data) - 1:
-        if data[i] >= 0x80:
-            out.append((data[i], data[i + 1]))
-            i += 2
-        else:
-            i += 1
-    return out
-
-
-def _likely(data: bytes, codec: str) -> float:
-    """How much of what isn't ASCII decodes to letters that are common in the codec's language."""
-    try:
-        text = data.decode(codec)
-    except UnicodeDecodeError as e:
-        if len(data) - e.start > (3 if codec == "gb18030" else 1):  # more than a character cut off at the end
-            return -1.0
-        text = data[: e.start].decode(codec)
-    wide = [c for c in text if ord(c) > 0x7F]
-    if not wide:
-        return -1.0
-    kana = sum("぀" <= c <= "ヿ" for c in wide)
-    hangul = sum("가" <= c <= "힣" for c in wide)
-    han = sum("一" <= c <= "鿿" for c in wide)
-    odd = sum("｡" <= c <= "ﾟ" or "" <= c <= "" or c == "�" for c in wide)
-    good = {"cp932": kana * 2 + han, "euc_jp": kana * 2 + han, "euc_kr": hangul * 2, "gb2312": han, "gb18030": 0.9 * han, "big5": han}[codec] - 2 * odd
-    if codec == "big5":
-        # first-level characters, the frequent ones, begin with A4 to C6
-        good = sum(1.2 if 0xA4 <= a <= 0xC6 else 0.2 for a, _ in _pairs(data))
-    if codec in ("gb2312", "gb18030"):
-        good = sum(1.2 if 0xB0 <= a <= 0xD7 and b >= 0xA1 else 0.2 for a, b in _pairs(data)) * (1 if codec == "gb2312" else 0.95)
-    return good / len(wide)
-
-
-CANDIDATES = [("Shift_JIS", "cp932"), ("EUC-JP", "euc_jp"), ("EUC-KR", "euc_kr"), ("GB2312", "gb2312"), ("Big5", "big5"), ("GB18030", "gb18030")]
-
-
-def detect_charset(content: bytes, most: int | None = None) -> str | None:
-    """The likeliest charset of the content, or of its first ``most`` bytes; ASCII for plain text, None for none.
-
-    Marks and escape sequences decide first, then valid UTF-8, then the
-    double-byte charset whose characters are most at home; windows-1252 is
-    what is left. Approximate where several fit.
-    """
-    data = bytes(content if most is None else content[:most])
-    if not data:
-        return None
+def _by_marks(data: bytes) -> str | None:
+    """What marks, escape sequences, valid UTF-8 or zeros say; None if only the double-byte charsets are left, or none."""
     for mark, name in ((b"\xef\xbb\xbf", "UTF-8"), (b"\xfe\xff", "UTF-16BE"), (b"\xff\xfe", "UTF-16LE")):
         if data.startswith(mark):
             return name
@@ -226,29 +182,53 @@ def detect_charset(content: bytes, most: int | None = None) -> str | None:
         pass
     if data.count(0) > len(data) // 4:
         return "UTF-16BE" if data[0::2].count(0) > data[1::2].count(0) else "UTF-16LE"
-    scores = [(_likely(data, codec), -i, name) for i, (name, codec) in enumerate(CANDIDATES)]
-    best = max(scores)
-    return best[2] if best[0] > 0.5 else "windows-1252"
+    return None
+
+
+def detect_charsets(contents: Iterable[bytes | None], most: int | None = None) -> list[str | None]:
+    """The likeliest charset of each content, or of its first ``most`` bytes; ASCII for plain text, None for none.
+
+    Marks and escape sequences decide first, then valid UTF-8, then the
+    automata of the double-byte charsets, all contents that are left at once;
+    windows-1252 is what no automaton takes. Approximate where several fit.
+    """
+    data = [None if c is None else bytes(c if most is None else c[:most]) for c in contents]
+    found = [_by_marks(d) if d else None for d in data]
+    left = [i for i, d in enumerate(data) if d and found[i] is None]
+    for i, name in zip(left, charsets.double_byte([data[i] for i in left]), strict=True):
+        found[i] = name or "windows-1252"
+    return found
+
+
+def detect_charset(content: bytes, most: int | None = None) -> str | None:
+    return detect_charsets([content], most)[0]
 
 
 @F.pandas_udf(schemas.S)
 def detected_charset(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda c: detect_charset(bytes(c)), na_action="ignore")
+    return pd.Series(detect_charsets(contents), index=contents.index, dtype=object)
+
+
+@F.pandas_udf(schemas.B)
+def encoded(texts: pd.Series, charset_names: pd.Series) -> pd.Series:
+    """Text in the charset of a name, with question marks for what it lacks; null for a name that is none."""
+    return pd.Series([t.encode(c, "replace") if t is not None and (c := charset_codec(n)) else None for t, n in zip(texts, charset_names, strict=True)], index=texts.index, dtype=object)
+
+
+def decode_all(contents: Iterable[bytes | None], header_charsets: Iterable[str | None], text: bool = True, html: bool = True) -> list[tuple[str | None, str | None]]:
+    """(text, charset) of each content: by the header's charset, then the meta tag's, then the detected one."""
+    data = [None if c is None else bytes(c) for c in contents]
+    found = [None if d is None else html and charset_codec(sniff_meta(d)) or charset_codec(said) for d, said in zip(data, header_charsets, strict=True)]
+    unknown = [i for i, d in enumerate(data) if text and d is not None and found[i] is None]
+    for i, name in zip(unknown, detect_charsets([data[i] for i in unknown]), strict=True):
+        found[i] = charset_codec(name)
+    return [(None, None) if d is None or c is None else (d.decode(c, "replace"), c) for d, c in zip(data, found, strict=True)]
 
 
 def decode_best_effort(content: bytes, header_charset: str | None, text: bool = True, html: bool = True) -> tuple[str | None, str | None]:
-    """(text, charset): the header's charset, then the meta tag's, then the detected one."""
-    found = charset_codec(header_charset)
-    if html and (sniffed := charset_codec(sniff_meta(content))):
-        found = sniffed
-    if found is None and text:
-        found = charset_codec(detect_charset(content))
-    if found is None:
-        return None, None
-    return content.decode(found, "replace"), found
+    return decode_all([content], [header_charset], text, html)[0]
 
 
 @F.pandas_udf(schemas.DECODED)
 def decoded(contents: pd.Series, charsets: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([decode_best_effort(bytes(c), s) if c is not None else (None, None) for c, s in zip(contents, charsets, strict=True)], columns=["text", "charset"])
-
+    return pd.DataFrame(decode_all(contents, charsets), columns=["text", "charset"])

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from arcspark.functions import codec, dom, domain, hashing, http, net, text, url
+from arcspark.functions import charsets, codec, dom, domain, hashing, http, net, text, url
 from arcspark.functions.session_ids import strip_session_id
 from arcspark.operators import aggregates
 
@@ -183,3 +183,46 @@ def test_net_and_dom():
     assert net.path_for_id(123456789) == "23/45/67/123456789" and net.path_for_id(7) == "0/0/0/7"
     assert [r[3] for r in dom.walk("<p>a<br>b</p>")] == ["p", None, "br", None]
     assert [r[3] for r in dom.walk("<script>x<b></script><i>", "script")] == ["script", "i"]
+
+
+def stepped(automaton, data: bytes):
+    """The automaton byte by byte: mean weight, or -1."""
+    if automaton.before is not None:
+        data = data.replace(bytes([automaton.before]), b"")
+    i, halves, weights = 0, 0, []
+    while i < len(data):
+        a = data[i]
+        if automaton.first[a]:
+            if i + 1 == len(data):
+                break
+            if not automaton.valid[a, data[i + 1]]:
+                return -1.0
+            halves += automaton.half is not None and bool(automaton.half[data[i + 1]])
+            weights.append(automaton.weights[a, data[i + 1]])
+            i += 2
+            continue
+        if a >= 0x80:
+            if not automaton.alone[a]:
+                return -1.0
+            weights.append(automaton.alone_weight)
+        i += 1
+    return sum(weights) / len(weights) if weights and halves % 2 == 0 else -1.0
+
+
+def test_automata_against_stepping(monkeypatch):
+    rng = random.Random(9)
+    texts = [bytes(rng.choice([0x20, 0x41, 0x7A, rng.randrange(0x81, 0xFF), rng.randrange(0xA1, 0xFF)]) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    texts += ["日本語テキスト".encode(c) * 3 + b"a" for c in ("cp932", "euc_jp", "gb18030")] + ["丂".encode("gb18030"), "€ 㐂".encode("gb18030"), "丂丄".encode("euc_jp", "ignore"), b""]
+    for automaton, got in zip(charsets.AUTOMATA, charsets.scores_of(texts), strict=True):
+        want = [stepped(automaton, t) for t in texts]
+        assert np.allclose(got, want) and (got > 0).any(), automaton.name
+    whole = charsets.double_byte(texts)
+    monkeypatch.setattr(charsets, "BYTES_AT_ONCE", 50)
+    assert charsets.double_byte(texts) == whole and charsets.double_byte([]) == []
+
+
+def test_charsets_of_many_contents():
+    contents = [None, b"", b"plain", "日本語のテキスト".encode("cp932"), "ä".encode(), "à la carte".encode("cp1252"), "日本語のテキスト".encode("euc_jp"), "한국어".encode("euc_kr")]
+    assert http.detect_charsets(contents) == [None, None, "ASCII", "Shift_JIS", "UTF-8", "windows-1252", "EUC-JP", "EUC-KR"]
+    assert [http.decode_best_effort(c, None)[0] for c in contents[2:]] == ["plain", "日本語のテキスト", "ä", "à la carte", "日本語のテキスト", "한국어"]
+    assert http.decode_all([None, b"x"], ["utf-8", "no such"]) == [(None, None), ("x", "ascii")]
