@@ -20,7 +20,7 @@ from arcspark.sources.arc import list_archives, read_arc, read_arc_binary, write
 from arcspark.sources.names import read_names, write_names
 from arcspark.sources.sequence import read_sequence, write_sequence
 from arcspark.storage import materialize, scratch
-from arcspark.streaming import windows
+from arcspark.streaming import ttl, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -673,6 +673,28 @@ def ttl_cache(spark, sf_dir):
     return ordering.newest_by(_table(spark, sf_dir, "events"), ["user_id"], "ts", ["event_id"])
 
 
+@query("""WITH e AS (SELECT event_id, 'h' || user_id % 40 AS host, ts, epoch_us(ts) // 1000 AS ms, CASE WHEN event_type NOT IN ('click', 'view') THEN '10.0.0.' || event_id % 250 END AS ip, epoch_us(ts) // 1000 + event_id % 7 * 21600000 AS expires,
+  CASE WHEN event_id % 3 = 0 THEN 'c' || user_id % 5 WHEN event_id % 3 = 1 THEN 'h' || (user_id + 1) % 40 END AS cname FROM events),
+n AS (SELECT host AS name, ts, ip, expires, cname, false AS alias FROM e WHERE ip IS NOT NULL UNION ALL SELECT cname, ts, ip, expires, NULL, true FROM e WHERE ip IS NOT NULL AND cname IS NOT NULL),
+q AS (SELECT host, ts, ms, host AS name, NULL::VARCHAR AS ip, NULL::BIGINT AS expires FROM e WHERE ip IS NULL),
+a AS (SELECT q.host, q.ts, q.ms, (SELECT max(n.ts) FROM n WHERE n.name = q.name AND NOT alias AND n.ts <= q.ts) AS t FROM q),
+k AS (SELECT a.*, (SELECT arg_max({'ip': ip, 'expires': expires}, (expires, -epoch_us(n.ts))) FROM n WHERE n.name = a.host AND n.ts <= a.ts AND (alias AND (t IS NULL OR n.ts > t) OR NOT alias AND n.ts = t)) AS known,
+  (SELECT any_value(cname) FROM n WHERE n.name = a.host AND NOT alias AND n.ts = t) AS cname FROM a),
+c AS (SELECT k.*, (SELECT max(n.ts) FROM n WHERE n.name = k.cname AND NOT alias AND n.ts <= k.ts) AS u FROM k),
+f AS (SELECT c.*, CASE WHEN known IS NOT NULL AND known.expires <= ms THEN (SELECT arg_max({'ip': ip, 'expires': expires}, (expires, -epoch_us(n.ts))) FROM n WHERE n.name = c.cname AND n.ts <= c.ts AND (alias AND (u IS NULL OR n.ts > u) OR NOT alias AND n.ts = u)) END AS other FROM c),
+p AS (SELECT *, coalesce(other.expires > known.expires, false) AS better FROM f)
+SELECT host, ts, CASE WHEN better THEN other.ip ELSE known.ip END AS ip, CASE WHEN better THEN other.expires ELSE known.expires END AS expires, CASE WHEN better THEN 'cname' WHEN known IS NOT NULL THEN 'host' END AS via,
+  coalesce(CASE WHEN better THEN other.expires ELSE known.expires END > ms, false) AS fresh FROM p""")
+def ttl_fallback(spark, sf_dir):
+    """Events as sightings of addresses that expire and questions for them, answered by the host or its canonical name."""
+    e, host = _table(spark, sf_dir, "events"), lambda x, n: F.concat(F.lit(x), (n).cast("string"))
+    ip = F.when(~F.col("event_type").isin("click", "view"), host("10.0.0.", F.col("event_id") % 250))
+    cname = F.when(F.col("event_id") % 3 == 0, host("c", F.col("user_id") % 5)).when(F.col("event_id") % 3 == 1, host("h", (F.col("user_id") + 1) % 40))
+    expires = F.unix_millis(F.col("ts").cast("timestamp")) + F.col("event_id") % 7 * 21600000
+    rows = e.select(host("h", F.col("user_id") % 40).alias("host"), F.col("ts").cast("timestamp").alias("ts"), ip.alias("ip"), expires.alias("expires"), cname.alias("cname"))
+    return ttl.answers(rows).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def cube_counts(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
