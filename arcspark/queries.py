@@ -320,9 +320,9 @@ def meta_charset_sniff(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", text.meta_charset(F.encode(F.concat(tag, "html"), "UTF-8")).alias("charset"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) = length(text) THEN 'ASCII' ELSE 'UTF-8' END AS charset FROM documents WHERE text <> ''")
+@query("SELECT doc_id, CASE WHEN text = '' THEN NULL WHEN strlen(text) = length(text) THEN 'ASCII' WHEN text IS NOT NULL THEN 'UTF-8' END AS charset FROM documents")
 def detect_charset(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", http.detected_charset(F.encode("text", "UTF-8")).alias("charset"))
+    return _table(spark, sf_dir, "documents").select("doc_id", http.detected_charset(F.encode("text", "UTF-8")).alias("charset"))
 
 
 #: Characters that stand for the letters a to z, one frequent set a charset.
@@ -358,12 +358,13 @@ def char_shingles(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.size(text.char_shingles(F.col("text"))).alias("n"))
 
 
-@query("""WITH s AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(length(text) - 2, 0) + 1), lambda i: substr(text, i, 3))) AS s FROM benchmark)
-SELECT a.item_id, CAST(CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / len(list_distinct(list_concat(a.s, b.s))) AS FLOAT) AS similarity FROM s a JOIN s b ON b.item_id = a.item_id + 1""")
+@query("""WITH s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(length(text) - 2, 0) + 1), lambda i: substr(text, i, 3))) AS s FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id, CAST(CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / len(list_distinct(list_concat(a.s, b.s))) AS FLOAT) AS similarity FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""")
 def shingle_jaccard(spark, sf_dir):
-    s = _table(spark, sf_dir, "benchmark").select("item_id", text.char_shingles(F.col("text")).alias("s"))
-    other = s.select((F.col("item_id") - 1).alias("item_id"), F.col("s").alias("t"))
-    return s.join(other, "item_id").select("item_id", text.jaccard(F.col("s"), F.col("t")).alias("similarity"))
+    """Each document against the one with the next id."""
+    s = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.char_shingles(F.col("text")).alias("s"))
+    other = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
+    return s.join(other, "doc_id").select("doc_id", text.jaccard(F.col("s"), F.col("t")).alias("similarity"))
 
 
 @query("SELECT md5(text) AS signature, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")
@@ -746,10 +747,10 @@ def small_numbers(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", codec.parsed_long(shown, F.lit(16)).alias("number"), codec.vlong_value(codec.vlong_bytes(wide)).alias("long_value"), codec.bit_at(low, F.lit(3)).alias("bit"))
 
 
-@query("SELECT doc_id, CAST(CASE WHEN strpos(text, ' ') = 0 THEN -1 ELSE strlen(substr(text, 1, strpos(text, ' ') - 1)) END AS INTEGER) AS at, CAST(strlen(text) AS INTEGER) AS n_bytes, true AS valid, text IS NULL AS broken_valid FROM documents WHERE text <> ''")
+@query("SELECT doc_id, CAST(CASE WHEN strpos(text, ' ') = 0 THEN -1 ELSE strlen(substr(text, 1, strpos(text, ' ') - 1)) END AS INTEGER) AS at, CAST(strlen(text) AS INTEGER) AS n_bytes, true AS valid, text IS NULL AS broken_valid FROM documents WHERE text IS NOT NULL")
 def utf8_ops(spark, sf_dir):
     """Byte offsets, lengths and validity of UTF-8; a lone continuation byte is not valid."""
-    rows = _table(spark, sf_dir, "documents").where("text <> ''")
+    rows = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
     return rows.select("doc_id", text.utf8_find(F.col("text"), " ").cast("int").alias("at"), F.octet_length("text").alias("n_bytes"), F.is_valid_utf8("text").alias("valid"), F.is_valid_utf8(F.concat("text", F.unhex(F.lit("80")).cast("string"))).alias("broken_valid"))
 
 
@@ -797,12 +798,12 @@ def charset_alias(spark, sf_dir):
     return rows.select("page_id", F.md5("d.text").alias("text_md5"), "d.charset")
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'UTF-16LE' WHEN 2 THEN 'UTF-16BE' ELSE 'windows-1252' END AS charset FROM documents WHERE text <> ''")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'UTF-16LE' WHEN 2 THEN 'UTF-16BE' ELSE 'windows-1252' END AS charset FROM documents WHERE text IS NOT NULL")
 def detect_encoded(spark, sf_dir):
     """Whole texts, ASCII with an accent, in four encodings that their bytes must tell apart."""
     shown, k = F.concat(F.regexp_replace("text", r"[^\x20-\x7e]", " "), F.lit(" déjà vu")), F.col("doc_id") % 4
     data = F.when(k == 0, F.encode(shown, "UTF-8")).when(k == 1, F.encode(shown, "UTF-16LE")).when(k == 2, F.encode(shown, "UTF-16BE")).otherwise(F.encode(shown, "ISO-8859-1"))
-    return _table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", http.detected_charset(data).alias("charset"))
+    return _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", http.detected_charset(data).alias("charset"))
 
 
 # ------------------------------------------------------------------ extensions
