@@ -10,7 +10,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -22,6 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcspark.storage import shared_dir
+
 #: Entries that a Python worker's cache keeps (about 200 bytes each); past it the cache starts anew.
 CACHE_WORDS = 150_000
 #: Rows up to which a side may be broadcast; beyond it the join shuffles.
@@ -38,7 +39,6 @@ HEAP_SHARE = 0.5
 # Arrow's own allocators keep what they have freed; batches of texts are large enough for the system's to return.
 pa.set_memory_pool(pa.system_memory_pool())
 
-_own_dir: dict[str, str] = {}
 _scopes: dict[str, list[str]] = {}
 
 
@@ -46,23 +46,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset a temporary one is made on a local master; any other
-    master is an error, since its executors could not see the folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = f"file://{tempfile.mkdtemp(prefix='arcspark-')}"
-    return _own_dir[app]
-
-
 def scratch(spark: SparkSession, name: str, scope: str | None = None) -> str:
     """A new path in the shared folder; ``sweep(scope)`` removes it later."""
     path = f"{shared_dir(spark)}/arcspark/{name}-{uuid.uuid4().hex}"
