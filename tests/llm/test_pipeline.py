@@ -145,5 +145,5 @@ def test_without_the_optional_parts(tmp_path):
 def test_with_all_parts():
     import __spark_entry__ as entry
 
-    assert "pipeline" in entry.queries() and all(any(q.startswith(f"op{n}_") for q in entry.queries()) for n in range(1, 11))
+    assert "pipeline" in entry.queries() and all(any(q.startswith(f"op{n}_") for q in entry.queries()) for n in range(1, 14))
     assert Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
