@@ -30,3 +30,7 @@ HALVES = "SELECT i AS event_id, make_timestamp((i - 40) * 4999875 + i % 3) AS ts
 
 def test_bandwidth_buckets_at_half_milliseconds(spark, tmp_path):
     assert differences(spark, tmp_path, "bandwidth_buckets", events=HALVES) == (Counter(), Counter())
+
+
+def test_bandwidth_history_at_half_milliseconds(spark, tmp_path):
+    assert differences(spark, tmp_path, "bandwidth_history", events=HALVES) == (Counter(), Counter())
