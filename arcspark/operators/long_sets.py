@@ -1,9 +1,10 @@
-"""Sets of longs as tables of bitmap blocks, and sketches that are stored and merged.
+"""Sets of longs as tables of bitmap words, and sketches that are stored and merged.
 
-A set is rows (keys, block, bits): a block holds 32,768 neighbouring numbers
-as a bitmap. Adding is an OR that Spark combines before it shuffles; sets of
-days become those of weeks by the same OR. Membership is a join on the block,
-and iteration unpacks the bits. All of it is built-in functions.
+A set is rows (keys, block, bits): a block holds 64 neighbouring numbers as
+the bits of a long, so that a set never has more rows than numbers, however
+far apart they lie. Adding is an OR that Spark combines before it shuffles;
+sets of days become those of weeks by the same OR. Membership is a join on the
+block, and iteration unpacks the bits. All of it is built-in functions.
 """
 
 from __future__ import annotations
@@ -13,46 +14,43 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Numbers of a block, as Spark's bitmaps have them.
-BLOCK = 1 << 15
-#: Blocks of a set that are broadcast: 4 KB each at most.
-BROADCAST_BLOCKS = 4096
+#: Blocks of a set that are broadcast: a few longs each.
+BROADCAST_BLOCKS = 1 << 18
 
 
 def _block(value: Column) -> Column:
-    return F.shiftright(value.cast("long"), 15)
+    return F.shiftright(value.cast("long"), 6)
 
 
 def _place(value: Column) -> Column:
-    return value.cast("long").bitwiseAND(F.lit(BLOCK - 1))
+    return value.cast("long").bitwiseAND(F.lit(63)).cast("int")
 
 
 def long_set(rows: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, block, bits) of the different values of each key; nulls are left out, negative numbers are numbers."""
     own = rows.where(F.col(value).isNotNull()).withColumn("block", _block(F.col(value)))
-    return own.groupBy(*keys, "block").agg(F.bitmap_construct_agg(_place(F.col(value))).alias("bits"))
+    return own.groupBy(*keys, "block").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _place(F.col(value)))).alias("bits"))
 
 
 def union(*sets: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The numbers that any of the sets has, by key."""
-    return reduce(DataFrame.unionByName, (s.select(*keys, "block", "bits") for s in sets)).groupBy(*keys, "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return reduce(DataFrame.unionByName, (s.select(*keys, "block", "bits") for s in sets)).groupBy(*keys, "block").agg(F.bit_or("bits").alias("bits"))
 
 
 def intersection(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The numbers that both sets have, by key."""
-    both = union(a, keys=keys).unionByName(union(b, keys=keys)).groupBy(*keys, "block").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("_n"))
-    return both.where((F.col("_n") == 2) & (F.bitmap_count("bits") > 0)).drop("_n")
+    both = union(a, keys=keys).unionByName(union(b, keys=keys)).groupBy(*keys, "block").agg(F.bit_and("bits").alias("bits"), F.count("*").alias("_n"))
+    return both.where((F.col("_n") == 2) & (F.col("bits") != 0)).drop("_n")
 
 
 def cardinality(s: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, n): how many numbers each set holds."""
-    return s.groupBy(*keys).agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n"))
+    return s.groupBy(*keys).agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).alias("n"))
 
 
-def _bit(bits: Column, place: Column) -> Column:
-    """Whether a bit is set; ``place`` counts from the first byte's lowest bit."""
-    byte = F.conv(F.hex(F.substring(bits, F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+def _bits(bits: Column, place: Column, mask: int) -> Column:
+    """The bits from ``place`` on that the mask has, counted from the lowest."""
+    return F.call_function("shiftright", bits, place).bitwiseAND(F.lit(mask))
 
 
 def contains(rows: DataFrame, value: str, s: DataFrame, keys: tuple[str, ...] = (), name: str = "there") -> DataFrame:
@@ -62,15 +60,15 @@ def contains(rows: DataFrame, value: str, s: DataFrame, keys: tuple[str, ...] =
     side = s.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)), F.col("block").alias("_block"), "bits")
     side = F.broadcast(side) if s.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS else side
     met = asked.join(side, [*(f"_k{i}" for i in range(len(keys))), "_block"], "left")
-    return met.select("_row.*", F.when(F.col("_place").isNotNull(), F.coalesce(_bit(F.col("bits"), F.col("_place")), F.lit(False))).alias(name))
+    return met.select("_row.*", F.when(F.col("_place").isNotNull(), F.coalesce(_bits(F.col("bits"), F.col("_place"), 1) == 1, F.lit(False))).alias(name))
 
 
 def members(s: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, value): the numbers of each set, a row each."""
-    byte = s.select(*keys, "block", F.posexplode(F.split(F.regexp_replace(F.hex("bits"), "(..)", "$1,"), ",")).alias("at", "hex")).where("hex NOT IN ('', '00')")
-    bit = byte.select(*keys, "block", "at", F.conv("hex", 16, 10).cast("int").alias("byte"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
-    bit = bit.where(F.expr("shiftright(byte, i) & 1") == 1)
-    return bit.select(*keys, (F.col("block") * BLOCK + F.col("at") * 8 + F.col("i")).alias("value"))
+    # bytes with any bit first: most words of a sparse set have one
+    byte = s.select(*keys, "block", "bits", F.explode(F.filter(F.sequence(F.lit(0), F.lit(56), F.lit(8)), lambda i: _bits(F.col("bits"), i, 255) != 0)).alias("at"))
+    bit = byte.select(*keys, "block", F.explode(F.filter(F.sequence(F.col("at"), F.col("at") + 7), lambda i: _bits(F.col("bits"), i, 1) == 1)).alias("i"))
+    return bit.select(*keys, F.shiftleft("block", 6).bitwiseOR(F.col("i").cast("long")).alias("value"))
 
 
 def distinct_sketches(rows: DataFrame, keys: list[str], value: str, log_k: int = 12) -> DataFrame:
