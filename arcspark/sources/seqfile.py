@@ -34,6 +34,8 @@ TEXT = "org.apache.hadoop.io.Text"
 CODECS = {"default": "org.apache.hadoop.io.compress.DefaultCodec", "gzip": "org.apache.hadoop.io.compress.GzipCodec", "bzip2": "org.apache.hadoop.io.compress.BZip2Codec"}
 #: Rows of an Arrow batch, and bytes of a block or between two sync marks of a plain file.
 BATCH_ROWS, BLOCK_BYTES, MARK_BYTES = 4096, 1 << 20, 64 << 10
+#: Ranges that ``range_mb`` aims at, and their least and most megabytes.
+RANGES, LEAST_MB, MOST_MB = 48, 0.05, 64.0
 
 
 class SequenceError(ValueError):
@@ -191,6 +193,19 @@ def pairs(file: io.BufferedReader, start: int, end: int | None, size: int) -> It
         yield keys, values
 
 
+def _files(path: str) -> list[fs.FileInfo]:
+    """The files at or below ``path``, by name."""
+    where, base = _place(path)
+    info = where.get_file_info(base)
+    found = [info] if info.is_file else [f for f in where.get_file_info(fs.FileSelector(base, recursive=True)) if f.is_file and not f.base_name.startswith(("_", "."))]
+    return sorted(found, key=lambda f: f.path)
+
+
+def range_mb(path: str) -> float:
+    """Megabytes of a range by which all files make some RANGES of them: least for small files, most for large ones."""
+    return min(MOST_MB, max(LEAST_MB, sum(f.size for f in _files(path)) / (RANGES << 20)))
+
+
 @dataclass
 class Range(InputPartition):
     path: str
@@ -205,10 +220,7 @@ class SequenceReader(DataSourceReader):
 
     def partitions(self):
         path, each = _option(self.options, "path"), max(1, int(float(_option(self.options, "splitMB", 64)) * (1 << 20)))
-        where, base = _place(path)
-        info = where.get_file_info(base)
-        found = [info] if info.is_file else [f for f in where.get_file_info(fs.FileSelector(base, recursive=True)) if f.is_file and not f.base_name.startswith(("_", "."))]
-        out = [Range(f.path, a, a + each if a + each < f.size else None, f.size) for f in sorted(found, key=lambda f: f.path) if f.size for a in range(0, f.size, each)]
+        out = [Range(f.path, a, a + each if a + each < f.size else None, f.size) for f in _files(path) if f.size for a in range(0, f.size, each)]
         return out or [Range("", 0, None, 0)]
 
     def read(self, partition):
@@ -247,7 +259,7 @@ class SequenceWriter(DataSourceArrowWriter):
         plain = codec == "none"
         with where.open_output_stream(self._hidden(base, name), compression=None) as out:
             out.write(MAGIC + bytes([VERSION]) + say(TEXT.encode()) * 2 + (b"\0\0" if plain else b"\1\1" + say(CODECS[codec].encode())) + struct.pack(">i", 0) + sync)
-            keys, values, held, since = [], [], 0, 0
+            keys, values, held, since, plain_rows = [], [], 0, 0, []
 
             def block() -> None:
                 nonlocal held
@@ -262,9 +274,9 @@ class SequenceWriter(DataSourceArrowWriter):
                     key, value = say((k or "").encode()), say((v or "").encode())
                     if plain:
                         if since >= MARK_BYTES:
-                            out.write(ESCAPE + sync)
-                            since = 0
-                        out.write(struct.pack(">ii", len(key) + len(value), len(key)) + key + value)
+                            out.write(b"".join(plain_rows) + ESCAPE + sync)
+                            plain_rows, since = [], 0
+                        plain_rows += struct.pack(">ii", len(key) + len(value), len(key)), key, value
                         since += 8 + len(key) + len(value)
                         continue
                     keys.append(key)
@@ -274,6 +286,7 @@ class SequenceWriter(DataSourceArrowWriter):
                         block()
             if keys:
                 block()
+            out.write(b"".join(plain_rows))
         return Written(name)
 
     def _clear(self, where: fs.FileSystem, base: str) -> None:

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from arcspark import queries
 from arcspark.sources import seqfile
 from arcspark.sources.sequence import read_sequence, write_sequence
 
@@ -67,3 +68,13 @@ def test_other_files_are_refused(spark, tmp_path):
     assert seqfile.read_sequence_files(spark, f"{tmp_path}/none").count() == 0
     with pytest.raises(Exception, match="codec lzo"):
         seqfile.write_sequence_files(spark.createDataFrame([("a", "b")], "key string, value string"), f"{tmp_path}/x", codec="lzo")
+
+
+def test_ranges_do_not_grow_in_number(spark, tmp_path, monkeypatch):
+    """The query writes a file a task, and larger files are read in larger ranges, not in ever more of them."""
+    monkeypatch.setattr(queries, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    rows = spark.range(0, 60000, 1, 3).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "timestamp_ntz'2024-01-01 00:00:00' AS l_shipdate", "repeat('N', 50) AS l_returnflag")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = queries.sequence_ranges(spark, str(tmp_path))
+    assert found.count() == 60000 and found.where("many_tasks").count() == 60000
+    assert len([n for n in os.listdir(tmp_path / "sequence") if n.endswith(".seq")]) > 1 and found.rdd.getNumPartitions() <= 60
