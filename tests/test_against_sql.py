@@ -4,8 +4,10 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import functions as F
 
 from arcspark import queries as q
+from arcspark.operators import aggregates
 
 
 def differences(spark, folder: Path, name: str, **tables: str) -> tuple[Counter, Counter]:
@@ -34,3 +36,15 @@ def test_bandwidth_buckets_at_half_milliseconds(spark, tmp_path):
 
 def test_bandwidth_history_at_half_milliseconds(spark, tmp_path):
     assert differences(spark, tmp_path, "bandwidth_history", events=HALVES) == (Counter(), Counter())
+
+
+def test_medians_hold_no_key_whole(spark, tmp_path):
+    """Even and odd counts, one value, equal values, a key of nulls and a null key; no aggregate keeps all numbers of a key."""
+    rows = [(k, float(i * 7919 % n)) for k, n in (("a", 1000), ("b", 1001), ("c", 1), ("d", 2)) for i in range(n)] + [("e", 5.5)] * 9 + [("f", None)] + [(None, x) for x in (1.0, 2.0, 4.0, None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    got = {r.k: (r.n, r.median) for r in aggregates.medians(df, "k", F.col("v")).collect()}
+    assert got == {"a": (1000, 499.5), "b": (1001, 500.0), "c": (1, 0.0), "d": (2, 0.5), "e": (9, 5.5), "f": (0, None), None: (3, 2.0)}
+    lines = "SELECT chr(CAST(65 + i % 3 AS INTEGER)) AS l_returnflag, i % 50 AS l_partkey, CAST(1000 + i * 7919 % 100003 AS DOUBLE) / 100 AS l_extendedprice FROM range(3001) t(i)"
+    assert differences(spark, tmp_path, "percentiles", lineitem=lines) == (Counter(), Counter())
+    plan = q.percentiles(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
