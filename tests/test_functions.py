@@ -1,6 +1,7 @@
 """Scalar functions against known values and identities."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -226,3 +227,16 @@ def test_charsets_of_many_contents():
     assert http.detect_charsets(contents) == [None, None, "ASCII", "Shift_JIS", "UTF-8", "windows-1252", "EUC-JP", "EUC-KR"]
     assert [http.decode_best_effort(c, None)[0] for c in contents[2:]] == ["plain", "日本語のテキスト", "ä", "à la carte", "日本語のテキスト", "한국어"]
     assert http.decode_all([None, b"x"], ["utf-8", "no such"]) == [(None, None), ("x", "ascii")]
+
+
+def test_charset_detection_takes_little_memory():
+    """What the automata take besides the texts does not grow with a batch."""
+    texts = ["日本語のテキスト".encode("shift_jis") * 60] * 4000
+    charsets.double_byte(texts[:10])
+    tracemalloc.start()
+    try:
+        found = charsets.double_byte(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert set(found) == {"Shift_JIS"} and peak < 64 << 20
