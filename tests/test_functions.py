@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from arcspark.functions import charsets, codec, dom, domain, hashing, http, net, text, url
@@ -240,3 +241,17 @@ def test_charset_detection_takes_little_memory():
     finally:
         tracemalloc.stop()
     assert set(found) == {"Shift_JIS"} and peak < 64 << 20
+
+
+def test_decoding_holds_few_contents():
+    """Of a batch of 40 MB only some contents are Python objects at a time."""
+    contents = pa.array(["é".encode("utf-8") + b"x" * 10_000] * 4000, pa.binary())
+    said = pa.array(["utf-8", None] * 2000, pa.string())
+    tracemalloc.start()
+    try:
+        found = http.decode_arrays(contents, said)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 4000 and set(found.field("charset").to_pylist()) == {"utf-8"} and peak < 10 << 20
+    assert found[3].as_py()["text"] == "é" + "x" * 10_000 and len(http.decode_arrays(contents[:0], said[:0])) == 0
