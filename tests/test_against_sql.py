@@ -48,3 +48,12 @@ def test_medians_hold_no_key_whole(spark, tmp_path):
     assert differences(spark, tmp_path, "percentiles", lineitem=lines) == (Counter(), Counter())
     plan = q.percentiles(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan
+
+
+def test_lateral_join_ranks_in_the_window(spark, tmp_path):
+    """Equal prices and orders without a number; the order is the window's own, since a sort below it is lost in a shuffle."""
+    orders = "SELECT CASE WHEN i % 7 = 0 THEN NULL ELSE 3000 - i END AS o_orderkey, i % 301 AS o_custkey, CAST(i % 4 AS DOUBLE) AS o_totalprice FROM range(3000) t(i)"
+    assert differences(spark, tmp_path, "lateral_join", customer="SELECT i AS c_custkey FROM range(400) t(i)", orders=orders) == (Counter(), Counter())
+    plan = q.lateral_join(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "row_number()" in line]
+    assert windows and all("o_totalprice" in line for line in windows) and "Sort [" not in plan
