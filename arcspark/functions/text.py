@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from arcspark import schemas
 
@@ -28,6 +30,36 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(float("nan"))).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(union, F.lit(1))).cast("float")
 
 
+def shingle_numbers(text: str) -> np.ndarray:
+    """Distinct runs of three characters, in order, each a number of 21 bits a character; none for shorter texts."""
+    chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    if len(chars) < 3:
+        return chars[:0]
+    runs = np.sort(chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:])
+    return runs[np.concatenate(([True], runs[1:] != runs[:-1]))]
+
+
+@F.arrow_udf(schemas.I)
+def shingle_count(texts: pa.Array) -> pa.Array:
+    """Size of ``char_shingles`` of width three; 0 where there is no text."""
+    return pa.array((len(shingle_numbers(x.as_py() or "")) for x in texts), pa.int32())
+
+
+def shingle_similarity(a: str | None, b: str | None) -> float | None:
+    if a is None or b is None:
+        return None
+    x, y = shingle_numbers(a), shingle_numbers(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - both
+    return both / union if union else float("nan")
+
+
+@F.arrow_udf(FloatType())
+def shingle_jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+    """``jaccard`` of the ``char_shingles`` of two texts; only the texts need to travel."""
+    return pa.array((shingle_similarity(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)), pa.float32())
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

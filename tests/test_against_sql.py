@@ -57,3 +57,19 @@ def test_lateral_join_ranks_in_the_window(spark, tmp_path):
     plan = q.lateral_join(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "row_number()" in line]
     assert windows and all("o_totalprice" in line for line in windows) and "Sort [" not in plan
+
+
+def test_shingles_of_odd_texts(spark, tmp_path):
+    """Texts of few characters, beyond the first plane, equal ones, none; ids that are missing, null or there twice."""
+    texts = ["", "ab", "abc", "abcabc", "😀😁", "a😀b😀c", "é\u0301a b\n", "aaaa" * 50, "abcabc", "語" * 3 + "abc", "\U0010ffff\U0010fffe\U0010ffff"]
+    rows = [f"({i + i // 6}, '{t}')" for i, t in enumerate(texts)] + ["(1, 'abd')", "(NULL, 'abc')", "(20, NULL)", "(21, 'abc')"]
+    documents = f"SELECT * FROM (VALUES {', '.join(rows)}) AS t(doc_id, text)"
+    for name in ("shingle_jaccard", "char_shingles"):
+        assert differences(spark, tmp_path, name, documents=documents) == (Counter(), Counter())
+
+
+def test_shingle_jaccard_shuffles_texts_alone(spark, tmp_path):
+    """No array of shingles is made before the join: they took several times the room of their texts."""
+    spark.range(5).selectExpr("id AS doc_id", "'text ' || id AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = q.shingle_jaccard(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in plan and "arrays_zip" not in plan
