@@ -10,6 +10,7 @@ import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
 
+from arcspark import queries
 from arcspark.functions import domain
 from arcspark.operators import aggregates, blocks, bloom_table, patterns
 from arcspark.plans import archive_query
@@ -332,3 +333,15 @@ def test_long_suffix_rules(spark):
     rules = spark.createDataFrame([("a.b.c.d.e.f.g",), ("g",)], "rule string")
     hosts = spark.createDataFrame([("x.y.a.b.c.d.e.f.g",), ("x.g",)], "host string")
     assert rows_of(domain.with_suffix(hosts, "host", rules), "host", "suffix") == [("x.g", "g"), ("x.y.a.b.c.d.e.f.g", "a.b.c.d.e.f.g")]
+
+
+@pytest.mark.parametrize("name", ["arc_split_scan", "arc_index_scan"])
+def test_no_task_writes_all_pages(spark, tmp_path, monkeypatch, name):
+    """The query's archives are a file a task, and read by more tasks than there are files."""
+    monkeypatch.setattr(queries, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    spark.range(0, 400, 1, 4).selectExpr("id AS page_id", "'http://h/' || id AS url", "repeat(sha2(string(id), 256), 40) AS html").write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.QUERIES[name](spark, str(tmp_path))
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet").select("url", F.md5("html").alias("content_md5"))
+    assert rows_of(found.where("many_tasks"), "url", "content_md5") == rows_of(pages, "url", "content_md5")
+    files = [len(arc.list_archives(str(d))) for d in tmp_path.glob("*-arc")]
+    assert files and min(files) > 1 and found.rdd.getNumPartitions() > max(files)
